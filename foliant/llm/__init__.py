@@ -1,0 +1 @@
+"""Operators for training-data pipelines; nothing else in the library imports this subpackage."""

@@ -1,0 +1,273 @@
+"""BPE encoding and decoding with a backtracking encoder.
+
+A word is covered greedily by its longest tokens, found by one Aho-Corasick pass over the word. A
+token is accepted next to its left neighbour only if merging would keep the two apart (the
+pair-compatibility table); else a shorter token is tried, and where none fits the left neighbour
+is given up. Positions that were given up are never entered again, so the work is linear in the
+word's length, and the tokens are those of the merge list, exactly. Decoding gathers the bytes of
+the tokens from one buffer by an offset table.
+"""
+
+from __future__ import annotations
+
+import functools
+import hashlib
+import json
+import unicodedata
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Entries that a Python worker remembers, of words and of word parts; then it starts anew.
+MEMO = 250_000
+ENCODED = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable bytes are themselves, the others follow from U+0100."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return [chr(b if b in plain else next(others)) for b in range(256)]
+
+
+class Memo(dict):
+    """A dictionary that computes what it lacks and forgets all once it is full."""
+
+    def __init__(self, make, most: int = MEMO):
+        self.make, self.most = make, most
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.clear()
+        self[key] = value = self.make(key)
+        return value
+
+
+class Merges:
+    """The tables of one merge list: Aho-Corasick automaton, shorter tokens, compatible pairs.
+
+    Word ends are kept as a mark in the last letter (its code point shifted beyond Unicode's use of
+    byte letters), so that every token is a plain string of letters.
+    """
+
+    SHIFT = 0x1000
+
+    def __init__(self, vocab: dict[str, int], merges: list, suffix: str):
+        import ahocorasick
+
+        self.suffix = suffix
+        # the rank of a token is its place in the order of merging; single letters come first
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
+        made = {a + b for a, b in pairs}
+        letters = [t for t in vocab if t not in made]
+        forms = [self.marked(t) for t in letters] + [self.marked(a + b) for a, b in pairs]
+        names = letters + [a + b for a, b in pairs]
+        self.rank = {form: r for r, form in enumerate(forms)}
+        if len(self.rank) != len(forms):
+            raise ValueError("a token is made by two merges; ranks are not unique")
+        self.ids = [vocab[n] for n in names]
+        self.length = [len(f) for f in forms]
+        self.parts = [(r, r) for r in range(len(letters))] + [(self.rank[self.marked(a)], self.rank[self.marked(b)]) for a, b in pairs]
+        self.merged = {self.parts[r]: r for r in range(len(letters), len(forms))}
+        self.compatible = Memo(self._compatible, 2_000_000)
+        # a token that its own letters do not merge to is never the result of merging
+        automaton = ahocorasick.Automaton()
+        self.shorter = [-1] * len(forms)
+        reachable = []
+        for r, form in enumerate(forms):
+            a, b = self.parts[r]
+            if a == r or self._apart(a, b, r):
+                reachable.append(r)
+                automaton.add_word(form, r)
+        known = {forms[r] for r in reachable}
+        for r in reachable:
+            form = forms[r]
+            self.shorter[r] = next((self.rank[form[:n]] for n in range(len(form) - 1, 0, -1) if form[:n] in known), -1)
+        automaton.make_automaton()
+        self.automaton = automaton
+
+    def marked(self, token: str) -> str:
+        if self.suffix and token.endswith(self.suffix) and token != self.suffix:
+            core = token[: -len(self.suffix)]
+            return core[:-1] + chr(ord(core[-1]) + self.SHIFT)
+        return token
+
+    def _compatible(self, pair: int) -> bool:
+        return self._apart(pair >> 32, pair & 0xFFFFFFFF, None)
+
+    def _apart(self, left: int, right: int, but: int | None) -> bool:
+        """Whether merging the letters of left and right gives just these two (`but`: before the merge of that rank).
+
+        Both tokens are taken apart again, the later-made one first. On the way, the facing parts
+        would merge across the border if they have a merge that comes before the one being undone.
+        """
+        limit = len(self.parts) if but is None else but
+        while True:
+            across = self.merged.get((left, right))
+            if across is not None and across < limit:
+                return False
+            l_part, r_part = self.parts[left][1], self.parts[right][0]
+            l_made, r_made = l_part != left, r_part != right
+            if not l_made and not r_made:
+                return True
+            # of equal merges the left one comes first: while the right twin is undone, the left is whole
+            if l_made and (not r_made or left > right):
+                limit, left = min(limit, left), l_part
+            else:
+                limit, right = min(limit, right + 1), r_part
+
+    def encode(self, word: str) -> list[int]:
+        """Ids of one pre-token in byte letters."""
+        if not word:
+            return []
+        if self.suffix:
+            word = word[:-1] + chr(ord(word[-1]) + self.SHIFT)
+        whole = self.rank.get(word)
+        n = len(word)
+        longest = [-1] * (n + 1)
+        length = self.length
+        for end, r in self.automaton.iter(word):
+            longest[end + 1 - length[r]] = r
+        if whole is not None and longest[0] == whole:
+            return [self.ids[whole]]
+        open_at = [True] * (n + 1)
+        taken: list[int] = []
+        at, token = 0, longest[0]
+        shorter, compatible = self.shorter, self.compatible
+        while at < n:
+            while token >= 0 and not (open_at[at + length[token]] and (not taken or compatible[taken[-1] << 32 | token])):
+                token = shorter[token]
+            if token >= 0:
+                taken.append(token)
+                at += length[token]
+                token = longest[at]
+            else:
+                if not taken:
+                    raise ValueError("the vocabulary lacks a letter of the word")
+                open_at[at] = False
+                token = taken.pop()
+                at -= length[token]
+        return [self.ids[t] for t in taken]
+
+
+class Codec:
+    """Encoder and decoder of a word-level BPE file: NFC, lower case, words as pre-tokens, word ends in the tokens."""
+
+    def __init__(self, path: str):
+        import regex
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model = spec["model"]
+        if model["type"] != "BPE" or model.get("continuing_subword_prefix") or model.get("dropout") or model.get("unk_token"):
+            raise ValueError("not a plain BPE model")
+        steps = [x["type"] for x in spec["normalizer"]["normalizers"]]
+        before = spec["pre_tokenizer"]["pretokenizers"]
+        if steps != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in before] != ["Split", "ByteLevel"] or spec["decoder"] is not None:
+            raise ValueError("another normalizer, pre-tokenizer or decoder than this codec's")
+        self.merges = Merges(model["vocab"], model["merges"], model.get("end_of_word_suffix") or "")
+        # \s as Unicode's White_Space, as the file's own expression is read
+        self.split = regex.compile(before[0]["pattern"]["Regex"].replace(r"[^\s", r"[^\p{White_Space}"))
+        self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        self.cut = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
+        letters = byte_letters()
+        self.letters = {b: letters[b] for b in range(256)}
+        self.parts = Memo(self._part)
+        self.words = Memo(self._word)
+        # decoding: without a decoder, tokens are joined by blanks
+        names = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.added.items()}
+        table = [(names.get(i, "") + " ").encode() for i in range(max(names) + 1)]
+        self.blob = np.frombuffer(b"".join(table), np.uint8)
+        self.offsets = np.concatenate([[0], np.cumsum([len(x) for x in table])]).astype(np.int64)
+
+    def _part(self, part: str) -> list[int]:
+        return self.merges.encode(part.encode().decode("latin-1").translate(self.letters))
+
+    def _word(self, word: str) -> tuple[str, bytes]:
+        ids = [i for p in self.split.findall(word) for i in self.parts[p]]
+        return " ".join(map(str, ids)), np.array(ids, np.uint32).tobytes()
+
+    @staticmethod
+    def normal(text: str) -> str:
+        # lower-casing goes letter by letter: a final sigma is an ordinary one
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+    def _plain(self, text: str) -> list[tuple[str, bytes]]:
+        words = self.words
+        # str.split() also splits at U+001C to U+001F, which are no white space here
+        text = self.normal(text)
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            return [words[p] for p in self.split.findall(text)]
+        return [words[w] for w in text.split()]
+
+    def encode(self, text: str) -> tuple[str, np.ndarray]:
+        """The ids as decimal numbers joined by blanks, and as an array."""
+        if self.cut is None or "<" not in text:
+            pieces = self._plain(text)
+        else:
+            pieces = []
+            for k, x in enumerate(self.cut.split(text)):
+                if k % 2:
+                    pieces.append((str(self.added[x]), np.array([self.added[x]], np.uint32).tobytes()))
+                else:
+                    pieces += self._plain(x)
+        return " ".join([p[0] for p in pieces if p[0]]), np.frombuffer(b"".join([p[1] for p in pieces]), np.uint32)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """UTF-8 of the decoded text."""
+        if not len(ids):
+            return b""
+        starts = self.offsets[ids]
+        lengths = self.offsets[ids.astype(np.int64) + 1] - starts
+        ends = np.cumsum(lengths)
+        return self.blob[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1])][:-1].tobytes()
+
+
+@functools.lru_cache(2)
+def codec(path: str) -> Codec:
+    """One codec for each file in a Python worker."""
+    return Codec(path)
+
+
+def encoded(text: Column, path: str) -> Column:
+    """A struct n_tokens, ids_sha256, decoded_sha256 of a text (null: empty)."""
+
+    def digest(texts: pd.Series) -> pd.DataFrame:
+        c, rows = codec(path), []
+        for t in texts:
+            line, ids = c.encode(t or "")
+            rows.append((len(ids), hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()))
+        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return F.pandas_udf(digest, ENCODED)(text)
+
+
+def token_ids(text: Column, path: str) -> Column:
+    """The ids of a text as array<int> (null: empty)."""
+
+    def ids(texts: pd.Series) -> pd.Series:
+        c = codec(path)
+        return pd.Series([c.encode(t or "")[1].astype(np.int32) for t in texts], dtype=object)
+
+    return F.pandas_udf(ids, "array<int>")(text)
+
+
+def decoded(ids: Column, path: str) -> Column:
+    """The text of an array of ids (null: null)."""
+
+    def text(rows: pd.Series) -> pd.Series:
+        c = codec(path)
+        return pd.Series([None if x is None else c.decode(np.asarray(x, np.int64)).decode("utf-8", "replace") for x in rows], dtype=object)
+
+    return F.pandas_udf(text, "string")(ids)
+
+
+def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: one row per row of docs, in no order, without a shuffle.
+
+    A null text is encoded as the empty one (0 tokens); repeated rows and null ids are kept as they are;
+    other columns are ignored.
+    """
+    return docs.select(F.col(doc_id), encoded(F.col(text), path).alias("__e")).select(doc_id, "__e.*")

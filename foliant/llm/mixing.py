@@ -1,0 +1,129 @@
+"""Mixing sources to target weights: temperature mixing with budgeted block permutations.
+
+Weights are w_s ~ p_s ** a of the token shares p_s. The exponent a is bisected until the mixture
+meets a target entropy or a repetition limit. The weights are then realised exactly, document by
+document: a source gets whole passes over its documents and a part of one more pass, taken block
+by block in a pseudo-random order until its budget is spent.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from foliant.llm.shared import stage, words_of
+
+#: Exponents tried at once: four steps of bisection in each pass over the source table.
+_FAN = 16
+
+
+def token_count(text: Column) -> Column:
+    """White-space words, the token measure where no tokenizer is named; 0 for null."""
+    return F.coalesce(F.when(text.isNotNull(), F.size(words_of(text))).cast("long"), F.lit(0).cast("long"))
+
+
+def source_shares(docs: DataFrame) -> DataFrame:
+    """(source, n_docs, tokens, share) of a table (source, n_tokens); sources without tokens have share 0."""
+    by = docs.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("tokens"))
+    total = by.agg(F.sum("tokens").alias("total"))
+    return by.crossJoin(F.broadcast(total)).select("source", "n_docs", "tokens", F.when(F.col("total") > 0, F.col("tokens") / F.col("total")).otherwise(0.0).alias("share"))
+
+
+def fit_exponent(shares: DataFrame, entropy: float | None = None, max_repeat: float | None = None, steps: int = 12) -> float:
+    """The exponent in [0, 1] that meets the target; the driver gets _FAN sums a pass, never the sources.
+
+    entropy: the wanted entropy in nats; it falls as the exponent grows, so the largest exponent with at
+    least that entropy is sought (0 if even equal weights have less). max_repeat: how many times as often a
+    document of the smallest source may be repeated as one of the largest; the least exponent within it.
+    """
+    if (entropy is None) == (max_repeat is None):
+        raise ValueError("name either entropy or max_repeat")
+    some = shares.where("share > 0")
+    if max_repeat is not None:
+        ends = some.agg(F.min("share").alias("low"), F.max("share").alias("high")).first()
+        spread = math.log(ends["high"] / ends["low"]) if ends["low"] else 0.0
+
+        def within(exponents):
+            return [(1 - a) * spread <= math.log(max_repeat) for a in exponents]
+    else:
+
+        def within(exponents):
+            sums = []
+            for a in exponents:
+                sums += [F.sum(F.pow("share", F.lit(a))), F.sum(F.pow("share", F.lit(a)) * a * F.log("share"))]
+            got = some.agg(*[s.alias(f"c{i}") for i, s in enumerate(sums)]).first()
+            zs = [(got[2 * i], got[2 * i + 1]) for i in range(len(exponents))]
+            return [z is not None and math.log(z) - lz / z < entropy for z, lz in zs]
+
+    low, high = 0.0, 1.0
+    if within([0.0])[0]:
+        return 0.0
+    for _ in range(math.ceil(steps / 4)):
+        tried = [low + (high - low) * i / _FAN for i in range(1, _FAN)]
+        first = next((i for i, yes in enumerate(within(tried)) if yes), None)
+        low, high = (tried[-1], high) if first is None else (tried[first - 1] if first else low, tried[first])
+    return high if max_repeat is not None else low
+
+
+def mix(docs: DataFrame, budget: float | None = None, entropy: float | None = None, max_repeat: float | None = 2.0, block_docs: int = 512, seed: int = 7, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """The columns of docs and __n_tokens, __weight (its source's), __repeats, __block.
+
+    __repeats says how often the document stands in the mixture. budget: tokens of the whole mixture;
+    None gives the least budget with which every source has at least one whole pass, so that no
+    document is lost. Sources are split into blocks of about block_docs documents by a hash of the
+    document; blocks are permuted by another hash; the blocks of the last, partial pass are those
+    whose running sum stays within the source's budget, and in the block where it runs out documents
+    are taken in hash order while it lasts. A source's tokens thus stay within its budget, by less
+    than one document.
+
+    Running sums go over superblocks of a source, then over the blocks in one, then over the documents of
+    one block, so that no window grows with a source. A null source is a source of its own; a null or
+    empty text has no tokens and is repeated as the whole passes say; repeated rows are
+    documents in their own right. An empty table gives an empty table.
+    """
+    own = docs.columns
+    d = docs.withColumn("__n", token_count(F.col(text))).withColumn("__s", F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")))
+    slim = d.select(F.col("__s").alias("source"), F.col("__n").alias("n_tokens"), F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).alias("h"))
+    shares = stage(source_shares(slim), "shares")
+    a = fit_exponent(shares, entropy, None if entropy is not None else max_repeat)
+    z = shares.where("share > 0").agg(F.sum(F.pow("share", F.lit(a))).alias("z"), F.max(F.pow("share", F.lit(1 - a))).alias("most"), F.sum("tokens").alias("total")).first()
+    total, norm, most = z["total"] or 0, z["z"] or 1.0, z["most"] or 1.0
+    # with budget B a source has B * w / tokens passes; the least of them is 1 when B = total * norm * max(share ** (1 - a))
+    whole = budget is None
+    tokens = total * norm * most if whole else float(budget)
+    weight = F.when(F.col("share") > 0, F.pow("share", F.lit(a)) / norm).otherwise(0.0)
+    # a product that should be a whole number may miss it by rounding; a pass less than a millionth short is whole
+    passes = F.when(F.col("tokens") > 0, F.col("weight") * tokens / F.col("tokens")).otherwise(1.0 if whole else 0.0)
+    sums = shares.withColumn("weight", weight).withColumn("passes", passes)
+    sums = sums.withColumn("whole", F.floor(F.col("passes") + 1e-6).cast("long")).withColumn("part", F.greatest(F.lit(0.0), (F.col("passes") - F.col("whole")) * F.col("tokens")))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / block_docs)).cast("long")
+    sums = stage(sums.withColumn("n_blocks", blocks).select("source", "weight", "whole", "part", "n_blocks"), "sources")
+    # a document's block and place come from its own hash
+    few = sums.count() <= 10_000
+    placed = slim.join(F.broadcast(sums) if few else sums, "source").withColumn("block", F.pmod("h", "n_blocks")).withColumn("turn", F.xxhash64(F.lit(seed + 1), F.col("source"), F.col("block")))
+    held = stage(placed.groupBy("source", "block", "turn", "part", "n_blocks").agg(F.sum("n_tokens").alias("tokens")), "blocks")
+    held = held.withColumn("top", F.floor(F.pmod(F.col("turn"), F.lit(1 << 20)) / (1 << 10)).cast("int"))
+    tops = held.groupBy("source", "top").agg(F.sum("tokens").alias("tokens"))
+    tops = tops.withColumn("before_top", F.sum("tokens").over(Window.partitionBy("source").orderBy("top").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("tokens")).drop("tokens")
+    run = F.sum("tokens").over(Window.partitionBy("source", "top").orderBy("turn", "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("tokens")
+    held = held.withColumn("in_top", run).join(tops, ["source", "top"]).withColumn("before", F.col("in_top") + F.col("before_top"))
+    cut = (F.col("before") < F.col("part")) & (F.col("before") + F.col("tokens") > F.col("part"))
+    taken = stage(held.where("before < part").select("source", "block", cut.alias("cut"), "before"), "taken")
+    # in the one block of each source where the budget runs out, the last hash that still fits
+    edge = placed.join(taken.where("cut").drop("cut"), ["source", "block"])
+    spent = F.sum("n_tokens").over(Window.partitionBy("source", "block").orderBy("h").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    edge = edge.withColumn("spent", spent).where(F.col("before") + F.col("spent") <= F.col("part")).groupBy("source", "block").agg(F.max("h").alias("last"))
+    limits = taken.where("not cut").select("source", "block", F.lit((1 << 63) - 1).alias("last")).unionByName(edge)
+    limits = stage(limits.select(F.col("source").alias("__s"), F.col("block").alias("__b"), F.col("last").alias("__last")), "limits")
+    d = d.withColumn("__h", F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)))
+    d = d.join(F.broadcast(sums) if few else sums, d["__s"] == sums["source"]).select(*[d[c] for c in d.columns], sums["weight"].alias("__w"), sums["whole"].alias("__whole"), sums["n_blocks"].alias("__nb"))
+    d = d.withColumn("__b", F.pmod("__h", "__nb")).join(limits, ["__s", "__b"], "left")
+    extra = F.when(F.col("__h") <= F.col("__last"), 1).otherwise(0)
+    return d.select(*own, F.col("__n").alias("__n_tokens"), F.col("__w").alias("__weight"), (F.col("__whole") + extra).alias("__repeats"), F.col("__b").alias("__block"))
+
+
+def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
+    """Each document as often as the mixture holds it."""
+    return mixed.where("__repeats > 0").select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__repeats"))).alias("__copy")).select(*columns)

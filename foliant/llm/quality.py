@@ -1,0 +1,109 @@
+"""Quality rules: cross-document line frequency (DataFrame functions only)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from foliant.llm.shared import BLANK_CLASS, BLANKS, let, stage, words_of
+
+#: The symbols that the base counts.
+SYMBOLS = "#*$%&|<>"
+WINDOW = 8
+
+
+def _repeat_words(words: Column, width: int = WINDOW) -> Column:
+    """Words that lie in a window of `width` words found twice or more in the same text.
+
+    Windows are named by a hash of their words. Equal names are adjacent once sorted, so the cost
+    stays n log n for texts of any length.
+    """
+
+    def covered(names: Column) -> Column:
+        by_name = F.sort_array(F.transform(names, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        twice = let(by_name, lambda s: F.filter(s, lambda x, k: (F.get(s, k - 1)["h"] == x["h"]) | (F.get(s, k + 1)["h"] == x["h"])))
+        at = F.sort_array(F.transform(twice, lambda x: x["i"]))
+        spans = let(at, lambda p: F.transform(p, lambda x, k: F.least(F.lit(width), F.coalesce(F.get(p, k + 1) - x, F.lit(width)))))
+        return F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    def names(ids: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(ids) - (width - 1)), lambda i: F.xxhash64(F.slice(ids, i, width)))
+
+    def of(ids: Column) -> Column:
+        return let(names(ids), lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0).cast("long")).otherwise(covered(g)))
+
+    return F.when(F.size(words) < width + 1, F.lit(0).cast("long")).otherwise(let(F.transform(words, lambda w: F.xxhash64(w)), of))
+
+
+def _lines(text: Column) -> Column:
+    return F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
+
+
+def _normal(line: Column) -> Column:
+    return F.trim(F.lower(F.regexp_replace(line, BLANK_CLASS + "+", " ")))
+
+
+def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed of whole texts."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    counted = docs.withColumn("__words", words_of(t)).withColumn("__of", F.struct(
+        F.size("__words").cast("long").alias("n_words"),
+        F.length(F.translate(t, BLANKS, "")).cast("long").alias("word_chars"),
+        (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        let(_lines(t), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        _repeat_words(F.col("__words")).alias("n_repeat_words"),
+    ))
+    r = counted.select(*docs.columns, "__of.*")
+    return r.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
+
+
+def _host(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def _frequent_in(docs: DataFrame, often: DataFrame, doc_id: str, host: str, text: str) -> DataFrame:
+    """(id, mark, host, at, line, chars): lines of each document that are in `often`; a repeated row counts once."""
+    lines = F.transform(_lines(F.coalesce(F.col(text), F.lit(""))), lambda x, i: F.struct(i.alias("at"), F.xxhash64(_normal(x)).alias("line"), F.length(F.translate(x, BLANKS, "")).cast("long").alias("chars")))
+    each = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("mark"), _host(host).alias("host"), F.inline(lines))
+    return each.join(often, ["host", "line"]).dropDuplicates(["id", "mark", "host", "at"])
+
+
+def frequent_lines(docs: DataFrame, max_docs: int = 20, doc_id: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
+    """(host, line, n_docs) of normalised lines that stand in more than max_docs documents of a host."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    once = docs.select(_host(host).alias("host"), F.explode(F.array_distinct(F.transform(_lines(t), lambda x: F.xxhash64(_normal(x))))).alias("line"))
+    return once.groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > max_docs)
+
+
+def quality(docs: DataFrame, max_docs: int = 20, max_removed: float = 0.5, doc_id: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
+    """One row per document: base counts, removed_chars, depleted and kept.
+
+    A line (lower-cased, blanks squeezed, known by its hash) is removed when more than `max_docs`
+    documents of its host hold it; a document is depleted when removed lines held over
+    `max_removed` of its word characters. kept = neither base_failed nor depleted.
+
+    A null text counts as empty (no words, so it fails the base); a null host is a host of its own;
+    repeated rows count as further documents and each gets its row. Other columns are ignored.
+    """
+    docs = docs.select(doc_id, host, text)
+    often = stage(frequent_lines(docs, max_docs, doc_id, host, text).select("host", "line"), "often")
+    removed = _frequent_in(docs, often, doc_id, host, text).groupBy("id", "mark", "host").agg(F.sum("chars").alias("chars"))
+    base = base_rules(docs.withColumn("__mark", F.xxhash64(F.col(text))).withColumn("__host", _host(host)), text).drop(text)
+    same = base[doc_id].eqNullSafe(removed["id"]) & (base["__mark"] == removed["mark"]) & (base["__host"] == removed["host"])
+    n_removed = F.coalesce(removed["chars"], F.lit(0).cast("long"))
+    out = base.join(removed, same, "left").select(base[doc_id], *[F.col(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")], n_removed.alias("removed_chars"))
+    out = out.withColumn("depleted", F.col("removed_chars") > max_removed * F.col("word_chars"))
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
+
+
+def without_frequent_lines(docs: DataFrame, max_docs: int = 20, doc_id: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
+    """The documents with lines above the limit taken out of their texts.
+
+    Lines of a document are joined to the frequent ones by hash, and the document's own array of
+    lines is filtered by the hashes found; a document meets at most its own lines.
+    """
+    often = stage(frequent_lines(docs, max_docs, doc_id, host, text).select("host", "line"), "often")
+    hit = _frequent_in(docs, often, doc_id, host, text).groupBy("id", "mark", "host").agg(F.collect_set("line").alias("__gone"))
+    same = docs[doc_id].eqNullSafe(hit["id"]) & (F.xxhash64(docs[text]) == hit["mark"]) & (F.coalesce(docs[host].cast("string"), F.lit("")) == hit["host"])
+    left = F.array_join(F.filter(F.split(docs[text], "\n"), lambda x: ~F.array_contains(F.col("__gone"), F.xxhash64(_normal(x)))), "\n")
+    return docs.join(hit, same, "left").select(*[F.when(F.col("__gone").isNull(), docs[c]).otherwise(left).alias(c) if c == text else docs[c] for c in docs.columns])

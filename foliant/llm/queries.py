@@ -1,0 +1 @@
+"""Thin queries opN_<name> over the operators, and their SQL where SQL can express them."""

@@ -1,0 +1,79 @@
+"""Helpers of the operators: the shared scratch folder, staged tables, connected components."""
+
+from __future__ import annotations
+
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: `[\x20\x09-\x0D]`, the white space of the word rule shared by several operators.
+BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
+BLANK_CLASS = r"[\x20\x09-\x0D]"
+
+_own_dir: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir as the session has it.
+
+    Only a local master, whose tasks all run on this machine, may go without the setting.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _own_dir:
+        _own_dir.append(tempfile.mkdtemp(prefix="foliant-"))
+        atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
+    return f"file://{_own_dir[0]}"
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    return f"{shared_dir(spark)}/foliant-{tag}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, tag: str) -> DataFrame:
+    """Writes a table to the shared folder and reads it again.
+
+    This cuts the lineage without tying rows to an executor, and the table that is read has no
+    partitioning of its own: a join above it deals out both sides, so that Spark may split the
+    partitions of a frequent key.
+    """
+    path = scratch(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once; a lambda that names a computed array would otherwise compute it for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def words_of(text: Column) -> Column:
+    """Words `[^\\x20\\x09-\\x0D]+` of a text that is not null."""
+    return F.filter(F.split(text, BLANK_CLASS + "+"), lambda w: w != "")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of an edge table (a, b), root being the smallest node that can be reached.
+
+    Alternates large-star and small-star steps on written tables until every node hangs on a
+    root; the driver sees only counts.
+    """
+    e = stage(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    while True:
+        n = e.agg(F.count("*").alias("n"), F.countDistinct("u").alias("d")).first()
+        inner = e.select(F.col("v").alias("u")).distinct().join(e.select("u").distinct(), "u", "left_semi")
+        if n["n"] == n["d"] and inner.isEmpty():
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = stage(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        least = stage(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        moved = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = stage(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small")
