@@ -201,31 +201,35 @@ def near_duplicates(vectors: DataFrame, graph: Graph = Graph(), id_col: str = "v
         for i, near in enumerate(local):
             adjacency[i, : len(near)] = near
         entry = int((x @ x.mean(axis=0)).argmax())
-        links, parent, edges = np.zeros(len(reps), np.int64), np.arange(len(reps)), []
+        linked = np.zeros((len(reps), len(reps)), bool)
         single = x.astype(np.float32)
         for at in range(0, len(reps), 512):
             queries = np.arange(at, min(at + 512, len(reps)))
             for i, others in zip(queries, range_search(single, adjacency, entry, graph, queries), strict=True):
-                others = others[others != i]
-                others = others[x[others] @ x[i] >= graph.threshold]
-                # counted here only if this is the first shard that both are dealt to, and in the cell of their chunks
-                common = (homes[others][:, :, None] == homes[i][None, None, :]).any(axis=2)
-                first = np.where(common, homes[others], np.iinfo(np.int32).max).min(axis=1)
-                ours = (first == shard) & (np.minimum(chunk[others], chunk[i]) == a) & (np.maximum(chunk[others], chunk[i]) == b)
-                others = others[ours]
-                links[i] += size[others].sum()
-                groups, where = np.unique(parent[others], return_index=True)
-                for g, w in zip(groups, where, strict=True):
-                    if g != parent[i]:
-                        edges.append((reps[i], reps[others[w]]))
-                        parent[parent == g] = parent[i]
-        some = links > 0
-        table = [(r, k, None) for r, k in zip(reps[some], links[some], strict=True)] + [(u, 0, v) for u, v in edges]
-        return pd.DataFrame(table, columns=["rep", "links", "other"]).astype({"rep": "int64", "links": "int64", "other": "Int64"})
+                linked[i, others[x[others] @ x[i] >= graph.threshold]] = True
+        linked |= linked.T  # what either side's search has met is a link of both
+        np.fill_diagonal(linked, False)
+        links, parent, edges = np.zeros(len(reps), np.int64), np.arange(len(reps)), []
+        for i in np.flatnonzero(linked.any(axis=1)):
+            others = np.flatnonzero(linked[i])
+            # counted here only if this is the first shard that both are dealt to, and in the cell of their chunks
+            common = (homes[others][:, :, None] == homes[i][None, None, :]).any(axis=2)
+            first = np.where(common, homes[others], np.iinfo(np.int32).max).min(axis=1)
+            ours = (first == shard) & (np.minimum(chunk[others], chunk[i]) == a) & (np.maximum(chunk[others], chunk[i]) == b)
+            others = others[ours]
+            links[i] = size[others].sum()
+            groups, where = np.unique(parent[others], return_index=True)
+            for g, w in zip(groups, where, strict=True):
+                if g != parent[i]:
+                    edges.append((reps[i], reps[others[w]]))
+                    parent[parent == g] = parent[i]
+        some = np.flatnonzero(links)
+        u, v = np.array(edges, np.int64).reshape(-1, 2).T
+        return pd.DataFrame({"rep": np.concatenate([reps[some], u]), "links": np.concatenate([links[some], 0 * u]), "other": np.concatenate([reps[some], v])})
 
     result = materialise(searched.groupBy(*cell).applyInPandas(search, "rep long, links long, other long"), "links")
     counted = result.groupBy("rep").agg(F.sum("links").alias("links"))
-    labels = connected_components(result.where("other IS NOT NULL").select(F.col("rep").alias("u"), F.col("other").alias("v")))
+    labels = connected_components(result.where("other <> rep").select(F.col("rep").alias("u"), F.col("other").alias("v")))
     whole = found.select("rep", "first_id", "n").join(counted, "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     whole = whole.select("rep", "first_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
     first = whole.groupBy("component").agg(F.min("first_id").alias("component_id"))
