@@ -113,9 +113,12 @@ def train(docs: DataFrame, profile: Profile = Profile(), lang_col: str = "lang",
     picked texts have no letter has no prototype.
     """
     labelled = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"))
-    share = F.least(F.lit(1.0), F.lit(float(profile.train_docs)) / F.col("n"))
-    picked = labelled.join(sizes, "lang").where(F.pmod(text_key(F.col("text")), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text")
+    # One figure for each label, as few as the prototypes; as a literal it needs no join, which would deal texts by language.
+    shares = {r.lang: min(1.0, profile.train_docs / r.n) for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not shares:
+        return [], np.zeros((0, profile.dim))
+    share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[F.col("lang")]
+    picked = labelled.where(F.pmod(text_key(F.col("text")), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text")
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
