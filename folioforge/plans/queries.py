@@ -2,5 +2,408 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioforge.functions import lexicon, text
+from folioforge.operators import cleaning, imaging, report, retrieval, search, structure, topics, validation
+from folioforge.sources import documents as sources
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+SEARCHED = "the an"
+QUESTION = "what is the output of 2024-25 for the mine"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.to_lines(table(spark, sf_dir, "documents"))
+
+
+def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as one page without tables."""
+    none = F.array().cast("array<struct<title:string,header:array<string>,rows:array<string>,source:string>>")
+    return table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page_ord"), F.lit(1).alias("page"), "text", none.alias("tables"))
+
+
+def ledger_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, line_no, raw): a scanned ledger for each nation, a page for each market segment, a row for each customer."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("doc_id"), "c_mktsegment", "c_custkey", F.concat_ws(" ", "c_name", F.col("c_acctbal").cast("decimal(12,2)").cast("string")).alias("row"))
+    page = F.rank().over(_segments())
+    pages = c.select("doc_id", "c_mktsegment").distinct().withColumn("p", page)
+    head = pages.select(
+        "doc_id", "p", F.explode(F.array(
+            F.struct(F.lit(0).alias("k"), F.lit(0).cast("long").alias("n"), F.concat(F.lit("PAGE "), F.col("p").cast("string")).alias("raw")),
+            F.struct(F.lit(1).alias("k"), F.lit(0).cast("long").alias("n"), F.concat(F.lit("Table "), F.col("p").cast("string"), F.lit(".1 Balances of "), F.col("c_mktsegment")).alias("raw")),
+            F.struct(F.lit(2).alias("k"), F.lit(0).cast("long").alias("n"), F.lit("Company Target Actual").alias("raw")),
+            F.struct(F.lit(4).alias("k"), F.lit(0).cast("long").alias("n"), F.lit("Source: ledger").alias("raw")),
+            F.struct(F.lit(5).alias("k"), F.lit(0).cast("long").alias("n"), F.lit("The production of the year went on as planned.").alias("raw")),
+        )).alias("x"),
+    ).select("doc_id", "p", "x.*")
+    rows = c.join(pages, ["doc_id", "c_mktsegment"]).select("doc_id", "p", F.lit(3).alias("k"), F.col("c_custkey").cast("long").alias("n"), F.col("row").alias("raw"))
+    from pyspark.sql import Window
+
+    ordered = Window.partitionBy("doc_id").orderBy("p", "k", "n")
+    return head.union(rows).select("doc_id", F.row_number().over(ordered).alias("line_no"), "raw")
+
+
+def _segments():
+    from pyspark.sql import Window
+
+    return Window.partitionBy("doc_id").orderBy("c_mktsegment")
+
+
+#: Lines of documents in SQL, with letters beyond ASCII as underscores in ``a``: both are word characters.
+LINES = r"""
+WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents),
+trimmed AS (SELECT doc_id, CASE WHEN p[len(p)] = '' THEN p[1:len(p)-1] ELSE p END AS p FROM parts),
+lines AS (SELECT doc_id, unnest(p) AS raw, CAST(generate_subscripts(p, 1) AS INTEGER) AS line_no FROM trimmed),
+marked AS (SELECT *, trim(raw, ' ' || chr(9) || chr(13)) AS s, regexp_replace(trim(raw, ' ' || chr(9) || chr(13)), '[^\x00-\x7F]', '_', 'g') AS a FROM lines)
+"""
+
+LEDGER = """
+WITH c AS (SELECT CAST(c_nationkey AS BIGINT) AS doc_id, c_mktsegment AS seg, c_custkey, c_name || ' ' || CAST(CAST(c_acctbal AS DECIMAL(12,2)) AS VARCHAR) AS r FROM customer),
+pages AS (SELECT doc_id, seg, CAST(rank() OVER (PARTITION BY doc_id ORDER BY seg) AS INTEGER) AS p FROM (SELECT DISTINCT doc_id, seg FROM c)),
+tabs AS (SELECT doc_id, p, seg, count(*) AS n_rows, string_agg(r, chr(10) ORDER BY c_custkey) AS body FROM c JOIN pages USING (doc_id, seg) GROUP BY ALL)
+"""
+
+
+@query(LINES + "SELECT doc_id, line_no, CAST(length(raw) AS INTEGER) AS n_chars, md5(raw) AS digest FROM lines")
+def line_scan(spark, sf_dir):
+    return document_lines(spark, sf_dir).select("doc_id", "line_no", F.length("raw").alias("n_chars"), F.md5("raw").alias("digest"))
+
+
+_N = r"len(regexp_extract_all({}, '\d{{1,3}}(?:,\d{{2,3}})+(?:\.\d+)?|\d+(?:\.\d+)?|\d+(?:\.\d+)?%|-\d+(?:\.\d+)?'))"
+
+
+@query(
+    LINES
+    + rf"""SELECT doc_id, CAST(sum({_N.format("a")}) AS BIGINT) AS numbers, CAST(count_if(len(regexp_extract_all(a, '\b\d+(?:[.,]\d+)*\b')) >= 3) AS BIGINT) AS row_like,
+CAST(count_if(regexp_matches(a, '\b20\d{{2}}(?:[-/]\d{{2,4}})?\b')) AS BIGINT) AS with_year, CAST(count_if(contains(a, '%')) AS BIGINT) AS with_percent FROM marked GROUP BY doc_id"""
+)
+def numeric_line_profile(spark, sf_dir):
+    line = text.strip(F.col("raw"))
+    return document_lines(spark, sf_dir).groupBy("doc_id").agg(
+        F.sum(structure.count_numbers(line)).cast("long").alias("numbers"), F.count_if(validation.looks_like_row(line)).alias("row_like"),
+        F.count_if(structure.has_year(line)).alias("with_year"), F.count_if(F.contains(line, F.lit("%"))).alias("with_percent"),
+    )
+
+
+_NOISE = rf"""CASE WHEN regexp_matches(a, '(?i)^PAGE\s+\d+$') OR regexp_matches(a, '(?i)\bTable\s+\d+') OR regexp_matches(a, '(?i)^(Source|Note)\s*:') OR regexp_matches(a, '^(Government|Ministry|CIL|SCCL|NLCIL)') THEN FALSE
+WHEN regexp_matches(s, '^[\x00-\x7F]+$') AND regexp_matches(s, '^[\W_]+$') THEN TRUE
+WHEN length(s) <= 3 AND NOT regexp_matches(s, '\d') AND upper(s) NOT IN {lexicon.COMPANY_CODES} THEN TRUE
+WHEN length(s) > 5 AND len(regexp_extract_all(s, '[A-Za-z0-9]')) / length(s) < 0.20 THEN TRUE
+ELSE regexp_matches(s, '(?i)^(?:{"|".join(lexicon.CHART_FRAGMENTS)})$') END"""
+
+
+@query(
+    LINES
+    + rf"""SELECT doc_id, line_no, CASE WHEN s = '' THEN 'blank' WHEN regexp_matches(a, '(?i)^PAGE\s+\d+$') THEN 'page' WHEN regexp_matches(a, '(?i)\bTable\s+\d+') THEN 'heading'
+WHEN regexp_matches(a, '(?i)^(Source|Note)\s*:') THEN 'source' WHEN NOT in_table AND ({_NOISE}) THEN 'noise'
+WHEN in_table OR len(regexp_extract_all(a, '\b\d+(?:[.,]\d+)?\b')) >= 2 OR len(list_filter({list(lexicon.ROW_WORDS)}, lambda k: contains(lower(s), k))) > 0 THEN 'table' ELSE 'text' END AS cls, in_table
+FROM (SELECT *, coalesce(last_value(event IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS in_table
+FROM (SELECT *, CASE WHEN s = '' AND gap = 3 THEN FALSE WHEN s <> '' AND regexp_matches(a, '(?i)^PAGE\s+\d+$') THEN FALSE WHEN s <> '' AND regexp_matches(a, '(?i)\bTable\s+\d+') THEN TRUE END AS event
+FROM (SELECT *, sum(CASE WHEN s = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, stretch ORDER BY line_no) AS gap
+FROM (SELECT *, sum(CASE WHEN s = '' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS stretch FROM marked))))"""
+)
+def line_class(spark, sf_dir):
+    return cleaning.classify(document_lines(spark, sf_dir)).select("doc_id", "line_no", "cls", "in_table")
+
+
+@query()
+def cleaned_lines(spark, sf_dir):
+    return cleaning.clean(document_lines(spark, sf_dir))[0]
+
+
+@query()
+def cleaning_audit(spark, sf_dir):
+    return cleaning.clean(document_lines(spark, sf_dir))[1]
+
+
+@query(LINES + r"SELECT doc_id, line_no, trim(replace(regexp_replace(s, '[ \t]{2,}', ' ', 'g'), 'Inpt', 'Input')) AS line FROM marked")
+def normal_lines(spark, sf_dir):
+    return document_lines(spark, sf_dir).select("doc_id", "line_no", cleaning.clean_normal_line(F.col("raw")).alias("line"))
+
+
+_ISSUES = r"""list_distinct(list_concat(
+list_transform(list_filter(list_concat(regexp_extract_all(a, '\b[A-Za-z]+[-_]?\d+(?:\.\d+)?\b'), regexp_extract_all(a, '\b\d+(?:\.\d+)?[A-Za-z]+\b')), lambda v: upper(v) NOT IN ('FY24','FY25','FY26') AND NOT regexp_matches(upper(v), '^(TABLE|PAGE)\d*$')), lambda v: 'Attached letters/numbers: ''' || v || ''''),
+list_transform(list_filter(string_split_regex(s, '\s+'), lambda t: length(trim(t, ',;:()[]{}')) - length(replace(trim(t, ',;:()[]{}'), '.', '')) > 1 AND regexp_matches(t, '\d')), lambda t: 'Multiple decimal points: ''' || t || ''''),
+list_transform(list_filter(string_split_regex(s, '\s+'), lambda t: length(trim(t, ',;:()[]{}')) - length(replace(trim(t, ',;:()[]{}'), ',', '')) > 1 AND regexp_matches(trim(t, ',;:()[]{}'), '^[\d,]+$')), lambda t: 'Suspicious numeric commas: ''' || t || ''''),
+list_transform(list_filter(string_split_regex(s, '\s+'), lambda t: regexp_matches(trim(t, ',;:()[]{}'), '^\d{5,}\.\d+$')), lambda t: 'Possible merged number: ''' || t || ''''),
+list_transform(list_filter(regexp_extract_all(a, '\b(?:[A-Za-z][0-9]+|[0-9]+[A-Za-z])\b'), lambda v: upper(v) NOT IN ('FY24','FY25','FY26','MT')), lambda v: 'Possible OCR character substitution: ''' || v || '''')))"""
+_ROWS = rf"""checked AS (SELECT *, len(regexp_extract_all(a, '\b\d+(?:[.,]\d+)*\b')) >= 3 AS is_row, {_ISSUES} AS issues FROM marked)"""
+
+
+@query(
+    LINES
+    + ","
+    + _ROWS
+    + """SELECT doc_id, line_no, coalesce(last_value(CASE WHEN regexp_matches(s, '(?i)PAGE\\s+\\d+') THEN regexp_extract(s, '(?i)PAGE\\s+(\\d+)', 1) END IGNORE NULLS) OVER w, 'Unknown') AS page,
+coalesce(last_value(CASE WHEN regexp_matches(a, '(?i)\\bTABLE\\s+\\d') THEN s END IGNORE NULLS) OVER w, 'Unknown') AS table_title, is_row FROM checked
+WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+)
+def page_carry(spark, sf_dir):
+    return validation.check_lines(document_lines(spark, sf_dir)).select("doc_id", "line_no", "page", F.col("table").alias("table_title"), "is_row")
+
+
+@query(LINES + "," + _ROWS + "SELECT doc_id, line_no, unnest(issues) AS issue FROM checked WHERE is_row")
+def line_issues(spark, sf_dir):
+    return validation.issues(document_lines(spark, sf_dir)).select("doc_id", "line_no", "issue")
+
+
+@query(
+    LINES
+    + ","
+    + _ROWS
+    + """SELECT d.doc_id, CAST(coalesce(r, 0) AS BIGINT) AS table_rows, CAST(coalesce(b, 0) AS BIGINT) AS rows_with_issues, CAST(coalesce(r - b, 0) AS BIGINT) AS rows_without_issues,
+CAST(coalesce(n, 0) AS BIGINT) AS total_issues, round(CASE WHEN coalesce(r, 0) > 0 THEN (r - b) / r * 100 ELSE 100.0 END, 6) AS validation_quality
+FROM documents d LEFT JOIN (SELECT doc_id, count_if(is_row) AS r, count_if(is_row AND len(issues) > 0) AS b, sum(CASE WHEN is_row THEN len(issues) ELSE 0 END) AS n FROM checked GROUP BY doc_id) USING (doc_id)"""
+)
+def validation_metrics(spark, sf_dir):
+    found = validation.metrics(table(spark, sf_dir, "documents"), document_lines(spark, sf_dir))
+    return found.withColumn("validation_quality", F.round("validation_quality", 6))
+
+
+@query()
+def validation_review(spark, sf_dir):
+    return validation.render_issues(validation.check_lines(document_lines(spark, sf_dir)))
+
+
+_WORDS = r"len(list_filter(string_split_regex(s, '\s+'), lambda t: t <> ''))"
+_TITLE = f"(s <> '' AND (regexp_matches(s, '(?i)^Table\\s+[\\dIVX]+') OR len(list_filter({list(lexicon.KNOWN_TITLES)}, lambda k: contains(upper(s), k))) > 0))"
+_HEADER = f"len(list_filter({list(lexicon.HEADER_WORDS)}, lambda k: contains(lower(s), k)))".replace('"jan\'"', "'jan'''")
+_CONTINUES = "len(list_filter([" + ", ".join("'" + k.replace("'", "''") + "'" for k in lexicon.CONTINUATION_WORDS) + "], lambda k: contains(lower(s), k))) > 0"
+
+
+@query(
+    LINES
+    + rf"""SELECT doc_id, CAST(count_if({_TITLE}) AS BIGINT) AS titles, CAST(count_if({_HEADER} >= 2 OR ({_HEADER} = 1 AND {_WORDS} <= 6)) AS BIGINT) AS headers, CAST(count_if({_CONTINUES}) AS BIGINT) AS continuations,
+CAST(count_if(regexp_matches(s, '^\d{{1,2}}\.\s+[A-Za-z]')) AS BIGINT) AS sections,
+CAST(count_if(CASE WHEN s = '' OR {_TITLE} OR regexp_matches(s, '(?i)^Source\s*:') OR regexp_matches(s, '^\d+$') THEN FALSE WHEN {_WORDS} > 35 AND {_N.format("a")} < 2 THEN FALSE WHEN {_N.format("a")} >= 2 THEN TRUE
+ELSE {_N.format("a")} = 1 AND ({_WORDS} <= 20 OR regexp_matches(a, '\b20\d{{2}}(?:[-/]\d{{2,4}})?\b') OR contains(s, '%')) END) AS BIGINT) AS row_like FROM marked GROUP BY doc_id"""
+)
+def structure_line_profile(spark, sf_dir):
+    line = text.strip(F.col("raw"))
+    return document_lines(spark, sf_dir).groupBy("doc_id").agg(
+        F.count_if(structure.is_title(line)).alias("titles"), F.count_if(structure.looks_like_header(line)).alias("headers"), F.count_if(structure.is_continuation(line)).alias("continuations"),
+        F.count_if(structure.is_section(line)).alias("sections"), F.count_if(structure.looks_like_row(line)).alias("row_like"),
+    )
+
+
+@query(
+    LEDGER
+    + """SELECT doc_id, p AS page, 'Table ' || p || '.1 Balances of ' || seg AS title, 'Company Target Actual' AS header, CAST(n_rows AS INTEGER) AS n_rows, md5(body) AS rows_digest, 'Source: ledger' AS source,
+md5('Table ' || p || '.1 Balances of ' || seg || chr(10) || 'Company Target Actual' || chr(10) || body || chr(10) || 'Source: ledger' || chr(10) || 'The production of the year went on as planned.') AS text_digest FROM tabs"""
+)
+def structured_tables(spark, sf_dir):
+    made = structure.pages(ledger_lines(spark, sf_dir))
+    t = F.col("tables")[0]
+    return made.select(
+        "doc_id", "page", t["title"].alias("title"), F.array_join(t["header"], "|").alias("header"), F.size(t["rows"]).alias("n_rows"), F.md5(F.array_join(t["rows"], "\n")).alias("rows_digest"),
+        t["source"].alias("source"), F.md5("text").alias("text_digest"),
+    )
+
+
+@query(LEDGER + "SELECT doc_id, count(*) AS pages, count(*) AS pages_with_text, count(*) AS tables, CAST(sum(n_rows) AS BIGINT) AS rows FROM tabs GROUP BY doc_id")
+def document_info(spark, sf_dir):
+    made = structure.pages(ledger_lines(spark, sf_dir))
+    return structure.document_info(table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("doc_id")).distinct(), made)
+
+
+@query(LEDGER + "SELECT doc_id, 'Table ' || p || '.1 Balances of ' || seg AS title, p AS first_page FROM tabs")
+def title_first_seen(spark, sf_dir):
+    return report.titles(structure.pages(ledger_lines(spark, sf_dir))).select("doc_id", "title", F.col("place.page_ord").cast("int").alias("first_page"))
+
+
+@query(
+    LEDGER
+    + """, hit AS (SELECT doc_id, p, string_agg(r, chr(10) ORDER BY c_custkey) AS body, count(*) AS n FROM c JOIN pages USING (doc_id, seg) WHERE contains(lower(r), '#00000001') GROUP BY ALL)
+SELECT doc_id, p AS page, kind, CASE kind WHEN 0 THEN 'Page Text' ELSE 'Table ' || p || '.1 Balances of ' || seg END AS title, CAST(n AS INTEGER) AS n_rows, md5(body) AS rows_digest, FALSE AS title_match
+FROM hit JOIN pages USING (doc_id, p), (VALUES (0), (1)) AS k(kind)"""
+)
+def search_union(spark, sf_dir):
+    hits = search.search(structure.pages(ledger_lines(spark, sf_dir)), "#00000001")
+    return hits.select("doc_id", "page", "kind", "title", F.size("rows").alias("n_rows"), F.md5(F.array_join("rows", "\n")).alias("rows_digest"), "title_match")
+
+
+@query(LINES + f"SELECT doc_id, CAST(count(*) AS INTEGER) AS n_rows, md5(string_agg(s, chr(10) ORDER BY line_no)) AS rows_digest FROM marked WHERE s <> '' AND contains(lower(s), '{SEARCHED}') GROUP BY doc_id")
+def search_page_text(spark, sf_dir):
+    hits = search.search(document_pages(spark, sf_dir), SEARCHED)
+    return hits.select("doc_id", F.size("rows").alias("n_rows"), F.md5(F.array_join("rows", "\n")).alias("rows_digest"))
+
+
+_FLAT = r"trim(regexp_replace(replace(coalesce(text, ''), '\n', ' '), '\s+', ' ', 'g'))"
+
+
+@query(rf"SELECT doc_id, '0' AS chunk_id, 1 AS page, md5({_FLAT}) AS digest FROM documents WHERE {_FLAT} <> ''")
+def chunk_pages(spark, sf_dir):
+    return retrieval.page_chunks(document_pages(spark, sf_dir)).select("doc_id", "chunk_id", "page", F.md5("text").alias("digest"))
+
+
+@query(
+    rf"SELECT doc_id, CASE WHEN length({_FLAT}) > 1800 THEN '0_' || CAST(0 AS VARCHAR) ELSE '0' END AS chunk_id, CAST(length({_FLAT}) AS INTEGER) AS n_chars FROM documents WHERE {_FLAT} <> ''"
+)
+def chunk_split(spark, sf_dir):
+    return retrieval.split_long(retrieval.page_chunks(document_pages(spark, sf_dir))).select("doc_id", "chunk_id", F.length("text").alias("n_chars"))
+
+
+@query()
+def chunk_fallback(spark, sf_dir):
+    return retrieval.fallback_chunks(table(spark, sf_dir, "documents"))
+
+
+_KEYWORD = f"len(list_intersect(list_distinct(regexp_extract_all('{QUESTION}', '[a-zA-Z0-9]+')), list_distinct(regexp_extract_all(regexp_replace(lower(text), '[^\\x00-\\x7F]', '_', 'g'), '\\b[a-zA-Z0-9]+\\b')))) / len(list_distinct(regexp_extract_all('{QUESTION}', '[a-zA-Z0-9]+')))"
+_BONUS = f"len(list_filter(regexp_extract_all('{QUESTION}', '[a-zA-Z0-9]+(?:-[a-zA-Z0-9]+)*'), lambda t: contains(lower(text), t))) / len(regexp_extract_all('{QUESTION}', '[a-zA-Z0-9]+(?:-[a-zA-Z0-9]+)*'))"
+
+
+@query(f"SELECT doc_id, round({_KEYWORD}, 6) AS keyword, round({_BONUS}, 6) AS bonus FROM documents")
+def keyword_scores(spark, sf_dir):
+    q = F.lit(QUESTION)
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(retrieval.keyword_score(F.col("text"), q), 6).alias("keyword"), F.round(retrieval.token_bonus(F.col("text"), q), 6).alias("bonus"))
+
+
+_VECTOR = [round(((i * 37) % 64 - 31.5) / 64, 6) for i in range(64)]
+
+
+@query(
+    f"""WITH q AS (SELECT {_VECTOR}::DOUBLE[] AS q), e AS (SELECT d.doc_id, text, embedding::DOUBLE[] AS v FROM documents d JOIN embeddings ON vec_id = d.doc_id),
+s AS (SELECT doc_id, list_dot_product(v, q) / sqrt(list_dot_product(v, v)) / sqrt(list_dot_product(q, q)) AS semantic, {_KEYWORD} AS keyword, {_BONUS} AS bonus FROM e, q)
+SELECT doc_id, round(0.60 * semantic + 0.25 * keyword + 0.15 * bonus, 6) AS score, round(semantic, 6) AS semantic FROM s ORDER BY 0.60 * semantic + 0.25 * keyword + 0.15 * bonus DESC, doc_id LIMIT 5"""
+)
+def hybrid_topk(spark, sf_dir):
+    chunks = retrieval.page_chunks(document_pages(spark, sf_dir))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    best = retrieval.rank(chunks.join(vectors, "doc_id"), QUESTION, _VECTOR)
+    return best.select("doc_id", F.round("score", 6).alias("score"), F.round("semantic", 6).alias("semantic"))
+
+
+@query("SELECT 'Page ' || turn || CASE WHEN trim(role) <> '' THEN ' — ' || trim(role) ELSE '' END AS source, count(*) AS n FROM conversations GROUP BY 1")
+def source_labels(spark, sf_dir):
+    label = retrieval.source_label(F.col("turn"), F.col("role"))
+    return table(spark, sf_dir, "conversations").groupBy(label.alias("source")).agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""SELECT w AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-zA-Z]+')) AS w FROM documents) WHERE length(w) >= 3 AND w NOT IN {lexicon.CLOUD_STOP_WORDS}
+GROUP BY w ORDER BY n DESC, w LIMIT 100"""
+)
+def word_frequency_top100(spark, sf_dir):
+    return topics.word_frequencies(table(spark, sf_dir, "documents"))
+
+
+_CLEAN = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '---\s*page\s*\d+\s*---', ' ', 'g'), 'https?://\S+|www\.\S+', ' ', 'g'), '\S+@\S+', ' ', 'g'), '\b\d+(?:\.\d+)?\b', ' ', 'g'), '[^a-zA-Z\s]', ' ', 'g'), '\s+', ' ', 'g'))"""
+_TFIDF = rf"""
+WITH c AS (SELECT doc_id, {_CLEAN} AS t FROM documents), u AS (SELECT * FROM c WHERE t <> ''),
+w AS (SELECT doc_id, list_filter(string_split(t, ' '), lambda x: length(x) >= 2 AND x NOT IN {lexicon.TOPIC_STOP_WORDS}) AS w FROM u),
+g AS (SELECT doc_id, unnest(list_concat(w, list_concat(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1]) ELSE [] END, CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2]) ELSE [] END))) AS term FROM w),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY ALL),
+n AS (SELECT count(*) AS n FROM u),
+v AS (SELECT term, ln((1.0 + n) / (1.0 + count(*))) + 1 AS idf FROM tf, n GROUP BY term, n HAVING count(*) >= 2 ORDER BY sum(tf) DESC, term LIMIT 1000),
+x AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS w FROM tf JOIN v USING (term)),
+y AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM x GROUP BY doc_id),
+score AS (SELECT term, sum(w / norm) / (SELECT n FROM n) AS score FROM x JOIN y USING (doc_id) GROUP BY term)
+"""
+
+
+@query(_TFIDF + "SELECT term, round(score, 6) AS score FROM score")
+def topic_tfidf(spark, sf_dir):
+    parts = topics.corpus(document_pages(spark, sf_dir))
+    return topics.weights(parts).select("term", F.round("score", 6).alias("score"))
+
+
+@query(
+    _TFIDF
+    + f""", good AS (SELECT term, round(score, 12) AS score, string_split(term, ' ') AS words FROM score), m AS (SELECT *, list_filter(words, lambda w: w NOT IN {lexicon.TOPIC_STOP_WORDS}) AS f FROM good),
+k AS (SELECT term, score, words FROM m WHERE len(list_filter(words, lambda w: length(w) < 3)) = 0 AND len(f) > 0 AND (len(words) < 2 OR len(f) >= 2) AND len(list_distinct(words)) = len(words) AND term NOT IN {lexicon.GENERIC_TOPICS}),
+b AS (SELECT * FROM k WHERE score >= 0.2 * (SELECT max(score) FROM k))
+SELECT term, round(score, 6) AS score FROM b WHERE NOT EXISTS (SELECT 1 FROM b o WHERE (o.score > b.score OR (o.score = b.score AND o.term < b.term)) AND len(list_filter(b.words, lambda w: NOT list_contains(o.words, w))) = 0)"""
+)
+def topic_final(spark, sf_dir):
+    parts = topics.corpus(document_pages(spark, sf_dir))
+    return topics.topics(parts).select("term", F.round("score", 6).alias("score"))
+
+
+_SENTENCES = r"""WITH f AS (SELECT doc_id, string_split(regexp_replace(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS p FROM documents),
+s AS (SELECT doc_id, unnest(p) AS sentence, generate_subscripts(p, 1) AS pos FROM f)"""
+
+
+@query(
+    _SENTENCES
+    + r""", g AS (SELECT doc_id, sentence, min(pos) AS pos FROM s WHERE length(sentence) >= 40 AND NOT regexp_matches(sentence, '(?i)^PAGE\s+\d+') GROUP BY ALL)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS INTEGER) AS place, sentence FROM g QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos) <= 5"""
+)
+def summary_sentences(spark, sf_dir):
+    found = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(report.summary_sentences(F.col("text"))).alias("pos", "sentence"))
+    return found.select("doc_id", (F.col("pos") + 1).alias("place"), "sentence")
+
+
+@query(
+    _SENTENCES
+    + f""", g AS (SELECT doc_id, sentence, min(pos) AS pos FROM s WHERE length(sentence) >= 30 AND len(list_filter({list(lexicon.KEY_INFORMATION_WORDS)}, lambda k: contains(lower(sentence), k))) > 0 GROUP BY ALL)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS INTEGER) AS place, sentence FROM g QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos) <= 10"""
+)
+def key_sentences(spark, sf_dir):
+    found = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(report.key_sentences(F.col("text"))).alias("pos", "sentence"))
+    return found.select("doc_id", (F.col("pos") + 1).alias("place"), "sentence")
+
+
+@query()
+def report_texts(spark, sf_dir):
+    lines = ledger_lines(spark, sf_dir)
+    docs = lines.select("doc_id").distinct()
+    made = structure.pages(lines)
+    names = docs.select("doc_id", F.concat(F.lit("structured_cleaned_"), F.col("doc_id").cast("string")).alias("name"))
+    return report.report_lines(structure.document_info(docs, made), report.document_text(made), report.titles(made), validation.metrics(docs, lines), names, "01-01-2025 00:00:00").select("doc_id", F.array_join("lines", "\n").alias("text"))
+
+
+@query(
+    "SELECT page_id, CASE WHEN contains(url, '.') THEN lower(list_last(string_split(url, '.'))) END AS extension, coalesce(lower(list_last(string_split(url, '.'))) IN ('pdf','docx','xlsx','xls','csv','png','jpg','jpeg') AND contains(url, '.'), FALSE) AS allowed FROM pages"
+)
+def file_extension_filter(spark, sf_dir):
+    url = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", sources.file_extension(url).alias("extension"), sources.is_allowed(url).alias("allowed"))
+
+
+@query(
+    "SELECT p_partkey, 'cleaned_' || n || '.txt' AS cleaned, 'validated_cleaned_' || n || '.txt' AS validated, 'structured_cleaned_' || n || '.json' AS structured FROM (SELECT p_partkey, replace(p_name, ' ', '-') AS n FROM part)"
+)
+def filename_chain(spark, sf_dir):
+    names = sources.stage_names(F.concat(F.replace(F.col("p_name"), F.lit(" "), F.lit("-")), F.lit(".pdf")))
+    return table(spark, sf_dir, "part").select("p_partkey", names.alias("n")).select("p_partkey", "n.cleaned", "n.validated", "n.structured")
+
+
+@query("SELECT vec_id, round(list_avg(embedding::DOUBLE[]), 6) AS brightness, round(list_stddev_pop(embedding::DOUBLE[]), 6) AS contrast FROM embeddings")
+def image_stats(spark, sf_dir):
+    q = imaging.image_quality(F.col("embedding"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", q.alias("q")).select("vec_id", F.round("q.brightness", 6).alias("brightness"), F.round("q.contrast", 6).alias("contrast"))
+
+
+@query("SELECT user_id, round(coalesce(avg(value) FILTER (WHERE value >= 0), 0.0), 6) AS confidence FROM events GROUP BY user_id")
+def ocr_confidence(spark, sf_dir):
+    words = table(spark, sf_dir, "events").select("user_id", F.col("value").cast("string").alias("confidence"))
+    return imaging.page_confidence(words, ["user_id"]).select("user_id", F.round("confidence", 6).alias("confidence"))
+
+
+@query(
+    """WITH h AS (SELECT label, CAST(floor((x + 1) * 127) AS INTEGER) AS gray, count(*) AS n FROM (SELECT label, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY ALL),
+s AS (SELECT *, sum(n) OVER w AS n0, sum(n * gray) OVER w AS s0, sum(n) OVER (PARTITION BY label) AS t, sum(n * gray) OVER (PARTITION BY label) AS s FROM h WINDOW w AS (PARTITION BY label ORDER BY gray)),
+j AS (SELECT *, coalesce(n0 * (t - n0) * pow(s0 / n0 - (s - s0) / nullif(t - n0, 0), 2), 0) AS spread FROM s)
+SELECT label, gray AS threshold, round((t - n0) / t, 6) AS white_ratio FROM j QUALIFY row_number() OVER (PARTITION BY label ORDER BY spread DESC, gray) = 1"""
+)
+def otsu_thresholds(spark, sf_dir):
+    pixels = table(spark, sf_dir, "embeddings").select("label", F.explode("embedding").alias("x")).select("label", F.floor((F.col("x").cast("double") + 1) * 127).cast("int").alias("gray"))
+    return imaging.otsu_threshold(pixels, ["label"]).select("label", "threshold", F.round("white_ratio", 6).alias("white_ratio"))
