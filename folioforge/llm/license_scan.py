@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import filled, join_on, let, lower_ascii, text_key, words_of
+from folioforge.llm.common import filled, join_on, let, lower_ascii, materialise, text_key, words_of
 
 #: All but digits, a-z and what lies beyond ASCII separates words.
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -73,6 +73,7 @@ def scan(docs: DataFrame, rules: ScanRules = ScanRules(), id_col: str = "doc_id"
     hits = rolled.join(grams, ["k", "gram"])
     diagonal = (F.col("pos") - F.col("tpos")).alias("diagonal")
     votes = hits.groupBy("doc_id", "tk", "template", "label", "length", "k", diagonal).agg(F.collect_set("tpos").alias("tposes"))
+    votes = materialise(votes, "votes")  # read twice below, and far fewer rows than words
     exact = votes.where((F.col("template") < n_phrases) & (F.size("tposes") == F.col("length") - F.col("k") + 1))
     exact = exact.select("doc_id", "tk", "template", "label", F.lit(True).alias("phrase"), F.col("diagonal").alias("first"), (F.col("diagonal") + F.col("length") - 1).alias("last"), F.lit(1.0).alias("share"))
     long = votes.where(F.col("template") >= n_phrases).groupBy("doc_id", "tk", "template", "label", "length", "k")
