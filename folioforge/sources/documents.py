@@ -101,9 +101,12 @@ def frame_pages(pages: DataFrame, key: str = "path") -> DataFrame:
     return pages.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_number", framed.alias("f")))), lambda s: s["f"]), "\n").alias("text"))
 
 
-def read_structured(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, document, pages) of structured JSON files; unreadable ones have nulls and keep their text in _corrupt_record."""
-    raw = spark.read.schema(f"{STRUCTURED_SCHEMA}, _corrupt_record string").option("multiLine", "true").json(path)
+def read_structured(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
+    """(doc_id, document, pages) of structured JSON, a document in each file or, as ``write_structured`` writes, in each line.
+
+    doc_id is the file's name. Unreadable ones have nulls and keep their text in _corrupt_record.
+    """
+    raw = spark.read.schema(f"{STRUCTURED_SCHEMA}, _corrupt_record string").option("multiLine", whole_files).json(path)
     return raw.select(F.url_decode(file_name(F.input_file_name())).alias("doc_id"), "*")
 
 
