@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import SPACE, filled, join_on, let, text_key, words_of
+from folioforge.llm.common import SPACE, filled, join_on, let, materialise, text_key, words_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -86,46 +86,52 @@ def line_hashes(text: Column) -> Column:
     return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(F.split(x, " ")).cast("long").alias("words")))
 
 
-def frequent_lines(docs: DataFrame, limits: LineLimits, host_col: str = "source") -> DataFrame:
+def numbered_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """(doc_id, tk, host, lines): the hashes and words of each row's lines, written once as they are read twice."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("tk"), F.col(host_col).alias("host"), line_hashes(F.col(text_col)).alias("lines"))
+    return materialise(rows, "line-hashes")
+
+
+def frequent_lines(numbered: DataFrame, limits: LineLimits) -> DataFrame:
     """(host, h, n_docs) of the lines over the limits. Counts are partly aggregated before the shuffle."""
-    per_host = docs.groupBy(F.col(host_col).alias("host")).agg(F.count("*").alias("host_docs"))
-    distinct = docs.select(F.col(host_col).alias("host"), F.explode(F.array_distinct(F.transform(line_hashes(F.col("text")), lambda x: x["h"]))).alias("h"))
+    per_host = numbered.groupBy("host").agg(F.count("*").alias("host_docs"))
+    distinct = numbered.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
     counted = distinct.groupBy("host", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > limits.least_docs)
     return join_on(counted, per_host, ["host"]).where(F.col("n_docs") > limits.doc_share * F.col("host_docs")).drop("host_docs")
 
 
-def apply_rules(docs: DataFrame, limits: LineLimits = LineLimits(), id_col: str = "doc_id", host_col: str = "source") -> DataFrame:
-    """``docs`` with the counts, base_failed, kept, line_words, removed_words and clean_text.
+def removed_lines(numbered: DataFrame, bad: DataFrame) -> DataFrame:
+    """(doc_id, tk, host, removed, total, bad_lines) of the documents that have frequent lines: words in these, in all lines, and their hashes."""
+    total = F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["words"])
+    lines = numbered.select("doc_id", "tk", "host", total.alias("total"), F.posexplode("lines").alias("pos", "x")).select("doc_id", "tk", "host", "total", "pos", "x.h", "x.words")
+    hit = join_on(lines, bad.select("host", "h"), ["host", "h"])
+    once = hit.groupBy("doc_id", "tk", "host", "pos", "h").agg(F.max("words").alias("words"), F.max("total").alias("total"))  # rows equal in id and text fall together
+    return once.groupBy("doc_id", "tk", "host").agg(F.sum("words").alias("removed"), F.max("total").alias("total"), F.collect_set("h").alias("bad_lines"))
+
+
+def apply_rules(docs: DataFrame, limits: LineLimits = LineLimits(), id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """``docs`` with the counts, base_failed, kept, removed_words and clean_text.
 
     For each host the documents of every normalised line are counted (rows that repeat an id
     count each). Lines over the limits are removed from clean_text; a document left with too
     few of its words is rejected. Null or empty texts have counts of zero and fail the base
-    rules; a null host is a host of its own. Columns of ``docs`` other than id, text and host
-    are passed through; a clash with a new column's name is settled for the new column.
+    rules; a null host is a host of its own. Other columns of ``docs`` are passed through; a
+    clash with a new column's name is settled for the new column.
     """
-    source = docs.select(F.col(id_col).alias("doc_id"), "text", F.col(host_col).alias("source"))
-    bad = frequent_lines(source, limits, "source").select("host", "h", F.lit(True).alias("bad"))
-    lines = source.select("doc_id", text_key(F.col("text")).alias("tk"), F.col("source").alias("host"), F.explode(line_hashes(F.col("text"))).alias("x"))
-    lines = lines.select("doc_id", "tk", "host", "x.h", "x.words")
-    hit = join_on(lines, bad, ["host", "h"])
-    removed = hit.groupBy("doc_id", "tk", "host").agg(F.sum("words").alias("removed"), F.collect_set("h").alias("bad_lines"))
-    copies = source.groupBy("doc_id", text_key(F.col("text")).alias("tk"), F.col("source").alias("host")).agg(F.count("*").alias("n_copies"))
-    removed = join_on(removed, copies, ["doc_id", "tk", "host"]).withColumn("removed", (F.col("removed") / F.col("n_copies")).cast("long"))
-    new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "line_words", "removed_words", "clean_text"]
-    counted = docs.select(
-        *[F.col(c) for c in docs.columns if c not in new], F.col(id_col).alias("__doc"), text_key(F.col("text")).alias("__tk"), F.col(host_col).alias("__host"),
-        text_counts(F.col("text")).alias("__n"), F.aggregate(line_hashes(F.col("text")), F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("__line_words"),
-    )
-    r = removed.select(F.col("doc_id").alias("__rd"), F.col("tk").alias("__rt"), F.col("host").alias("__rh"), F.col("removed").alias("__gone"), F.col("bad_lines").alias("__bad"))
+    numbered = numbered_lines(docs, id_col, text_col, host_col)
+    gone = removed_lines(numbered, frequent_lines(numbered, limits))
+    new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words", "clean_text"]
+    text = F.col(text_col)
+    counted = docs.withColumns({"__doc": F.col(id_col), "__tk": text_key(text), "__host": F.col(host_col), "__n": text_counts(text)})
+    r = gone.select(F.col("doc_id").alias("__rd"), F.col("tk").alias("__rt"), F.col("host").alias("__rh"), F.col("removed").alias("__gone"), F.col("total").alias("__total"), F.col("bad_lines").alias("__bad"))
     joined = counted.join(r, F.col("__doc").eqNullSafe(F.col("__rd")) & (F.col("__tk") == F.col("__rt")) & F.col("__host").eqNullSafe(F.col("__rh")), "left")
     failed = base_failed(F.col("__n.w.n_words"), F.col("__n.w.n_repeat_words"))
-    gone = F.coalesce(F.col("__gone"), F.lit(0).cast("long"))
-    depleted = (F.col("__line_words") - gone) < limits.least_left * F.col("__line_words")
-    clean = F.array_join(F.filter(F.split(filled(F.col("text")), "\n"), lambda x: ~F.array_contains(F.col("__bad"), F.xxhash64(normalised(x)))), "\n")
+    depleted = F.coalesce((F.col("__total") - F.col("__gone")) < limits.least_left * F.col("__total"), F.lit(False))
+    clean = F.array_join(F.filter(F.split(filled(text), "\n"), lambda x: ~F.array_contains(F.col("__bad"), F.xxhash64(normalised(x)))), "\n")
     return joined.select(
         *[F.col(c) for c in docs.columns if c not in new],
         F.col("__n.w.n_words").alias("n_words"), F.col("__n.word_chars").alias("word_chars"), F.col("__n.n_symbols").alias("n_symbols"),
         F.col("__n.n_dup_lines").alias("n_dup_lines"), F.col("__n.w.n_repeat_words").alias("n_repeat_words"),
-        failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), F.col("__line_words").alias("line_words"), gone.alias("removed_words"),
-        F.when(F.col("__bad").isNull(), F.col("text")).otherwise(clean).alias("clean_text"),
+        failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), F.coalesce("__gone", F.lit(0).cast("long")).alias("removed_words"),
+        F.when(F.col("__bad").isNull(), text).otherwise(clean).alias("clean_text"),
     )
