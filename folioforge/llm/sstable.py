@@ -270,14 +270,14 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = No
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for at, some in _slices(texts):
                 for doc, data in zip(ids[at : at + len(some)], coder.encode(some), strict=True):
-                    if writer is not None and writer.at >= shard_bytes:
+                    if writer is not None and writer.at + len(writer.block) >= shard_bytes:
                         close()
                         writer, part = None, part + 1
                     if writer is None:
                         name = f"{task.partitionId():06d}-{part:05d}-{task.taskAttemptId()}.sst"
                         writer, first = ShardWriter(store.open_output_stream(f"{root}/{name}"), coder.id_bytes), doc
                     writer.add(key_of(doc), np.concatenate([np.frombuffer(data, kind), end]))
-                    last = doc
+                    first, last = doc if first is None else first, doc  # the range of lookups leaves null ids out
         if writer is not None:
             close()
         columns = list(zip(*done, strict=True)) if done else [()] * 7
