@@ -100,6 +100,7 @@ def repeated_runs(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
     interval = ["size", "a", "b"]
     place = F.struct(F.col("doc_id").alias("d"), F.col("tk").alias("t"), F.col("start").alias("s"))
     first = named.groupBy(*interval).agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = materialise(first, "first-windows")  # joined from a table, a hot interval's windows can be split among tasks
     later = named.join(first, interval).where(place != F.col("first"))
     covered = later.groupBy(*DOC, "start").agg(F.max(F.col("start") + F.col("size") - 1).alias("end"))
     by_start = Window.partitionBy(*DOC).orderBy("start")

@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.llm import bpe, langid, license_scan, line_dedup, line_quality, mixing, pii, simhash, sstable, vectors
+from folioforge.llm.oracles import ORACLES  # noqa: F401  read by the entry module
 
 QUERIES: dict = {}
-ORACLES: dict = {}
 
 
 def query(f):
