@@ -43,12 +43,12 @@ def to_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def has_any(c: Column, phrases: Iterable[str]) -> Column:
     """Whether any phrase is a substring."""
-    return F.exists(F.array(*map(F.lit, phrases)), lambda p: F.contains(c, p))
+    return let(c, lambda v: F.exists(F.array(*map(F.lit, phrases)), lambda p: F.contains(v, p)))
 
 
 def count_of(c: Column, phrases: Iterable[str]) -> Column:
     """How many of the phrases are substrings."""
-    return F.size(F.filter(F.array(*map(F.lit, phrases)), lambda p: F.contains(c, p)))
+    return let(c, lambda v: F.size(F.filter(F.array(*map(F.lit, phrases)), lambda p: F.contains(v, p))))
 
 
 def joined_lines(order: Column, line: Column, separator: str = "\n") -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions import lexicon
-from folioforge.functions.text import count_of, has_any, joined_lines, strip, tokens
+from folioforge.functions.text import count_of, has_any, joined_lines, let, strip, tokens
 
 #: The alternatives of a number in their order.
 NUMBER = r"\d{1,3}(?:,\d{2,3})+(?:\.\d+)?|\d+(?:\.\d+)?|\d+(?:\.\d+)?%|-\d+(?:\.\d+)?"
@@ -57,18 +57,21 @@ def word_count(line: Column) -> Column:
 
 def looks_like_row(line: Column) -> Column:
     """The extractor's rule; one number can do."""
-    n, words = count_numbers(line), word_count(line)
-    return (
-        F.when((line == "") | is_title(line) | is_source(line) | is_number_only(line), False)
-        .when((words > 35) & (n < 2), False)
-        .when(n >= 2, True)
-        .otherwise((n == 1) & ((words <= 20) | has_year(line) | F.contains(line, F.lit("%"))))
-    )
+
+    def told(x: Column) -> Column:
+        n, words = x["n"], x["words"]
+        return (
+            F.when((x["line"] == "") | is_title(x["line"]) | is_source(x["line"]) | is_number_only(x["line"]), False)
+            .when((words > 35) & (n < 2), False)
+            .when(n >= 2, True)
+            .otherwise((n == 1) & ((words <= 20) | has_year(x["line"]) | F.contains(x["line"], F.lit("%"))))
+        )
+
+    return let(F.struct(line.alias("line"), count_numbers(line).alias("n"), word_count(line).alias("words")), told)
 
 
 def looks_like_header(line: Column) -> Column:
-    hits = count_of(F.lower(line), lexicon.HEADER_WORDS)
-    return (hits >= 2) | ((hits == 1) & (word_count(line) <= 6))
+    return let(count_of(F.lower(line), lexicon.HEADER_WORDS), lambda hits: (hits >= 2) | ((hits == 1) & (word_count(line) <= 6)))
 
 
 def is_continuation(line: Column) -> Column:
