@@ -37,7 +37,7 @@ def page_chunks(structured: DataFrame) -> DataFrame:
     return out.where(F.col("text") != "")
 
 
-def _fold(parts: Column, flush_before: Column | None, flush_after: int | None, limit: int) -> Column:
+def _fold(parts: Column, flush_after: int | None, limit: int) -> Column:
     """Paragraphs gathered into groups; ARRAY<STRING>, paragraphs of a group joined by line ends.
 
     With ``flush_after`` a group is closed once its blank-joined length exceeds it; otherwise
@@ -63,16 +63,21 @@ def _paragraphs(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"\n+"), clean_text), lambda p: p != "")
 
 
+def gather_paragraphs(text: Column) -> Column:
+    """ARRAY<STRING>: paragraphs until over FALLBACK_CHUNK characters."""
+    return _fold(_paragraphs(F.coalesce(text, F.lit(""))), FALLBACK_CHUNK, 0)
+
+
 def fallback_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Chunks of plain texts: paragraphs until over FALLBACK_CHUNK characters."""
-    groups = _fold(_paragraphs(F.coalesce(F.col(text_col), F.lit(""))), None, FALLBACK_CHUNK, 0)
+    groups = gather_paragraphs(F.col(text_col))
     out = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(groups).alias("ord", "text"))
     return out.select("doc_id", "ord", F.col("ord").cast("string").alias("chunk_id"), F.lit(None).cast("int").alias("page"), F.lit("").alias("title"), "text")
 
 
 def split_long(chunks: DataFrame) -> DataFrame:
     """Chunks over LONGEST_CHUNK characters cut between paragraphs; a part's id is ``id_n``, n its place among all chunks of the document."""
-    parts = F.when(F.length("text") <= LONGEST_CHUNK, F.array(F.col("text"))).otherwise(_fold(_paragraphs(F.col("text")), None, None, LONGEST_CHUNK))
+    parts = F.when(F.length("text") <= LONGEST_CHUNK, F.array(F.col("text"))).otherwise(_fold(_paragraphs(F.col("text")), None, LONGEST_CHUNK))
     long = F.length("text") > LONGEST_CHUNK
     out = chunks.select("doc_id", F.col("ord").alias("from"), "chunk_id", "page", "title", long.alias("long"), F.posexplode(parts).alias("part", "text"))
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("from", "part")) - 1

@@ -70,7 +70,7 @@ def scan_files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> Data
 
 def scan_text(spark: SparkSession, folder: str, pattern: str = "*.txt", skip: tuple[str, ...] = ("cleaned_", "cleaning_review", "validated_", "ocr_validation")) -> DataFrame:
     """(doc_id, text): whole text files by name, without those whose name starts as later stages' do."""
-    found = spark.read.option("wholetext", "true").option("pathGlobFilter", pattern).text(folder).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    found = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
     name = F.url_decode(file_name(F.col("path")))
     taken = found.withColumn("doc_id", name)
     return taken.where(~F.col("doc_id").rlike("^(?:" + "|".join(map(re.escape, skip)) + ")") if skip else F.lit(True)).select("doc_id", "text")
@@ -125,6 +125,11 @@ def write_reports(reports: DataFrame, folder: str) -> None:
     reports.select("doc_id", F.array_join("lines", "\n").alias("value")).write.mode("overwrite").partitionBy("doc_id").text(folder)
 
 
+def read_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, text) of the reports that ``write_reports`` wrote; a document without one has no row."""
+    return spark.read.text(folder, wholetext=True).select("doc_id", F.col("value").alias("text"))
+
+
 def parse_validation_report(text: Column) -> Column:
     """STRUCT of the figures in a written validation report; null where one is missing."""
     return F.struct(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")).try_cast("double" if c == "validation_quality" else "long").alias(c) for c, p in REPORT_FIGURES.items()])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import lexicon
 from folioforge.functions.text import to_lines
-from folioforge.operators import cleaning, imaging, report, retrieval, search, structure, topics, validation
+from folioforge.operators import cleaning, imaging, json_text, report, retrieval, search, structure, topics, validation
 from folioforge.plans import app
 from folioforge.sources import documents as sources
 
@@ -236,6 +236,9 @@ def test_sources(spark, tmp_path):
     assert sorted((r.page_number, r.text, r.error) for r in pages.collect()) == [(0, "[OCR ERROR: empty]", "empty"), (1, "one", None), (2, "two", None)]
     done = app.process_files(spark, str(tmp_path / "in"), reader)
     assert {r.doc_id: r.pages for r in app.dashboard(done).collect()} == {"good.pdf": 2, "bad.pdf": 1}
+    (tmp_path / "in" / "b c.txt").write_text("two\nlines")
+    (tmp_path / "in" / "cleaned_b.txt").write_text("x")
+    assert sorted(map(tuple, sources.scan_text(spark, str(tmp_path / "in")).collect())) == [("b c.txt", "two\nlines"), ("skip.txt", "x")]
     figures = one(spark, sources.parse_validation_report, "Table-like rows inspected : 4\nRows requiring review : 1\nPossible OCR issues : 2\nValidation Quality : 75.00%")[0]
     assert (figures.table_rows, figures.rows_with_issues, figures.rows_without_issues, figures.total_issues, figures.validation_quality) == (4, 1, None, 2, 75.0)
     names = spark.createDataFrame([(1, "structured_cleaned_A.json"), (2, "structured_cleaned_zz.json")], "doc_id int, name string")
@@ -260,3 +263,22 @@ def test_streaming(spark, tmp_path):
     (tmp_path / "in" / "a.txt").write_text("A1 1 2 3")
     ingest.stream_metrics(ingest.stream_texts(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert [(r.doc_id, r.table_rows) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("a.txt", 1)]
+
+
+def test_json_chunks(spark):
+    rows = [
+        (1, '{"pages": [{"page": 3, "title": "T", "text": "a\\n b", "rows": [{"x": 1, "y": null}, ["p", "q"], "a b"]}, {"page_number": 4}, "loose"]}'),
+        (2, '{"meta": {"heading": "H", "deep": [{"rows": [[1, 2]]}]}}'),
+        (3, "not json"), (4, None), (5, "[]"), (6, '[{"section": "S", "content": "c"}]'),
+    ]
+    found = json_text.json_chunks(spark.createDataFrame(rows, "doc_id long, json string")).orderBy("doc_id", "ord").collect()
+    assert [tuple(r) for r in found] == [
+        (1, 0, "0", "3", "T", "a b\n1\np | q"), (1, 2, "2", None, "", "loose"), (2, 0, "0", None, "", "H\n1 | 2"), (6, 0, "0", None, "S", "c"),
+    ]
+
+
+def test_reports_are_written_and_replaced(spark, tmp_path):
+    reports = spark.createDataFrame([(1, ["a", "b"]), (2, ["c"])], "doc_id int, lines array<string>")
+    for _ in range(2):
+        sources.write_reports(reports, str(tmp_path / "r"))
+    assert sorted((r.doc_id, r.text.rstrip("\n")) for r in sources.read_reports(spark, str(tmp_path / "r")).collect()) == [(1, "a\nb"), (2, "c")]
