@@ -15,12 +15,16 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from folioforge.llm.common import text_slices
+
 #: Words remembered in each of two generations; about 150 bytes each.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 #: Longer pieces are not remembered.
 LONGEST = 64
 #: Characters encoded before a batch of rows is handed on.
-BATCH_CHARS = 4 << 20
+BATCH_CHARS = 2 << 20
+#: Pairs whose compatibility is remembered.
+PAIRS = 1 << 17
 
 
 def byte_letters() -> list[str]:
@@ -104,7 +108,7 @@ class MergeTable:
     def pair(self, left: str, right: str) -> bool:
         known = self.compatible.get((left, right))
         if known is None:
-            if len(self.compatible) >= 1 << 19:
+            if len(self.compatible) >= PAIRS:
                 self.compatible.clear()
             known = self.compatible[left, right] = self.fits(left, right)
         return known
@@ -139,7 +143,7 @@ class MergeTable:
 
 
 class WordTokenizer:
-    """Encodes texts with a vocabulary file of lower-cased words; decodes by offsets.
+    """Encodes texts with a vocabulary file of lower-cased words.
 
     Reads the file's settings and refuses those it does not know, so that a file of another
     kind is an error and not another result.
@@ -158,10 +162,6 @@ class WordTokenizer:
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.merges = MergeTable(model["vocab"], model["merges"], model["end_of_word_suffix"])
         self.letters = byte_letters()
-        names = dict(sorted([*((i, t) for t, i in model["vocab"].items()), *((i, t) for t, i in self.special.items())]))
-        raw = [(names.get(i, "") + " ").encode() for i in range(max(names) + 1)]
-        self.table = np.frombuffer(b"".join(raw), np.uint8)
-        self.offsets = np.cumsum([0, *map(len, raw)])
         self.young: dict[str, array] = {}
         self.old: dict[str, array] = {}
 
@@ -205,6 +205,20 @@ class WordTokenizer:
         self.encode_into(text, out := array("i"))
         return out.tolist()
 
+
+class OffsetTable:
+    """Decodes ids: the bytes of all tokens in one table, each id's by its offsets. Holds no merges, so it is small."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        if made["decoder"]:
+            raise ValueError(f"{path} joins tokens in another way than by blanks")
+        names = {i: t for t, i in made["model"]["vocab"].items()} | {t["id"]: t["content"] for t in made["added_tokens"]}
+        raw = [(names.get(i, "") + " ").encode() for i in range(max(names) + 1)]
+        self.table = np.frombuffer(b"".join(raw), np.uint8)
+        self.offsets = np.cumsum([0, *map(len, raw)])
+
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the tokens joined by blanks, gathered from one table by offsets."""
         ids = np.asarray(ids, np.int64)
@@ -236,6 +250,11 @@ def tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
+@cache
+def offset_table(path: str) -> OffsetTable:
+    return OffsetTable(path)
+
+
 def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """``docs`` with ids (ARRAY<INT>), the tokens of the whole text; null and empty texts have none.
 
@@ -248,7 +267,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokenizer(path)
         for batch in batches:
-            for at, some in _slices(batch.column(where)):
+            for at, some in text_slices(batch.column(where), BATCH_CHARS):
                 flat, offsets = array("i"), [0]
                 for text in some:
                     coder.encode_into(text, flat)
@@ -266,7 +285,7 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     where = kept.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = tokenizer(path)
+        coder = offset_table(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -280,16 +299,3 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
 
 def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema)
-
-
-def _slices(column: pa.Array) -> Iterator[tuple[int, list]]:
-    """(start, texts) of rows that hold BATCH_CHARS characters at most, or one row."""
-    at, held, size = 0, [], 0
-    for text in column.to_pylist():
-        if held and size + len(text or "") > BATCH_CHARS:
-            yield at, held
-            at, held, size = at + len(held), [], 0
-        held.append(text)
-        size += len(text or "")
-    if held:
-        yield at, held

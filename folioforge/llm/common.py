@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,6 +102,20 @@ def pair_cells(members: DataFrame, key: list[str], member: str, largest: int) ->
     )
 
 
+def text_slices(column: pa.Array, chars: int, rows: int = 512) -> Iterator[tuple[int, list]]:
+    """(start, texts) of stretches of a text column with so many rows and characters at most; a longer text comes alone."""
+    at, held, size = 0, [], 0
+    for scalar in column:
+        text = scalar.as_py()
+        if held and (len(held) >= rows or size + len(text or "") > chars):
+            yield at, held
+            at, held, size = at + len(held), [], 0
+        held.append(text)
+        size += len(text or "")
+    if held:
+        yield at, held
+
+
 def connected_components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """(node, component) of every node of ``edges(u, v)`` of longs; component is the smallest node reachable.
 

@@ -11,11 +11,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import text_key
+from folioforge.llm.common import text_key, text_slices
 
 #: Letters kept apart; the others share the codes above by their code point.
 CODES = 96
 UNKNOWN = "und"
+#: Characters bundled at a time.
+BATCH_CHARS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -86,20 +88,6 @@ def document_vectors(texts: list, profile: Profile) -> np.ndarray:
     return out
 
 
-def _batches(column: pa.Array, most: int = 128, chars: int = 1 << 20) -> Iterator[tuple[int, list]]:
-    """Slices of a text column of so many rows and characters at most, a longer text alone."""
-    at, held, size = 0, [], 0
-    for text in column:
-        text = text.as_py()
-        if held and (len(held) >= most or size + len(text or "") > chars):
-            yield at, held
-            at, held, size = at + len(held), [], 0
-        held.append(text)
-        size += len(text or "")
-    if held:
-        yield at, held
-
-
 def held_out(doc_id: Column) -> Column:
     """Whether crc32 of the id as text leaves 1 when divided by 3; false for a null id, which is never learned from either."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -123,7 +111,7 @@ def train(docs: DataFrame, profile: Profile = Profile(), lang_col: str = "lang",
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            for at, texts in _batches(batch.column(1)):
+            for at, texts in text_slices(batch.column(1), BATCH_CHARS, 128):
                 vectors = document_vectors(texts, profile)
                 norms = np.linalg.norm(vectors, axis=1, keepdims=True)
                 for lang, v in zip(batch.column(0).slice(at, len(texts)).to_pylist(), vectors / np.maximum(norms, 1e-9), strict=True):
@@ -157,7 +145,7 @@ def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, profi
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, scores = [], []
-            for _, texts in _batches(batch.column(where)):
+            for _, texts in text_slices(batch.column(where), BATCH_CHARS, 128):
                 vectors = document_vectors(texts, profile)
                 norms = np.linalg.norm(vectors, axis=1)
                 if not languages:

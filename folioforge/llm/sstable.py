@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import materialise, new_path
+from folioforge.llm.common import materialise, new_path, text_slices
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -268,7 +268,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = No
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at, some in _slices(texts):
+            for at, some in text_slices(texts, BATCH_CHARS):
                 for doc, data in zip(ids[at : at + len(some)], coder.encode(some), strict=True):
                     if writer is not None and writer.at + len(writer.block) >= shard_bytes:
                         close()
@@ -341,15 +341,3 @@ def lookup(shards: Shards, wanted: DataFrame, id_col: str = "doc_id") -> DataFra
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [()] * 4
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-
-def _slices(column: pa.Array) -> Iterator[tuple[int, list]]:
-    at, held, size = 0, [], 0
-    for text in column.to_pylist():
-        if held and size + len(text or "") > BATCH_CHARS:
-            yield at, held
-            at, held, size = at + len(held), [], 0
-        held.append(text)
-        size += len(text or "")
-    if held:
-        yield at, held
