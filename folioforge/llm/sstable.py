@@ -13,6 +13,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 import zstandard
 from pyarrow import fs
@@ -20,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioforge.llm.bpe import byte_letters
 from folioforge.llm.common import materialise, new_path, text_slices
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -34,6 +36,8 @@ BLOOM_BITS, BLOOM_HASHES = 10, 7
 REMEMBERED = 250_000
 LONGEST = 64
 BATCH_CHARS = 2 << 20
+#: Fixed value: the pieces that byte-level merges never cross.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -192,11 +196,27 @@ class ChunkedEncoder:
         self.coder.no_truncation()
         self.coder.no_padding()
         self.id_bytes = 2 if self.coder.get_vocab_size() <= 1 << 16 else 4
+        self.kind = np.dtype(f"<u{self.id_bytes}")
+        self.model, self.letters = self.coder.model, dict(enumerate(byte_letters()))
+        self.pattern = regex.compile(PIECES)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.odd = re.compile(r" \s|\s ")
         self.cut = re.compile(r"(?<=\S)(?= \S)")
 
+    def _chunk(self, chunk: str) -> bytes:
+        """The ids of one chunk. Letters up to U+024F, whose classes are settled, go to the library's model piece by piece."""
+        if "<|" in chunk or (chunk and max(chunk) > "\u024f"):
+            return np.array(self.coder.encode(chunk, add_special_tokens=False).ids, self.kind).tobytes()
+        return b"".join([self._piece(p) for p in self.pattern.findall(chunk)])
+
+    def _piece(self, piece: str) -> bytes:
+        held = self.young.get(piece) or self.old.get(piece)
+        if held is None:
+            tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+            held = np.array([t.id for t in tokens], self.kind).tobytes()
+        return held
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian integers of ``id_bytes``; null has none."""
         split, missing = [], {}
@@ -215,10 +235,8 @@ class ChunkedEncoder:
                         missing[c] = None
                     else:
                         self.young[c] = held
-        asked = list(missing)
-        made = self.coder.encode_batch_fast(asked, add_special_tokens=False)
-        kind = f"<u{self.id_bytes}"
-        missing = {c: np.array(e.ids, kind).tobytes() for c, e in zip(asked, made, strict=True)}
+        for c in missing:
+            missing[c] = self._chunk(c)
         young = self.young
         out = [b"".join([young.get(c) or missing.get(c, b"") for c in chunks]) for chunks in split]
         if len(young) + len(missing) > REMEMBERED:
