@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from folioforge.llm.license_scan import PHRASES, TEMPLATES
+
 OP1 = r"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
@@ -43,4 +45,20 @@ c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a)
 SELECT vec_id, (SELECT count(*) FROM k WHERE k.a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM c
 """
 
-ORACLES = {"op1_quality_rules": OP1, "op5_line_dedup": OP5, "op9_embedding_near_dedup": OP9}
+_TEMPLATES = ", ".join(f"({n}, '{label}', {2 if n < len(PHRASES) else 4}, string_split('{words}', ' '))" for n, (label, words) in enumerate((*PHRASES, *TEMPLATES)))
+OP4 = rf"""
+WITH t(template, label, k, words) AS (VALUES {_TEMPLATES}),
+tg AS (SELECT template, label, k, len(words) AS length, p, array_to_string(words[p:p+k-1], ' ') AS g FROM (SELECT *, unnest(range(1, len(words) - k + 2)) AS p FROM t)),
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+dg AS (SELECT doc_id, k, i, array_to_string(w[i:i+k-1], ' ') AS g FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (2), (4)) AS v(k) WHERE len(w) >= k)),
+h AS (SELECT doc_id, template, label, length, tg.k AS k, p, i, i - p AS d FROM dg JOIN tg USING (k, g)),
+x AS (SELECT doc_id, label, TRUE AS phrase, d AS first, 1.0 AS share FROM h WHERE template < {len(PHRASES)} GROUP BY doc_id, template, label, length, k, d HAVING count(DISTINCT p) = length - k + 1),
+b AS (SELECT *, sum(o) OVER (PARTITION BY doc_id, template ORDER BY d) AS band FROM (SELECT *, CASE WHEN d - lag(d) OVER (PARTITION BY doc_id, template ORDER BY d) <= 3 THEN 0 ELSE 1 END AS o FROM h WHERE template >= {len(PHRASES)})),
+y AS (SELECT doc_id, label, FALSE AS phrase, min(i) AS first, count(DISTINCT q) / length AS share FROM (SELECT *, unnest(range(p, p + k)) AS q FROM b) GROUP BY doc_id, template, label, length, band HAVING count(DISTINCT q) / length >= 0.6),
+s AS (SELECT * FROM x UNION ALL SELECT * FROM y)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(count_if(phrase), 0) AS BIGINT) AS n_base, CAST(min(first) FILTER (WHERE phrase) AS BIGINT) AS first_word, CAST(max(first) FILTER (WHERE phrase) AS BIGINT) AS last_word,
+coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE phrase), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, CAST(coalesce(max(share), 0) AS DOUBLE) AS score
+FROM w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id, w
+"""
+
+ORACLES = {"op1_quality_rules": OP1, "op4_license_scan": OP4, "op5_line_dedup": OP5, "op9_embedding_near_dedup": OP9}
