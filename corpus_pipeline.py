@@ -50,7 +50,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each row's whole text, and the digest of what they decode to."""
     ship(spark)
     path = public_tokenizers.path("word_bpe_49k.json")
-    decoded = bpe.decode(bpe.encode(docs.select("doc_id", "source", "text"), path).drop("text"), path)
+    decoded = bpe.encode(docs.select("doc_id", "source", "text"), path, with_decoded=True)
     return decoded.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

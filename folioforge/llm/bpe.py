@@ -6,7 +6,7 @@ import json
 import re
 import unicodedata
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
 import ahocorasick
@@ -15,7 +15,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from folioforge.llm.common import text_slices
+from folioforge.llm.common import small_batches, text_slices
 
 #: Words remembered in each of two generations; about 150 bytes each.
 REMEMBERED = 100_000
@@ -255,13 +255,16 @@ def offset_table(path: str) -> OffsetTable:
     return OffsetTable(path)
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, text_col: str = "text", with_decoded: bool = False) -> DataFrame:
     """``docs`` with ids (ARRAY<INT>), the tokens of the whole text; null and empty texts have none.
 
-    ``path`` is the vocabulary file, at the same place on every executor. A column named ids
-    is replaced.
+    ``with_decoded`` adds decoded, the text that the ids decode to, in the same task: a second
+    pass of the ids through other workers would double their number. ``path`` is the
+    vocabulary file, at the same place on every executor. Columns of these names are replaced.
     """
-    kept = docs.drop("ids")
+    small_batches(docs.sparkSession)
+    new = ["ids", "decoded"] if with_decoded else ["ids"]
+    kept = docs.drop(*new)
     where = kept.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,15 +275,23 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
                 for text in some:
                     coder.encode_into(text, flat)
                     offsets.append(len(flat))
-                ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else [], pa.int32()))
-                part = batch.slice(at, len(some))
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], [*batch.schema.names, "ids"])
+                ids = np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32)
+                made = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))]
+                if with_decoded:
+                    made.append(_decoded(offset_table(path), ids, offsets))
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, len(some)).columns, *made], [*batch.schema.names, *new])
 
-    return kept.mapInArrow(run, f"{_ddl(kept)}, ids array<int>")
+    return kept.mapInArrow(run, ", ".join([_ddl(kept), "ids array<int>", *["decoded string"] * with_decoded]))
+
+
+def _decoded(table: OffsetTable, ids: np.ndarray, offsets: Iterable[int]) -> pa.Array:
+    offsets = list(offsets)
+    return pa.array([table.decode(ids[a:b]) for a, b in zip(offsets, offsets[1:], strict=False)], pa.binary()).cast(pa.string())
 
 
 def decode(docs: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """``docs`` with decoded, the text of their ids; null ids give an empty text. A column named decoded is replaced."""
+    small_batches(docs.sparkSession)
     kept = docs.drop("decoded")
     where = kept.columns.index(ids_col)
 
@@ -290,9 +301,8 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 ids = part.column(where)
-                flat, offsets = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
-                texts = [coder.decode(flat[a:b]) for a, b in zip(offsets, offsets[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary()).cast(pa.string())], [*batch.schema.names, "decoded"])
+                texts = _decoded(coder, ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], [*batch.schema.names, "decoded"])
 
     return kept.mapInArrow(run, f"{_ddl(kept)}, decoded string")
 

@@ -102,6 +102,14 @@ def pair_cells(members: DataFrame, key: list[str], member: str, largest: int) ->
     )
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Lowers the session's rows of an Arrow batch, which Spark does not bound by bytes: texts and ids of 10,000 documents at once would fill a worker and the JVM's buffers beside it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if not 0 < now <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def text_slices(column: pa.Array, chars: int, rows: int = 512) -> Iterator[tuple[int, list]]:
     """(start, texts) of stretches of a text column with so many rows and characters at most; a longer text comes alone."""
     at, held, size = 0, [], 0

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import text_key, text_slices
+from folioforge.llm.common import small_batches, text_key, text_slices
 
 #: Letters kept apart; the others share the codes above by their code point.
 CODES = 96
@@ -137,6 +137,7 @@ def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, profi
     ``und`` with score 0. Ties go to the first language by name. The prototypes, one vector
     for each language, travel with the tasks. Columns of these names are replaced.
     """
+    small_batches(docs.sparkSession)
     new = ["lang_pred", "score"]
     kept = docs.drop(*new)
     schema = kept.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema

@@ -41,8 +41,7 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
-    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
-    decoded = bpe.decode(encoded, path)
+    decoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, with_decoded=True)
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import connected_components, filled, materialise, pair_cells
+from folioforge.llm.common import connected_components, filled, materialise, pair_cells, small_batches
 
 BITS = 64
 #: Fingerprints of one cell at most; larger buckets are dealt into pairs of chunks.
@@ -131,6 +131,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col:
     id take part, with null ids ignored when the smallest is sought. Null or blank texts have
     fingerprint 0 and are linked like any other; repeated rows stay, with the same component.
     """
+    small_batches(docs.sparkSession)
     rows = materialise(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), shingle).alias("fp")), "fingerprints")
     prints = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "distinct-fingerprints")
     masks = tables_for(prints.count(), radius)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioforge.llm.bpe import byte_letters
-from folioforge.llm.common import materialise, new_path, text_slices
+from folioforge.llm.common import materialise, new_path, small_batches, text_slices
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -267,6 +267,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = No
     a task may be run again at any time. Null and empty texts hold only the end id.
     """
     spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     folder = folder or new_path(spark, "token-shards")
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ranged = narrow.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")

@@ -58,7 +58,9 @@ def test_encoder_memory_is_bounded(monkeypatch):
 def test_encode_and_decode_columns(spark):
     rows = [(1, "Hello  World's end", 5), (2, None, 6), (3, "", 7), (1, "Hello  World's end", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids int")
-    got = bpe.decode(bpe.encode(docs, WORD), WORD).collect()
+    encoded = bpe.encode(docs, WORD, with_decoded=True)
+    assert bpe.decode(encoded.withColumnRenamed("decoded", "was"), WORD).where("decoded <> was").count() == 0
+    got = encoded.collect()
     library = Tokenizer.from_file(WORD)
     for r in got:
         ids = library.encode(r.text or "", add_special_tokens=False).ids
