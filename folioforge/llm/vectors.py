@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import connected_components, materialise, pair_cells
+from folioforge.llm.common import connected_components, let, materialise, pair_cells
 
 
 @dataclass(frozen=True)
@@ -45,10 +45,11 @@ def classes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     usable = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: F.coalesce((x * 0) == 0, F.lit(False))) & F.exists("v", lambda x: F.coalesce(x != 0, F.lit(False)))
     found = vectors.select(F.col(id_col).alias("vec_id"), v.alias("v")).where(usable)
     grouped = found.groupBy("v").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("n")).withColumn("rep", F.xxhash64("v"))
-    top = F.array_max(F.transform("v", lambda x: F.abs(x)))  # scaled first, so that squares neither overflow nor vanish
-    scaled = grouped.withColumn("v", F.transform("v", lambda x: x / top))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    return scaled.withColumn("norm", norm).select("rep", "first_id", "n", F.size("v").alias("dim"), F.transform("v", lambda x: x / F.col("norm")).alias("v"))
+    # Scaled first, so that squares neither overflow nor vanish; each figure is made once a vector, not once a component.
+    scaled = let(F.struct(F.col("v"), F.array_max(F.transform("v", lambda x: F.abs(x))).alias("top")), lambda s: F.transform(s["v"], lambda x: x / s["top"]))
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    unit = let(scaled, lambda v: let(F.struct(v.alias("v"), norm(v).alias("norm")), lambda s: F.transform(s["v"], lambda x: x / s["norm"])))
+    return grouped.select("rep", "first_id", "n", F.size("v").alias("dim"), unit.alias("v"))
 
 
 def centres(found: DataFrame, graph: Graph) -> dict[int, np.ndarray]:
