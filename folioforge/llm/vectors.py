@@ -106,12 +106,27 @@ def shard_graph(x: np.ndarray, graph: Graph) -> list[list[int]]:
     return [sorted(s) for s in lists]
 
 
-def range_search(x: np.ndarray, adjacency: np.ndarray, entry: int, graph: Graph, queries: np.ndarray) -> list[np.ndarray]:
+def graph_parts(adjacency: np.ndarray) -> list[np.ndarray]:
+    """The vertices of each connected component of a symmetric graph, as range_search takes it."""
+    label = np.arange(len(adjacency))
+    near = np.where(adjacency >= 0, adjacency, label[:, None])
+    while True:
+        least = np.minimum(label, label[near].min(axis=1))
+        least = least[least]
+        if (least == label).all():
+            return [np.flatnonzero(label == g) for g in np.unique(label)]
+        label = least
+
+
+def range_search(x: np.ndarray, adjacency: np.ndarray, parts: list[np.ndarray], graph: Graph, queries: np.ndarray) -> list[np.ndarray]:
     """For each query row the rows of ``x`` within the threshold that the search meets.
 
-    Greedy best-first steps from the medoid keep a beam for each query. Then, as long as
-    vertices within the threshold (less the slack) are met, their neighbours are met too.
-    ``adjacency`` has one row for each vertex, filled with -1.
+    Every query meets its own vertex. In each component of the graph, greedy best-first steps
+    from the component's medoid keep a beam for each query, so that a group that is a
+    component of its own is entered too; all vertices of a component no larger than a
+    vertex's candidates are met. Then, as long as vertices within the threshold (less the
+    slack) are met, their neighbours are met too. ``adjacency`` has one row for each vertex,
+    filled with -1.
     """
     n, m = len(x), len(queries)
     met = np.zeros((m, n), bool)
@@ -128,17 +143,23 @@ def range_search(x: np.ndarray, adjacency: np.ndarray, entry: int, graph: Graph,
             met[r, v] = True
 
     every = np.arange(m)
-    meet(every, np.full(m, entry))
-    active = every
-    while len(active):
-        beam = np.argpartition(-cosine[active], min(graph.beam, n) - 1, axis=1)[:, : graph.beam]
-        score = np.where(met[active[:, None], beam] & ~done[active[:, None], beam], cosine[active[:, None], beam], -4)
-        best = score.argmax(axis=1)
-        some = score[np.arange(len(active)), best] > -4
-        active, vertices = active[some], beam[np.arange(len(beam)), best][some]
-        done[active, vertices] = True
-        next_to = adjacency[vertices]
-        meet(np.repeat(active, next_to.shape[1]), next_to.ravel())
+    meet(every, queries)
+    for part in parts:
+        if len(part) <= graph.candidates:
+            meet(np.repeat(every, len(part)), np.tile(part, m))
+            continue
+        meet(every, np.full(m, part[(x[part] @ x[part].mean(axis=0)).argmax()]))
+        active, columns = every, slice(None) if len(part) == n else part
+        while len(active):
+            some = cosine[active][:, columns]
+            beam = part[np.argpartition(-some, min(graph.beam, len(part)) - 1, axis=1)[:, : graph.beam]]
+            score = np.where(met[active[:, None], beam] & ~done[active[:, None], beam], cosine[active[:, None], beam], -4)
+            best = score.argmax(axis=1)
+            some = score[np.arange(len(active)), best] > -4
+            active, vertices = active[some], beam[np.arange(len(beam)), best][some]
+            done[active, vertices] = True
+            next_to = adjacency[vertices]
+            meet(np.repeat(active, next_to.shape[1]), next_to.ravel())
     while True:
         rows, vertices = np.nonzero((cosine >= graph.threshold - graph.slack) & ~done)
         if not len(rows):
@@ -201,12 +222,12 @@ def near_duplicates(vectors: DataFrame, graph: Graph = Graph(), id_col: str = "v
         adjacency = np.full((len(reps), max([1, *map(len, local)])), -1)
         for i, near in enumerate(local):
             adjacency[i, : len(near)] = near
-        entry = int((x @ x.mean(axis=0)).argmax())
+        parts = graph_parts(adjacency)
         linked = np.zeros((len(reps), len(reps)), bool)
         single = x.astype(np.float32)
         for at in range(0, len(reps), 512):
             queries = np.arange(at, min(at + 512, len(reps)))
-            for i, others in zip(queries, range_search(single, adjacency, entry, graph, queries), strict=True):
+            for i, others in zip(queries, range_search(single, adjacency, parts, graph, queries), strict=True):
                 linked[i, others[x[others] @ x[i] >= graph.threshold]] = True
         linked |= linked.T  # what either side's search has met is a link of both
         np.fill_diagonal(linked, False)

@@ -270,3 +270,18 @@ def test_vectors(spark):
         assert got[None].n_links == 0 and got[None].kept
     assert vectors.audit_recall(table, answer, every=5) >= 0.95
     assert vectors.near_duplicates(table.limit(0)).collect() == []
+
+
+def test_groups_larger_than_the_candidates_of_a_vertex(spark):
+    rng = np.random.default_rng(13)
+    centers = np.linalg.qr(rng.normal(size=(16, 16)))[0][:6]
+    centers = np.concatenate([centers, 0.93 * centers + math.sqrt(1 - 0.93**2) * np.roll(centers, 1, axis=0)[:, ::-1]])
+    x = np.concatenate([c / np.linalg.norm(c) + 0.005 * rng.normal(size=(80, 16)) for c in centers])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = x @ x.T >= 0.9
+    np.fill_diagonal(links, False)
+    assert links.sum(axis=1).min() >= 79
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in vectors.near_duplicates(table).collect()}
+    assert [got[i].n_links for i in range(len(x))] == links.sum(axis=1).tolist()
+    assert [got[i].component_id for i in range(len(x))] == naive_components(links)
