@@ -18,11 +18,13 @@ class Graph:
     """Parameters of the graph and its search."""
 
     threshold: float = 0.9
-    #: Vectors the cluster centres are fitted on, at most about; a hash picks them.
+    #: Vectors the cluster centres are fitted on, at most about, but two for each centre; a hash picks them.
     sample: int = 20_000
-    #: Vectors of a shard aimed at, and the centres a vector is dealt to.
+    #: Vectors of a shard aimed at, and the centres a vector is dealt to at least.
     shard: int = 1500
     overlap: int = 3
+    #: Share of pairs just at the threshold that must share a shard; more centres are used for a vector until they do.
+    shared: float = 0.99
     #: Vectors of one cell at most about, beyond which a shard is cut into pairs of chunks.
     cell: int = 2000
     #: Candidates and neighbours of a vertex when the graph is pruned, and the pruning factor.
@@ -52,23 +54,63 @@ def classes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     return grouped.select("rep", "first_id", "n", F.size("v").alias("dim"), unit.alias("v"))
 
 
-def centres(found: DataFrame, graph: Graph) -> dict[int, np.ndarray]:
-    """Unit cluster centres for each dimension, fitted on a bounded sample; their number follows the number of vectors."""
+def nearest_centres(x: np.ndarray, c: np.ndarray, overlap: int) -> np.ndarray:
+    """The rows of the ``overlap`` nearest centres, ascending, for each row of ``x``; bounded in memory."""
+    take = min(overlap, len(c))
+    blocks = [np.argpartition(-(x[at : at + 1024] @ c.T), take - 1, axis=1)[:, :take] for at in range(0, len(x), 1024)]
+    return np.sort(np.concatenate(blocks), axis=1) if blocks else np.zeros((0, take), int)
+
+
+def share_together(x: np.ndarray, c: np.ndarray, overlap: int, threshold: float, seed: int) -> float:
+    """Share of pairs at a cosine of exactly ``threshold`` that have one of their nearest centres in common.
+
+    The first of a pair is a vector of ``x``, the second lies beside it in a random direction
+    that is drawn with the covariance of ``x``, so that it does not leave the space in which
+    the vectors and centres lie. Pairs nearer than the threshold meet more often.
+    """
+    rng = np.random.default_rng(seed)
+    u = x[rng.permutation(len(x))[:2000]]
+    beside = rng.normal(size=(len(u), len(u))) @ u
+    beside -= (beside * u).sum(axis=1, keepdims=True) * u
+    beside /= np.maximum(np.linalg.norm(beside, axis=1, keepdims=True), 1e-12)
+    v = threshold * u + np.sqrt(max(0.0, 1 - threshold**2)) * beside
+    mine, its = nearest_centres(u, c, overlap), nearest_centres(v, c, overlap)
+    return float(np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(mine, its, strict=True)]))
+
+
+def centres(found: DataFrame, graph: Graph) -> dict[int, tuple[np.ndarray, int]]:
+    """(unit cluster centres, how many of them a vector is dealt to) for each dimension.
+
+    The number of centres follows the number of vectors. As pairs share one of their nearest
+    centres less often the more centres there are, the overlap is raised, and the number of
+    centres with it, until ``graph.shared`` of the pairs at the threshold share one.
+    """
     out = {}
     for dim, count in found.groupBy("dim").count().collect():
-        k = max(1, round(count * graph.overlap / graph.shard))
-        share = min(1.0, graph.sample / count)
-        picked = found.where((F.col("dim") == dim) & (F.pmod(F.xxhash64(F.lit(graph.seed), "rep"), F.lit(1 << 20)) <= share * (1 << 20))).orderBy("rep").limit(2 * graph.sample)
-        x = np.array([r.v for r in picked.select("v").collect()]).reshape(-1, dim)
-        rng = np.random.default_rng(graph.seed)
-        c = x[rng.permutation(len(x))[: min(k, len(x))]]
-        for _ in range(8):
-            own = (x @ c.T).argmax(axis=1)
-            total = np.zeros_like(c)
-            np.add.at(total, own, x)
-            norms = np.linalg.norm(total, axis=1, keepdims=True)
-            c = np.where(norms > 1e-9, total / np.maximum(norms, 1e-9), c)
-        out[dim] = c
+        overlap, held = graph.overlap, 0
+        while True:
+            k = max(1, round(count * overlap / graph.shard))
+            most = max(graph.sample, 2 * k)
+            if most > held:
+                held = most
+                share = min(1.0, most / count)
+                picked = found.where((F.col("dim") == dim) & (F.pmod(F.xxhash64(F.lit(graph.seed), "rep"), F.lit(1 << 20)) <= share * (1 << 20))).orderBy("rep").limit(2 * most)
+                x = np.array([r.v for r in picked.select("v").collect()]).reshape(-1, dim)
+            rng = np.random.default_rng(graph.seed)
+            order = rng.permutation(len(x))
+            # Vectors that centres are fitted on lie nearer to them than others do; the share is measured on some kept apart.
+            apart, fitted = x[order[: min(2000, len(x) // 4)]], x[order[min(2000, len(x) // 4) :]]
+            c = fitted[: min(k, len(fitted))]
+            for _ in range(8):
+                own = nearest_centres(fitted, c, 1)[:, 0]
+                total = np.zeros_like(c)
+                np.add.at(total, own, fitted)
+                norms = np.linalg.norm(total, axis=1, keepdims=True)
+                c = np.where(norms > 1e-9, total / np.maximum(norms, 1e-9), c)
+            if overlap >= len(c) or not len(apart) or share_together(apart, c, overlap, graph.threshold, graph.seed) >= graph.shared:
+                break
+            overlap += max(1, overlap // 4)
+        out[dim] = c, overlap
     return out
 
 
@@ -182,19 +224,19 @@ def near_duplicates(vectors: DataFrame, graph: Graph = Graph(), id_col: str = "v
     them. A pair that shares several shards is counted in the first only, so links are
     counted and joined into components without listing pairs; none are capped. Shards that
     grow beyond a cell are searched as pairs of chunks. Vectors of different lengths never
-    link. Unusable vectors and rows without an id (see ``classes``) have no links, a component
+    link. How many shards a vector is dealt to is measured on the data (see ``centres``).
+    Unusable vectors and rows without an id (see ``classes``) have no links, a component
     of their own and are kept.
     """
     found = materialise(classes(vectors, id_col, vector_col), "vectors")
     middle = centres(found, graph)
-    overlap = graph.overlap
 
     @F.pandas_udf("array<int>")
     def nearest(dim: pd.Series, v: pd.Series) -> pd.Series:
         out = []
         for d, x in zip(dim, v, strict=True):
-            near = middle[d] @ x
-            out.append(np.sort(np.argsort(-near, kind="stable")[:overlap]).astype(np.int32))
+            c, overlap = middle[d]
+            out.append(np.sort(np.argsort(-(c @ x), kind="stable")[:overlap]).astype(np.int32))
         return pd.Series(out)
 
     # Rows of one range of ids would pass the centres in one task; the id's hash spreads them.

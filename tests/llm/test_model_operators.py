@@ -285,3 +285,13 @@ def test_groups_larger_than_the_candidates_of_a_vertex(spark):
     got = {r.vec_id: r for r in vectors.near_duplicates(table).collect()}
     assert [got[i].n_links for i in range(len(x))] == links.sum(axis=1).tolist()
     assert [got[i].component_id for i in range(len(x))] == naive_components(links)
+
+
+def test_pairs_at_the_threshold_share_a_shard_of_many(spark):
+    rng = np.random.default_rng(14)
+    unit = lambda a: a / np.linalg.norm(a, axis=1, keepdims=True)
+    u, w = unit(rng.normal(size=(3000, 64))), rng.normal(size=(3000, 64))
+    v = 0.902 * u + math.sqrt(1 - 0.902**2) * unit(w - (w * u).sum(axis=1, keepdims=True) * u)
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(np.concatenate([u, v]))], "vec_id long, embedding array<double>")
+    links = sum(r.n_links for r in vectors.near_duplicates(table, vectors.Graph(shard=30, sample=1000)).collect())
+    assert 0.97 * 6000 <= links <= 6000
