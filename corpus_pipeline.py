@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.functions.ship import ship
-from folioforge.llm import bpe, langid, line_dedup, mixing, simhash
+from folioforge.llm import bpe, langid, line_dedup, minhash, mixing, simhash
 from folioforge.llm.common import materialise
 
 #: No source is passed over more often than this.
@@ -35,11 +35,20 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates."""
+    """Keeps one document of each group whose fingerprints are within 4 bits."""
     ship(spark)
     return simhash.keep_one(docs)
 
 
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates, by fingerprints, then by 5-word shingles of similarity 0.8 or more.
+
+    4 bits find few of the pairs of such a similarity; what the first step keeps is
+    therefore compared by shingles.
+    """
+    return minhash.keep_one(near_dedup(spark, docs, sf_dir), similarity=0.8, shingle=5)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats documents of small sources, so that the weights of the sources come closer; every document occurs."""
     target = mixing.Target(most_passes=MOST_PASSES)
@@ -57,7 +66,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language_id", language_id),
     ("line_dedup", line_dedup_stage),
-    ("near_dedup", near_dedup),
+    ("near_dedup", near_dedup_stage),
     ("mix_sources", mix_sources),
     ("encode", encode),
 ]

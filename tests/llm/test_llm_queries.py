@@ -5,6 +5,7 @@ from __future__ import annotations
 import glob
 import hashlib
 import os
+import random
 
 import duckdb
 import numpy as np
@@ -13,7 +14,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from folioforge.llm import simhash
+from folioforge.llm import minhash, simhash
 from folioforge.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -89,3 +90,18 @@ def test_pipeline_on_odd_tables(spark):
             assert docs.columns == odd.columns
         out = corpus_pipeline.encode(spark, docs, SF).collect()
     assert out == []
+
+
+def test_pipeline_near_dedup_finds_similarity_of_four_fifths(spark):
+    rng = random.Random(21)
+    rows = []
+    for i in range(40):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(400)]
+        copy = list(words)
+        for k in range(8 if i < 20 else 10):  # each takes 5 of 396 shingles: similarity 0.816, below 0.8 with 10
+            copy[20 + 38 * k] = "X"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in minhash.keep_one(docs).collect()} == {d for d, _ in rows if d % 2 == 0 or d >= 40}
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, SF).collect()}
+    assert {d for d in kept if d < 40} == set(range(0, 40, 2))
