@@ -20,10 +20,12 @@ MOST_PASSES = 1.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null texts and those without a letter."""
+    """Drops documents without a language: null texts and those without a letter, also where no language could be learned."""
     ship(spark)
-    found = langid.identify(docs)
-    return found.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    found = langid.identify(docs).where(F.col("lang_pred") != langid.UNKNOWN)
+    if found.isEmpty():
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    return found.select(*docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -105,3 +105,9 @@ def test_pipeline_near_dedup_finds_similarity_of_four_fifths(spark):
     assert {r.doc_id for r in minhash.keep_one(docs).collect()} == {d for d, _ in rows if d % 2 == 0 or d >= 40}
     kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, SF).collect()}
     assert {d for d in kept if d < 40} == set(range(0, 40, 2))
+
+
+def test_language_stage_without_labels(spark):
+    rows = [(1, None, None), (2, "12 34", None), (3, "Some words", None), (None, "été", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in corpus_pipeline.language_id(spark, docs, SF).collect()} == {3, None}
