@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import re
 import struct
@@ -10,6 +11,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioforge.llm.bpe import byte_letters
-from folioforge.llm.common import materialise, new_path, small_batches, text_slices
+from folioforge.llm.common import materialise, new_path, text_key
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -32,10 +34,10 @@ FOOTER = struct.Struct("<QQQQQQII8s")
 BLOCK_BYTES = 64 << 10
 SHARD_BYTES = 64 << 20
 BLOOM_BITS, BLOOM_HASHES = 10, 7
-#: Text chunks remembered in each of two generations; about 150 bytes each.
-REMEMBERED = 250_000
-LONGEST = 64
-BATCH_CHARS = 2 << 20
+#: Bytes of each of two generations of remembered pieces, about, what a dict takes for an entry, and the longest piece kept.
+MEMORY_BYTES, ENTRY, LONGEST = 40 << 20, 100, 64
+#: Code points up to here are letters, digits or neither in every Unicode version.
+SETTLED = 0x24F
 #: Fixed value: the pieces that byte-level merges never cross.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
@@ -181,12 +183,52 @@ class ShardReader:
         return found
 
 
-class ChunkedEncoder:
-    """Ids from the tokenizers library, asked once for each recent chunk of text.
+class Memory(dict):
+    """What ``make`` gives for recent short keys, in two generations of about ``MEMORY_BYTES`` each."""
 
-    The byte-level pattern never joins a blank to what stands before it. So a text may be cut
-    before each single blank between two other characters, each chunk encoded by itself, and
-    the ids strung together.
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old, self.held = make, {}, 0
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= LONGEST:
+            if self.held >= MEMORY_BYTES:
+                self.old, self.held = self.copy(), 0
+                self.clear()
+            self[key] = found
+            self.held += getsizeof(key) + getsizeof(found) + ENTRY
+        return found
+
+
+def _piece_pattern() -> re.Pattern:
+    """PIECES with the classes of code points up to ``SETTLED`` written out; a piece of letters, the most frequent one, is tried first."""
+
+    def members(kind: str) -> str:
+        runs: list[list[int]] = []
+        for point in range(SETTLED + 1):
+            if regex.match(kind, chr(point)):
+                if runs and runs[-1][1] == point - 1:
+                    runs[-1][1] = point
+                else:
+                    runs.append([point, point])
+        return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in runs)
+
+    letter, number, space = members(r"\p{L}"), members(r"\p{N}"), members(r"\p{White_Space}")
+    return re.compile(rf" ?[{letter}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
+
+
+class PieceEncoder:
+    """Ids from the tokenizers library, whose model is asked once for each recent piece of text.
+
+    Texts are cut into the pieces that merges never cross, by the classes of letters up to
+    U+024F, which no Unicode version changes. Of a text with others, the chunks between
+    single blanks that hold them go to the library whole: the pattern never joins a blank to
+    what stands before it. So does a text that holds an added token of the vocabulary, and
+    every text where the vocabulary file is of another kind than byte-level merges with this
+    pattern and no normaliser.
     """
 
     def __init__(self, path: str):
@@ -197,57 +239,44 @@ class ChunkedEncoder:
         self.coder.no_padding()
         self.id_bytes = 2 if self.coder.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.id_bytes}")
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        model, split = made["model"], made["pre_tokenizer"] or {}
+        self.known = (
+            made["normalizer"] is None and model["type"] == "BPE" and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+            and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        )
+        self.added = [t["content"] for t in made["added_tokens"]]
         self.model, self.letters = self.coder.model, dict(enumerate(byte_letters()))
-        self.pattern = regex.compile(PIECES)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.odd = re.compile(r" \s|\s ")
-        self.cut = re.compile(r"(?<=\S)(?= \S)")
-
-    def _chunk(self, chunk: str) -> bytes:
-        """The ids of one chunk. Letters up to U+024F, whose classes are settled, go to the library's model piece by piece."""
-        if "<|" in chunk or (chunk and max(chunk) > "\u024f"):
-            return np.array(self.coder.encode(chunk, add_special_tokens=False).ids, self.kind).tobytes()
-        return b"".join([self._piece(p) for p in self.pattern.findall(chunk)])
+        self.find = _piece_pattern().findall
+        self.unsettled = re.compile(f"[^\0-{chr(SETTLED)}]").search
+        self.cut = re.compile(r"(?<=\S)(?= \S)").split
+        self.pieces, self.chunks = Memory(self._piece), Memory(self._library)
+
+    def _library(self, text: str) -> bytes:
+        return np.array(self.coder.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        held = self.young.get(piece) or self.old.get(piece)
-        if held is None:
-            tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
-            held = np.array([t.id for t in tokens], self.kind).tobytes()
-        return held
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian integers of ``id_bytes``; null has none."""
-        split, missing = [], {}
-        for text in texts:
-            if not text:
-                chunks = []
-            elif self.odd.search(text):
-                chunks = self.cut.split(text)
-            else:
-                chunks = text.replace(" ", "\0 ").split("\0") if "\0" not in text else self.cut.split(text)
-            split.append(chunks)
-            for c in chunks:
-                if c not in self.young:
-                    held = self.old.get(c)
-                    if held is None:
-                        missing[c] = None
-                    else:
-                        self.young[c] = held
-        for c in missing:
-            missing[c] = self._chunk(c)
-        young = self.young
-        out = [b"".join([young.get(c) or missing.get(c, b"") for c in chunks]) for chunks in split]
-        if len(young) + len(missing) > REMEMBERED:
-            self.old, self.young = young, {}
-        self.young.update((c, v) for c, v in missing.items() if len(c) < LONGEST)
-        return out
+        tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+        return np.array([t.id for t in tokens], self.kind).tobytes()
+
+    def _settled(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.find(text)))
+
+    def encode(self, text: str | None) -> bytes:
+        """The ids of one text as little-endian integers of ``id_bytes``; null has none."""
+        if not text:
+            return b""
+        if not self.known or any(t in text for t in self.added):
+            return self._library(text)
+        if text.isascii() or not self.unsettled(text):
+            return self._settled(text)
+        return b"".join([self.chunks[c] if self.unsettled(c) else self._settled(c) for c in self.cut(text)])
 
 
 @cache
-def encoder(path: str) -> ChunkedEncoder:
-    return ChunkedEncoder(path)
+def encoder(path: str) -> PieceEncoder:
+    return PieceEncoder(path)
 
 
 @dataclass(frozen=True)
@@ -261,21 +290,21 @@ class Shards:
 def write(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> Shards:
     """Encode every text, add ``end_id`` to each, and write the ids in shards of ascending id.
 
-    Rows are range-partitioned and sorted by id (rows that share an id by text), nulls first;
-    each task writes its range as shards of about ``shard_bytes``. A task's files carry its
-    attempt number and only those of attempts that came to their end are in the manifest, so
-    a task may be run again at any time. Null and empty texts hold only the end id.
+    Rows are range-partitioned and sorted by id, nulls first, and by a hash of the text, so
+    that an id which many rows share is spread over tasks too; each task writes its range as
+    shards of about ``shard_bytes``. A task's files carry its attempt number and only those of
+    attempts that came to their end are in the manifest, so a task may be run again at any
+    time. Null and empty texts hold only the end id. Repeated rows are all written.
     """
     spark = docs.sparkSession
-    small_batches(docs.sparkSession)
     folder = folder or new_path(spark, "token-shards")
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ranged = narrow.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("tk"))
+    ranged = narrow.repartitionByRange("doc_id", "tk").sortWithinPartitions("doc_id", "tk").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocabulary)
         kind = np.dtype(f"<u{coder.id_bytes}")
-        end = np.array([end_id], kind)
+        end = np.array([end_id], kind).tobytes()
         task = TaskContext.get()
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
@@ -286,17 +315,15 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = No
             done.append((task.partitionId(), part, name, first, last, writer.n_docs, writer.n_ids))
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at, some in text_slices(texts, BATCH_CHARS):
-                for doc, data in zip(ids[at : at + len(some)], coder.encode(some), strict=True):
-                    if writer is not None and writer.at + len(writer.block) >= shard_bytes:
-                        close()
-                        writer, part = None, part + 1
-                    if writer is None:
-                        name = f"{task.partitionId():06d}-{part:05d}-{task.taskAttemptId()}.sst"
-                        writer, first = ShardWriter(store.open_output_stream(f"{root}/{name}"), coder.id_bytes), doc
-                    writer.add(key_of(doc), np.concatenate([np.frombuffer(data, kind), end]))
-                    first, last = doc if first is None else first, doc  # the range of lookups leaves null ids out
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if writer is not None and writer.at + len(writer.block) >= shard_bytes:
+                    close()
+                    writer, part = None, part + 1
+                if writer is None:
+                    name = f"{task.partitionId():06d}-{part:05d}-{task.taskAttemptId()}.sst"
+                    writer, first = ShardWriter(store.open_output_stream(f"{root}/{name}"), coder.id_bytes), doc
+                writer.add(key_of(doc), np.frombuffer(coder.encode(text.as_py()) + end, kind))
+                first, last = doc if first is None else first, doc  # the range of lookups leaves null ids out
         if writer is not None:
             close()
         columns = list(zip(*done, strict=True)) if done else [()] * 7

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import random
 import zlib
@@ -68,40 +69,65 @@ def test_encode_and_decode_columns(spark):
     assert len(got) == 4 and bpe.encode(docs.limit(0), WORD).collect() == []
 
 
-def test_chunked_encoder_equals_the_library():
-    coder, library = sstable.ChunkedEncoder(BYTE), Tokenizer.from_file(BYTE)
-    texts = odd_texts(4000, 3) + ["a  b", " a", "a ", "a \n b", "\n\n a b", " ", "x" * 3000]
-    for _ in range(2):
-        for t, data in zip(texts, coder.encode(texts), strict=True):
-            assert np.frombuffer(data, "<u2").tolist() == library.encode(t, add_special_tokens=False).ids, t
-    assert coder.encode([None, ""]) == [b"", b""]
+def test_piece_encoder_equals_the_library(monkeypatch):
+    library = Tokenizer.from_file(BYTE)
+    texts = odd_texts(4000, 3) + ["a  b", " a", "a ", "a \n b", "\n\n a b", " ", "x" * 3000, "".join(map(chr, range(1, 0x260))), " \u0250a b", "été\x85 ²b"]
+    for memory in (sstable.MEMORY_BYTES, 2000):
+        monkeypatch.setattr(sstable, "MEMORY_BYTES", memory)
+        coder = sstable.PieceEncoder(BYTE)
+        for t in texts + texts[:500]:
+            assert np.frombuffer(coder.encode(t), "<u2").tolist() == library.encode(t, add_special_tokens=False).ids, t
+    assert coder.encode(None) == coder.encode("") == b"" and coder.pieces.held < 3000 and len(coder.pieces) < 30
+
+
+def test_piece_encoder_leaves_other_vocabularies_to_the_library(tmp_path):
+    with open(BYTE, encoding="utf-8") as f:
+        made = json.load(f)
+    made["normalizer"] = {"type": "Lowercase"}
+    changed = tmp_path / "lower.json"
+    changed.write_text(json.dumps(made), encoding="utf-8")
+    for path in (str(changed), WORD):
+        coder, library = sstable.PieceEncoder(path), Tokenizer.from_file(path)
+        for t in ["Hello World's END", *odd_texts(200, 5)]:
+            assert np.frombuffer(coder.encode(t), coder.kind).tolist() == library.encode(t, add_special_tokens=False).ids
 
 
 def test_shards(spark):
     library = Tokenizer.from_file(BYTE)
     rng = random.Random(4)
     texts = {i: " ".join(f"w{rng.randint(0, 9999)}" for _ in range(rng.randint(0, 60))) for i in range(-20, 400)}
-    rows = [*texts.items(), (7, texts[7]), (1000, None), (1001, ""), (None, "no id"), (2000, "long " * 20_000)]
+    rows = [*texts.items(), (7, texts[7]), (7, texts[8]), (1000, None), (1001, ""), (None, "no id"), (None, "none"), (2000, "long " * 20_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("start", F.lit(1))
     shards = sstable.write(docs.repartition(3), BYTE, 2, shard_bytes=4000)
     assert shards.manifest.count() > 4
     got = sorted(sstable.read(shards, spark).collect(), key=lambda r: r.start)
-    start = 0
-    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
-    assert len(got) == len(rows)
-    for r, (doc, text) in zip(got, ordered, strict=True):
-        ids = [*library.encode(text or "", add_special_tokens=False).ids, 2]
-        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (doc, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
-        start += len(ids)
-    wanted = spark.createDataFrame([(x,) for x in (-20, 7, 399, 2000, 12345, None)], "doc_id long")
+    assert [r.doc_id for r in got] == sorted((d for d, _ in rows), key=lambda d: (d is not None, d or 0))
+    start, digest = 0, lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    want = sorted((str(doc), digest([*library.encode(text or "", add_special_tokens=False).ids, 2])) for doc, text in rows)
+    assert sorted((str(r.doc_id), r.ids_crc32) for r in got) == want
+    for r in got:
+        assert r.start == start
+        start += r.n_tokens
+    wanted = spark.createDataFrame([(x,) for x in (-20, 7, 399, 2000, 12345, None, 7)], "doc_id long")
     found = defaultdict(list)
     for r in sstable.lookup(shards, wanted).collect():
         found[r.doc_id].append(r.ids)
-    assert {k: len(v) for k, v in found.items()} == {-20: 1, 7: 2, 399: 1, 2000: 1}
+    assert {k: len(v) for k, v in found.items()} == {-20: 1, 7: 3, 399: 1, 2000: 1}
     assert found[399][0] == [*library.encode(texts[399], add_special_tokens=False).ids, 2]
     assert sstable.read(sstable.write(docs.limit(0), BYTE, 2), spark).collect() == []
 
 
+def test_an_id_of_many_rows_is_spread_over_ranges(spark):
+    docs = spark.range(4000).select(F.lit(5).cast("long").alias("doc_id"), F.concat(F.lit("t "), F.col("id").cast("string")).alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = sstable.write(docs, BYTE, 2).manifest
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r.n for r in manifest.groupBy("range").agg(F.sum("n_docs").alias("n")).collect()]
+    assert sum(sizes) == 4000 and max(sizes) < 2500
+
+
 def mixing_docs(spark):
     rows = [(i, "w " * (1 + i % 5), "big" if i % 4 else f"s{i % 3}") for i in range(3000)] + [(5000, None, "empty"), (5001, "a b", None), (5001, "a b", None)]
     return spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("pass", F.lit("clash")), rows
