@@ -363,11 +363,18 @@ def lookup(shards: Shards, wanted: DataFrame, id_col: str = "doc_id") -> DataFra
     """(doc_id, ids) of the wanted ids that are stored; ids in no shard give no row.
 
     Each wanted id meets the shards whose range holds it; there the Bloom filter, the block
-    index and one block are read.
+    index and one block are read. Quantiles of the shards' first ids cut the ids into about
+    as many sections as each has shards, so that ids and shards are joined by section.
+    Shards follow each other, so few are in more than one. Null ids are not looked up.
     """
     folder = shards.folder
-    ids = wanted.select(F.col(id_col).cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull()).distinct()
-    met = ids.join(shards.manifest.select("name", "first_id", "last_id"), F.col("doc_id").between(F.col("first_id"), F.col("last_id")))
+    held = shards.manifest.where("first_id IS NOT NULL").select("name", "first_id", "last_id")
+    sections = min(1000, int(held.count() ** 0.5))
+    cuts = sorted({int(x) for x in held.stat.approxQuantile("first_id", [k / sections for k in range(1, sections)], 0.001)}) if sections > 1 else []
+    section = lambda c: F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x <= c)) if cuts else F.lit(0)
+    ids = wanted.select(F.col(id_col).cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull()).distinct().withColumn("section", section(F.col("doc_id")))
+    spread = held.withColumn("section", F.explode(F.sequence(section(F.col("first_id")), section(F.col("last_id")))))
+    met = ids.join(spread, "section").where(F.col("doc_id").between(F.col("first_id"), F.col("last_id")))
     grouped = met.groupBy("name").agg(F.collect_list("doc_id").alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -114,7 +114,10 @@ def test_shards(spark):
         found[r.doc_id].append(r.ids)
     assert {k: len(v) for k, v in found.items()} == {-20: 1, 7: 3, 399: 1, 2000: 1}
     assert found[399][0] == [*library.encode(texts[399], add_special_tokens=False).ids, 2]
-    assert sstable.read(sstable.write(docs.limit(0), BYTE, 2), spark).collect() == []
+    everything = {r.doc_id for r in sstable.lookup(shards, docs.select("doc_id")).collect()}
+    assert everything == {d for d, _ in rows if d is not None}
+    empty = sstable.write(docs.limit(0), BYTE, 2)
+    assert sstable.read(empty, spark).collect() == sstable.lookup(empty, wanted).collect() == []
 
 
 def test_an_id_of_many_rows_is_spread_over_ranges(spark):
