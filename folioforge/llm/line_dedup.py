@@ -1,4 +1,13 @@
-"""Line dedup: repeated runs of lines, found by prefix doubling, lose their later copies."""
+"""Line dedup: repeated runs of lines, found by prefix doubling, lose their later copies.
+
+The suffix array of the corpus's line-id sequences is held as the ranks of its suffixes by
+prefixes of 2**k lines (``suffix_ranks``). Two suffixes have a longest common prefix of L
+lines or more if and only if, with 2**k <= L < 2**(k + 1), their level-k ranks are equal at
+their start and at L - 2**k lines on: the two overlapping stretches of 2**k lines cover just
+the first L lines. So (L, the two ranks) names the longest-common-prefix interval of depth L
+that a suffix lies in, and the intervals need not be walked from one sorted neighbour to the
+next, which would be one chain through all partitions.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +22,16 @@ DOC = ["doc_id", "tk"]
 
 
 def _stripped(line: Column) -> Column:
-    return F.regexp_replace(line, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(line, F.lit(" \t\n\x0b\f\r"))
+
+
+def _n_words(line: Column) -> Column:
+    """The words of a stripped line; where single blanks part them, these are counted, which is faster than a pattern."""
+    odd = F.lit(False)
+    for gap in ("  ", "\t", "\x0b", "\f", "\r"):
+        odd = odd | F.contains(line, F.lit(gap))
+    blanks = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
+    return F.when(odd, F.size(F.split(line, f"{SPACE}+"))).otherwise(blanks + 1).cast("long")
 
 
 def numbered_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -25,7 +43,7 @@ def numbered_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     full = F.filter(F.transform(F.split(filled(F.col(text_col)), "\n"), _stripped), lambda x: x != "")
     parts = F.transform(
         full,
-        lambda x, i: F.struct(i.alias("pos"), F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(7), x).alias("h2"), F.size(F.split(x, f"{SPACE}+")).cast("long").alias("words")),
+        lambda x, i: F.struct(i.alias("pos"), F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(7), x).alias("h2"), _n_words(x).alias("words")),
     )
     per_doc = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("tk"), parts.alias("parts")).where(F.size("parts") > 0)
     lines = per_doc.groupBy(*DOC).agg(F.first("parts").alias("parts")).select(*DOC, F.explode("parts").alias("x")).select(*DOC, "x.*")
@@ -83,9 +101,8 @@ def repeated_runs(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
 
     A run is a maximal stretch of lines (blank ones left out of the count) of ``min_words``
     words or more in all, each part of which stands earlier in the corpus, by doc_id and
-    line. Windows with the same longest-common-prefix interval are equal: the interval of a
-    prefix of any length between 2**k and 2**(k+1) is named by the level-k ranks of its two
-    overlapping halves. The earliest window of an interval stays and the others are runs.
+    line. The windows of one longest-common-prefix interval (see the module) are equal; the
+    earliest of them stays and the others are runs.
     """
     lines = materialise(numbered_lines(docs, id_col, text_col), "lines")
     levels = suffix_ranks(lines, min_words)
@@ -118,7 +135,8 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     is unchanged, also null and empty ones. Rows equal in id and text lose the same lines.
     A clash with a new column's name is settled for the new column.
     """
-    found = repeated_runs(docs.select(id_col, text_col), min_words, id_col, text_col)
+    # From a table, whose size Spark knows: where few documents lose lines, no text is shuffled.
+    found = materialise(repeated_runs(docs.select(id_col, text_col), min_words, id_col, text_col), "runs")
     found = found.select(F.col("doc_id").alias("__rd"), F.col("tk").alias("__rt"), F.col("runs").alias("__runs"))
     new = ["n_lines", "n_removed"]
     keyed = docs.drop(*new).withColumn("__tk", text_key(F.col(text_col)))

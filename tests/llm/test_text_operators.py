@@ -75,6 +75,7 @@ def naive_runs(rows, keys, least=50):
 def test_line_dedup(spark):
     rng = random.Random(6)
     lines = [" ".join(f"w{rng.randint(0, 99)}" for _ in range(rng.choice([1, 3, 10, 30, 60]))) for _ in range(SEED_LINES)]
+    lines += ["\x0b" + lines[3] + " \t", "  ".join(f"d{k}" for k in range(49)), "\t".join(f"t{k}" for k in range(51)), "\r" + "é\x85 " * 50]
     whole = "\n".join(lines)
     rows = [(i, "\n".join(rng.choice([*lines, "", " "]) for _ in range(rng.randint(0, 9)))) for i in range(60)]
     rows += [(1000, None), (1001, ""), (1002, whole), (1003, whole), (1003, whole), (None, whole), (1002, "x\n" + whole)]
@@ -94,6 +95,30 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(docs.limit(0)).collect() == []
 
 
+def test_ranks_name_the_intervals_of_a_suffix_array(spark):
+    rng = random.Random(16)
+    docs = [[rng.choice("abc") for _ in range(rng.randint(1, 14))] for _ in range(25)]
+    docs += [docs[0] * 3, docs[1] + docs[2]]
+    lines = frame(spark, [(d, 0, i, ord(x), 0) for d, doc in enumerate(docs) for i, x in enumerate(doc)], "doc_id long, tk long, pos int, h1 long, h2 long")
+    levels = [{(r.doc_id, r.pos): r["rank"] for r in level.collect()} for level in line_dedup.suffix_ranks(lines, 8)]
+    assert len(levels) == 4
+    array_ = sorted((doc[i:], d, i) for d, doc in enumerate(docs) for i in range(len(doc)))
+    common = [0] + [next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b))) for (a, _, _), (b, _, _) in zip(array_, array_[1:], strict=False)]
+    for depth in range(1, 16):
+        intervals, k = [], depth.bit_length() - 1
+        for (suffix, d, i), lcp in zip(array_, common, strict=True):
+            if len(suffix) >= depth:
+                intervals = intervals if lcp >= depth else [*intervals, set()]
+                intervals[-1].add((d, i))
+        named = {}
+        for _, d, i in array_:
+            name = levels[k].get((d, i)), levels[k].get((d, i + depth - (1 << k)))
+            if None not in name:
+                named.setdefault(name, set()).add((d, i))
+        large = lambda sets: sorted(sorted(x) for x in sets if len(x) > 1)
+        assert large(named.values()) == large(intervals)
+
+
 def naive_license(t):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     hits = [(i, label) for i in range(len(w)) for label, p in license_scan.PHRASES if w[i : i + len(p.split())] == p.split()]
