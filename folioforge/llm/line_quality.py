@@ -87,9 +87,13 @@ def line_hashes(text: Column) -> Column:
 
 
 def numbered_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """(doc_id, tk, host, lines): the hashes and words of each row's lines, written once as they are read twice."""
+    """(doc_id, tk, host, lines): the hashes and words of each document's lines, written once as they are read twice.
+
+    Rows equal in id, text and host are one document; they are put together before the
+    shuffle already, so that a row repeated very often is no hot group.
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("tk"), F.col(host_col).alias("host"), line_hashes(F.col(text_col)).alias("lines"))
-    return materialise(rows, "line-hashes")
+    return materialise(rows.groupBy("doc_id", "tk", "host").agg(F.first("lines").alias("lines")), "line-hashes")
 
 
 def frequent_lines(numbered: DataFrame, limits: LineLimits) -> DataFrame:
@@ -103,17 +107,17 @@ def frequent_lines(numbered: DataFrame, limits: LineLimits) -> DataFrame:
 def removed_lines(numbered: DataFrame, bad: DataFrame) -> DataFrame:
     """(doc_id, tk, host, removed, total, bad_lines) of the documents that have frequent lines: words in these, in all lines, and their hashes."""
     total = F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["words"])
-    lines = numbered.select("doc_id", "tk", "host", total.alias("total"), F.posexplode("lines").alias("pos", "x")).select("doc_id", "tk", "host", "total", "pos", "x.h", "x.words")
+    lines = numbered.select("doc_id", "tk", "host", total.alias("total"), F.explode("lines").alias("x")).select("doc_id", "tk", "host", "total", "x.h", "x.words")
     hit = join_on(lines, bad.select("host", "h"), ["host", "h"])
-    once = hit.groupBy("doc_id", "tk", "host", "pos", "h").agg(F.max("words").alias("words"), F.max("total").alias("total"))  # rows equal in id and text fall together
-    return once.groupBy("doc_id", "tk", "host").agg(F.sum("words").alias("removed"), F.max("total").alias("total"), F.collect_set("h").alias("bad_lines"))
+    return hit.groupBy("doc_id", "tk", "host").agg(F.sum("words").alias("removed"), F.max("total").alias("total"), F.collect_set("h").alias("bad_lines"))
 
 
 def apply_rules(docs: DataFrame, limits: LineLimits = LineLimits(), id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """``docs`` with the counts, base_failed, kept, removed_words and clean_text.
 
-    For each host the documents of every normalised line are counted (rows that repeat an id
-    count each). Lines over the limits are removed from clean_text; a document left with too
+    For each host the different documents of every normalised line are counted: rows equal in
+    id, text and host are one document, in the line's count and in the host's, and all get
+    its result. Lines over the limits are removed from clean_text; a document left with too
     few of its words is rejected. Null or empty texts have counts of zero and fail the base
     rules; a null host is a host of its own. Other columns of ``docs`` are passed through; a
     clash with a new column's name is settled for the new column.

@@ -10,15 +10,15 @@ w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_fi
 win AS (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) >= 8),
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i:i+7]) AS c FROM win) WHERE c > 1),
 rep AS (SELECT doc_id, sum(g) AS n FROM (SELECT doc_id, least(8, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 8)) AS g FROM twice) GROUP BY doc_id),
-raw AS (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS x FROM d),
-norm AS (SELECT doc_id, source, x FROM (SELECT doc_id, source, trim(regexp_replace(regexp_replace(lower(x), '\p{N}+', '0', 'g'), '[^\p{L}\p{M}0]+', ' ', 'g')) AS x FROM raw) WHERE x <> ''),
-host AS (SELECT source, count(*) AS n FROM d GROUP BY source),
-bad AS (SELECT source, x FROM (SELECT source, x, count(DISTINCT doc_id) AS n FROM norm GROUP BY ALL) l JOIN host h USING (source) WHERE l.n > 10 AND l.n > 0.05 * h.n),
-gone AS (SELECT doc_id, sum(len(string_split(x, ' '))) AS total, sum(CASE WHEN b.x IS NULL THEN 0 ELSE len(string_split(n.x, ' ')) END) AS removed FROM norm n LEFT JOIN bad b USING (source, x) GROUP BY doc_id),
+raw AS (SELECT doc_id, source, md5(t) AS tk, unnest(string_split(t, chr(10))) AS raw, generate_subscripts(string_split(t, chr(10)), 1) AS ln FROM d),
+norm AS (SELECT *, trim(regexp_replace(regexp_replace(lower(raw), '\p{N}+', '0', 'g'), '[^\p{L}\p{M}0]+', ' ', 'g')) AS x FROM raw),
+host AS (SELECT source, count(*) AS n FROM (SELECT DISTINCT source, doc_id, text FROM documents) GROUP BY source),
+bad AS (SELECT source, x FROM (SELECT source, x, count(DISTINCT (doc_id, tk)) AS n FROM norm WHERE x <> '' GROUP BY ALL) l JOIN host h USING (source) WHERE l.n > 10 AND l.n > 0.05 * h.n),
+gone AS (SELECT doc_id, coalesce(sum(len(string_split(x, ' '))) FILTER (WHERE x <> ''), 0) AS total, coalesce(sum(len(string_split(n.x, ' '))) FILTER (WHERE b.x IS NOT NULL), 0) AS removed, coalesce(string_agg(raw, chr(10) ORDER BY ln) FILTER (WHERE b.x IS NULL), '') AS clean FROM norm n LEFT JOIN bad b USING (source, x) GROUP BY doc_id),
 a AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(removed, 0) AS BIGINT) AS removed_words, coalesce(total, 0) AS total FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id)),
+CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(removed, 0) AS BIGINT) AS removed_words, coalesce(total, 0) AS total, CASE WHEN removed > 0 THEN clean ELSE text END AS clean FROM w JOIN documents USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM a)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (removed_words > 0 AND total - removed_words < 0.3 * total) AS kept, removed_words FROM b
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (removed_words > 0 AND total - removed_words < 0.3 * total) AS kept, removed_words, sha256(clean) AS clean_sha256 FROM b
 """
 
 OP5 = r"""

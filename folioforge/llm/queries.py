@@ -29,7 +29,7 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ruled = line_quality.apply_rules(table(spark, sf_dir, "documents"))
-    return ruled.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
+    return ruled.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words", F.sha2("clean_text", 256).alias("clean_sha256"))
 
 
 @query

@@ -55,6 +55,21 @@ def test_frequent_lines_are_removed(spark):
     assert got[101].removed_words == 0 and got[101].clean_text == rows[-1][2]
 
 
+def test_repeated_rows_are_one_document(spark):
+    own = lambda i: " ".join(f"{chr(97 + i)}{chr(97 + k)}" for k in range(25))
+    rows = [(1, "h", own(0))] * 20 + [(2, "h", own(1)), (3, "h", own(2))]
+    shared = [(10 + i, "g", f"The same line\n{own(3 + i)}") for i in range(10)]
+    tables = {10: shared, 11: [*shared, (30, "g", f"the same LINE\n{own(14)}")]}  # 10 documents are not over the limit, 11 are
+    for n, some in tables.items():
+        table = frame(spark, rows + some + some[:1] * 9, "doc_id long, source string, text string")
+        got = line_quality.apply_rules(table).collect()
+        assert len(got) == len(rows) + n + 9
+        assert all(r.kept and r.removed_words == 0 and r.clean_text == r.text for r in got if r.source == "h")
+        for r in got:
+            if r.source == "g":
+                assert r.removed_words == (3 if n == 11 else 0) and ("same" in r.clean_text.lower()) == (n == 10)
+
+
 def naive_runs(rows, keys, least=50):
     """Positions of lines in runs of ``least`` words or more that stand earlier, by trying all runs."""
     order = sorted(set(zip(rows, keys, strict=True)), key=lambda x: (x[0][0] is not None, x[0][0] or 0, x[1]))
