@@ -135,9 +135,9 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     is unchanged, also null and empty ones. Rows equal in id and text lose the same lines.
     A clash with a new column's name is settled for the new column.
     """
-    # From a table, whose size Spark knows: where few documents lose lines, no text is shuffled.
-    found = materialise(repeated_runs(docs.select(id_col, text_col), min_words, id_col, text_col), "runs")
-    found = found.select(F.col("doc_id").alias("__rd"), F.col("tk").alias("__rt"), F.col("runs").alias("__runs"))
+    found = repeated_runs(docs.select(id_col, text_col), min_words, id_col, text_col)
+    # As the runs grow with the corpus, they are merged with the texts at every size.
+    found = materialise(found, "runs").hint("merge").select(F.col("doc_id").alias("__rd"), F.col("tk").alias("__rt"), F.col("runs").alias("__runs"))
     new = ["n_lines", "n_removed"]
     keyed = docs.drop(*new).withColumn("__tk", text_key(F.col(text_col)))
     joined = keyed.join(found, keyed[id_col].eqNullSafe(F.col("__rd")) & (F.col("__tk") == F.col("__rt")), "left")
