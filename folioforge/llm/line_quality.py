@@ -83,7 +83,7 @@ def normalised(line: Column) -> Column:
 def line_hashes(text: Column) -> Column:
     """ARRAY<STRUCT<h, words>> of the lines with a letter or digit, equal lines of the text summed by the caller."""
     lines = F.filter(F.transform(F.split(filled(text), "\n"), normalised), lambda x: x != "")
-    return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(F.split(x, " ")).cast("long").alias("words")))
+    return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), (F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + 1).cast("int").alias("words")))
 
 
 def numbered_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -101,7 +101,8 @@ def frequent_lines(numbered: DataFrame, limits: LineLimits) -> DataFrame:
     per_host = numbered.groupBy("host").agg(F.count("*").alias("host_docs"))
     distinct = numbered.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
     counted = distinct.groupBy("host", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > limits.least_docs)
-    return join_on(counted, per_host, ["host"]).where(F.col("n_docs") > limits.doc_share * F.col("host_docs")).drop("host_docs")
+    over = join_on(counted, per_host, ["host"]).where(F.col("n_docs") > limits.doc_share * F.col("host_docs")).drop("host_docs")
+    return materialise(over, "frequent-lines")  # of a known size, so that Spark broadcasts a small one and shuffles no lines
 
 
 def removed_lines(numbered: DataFrame, bad: DataFrame) -> DataFrame:
