@@ -8,16 +8,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LINE_END = r"\R|[\x1c-\x1e]"
+#: The characters with the Unicode property White_Space, and the four separators below the blank.
+BLANK_POINTS = (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+BLANKS = "".join(map(chr, BLANK_POINTS))
 
 
 def strip(c: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def squeeze(c: Column) -> Column:
     """White space runs as one blank, none at the ends."""
-    return F.trim(F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", " "))
+    return F.trim(F.regexp_replace(c, f"[{BLANKS}]+", " "))
 
 
 def tokens(c: Column) -> Column:
@@ -25,6 +28,11 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(squeeze(c), " "), lambda t: t != "")
 
 
+def count_tokens(c: Column) -> Column:
+    """How many pieces stand between white space."""
+    return let(squeeze(c), lambda t: F.when(t == "", 0).otherwise(F.octet_length(t) - F.octet_length(F.replace(t, F.lit(" "), F.lit(""))) + 1))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)``, with ``value`` evaluated once."""
     return F.transform(F.array(value), body)[0]

@@ -36,10 +36,14 @@ def is_source_or_note(line: Column) -> Column:
     return line.rlike(r"(?i)^\s*(?:Source|Note)\s*:")
 
 
+#: Fixed value: how lines begin that are never left-overs of charts.
+PROTECTED = "^(?:Government|Ministry|CIL|SCCL|NLCIL)"
+
+
 def is_chart_noise(line: Column) -> Column:
     """Whether a trimmed line is a left-over of a chart."""
     letters = F.length(F.regexp_replace(line, "[^A-Za-z0-9]", ""))
-    protected = is_page_marker(line) | is_table_heading(line) | is_source_or_note(line) | line.rlike("^(?:Government|Ministry|CIL|SCCL|NLCIL)")
+    protected = is_page_marker(line) | is_table_heading(line) | is_source_or_note(line) | line.rlike(PROTECTED)
     short = (F.length(line) <= 3) & ~line.rlike(r"(?U)\d") & ~F.upper(line).isin(*lexicon.COMPANY_CODES)
     fragment = line.rlike(r"(?i)^(?:" + "|".join(lexicon.CHART_FRAGMENTS) + r")$")
     return (
@@ -63,7 +67,8 @@ def fix_number(token: Column) -> Column:
 
 def clean_table_line(line: Column) -> Column:
     out = F.regexp_replace(F.replace(line, F.lit("|"), F.lit(" ")), "[¥£€©®™]", "")
-    out = rewrite_matches(out, NUMERIC_TOKEN, fix_number)
+    # Each of O_FIXES needs an o between two digits or dots; a line without one has nothing to fix.
+    out = let(out, lambda x: F.when(x.rlike(r"[\d.][oO][\d.]"), rewrite_matches(x, NUMERIC_TOKEN, fix_number)).otherwise(x))
     for pattern, by in TABLE_REWRITES:
         out = F.regexp_replace(out, pattern, by)
     return strip(out)
@@ -111,7 +116,9 @@ def clean(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     s, cls = F.col("stripped"), F.col("cls")
     text = F.when(cls == "page", squeeze(s)).when(cls == "heading", s).when(cls == "table", clean_table_line(s)).when(cls.isin("source", "text"), clean_normal_line(s)).when(cls == "blank", "")
     out = done.withColumn("text", text)
-    kept = out.where((cls != "noise") & ((cls == "blank") | (F.col("text") != "")))
+    # A filter would be moved below the rewriting and make it twice; as members of an array, texts are made once.
+    one = F.filter(F.array(text), lambda x: (cls != "noise") & ((cls == "blank") | (x != "")))
+    kept = done.withColumn("text", F.explode(one))
     doc = Window.partitionBy("doc_id").orderBy("line_no")
     follows = F.coalesce(F.lead(cls).over(doc) != "blank", F.lit(False))
     opened = F.max((cls != "blank").cast("int")).over(doc) == 1

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions import lexicon
-from folioforge.functions.text import count_of, has_any, joined_lines, let, strip, tokens
+from folioforge.functions.text import count_of, count_tokens, has_any, joined_lines, let, strip
 
-#: The alternatives of a number in their order.
+#: The alternatives of a number in their order, and a year or span of years.
 NUMBER = r"\d{1,3}(?:,\d{2,3})+(?:\.\d+)?|\d+(?:\.\d+)?|\d+(?:\.\d+)?%|-\d+(?:\.\d+)?"
 YEAR = r"\b20\d{2}(?:[-/]\d{2,4})?\b"
 PAGE_SCHEMA = (
@@ -52,26 +52,46 @@ def has_year(line: Column) -> Column:
 
 
 def word_count(line: Column) -> Column:
-    return F.size(tokens(line))
+    return count_tokens(line)
 
 
-def looks_like_row(line: Column) -> Column:
-    """The extractor's rule; one number can do."""
+def _row(x: Column, title: Column) -> Column:
+    """The extractor's rule for rows, from a line and its figures; one number can do."""
+    return (
+        F.when((x["line"] == "") | title | x["source"] | x["number_only"], False)
+        .when((x["words"] > 35) & (x["n"] < 2), False)
+        .when(x["n"] >= 2, True)
+        .otherwise((x["n"] == 1) & ((x["words"] <= 20) | has_year(x["line"]) | F.contains(x["line"], F.lit("%"))))
+    )
+
+
+def _header(x: Column) -> Column:
+    return let(count_of(F.lower(x["line"]), lexicon.HEADER_WORDS), lambda hits: (hits >= 2) | ((hits == 1) & (x["words"] <= 6)))
+
+
+def judged(line: Column) -> Column:
+    """STRUCT of all that one line may be, each figure made once: line, number_only, source, explicit, known, title, section, header, row, continuation, words."""
+    first = F.struct(
+        line.alias("line"), is_number_only(line).alias("number_only"), is_source(line).alias("source"), is_explicit_title(line).alias("explicit"), is_known_title(line).alias("known"),
+        count_numbers(line).alias("n"), word_count(line).alias("words"),
+    )
 
     def told(x: Column) -> Column:
-        n, words = x["n"], x["words"]
-        return (
-            F.when((x["line"] == "") | is_title(x["line"]) | is_source(x["line"]) | is_number_only(x["line"]), False)
-            .when((words > 35) & (n < 2), False)
-            .when(n >= 2, True)
-            .otherwise((n == 1) & ((words <= 20) | has_year(x["line"]) | F.contains(x["line"], F.lit("%"))))
-        )
+        title = (x["line"] != "") & (x["explicit"] | x["known"])
+        return F.struct(
+            x["line"].alias("line"), x["number_only"].alias("number_only"), x["source"].alias("source"), x["explicit"].alias("explicit"), x["known"].alias("known"), title.alias("title"),
+            is_section(x["line"]).alias("section"), _header(x).alias("header"), _row(x, title).alias("row"), is_continuation(x["line"]).alias("continuation"), x["words"].alias("words"),
+        )
+
+    return let(first, told)
 
-    return let(F.struct(line.alias("line"), count_numbers(line).alias("n"), word_count(line).alias("words")), told)
+
+def looks_like_row(line: Column) -> Column:
+    return judged(line)["row"]
 
 
 def looks_like_header(line: Column) -> Column:
-    return let(count_of(F.lower(line), lexicon.HEADER_WORDS), lambda hits: (hits >= 2) | ((hits == 1) & (word_count(line) <= 6)))
+    return judged(line)["header"]
 
 
 def is_continuation(line: Column) -> Column:
@@ -174,15 +194,8 @@ def pages(lines: DataFrame) -> DataFrame:
     one line at a time changes, is a Python function over the page's lines; pages are
     independent, and no task holds more than a batch of them.
     """
-    line = F.col("line")
-    told = paged(lines).select(
-        "doc_id", "page_ord", "page",
-        F.struct(
-            "line_no", "line", is_number_only(line).alias("number_only"), is_source(line).alias("source"), is_explicit_title(line).alias("explicit"), is_known_title(line).alias("known"),
-            is_title(line).alias("title"), is_section(line).alias("section"), looks_like_header(line).alias("header"), looks_like_row(line).alias("row"),
-            is_continuation(line).alias("continuation"), word_count(line).alias("words"),
-        ).alias("x"),
-    )
+    told = paged(lines).select("doc_id", "page_ord", "page", F.struct("line_no", judged(F.col("line")).alias("j")).alias("x"))
+    told = told.select("doc_id", "page_ord", "page", F.struct("x.line_no", "x.j.*").alias("x"))
     whole = told.groupBy("doc_id", "page_ord", "page").agg(F.collect_list("x").alias("lines"))
     read = whole.withColumn("p", F.pandas_udf(_read_pages, PAGE_SCHEMA)("lines"))
     return read.select("doc_id", "page_ord", "page", F.array_join("p.text", "\n").alias("text"), F.col("p.tables").alias("tables"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions import lexicon
-from folioforge.functions.text import squeeze
+from folioforge.functions.storage import materialise
+from folioforge.functions.text import BLANKS, let
 
 MAX_FEATURES, MIN_DF, LEAST_SHARE = 1000, 2, 0.2
 
@@ -21,47 +22,65 @@ def corpus(structured: DataFrame) -> DataFrame:
     return out.where(F.trim("text") != "").select("doc_id", F.concat_ws(".", "page_ord", "pos").alias("part"), "text")
 
 
+#: The sign without which a text cannot hold a match, and what is taken out of it.
+REMOVED = (("---", r"---\s*page\s*\d+\s*---"), ("http", f"https?://[^{BLANKS}]+"), ("www.", f"www\\.[^{BLANKS}]+"), ("@", f"[^{BLANKS}]+@[^{BLANKS}]+"))
+
+
 def clean_for_topics(text: Column) -> Column:
-    """Lower-cased ASCII letters and single blanks; page marks, links, addresses and numbers are gone."""
+    """Lower-cased ASCII letters and single blanks; page marks, links and addresses are gone, numbers as all that are no letters."""
+
+    def without(sign: str, pattern: str):
+        return lambda t: F.when(F.contains(t, F.lit(sign)), F.regexp_replace(t, pattern, " ")).otherwise(t)
+
     out = F.lower(text)
-    for pattern in (r"---\s*page\s*\d+\s*---", r"(?U)https?://\S+|www\.\S+", r"(?U)\S+@\S+", r"\b\d+(?:\.\d+)?\b", r"(?U)[^a-zA-Z\s]"):
-        out = F.regexp_replace(out, pattern, " ")
-    return squeeze(out)
+    for sign, pattern in REMOVED:
+        out = let(out, without(sign, pattern))
+    return F.trim(F.regexp_replace(out, "[^a-zA-Z]+", " "))
 
 
 def terms_of(text: Column) -> Column:
-    """All 1- to 3-grams of the words of two letters or more that are no stop words."""
-    words = F.filter(F.split(clean_for_topics(text), " "), lambda w: (F.length(w) >= 2) & ~w.isin(*lexicon.TOPIC_STOP_WORDS))
+    """All 1- to 3-grams of the words of two letters or more that are no stop words; null where nothing is left of the text."""
 
     def grams(w: Column) -> Column:
         one = lambda n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
         return F.concat(w, one(2), one(3))
 
-    return F.transform(F.array(words), grams)[0]
+    words = lambda t: F.filter(F.split(t, " "), lambda w: (F.length(w) >= 2) & ~w.isin(*lexicon.TOPIC_STOP_WORDS))
+    return let(clean_for_topics(text), lambda t: F.when(t != "", let(words(t), grams)))
 
 
 def weights(parts: DataFrame, group: str | None = None) -> DataFrame:
-    """(group, term, score): mean TF-IDF weight of the kept terms over the parts of a group.
+    """(g, term, score): mean TF-IDF weight of the kept terms over the parts of a group.
 
     Kept are terms in MIN_DF parts or more, of those the MAX_FEATURES most frequent, ties by
     term. Weights are (1 + ln tf)(ln((1 + N)/(1 + df)) + 1), at unit length in each part.
-    Groups with fewer than two parts have no topics. Without ``group`` all parts are one.
+    Groups with fewer than two parts have no topics. Without ``group`` all parts are one, and
+    g is 0.
+
+    The parts are read once: the counts of their terms are written to shared storage, with a
+    row without a term for each part, from which the parts are counted.
     """
-    g = F.col(group) if group else F.lit(0)
-    usable = parts.select(g.alias("g"), F.concat_ws("/", "doc_id", "part").alias("part"), F.col("text").alias("text")).where(clean_for_topics(F.col("text")) != "")
-    n = usable.groupBy("g").agg(F.count("*").alias("n")).where("n >= 2")
-    tf = usable.select("g", "part", F.explode(terms_of(F.col("text"))).alias("term")).groupBy("g", "part", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("g", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where(F.col("df") >= MIN_DF)
+    key = ["g"] if group else []
+    cleaned = parts.select(*([F.col(group).alias("g")] if group else []), F.concat_ws("/", "doc_id", "part").alias("part"), F.explode(_nonempty(terms_of(F.col("text")))).alias("term"))
+    counts = materialise(cleaned.groupBy(*key, "part", "term").agg(F.count("*").alias("tf")), "term-counts")
+    tf = counts.where("term IS NOT NULL")
+    df = tf.groupBy(*key, "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where(F.col("df") >= MIN_DF)
+    n = counts.where("term IS NULL").groupBy(*key).agg(F.sum("tf").alias("n")).where("n >= 2")
     if group:
-        from pyspark.sql import Window
-
-        ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("cf"), "term"))).where(F.col("rank") <= MAX_FEATURES)
+        ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("cf"), "term"))).where(F.col("rank") <= MAX_FEATURES).join(n, "g")
     else:
-        ranked = df.orderBy(F.desc("cf"), "term").limit(MAX_FEATURES)
-    vocabulary = ranked.join(n, "g").select("g", "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"), "n")
-    w = tf.join(vocabulary, ["g", "term"]).withColumn("w", (1 + F.log("tf")) * F.col("idf"))
-    norm = w.groupBy("g", "part").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norm, ["g", "part"]).groupBy("g", "term", "n").agg(F.sum(F.col("w") / F.col("norm")).alias("total")).select("g", "term", (F.col("total") / F.col("n")).alias("score"))
+        total = n.first()  # one figure
+        ranked = df.orderBy(F.desc("cf"), "term").limit(MAX_FEATURES).withColumn("n", F.lit(total.n if total else 0)).where("n >= 2")
+    vocabulary = materialise(ranked.select(*key, "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"), "n"), "vocabulary")
+    w = tf.join(vocabulary, [*key, "term"]).withColumn("w", (1 + F.log("tf")) * F.col("idf"))
+    unit = w.withColumn("u", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*key, "part"))))
+    scored = unit.groupBy(*key, "term", "n").agg(F.sum("u").alias("total"))
+    return scored.select(F.col("g") if group else F.lit(0).alias("g"), "term", (F.col("total") / F.col("n")).alias("score"))
+
+
+def _nonempty(found: Column) -> Column:
+    """The terms of a part and one null that stands for the part; nothing for a part without text."""
+    return F.when(found.isNotNull(), F.concat(found, F.array(F.lit(None).cast("string"))))
 
 
 def is_meaningful(term: Column) -> Column:
@@ -77,18 +96,20 @@ def is_meaningful(term: Column) -> Column:
 def topics(parts: DataFrame, group: str | None = None) -> DataFrame:
     """(g, rank, term, score): meaningful terms of a fifth of the best score or more, without redundant ones.
 
-    A term is redundant if a better-ranked one has all its words. There are at most
-    MAX_FEATURES terms in a group, so the self anti-join stays small.
+    A term is redundant if a better-ranked one has all its words. A group has MAX_FEATURES
+    terms at most, so they are put side by side in one row and compared there.
     """
     good = weights(parts, group).where(is_meaningful(F.col("term"))).withColumn("score", F.round("score", 12))
-    best = good.groupBy("g").agg(F.max("score").alias("best"))
-    kept = good.join(best, "g").where(F.col("score") >= LEAST_SHARE * F.col("best")).select("g", "term", "score", F.split("term", " ").alias("words"))
-    other = kept.select(F.col("g").alias("og"), F.col("term").alias("oterm"), F.col("score").alias("oscore"), F.col("words").alias("owords"))
-    before = (F.col("oscore") > F.col("score")) | ((F.col("oscore") == F.col("score")) & (F.col("oterm") < F.col("term")))
-    left = kept.join(other, (F.col("g") == F.col("og")) & before & (F.size(F.array_except("words", "owords")) == 0), "left_anti")
-    from pyspark.sql import Window
-
-    return left.select("g", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("score"), "term")).alias("rank"), "term", "score")
+    one = F.struct((-F.col("score")).alias("minus"), "term", "score", F.split("term", " ").alias("words"))
+    ranked = good.groupBy("g").agg(F.sort_array(F.collect_list(one)).alias("all"))
+    cut = F.filter("all", lambda x: x["score"] >= LEAST_SHARE * F.col("all")[0]["score"])
+    placed = F.transform(cut, lambda x, i: F.struct(i.alias("place"), x["term"].alias("term"), x["score"].alias("score"), x["words"].alias("words")))
+
+    def left(every: Column) -> Column:
+        covers = lambda x, y: (y["place"] < x["place"]) & (F.size(y["words"]) >= F.size(x["words"])) & (F.size(F.array_except(x["words"], y["words"])) == 0)
+        return F.filter(every, lambda x: ~F.exists(every, lambda y: covers(x, y)))
+
+    return ranked.select("g", F.posexplode(let(placed, left)).alias("pos", "t")).select("g", (F.col("pos") + 1).alias("rank"), "t.term", "t.score")
 
 
 def word_frequencies(texts: DataFrame, text_col: str = "text", top: int | None = 100) -> DataFrame:
