@@ -14,7 +14,8 @@ def search(structured: DataFrame, query: str) -> DataFrame:
     """(doc_id, page_ord, page, kind, table_ord, title, rows, title_match) of the hits for a literal, case ignored.
 
     A page hits with its lines that hold the query; a table hits with its rows that do, or by
-    its title alone (then without rows). Ordered by document, page, page text before tables.
+    its title alone (then without rows). kind is 0 for page text and 1 for a table; ordering
+    by doc_id, page_ord, kind, table_ord is left to the caller, who may need only some hits.
     A blank query hits nothing. ``structured`` is read once: both kinds of hit come from one
     array for each page.
     """
@@ -31,4 +32,4 @@ def search(structured: DataFrame, query: str) -> DataFrame:
     )
     hits = F.filter(F.concat(F.array(page_hit), table_hits), lambda h: (F.size(h["rows"]) > 0) | h["title_match"])
     found = structured.where(F.lit(bool(wanted))).select("doc_id", "page_ord", "page", F.explode(hits).alias("h"))
-    return found.select("doc_id", "page_ord", "page", "h.*").orderBy("doc_id", "page_ord", "kind", "table_ord")
+    return found.select("doc_id", "page_ord", "page", "h.*")

@@ -107,3 +107,21 @@ def render_issues(found: DataFrame) -> DataFrame:
         F.lit("Issues:"), F.array_join(F.transform("issues", lambda i: F.concat(F.lit("  - "), i)), "\n"), F.lit("-" * 70),
     )
     return found.where(F.size("issues") > 0).groupBy("doc_id").agg(joined_lines(F.col("line_no"), block).alias("text"))
+
+
+def render_report(figures: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, text): the validation report of each document of ``figures`` (as ``metrics`` gives them), its figures above its review.
+
+    The labels are those that ``parse_validation_report`` of the sources reads.
+    """
+    entry = lambda label, c: F.concat(F.lit(f"{label} : "), c)
+    text = lambda c: F.col(c).cast("string")
+    head = F.concat_ws(
+        "\n", F.lit("=" * 60), F.lit("OCR VALIDATION REPORT"), F.lit("=" * 60), F.lit(""),
+        entry("Table-like rows inspected", text("table_rows")), entry("Rows requiring review", text("rows_with_issues")), entry("Rows without detected issues", text("rows_without_issues")),
+        entry("Possible OCR issues", text("total_issues")), entry("Validation Quality", F.format_string("%.2f%%", F.col("validation_quality"))), F.lit(""),
+        F.lit("Numbers are reported as they stand; none was changed."), F.lit(""),
+    )
+    blocks = render_issues(found).withColumnRenamed("text", "blocks")
+    joined = figures.join(blocks, "doc_id", "left")
+    return joined.select("doc_id", F.concat_ws("\n", head, F.coalesce("blocks", F.lit("No issues were found."))).alias("text"))

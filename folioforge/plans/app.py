@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioforge.functions.storage import materialise
 from folioforge.functions.text import to_lines
 from folioforge.operators import cleaning, report, retrieval, search, structure, topics, validation
 from folioforge.sources import documents as sources
@@ -57,11 +59,15 @@ def run_word_frequencies(done: Processed) -> DataFrame:
     return topics.word_frequencies(done.pages)
 
 
+def run_validation_reports(done: Processed) -> DataFrame:
+    """(doc_id, text): figures and review of each document."""
+    return validation.render_report(done.metrics, done.checked)
+
+
 def run_reports(done: Processed, stamp: str | None = None, language: str = "english") -> DataFrame:
     names = done.docs.select("doc_id", F.col("doc_id").cast("string").alias("name"))
-    return report.report_lines(
-        structure.document_info(done.docs, done.pages), report.document_text(done.pages), report.titles(done.pages), done.metrics, names, stamp, language
-    )
+    pages = materialise(done.pages, "pages")  # read three times
+    return report.report_lines(structure.document_info(done.docs, pages), report.document_text(pages), report.titles(pages), done.metrics, names, stamp, language)
 
 
 def dashboard(done: Processed) -> DataFrame:
@@ -80,4 +86,5 @@ def respond(done: Processed | None, question: str, embed: Callable, embed_query:
         chunks = retrieval.split_long(retrieval.page_chunks(done.pages))
         return retrieval.ask(chunks.withColumn("vector", embed(F.col("text"))), question, embed_query, answer)
     except Exception:  # the caller shows a message, whatever the provider's fault
+        logging.getLogger(__name__).exception("no answer to a question")
         return FAILED

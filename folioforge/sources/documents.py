@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from folioforge.functions import lexicon
 from folioforge.functions.text import strip
 
-#: What turns the bytes of a file into its pages: [(page number, text)], from 1.
-PageTextExtractor = Callable[[bytes], list[tuple[int, str]]]
+#: What turns the bytes of a file into its pages: (page number, text), from 1. In place of a
+#: text there may be a function that recognises it, so that one page's fault is that page's.
+PageTextExtractor = Callable[[bytes], Iterable[tuple[int, str | Callable[[], str]]]]
 
 NO_FILE, UNSUPPORTED = "No file selected", "Unsupported file type"
 STRUCTURED_SCHEMA = (
-    "document struct<file:string,pages_processed:int,tables_detected:int,rows_extracted:int>, "
+    "doc_id string, document struct<file:string,pages_processed:int,tables_detected:int,rows_extracted:int>, "
     "pages array<struct<page:int,text:string,tables:array<struct<title:string,header:array<string>,rows:array<string>,source:string>>>>"
 )
 #: Label of each figure in a written validation report.
@@ -76,19 +77,30 @@ def scan_text(spark: SparkSession, folder: str, pattern: str = "*.txt", skip: tu
     return taken.where(~F.col("doc_id").rlike("^(?:" + "|".join(map(re.escape, skip)) + ")") if skip else F.lit(True)).select("doc_id", "text")
 
 
+def _read_file(extractor: PageTextExtractor, content: bytes) -> Iterator[tuple[int, str, str | None]]:
+    """The pages of one file; faults of a reader are facts about the page or file."""
+    try:
+        for n, found in extractor(content):
+            try:
+                yield n, ((found() if callable(found) else found) or "").strip(), None
+            except Exception as e:
+                yield n, f"[OCR ERROR: {e}]", str(e)
+    except Exception as e:
+        yield 0, f"[OCR ERROR: {e}]", str(e)
+
+
 def extract_pages(files: DataFrame, extractor: PageTextExtractor) -> DataFrame:
     """(path, page_number, text, error): the pages of each file, texts trimmed.
 
-    A file that cannot be read gives one row with page 0 and the error, and fails no task.
+    A page that cannot be recognised has its error as text, and the file's other pages are
+    read. Where the file itself cannot be read on, a row with page 0 has the error. No fault
+    of a reader fails a task.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                try:
-                    rows = [(path, n, (t or "").strip(), None) for n, t in extractor(bytes(content))]
-                except Exception as e:  # any fault of a reader is a fact about the file
-                    rows = [(path, 0, f"[OCR ERROR: {e}]", str(e))]
+                rows = [(path, *page) for page in _read_file(extractor, bytes(content))]
                 yield pd.DataFrame(rows, columns=["path", "page_number", "text", "error"])
 
     return files.select("path", "content").mapInPandas(run, "path string, page_number int, text string, error string")
@@ -104,15 +116,17 @@ def frame_pages(pages: DataFrame, key: str = "path") -> DataFrame:
 def read_structured(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
     """(doc_id, document, pages) of structured JSON, a document in each file or, as ``write_structured`` writes, in each line.
 
-    doc_id is the file's name. Unreadable ones have nulls and keep their text in _corrupt_record.
+    doc_id is the one that was written, as text, else the file's name. Unreadable ones have
+    nulls and keep their text in _corrupt_record.
     """
     raw = spark.read.schema(f"{STRUCTURED_SCHEMA}, _corrupt_record string").option("multiLine", whole_files).json(path)
-    return raw.select(F.url_decode(file_name(F.input_file_name())).alias("doc_id"), "*")
+    name = F.url_decode(file_name(F.input_file_name()))
+    return raw.select(F.coalesce("doc_id", name).alias("doc_id"), "document", "pages", "_corrupt_record")
 
 
 def write_structured(nested: DataFrame, folder: str) -> None:
-    """One JSON object for each document; letters beyond ASCII as they are."""
-    nested.select("document", "pages").write.mode("overwrite").option("ignoreNullFields", "false").json(folder)
+    """One JSON object for each document, with its doc_id; letters beyond ASCII as they are."""
+    nested.select("doc_id", "document", "pages").write.mode("overwrite").option("ignoreNullFields", "false").json(folder)
 
 
 def write_stage(df: DataFrame, folder: str) -> None:
@@ -120,14 +134,24 @@ def write_stage(df: DataFrame, folder: str) -> None:
     df.write.mode("overwrite").parquet(folder)
 
 
-def write_reports(reports: DataFrame, folder: str) -> None:
-    """Report texts as text files, a folder for each document; what stood there is replaced."""
-    reports.select("doc_id", F.array_join("lines", "\n").alias("value")).write.mode("overwrite").partitionBy("doc_id").text(folder)
+def write_reports(reports: DataFrame, folder: str, as_files: bool = False) -> None:
+    """Report texts as a table, which replaces the one there.
+
+    ``as_files`` makes text files instead, a folder for each document, and replaces those of
+    the given documents only; it is for as many documents as a file system takes.
+    """
+    texts = reports.select("doc_id", F.array_join("lines", "\n").alias("value"))
+    if as_files:
+        texts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").text(folder)
+    else:
+        texts.withColumnRenamed("value", "text").write.mode("overwrite").parquet(folder)
 
 
-def read_reports(spark: SparkSession, folder: str) -> DataFrame:
+def read_reports(spark: SparkSession, folder: str, as_files: bool = False) -> DataFrame:
     """(doc_id, text) of the reports that ``write_reports`` wrote; a document without one has no row."""
-    return spark.read.text(folder, wholetext=True).select("doc_id", F.col("value").alias("text"))
+    if as_files:
+        return spark.read.text(folder, wholetext=True).select("doc_id", F.col("value").alias("text"))
+    return spark.read.parquet(folder)
 
 
 def parse_validation_report(text: Column) -> Column:
@@ -142,21 +166,45 @@ def with_derived_figures(figures: DataFrame) -> DataFrame:
     return figures.withColumn("rows_without_issues", rest).withColumn("validation_quality", F.coalesce("validation_quality", F.when(rows > 0, rest / rows * 100)))
 
 
+#: Lengths of the stretches by which names are compared.
+STRETCHES = (1, 2, 4, 8, 16, 32)
+
+
+def _contained(small: DataFrame, large: DataFrame) -> DataFrame:
+    """The pairs of ``small(s, ...)`` and ``large(l, ...)`` where l contains s, which is not empty.
+
+    The beginning of s, as long as the longest stretch that it has, must be one of l's
+    stretches of that length. So the names are joined on stretches, not all with all.
+    """
+    longest = F.greatest(*[F.when(F.length("s") >= k, k).otherwise(0) for k in STRETCHES])
+    begins = small.where(F.col("s") != "").withColumn("__stretch", F.left(F.col("s"), longest))
+    all_of = lambda k: F.when(F.length("l") >= k, F.transform(F.sequence(F.lit(1), F.length("l") - (k - 1)), lambda i: F.substring(F.col("l"), i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    spread = large.withColumn("__stretch", F.explode(F.array_distinct(F.concat(*map(all_of, STRETCHES)))))
+    return begins.join(spread, "__stretch").where(F.contains("l", F.col("s"))).drop("__stretch", "s", "l")
+
+
 def match_reports(names: DataFrame, reports: DataFrame) -> DataFrame:
     """(doc_id, report): for each document ``names(doc_id, name)`` its report among ``reports(report, modified)``.
 
     The report named after the document comes first; else the newest whose normalised name
-    contains the document's or is contained in it. Documents without one are left out.
+    contains the document's or is contained in it. Documents without one are left out, and
+    so are names without an ASCII letter or digit.
     """
     plain = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
-    base = F.regexp_replace(stem(F.col("name")), "^structured_", "")
-    wanted = names.select("doc_id", base.alias("base"))
-    have = reports.select("report", "modified", F.regexp_replace(stem(F.col("report")), "^ocr_validation_report_", "").alias("rbase"))
-    exact = F.col("base") == F.col("rbase")
-    near = exact | F.contains(plain(F.col("base")), plain(F.col("rbase"))) | F.contains(plain(F.col("rbase")), plain(F.col("base")))
-    met = wanted.join(have, near & (plain(F.col("rbase")) != ""))
-    return met.groupBy("doc_id").agg(F.max_by("report", F.struct(exact, F.col("modified"), F.col("report"))).alias("report"))
+    wanted = names.select("doc_id", F.regexp_replace(stem(F.col("name")), "^structured_", "").alias("base")).withColumn("s", plain(F.col("base")))
+    have = reports.select("report", "modified", F.regexp_replace(stem(F.col("report")), "^ocr_validation_report_", "").alias("rbase")).withColumn("l", plain(F.col("rbase")))
+    met = _contained(wanted, have).unionByName(_contained(have.withColumnRenamed("l", "s"), wanted.withColumnRenamed("s", "l")))
+    return met.groupBy("doc_id").agg(F.max_by("report", F.struct(F.col("base") == F.col("rbase"), "modified", "report")).alias("report"))
 
 
 def page_texts(pages: DataFrame) -> DataFrame:
     return pages.where(strip(F.col("text")) != "")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table that fewer than half as many tasks as there are cores would read is dealt evenly over the cores.
+
+    A small file of one row group is one task, however long its rows take to work on.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df

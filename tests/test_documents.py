@@ -60,7 +60,7 @@ def test_nested_round_trip(spark, tmp_path):
     assert row[1].pages == []
     sources.write_structured(nested, str(tmp_path / "out"))
     back = sources.read_structured(spark, str(tmp_path / "out"), whole_files=False)
-    assert sorted(r.document.pages_processed for r in back.collect()) == [0, 3]
+    assert sorted((r.doc_id, r.document.pages_processed) for r in back.collect()) == [("0", 3), ("1", 0)]
     assert structure.from_documents(nested).count() == 3
 
 
@@ -232,6 +232,19 @@ def test_sources(spark, tmp_path):
             raise ValueError("empty")
         return list(enumerate(data.decode().split("|"), 1))
 
+    def pagewise(data):
+        def recognise(text):
+            if text == "two":
+                raise ValueError("blurred")
+            return text
+
+        yield from ((n, lambda t=t: recognise(t)) for n, t in enumerate(data.decode().split("|"), 1))
+        if data == b"!":
+            raise ValueError("cut off")
+
+    pages = sources.extract_pages(sources.scan_files(spark, str(tmp_path / "in")), pagewise)
+    assert sorted((r.page_number, r.text, r.error) for r in pages.collect()) == [(0, "[OCR ERROR: cut off]", "cut off"), (1, "!", None), (1, "one", None), (2, "[OCR ERROR: blurred]", "blurred")]
+    assert app.process_files(spark, str(tmp_path / "in"), pagewise).pages.where("page = 2").first().text.endswith("[OCR ERROR: blurred]")
     pages = sources.extract_pages(sources.scan_files(spark, str(tmp_path / "in")), reader)
     assert sorted((r.page_number, r.text, r.error) for r in pages.collect()) == [(0, "[OCR ERROR: empty]", "empty"), (1, "one", None), (2, "two", None)]
     done = app.process_files(spark, str(tmp_path / "in"), reader)
@@ -244,6 +257,9 @@ def test_sources(spark, tmp_path):
     names = spark.createDataFrame([(1, "structured_cleaned_A.json"), (2, "structured_cleaned_zz.json")], "doc_id int, name string")
     reports = spark.createDataFrame([("ocr_validation_report_cleaned_A.txt", 1), ("ocr_validation_report_cleaned_A_2.txt", 9)], "report string, modified int")
     assert [tuple(r) for r in sources.match_reports(names, reports).collect()] == [(1, "ocr_validation_report_cleaned_A.txt")]
+    names = spark.createDataFrame([(1, "structured_cleaned_Annual Report 2024 of the mines.json"), (2, "report.json"), (3, "--.json"), (4, "zz.json")], "doc_id int, name string")
+    reports = spark.createDataFrame([("annual-report-2024.txt", 1), ("REPORT_2024.txt", 5), ("--.txt", 9), ("my-old-report.txt", 3)], "report string, modified int")
+    assert sorted(map(tuple, sources.match_reports(names, reports).collect())) == [(1, "REPORT_2024.txt"), (2, "REPORT_2024.txt")]
 
 
 def test_imaging(spark):
@@ -279,6 +295,39 @@ def test_json_chunks(spark):
 
 def test_reports_are_written_and_replaced(spark, tmp_path):
     reports = spark.createDataFrame([(1, ["a", "b"]), (2, ["c"])], "doc_id int, lines array<string>")
-    for _ in range(2):
-        sources.write_reports(reports, str(tmp_path / "r"))
-    assert sorted((r.doc_id, r.text.rstrip("\n")) for r in sources.read_reports(spark, str(tmp_path / "r")).collect()) == [(1, "a\nb"), (2, "c")]
+    again = spark.createDataFrame([(2, ["d"])], "doc_id int, lines array<string>")
+    read = lambda files: sorted((r.doc_id, r.text.rstrip("\n")) for r in sources.read_reports(spark, str(tmp_path / f"r{files}"), files).collect())
+    for files in (False, True):
+        for _ in range(2):
+            sources.write_reports(reports, str(tmp_path / f"r{files}"), files)
+        assert read(files) == [(1, "a\nb"), (2, "c")]
+        sources.write_reports(again, str(tmp_path / f"r{files}"), files)
+    assert read(False) == [(2, "d")] and read(True) == [(1, "a\nb"), (2, "d")]
+
+
+def test_validation_report_is_read_back(spark):
+    done = app.process_texts(docs(spark, GOLDEN, "1 2 3 4x4 5,5,5\n1 2 3", ""))
+    text = {r.doc_id: r.text for r in app.run_validation_reports(done).collect()}
+    figures = {r.doc_id: r for r in done.metrics.collect()}
+    assert set(text) == set(figures) == {0, 1, 2}
+    for doc, t in text.items():
+        read = one(spark, sources.parse_validation_report, t)[0]
+        for name in sources.REPORT_FIGURES:
+            assert read[name] == pytest.approx(figures[doc][name], abs=0.005)
+    assert "Attached letters/numbers: '4x4'" not in text[0] and "  - " in text[1] and text[2].endswith("No issues were found.")
+
+
+def test_topics_of_groups_are_those_of_each_alone(spark):
+    rng = random.Random(31)
+    words = ["coal", "mine", "output", "power", "rail", "port", "x1", "the"]
+    rows = [(g, f"{g}.{i}", " ".join(rng.choice(words) for _ in range(rng.randint(0, 12)))) for g in range(3) for i in range(g * 4)]
+    parts = spark.createDataFrame(rows, "doc_id int, part string, text string")
+    together = sorted((r.g, r["rank"], r.term, round(r.score, 9)) for r in topics.topics(parts, "doc_id").collect())
+    alone = [(g, r["rank"], r.term, round(r.score, 9)) for g in range(3) for r in topics.topics(parts.where(F.col("doc_id") == g)).orderBy("rank").collect()]
+    assert together == alone and {g for g, *_ in together} == {1, 2}
+
+
+def test_small_tables_are_spread(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert sources.spread(spark.range(100).coalesce(1)).rdd.getNumPartitions() == cores
+    assert sources.spread(spark.range(0, 100, 1, cores)).rdd.getNumPartitions() == cores
