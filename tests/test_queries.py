@@ -36,9 +36,8 @@ def test_query_equals_sql(spark, sql, name):
     assert rows(df.select(*columns).collect()) == rows(want.select(*columns).fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_query_runs(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+def test_every_query_has_its_sql():
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry(spark):
