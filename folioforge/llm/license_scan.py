@@ -35,48 +35,82 @@ class ScanRules:
     least_share: float = 0.6
 
 
+#: Template grams for which a table of so many slots holds which hash remainders occur; beyond, all grams are joined.
+FEW_GRAMS, SLOTS = 2048, 1 << 15
+#: Template grams that are broadcast at most, a few hundred bytes each.
+BROADCAST_GRAMS = 100_000
+
+
 def _grams(words: Column, k: int) -> Column:
     """The hash of the k words from each position on."""
     hashed = lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)])
     return F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(0), F.size(words) - k), hashed)).otherwise(F.array().cast("array<bigint>"))
 
 
-def _template_grams(spark: SparkSession, k_of) -> DataFrame:
-    """(template, label, length, gram, tpos): one row for each position of the fixed templates above, a few hundred in all."""
-    rows = []
-    for t, (label, phrase) in enumerate((*PHRASES, *TEMPLATES)):
-        words, k = phrase.split(), k_of(t)
-        rows += [(t, label, len(words), k, i, words[i : i + k]) for i in range(len(words) - k + 1)]
-    made = spark.createDataFrame(rows, "template int, label string, length int, k int, tpos int, words array<string>")
-    gram = F.when(F.col("k") == 2, F.xxhash64(F.get("words", F.lit(0)), F.get("words", F.lit(1))))
-    for k in {r[3] for r in rows} - {2}:
-        gram = gram.when(F.col("k") == k, F.xxhash64(*[F.get("words", F.lit(j)) for j in range(k)]))
-    return made.select("template", "label", "length", "k", "tpos", gram.alias("gram"))
+def base_templates(spark: SparkSession) -> DataFrame:
+    """(name, label, text, phrase) of the phrases and templates of this module."""
+    rows = [(f"{n:03d}", label, text, n < len(PHRASES)) for n, (label, text) in enumerate((*PHRASES, *TEMPLATES))]
+    return spark.createDataFrame(rows, "name string, label string, text string, phrase boolean")
+
+
+def template_grams(templates: DataFrame, rules: ScanRules) -> DataFrame:
+    """(template, label, phrase, length, k, tpos, gram, gwords): one row for each position of each template ``(name, label, text, phrase)``.
+
+    Phrases have grams of two words, others of ``rules.k``; templates of fewer words have none.
+    """
+    words = words_of(lower_ascii(filled(F.col("text"))), SEPARATOR)
+    listed = templates.select(F.col("name").alias("template"), "label", F.coalesce("phrase", F.lit(False)).alias("phrase"), words.alias("words"))
+    listed = listed.withColumn("k", F.when(F.col("phrase"), 2).otherwise(rules.k)).withColumn("length", F.size("words"))
+    grams = F.when(F.col("phrase"), _grams(F.col("words"), 2)).otherwise(_grams(F.col("words"), rules.k))
+    spread = listed.select("*", F.posexplode(grams).alias("tpos", "gram"))
+    return spread.select("template", "label", "phrase", "length", "k", "tpos", "gram", F.slice("words", F.col("tpos") + 1, F.col("k")).alias("gwords"))
 
 
-def scan(docs: DataFrame, rules: ScanRules = ScanRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Spans: (doc_id, tk, template, label, phrase boolean, first, last, share) with word positions from 0.
+def _candidates(docs: DataFrame, grams: DataFrame, rules: ScanRules, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, tk, k, pos, gram, gwords): the rolling grams of the texts that may be a template's.
+
+    Where the templates are few, only grams whose hash has the remainder of a template's are
+    made into rows; this loses none.
+    """
+    few = grams.select("gram").distinct().limit(FEW_GRAMS + 1).collect()
+    slots = ["0"] * SLOTS
+    for r in few:
+        slots[r.gram % SLOTS] = "1"
+    marked = F.split(F.lit(",".join(slots)), ",").cast("array<tinyint>")  # folded to one constant
+    seen = (lambda g: F.get(marked, F.pmod(g, F.lit(SLOTS)).cast("int")) == 1) if len(few) <= FEW_GRAMS else (lambda g: F.lit(True))
 
-    The hash of every rolling k-gram of every text meets those of the templates in a join;
-    the template table is the constant one of this module, so it is broadcast. Hits are
-    counted by diagonal (text position minus template position), as sets, so rows equal in
-    id and text give each span once. A phrase is found where all its grams vote for one
+    def found(w: Column, k: int) -> Column:
+        placed = F.transform(_grams(w, k), lambda g, i: F.when(seen(g), F.struct(i.alias("pos"), g.alias("gram"))))
+        return F.transform(F.array_compact(placed), lambda x: F.struct(F.lit(k).alias("k"), x["pos"].alias("pos"), x["gram"].alias("gram"), F.slice(w, x["pos"] + 1, k).alias("gwords")))
+
+    words = words_of(lower_ascii(filled(F.col(text_col))), SEPARATOR)
+    every = let(words, lambda w: F.concat(found(w, 2), found(w, rules.k)) if rules.k != 2 else found(w, 2))
+    return docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("tk"), F.explode(every).alias("x")).select("doc_id", "tk", "x.*")
+
+
+def scan(docs: DataFrame, rules: ScanRules = ScanRules(), templates: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Spans: (doc_id, tk, template, label, phrase, first, last, share) with word positions from 0.
+
+    The hashes of the rolling k-grams of every text meet those of the templates in a join,
+    which also compares the words themselves: every vote is verified word by word. Votes are
+    counted by diagonal (text position minus template position), as sets, so rows equal in id
+    and text give each span once. A phrase is found where all its grams vote for one
     diagonal. For a longer template, diagonals within ``drift`` of each other are merged and
-    a span is verified if it covers ``least_share`` of the template's words.
+    a span stands if it covers ``least_share`` of the template's words.
+
+    ``templates(name, label, text, phrase)`` are the caller's; without, this module's. Their
+    grams are broadcast up to BROADCAST_GRAMS and joined by a shuffle beyond.
     """
     spark = docs.sparkSession
-    n_phrases = len(PHRASES)
-    grams = F.broadcast(_template_grams(spark, lambda t: 2 if t < n_phrases else rules.k))
-    words = words_of(lower_ascii(filled(F.col(text_col))), SEPARATOR)
-    both = let(words, lambda w: F.array(F.struct(F.lit(2).alias("k"), _grams(w, 2).alias("g")), F.struct(F.lit(rules.k).alias("k"), _grams(w, rules.k).alias("g"))))
-    rolled = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("tk"), F.explode(both).alias("x")).select("doc_id", "tk", "x.k", F.posexplode("x.g").alias("pos", "gram"))
-    hits = rolled.join(grams, ["k", "gram"])
+    grams = materialise(template_grams(base_templates(spark) if templates is None else templates, rules), "template-grams")
+    rolled = _candidates(docs, grams, rules, id_col, text_col)
+    hits = rolled.join(F.broadcast(grams) if grams.count() <= BROADCAST_GRAMS else grams, ["k", "gram", "gwords"])
     diagonal = (F.col("pos") - F.col("tpos")).alias("diagonal")
-    votes = hits.groupBy("doc_id", "tk", "template", "label", "length", "k", diagonal).agg(F.collect_set("tpos").alias("tposes"))
+    votes = hits.groupBy("doc_id", "tk", "template", "label", "phrase", "length", "k", diagonal).agg(F.collect_set("tpos").alias("tposes"))
     votes = materialise(votes, "votes")  # read twice below, and far fewer rows than words
-    exact = votes.where((F.col("template") < n_phrases) & (F.size("tposes") == F.col("length") - F.col("k") + 1))
+    exact = votes.where(F.col("phrase") & (F.size("tposes") == F.col("length") - F.col("k") + 1))
     exact = exact.select("doc_id", "tk", "template", "label", F.lit(True).alias("phrase"), F.col("diagonal").alias("first"), (F.col("diagonal") + F.col("length") - 1).alias("last"), F.lit(1.0).alias("share"))
-    long = votes.where(F.col("template") >= n_phrases).groupBy("doc_id", "tk", "template", "label", "length", "k")
+    long = votes.where(~F.col("phrase")).groupBy("doc_id", "tk", "template", "label", "length", "k")
     long = long.agg(F.sort_array(F.collect_list(F.struct("diagonal", "tposes"))).alias("all"))
     lead = F.transform(F.col("all"), lambda d, i: F.when((i == 0) | (d["diagonal"] - F.get(F.col("all"), i - 1)["diagonal"] > rules.drift), i))
     starts = let(F.filter(lead, lambda i: i.isNotNull()), lambda at: F.transform(at, lambda i, j: F.slice(F.col("all"), i + 1, F.coalesce(F.get(at, j + 1), F.size("all")) - i)))
@@ -89,14 +123,14 @@ def scan(docs: DataFrame, rules: ScanRules = ScanRules(), id_col: str = "doc_id"
     return exact.union(verified)
 
 
-def scan_documents(docs: DataFrame, rules: ScanRules = ScanRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_documents(docs: DataFrame, rules: ScanRules = ScanRules(), templates: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
     n_base counts the places of base phrases, first_word and last_word are the smallest and
     largest start among them (null without). score is the largest verified share of a
     template, 0.0 without any. Null and empty texts have no words and no labels ("").
     """
-    found = scan(docs, rules, id_col, text_col)
+    found = scan(docs, rules, templates, id_col, text_col)
     names = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     base = F.col("phrase")
     per_doc = found.groupBy("doc_id", "tk").agg(
