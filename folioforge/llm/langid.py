@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import small_batches, text_key, text_slices
+from folioforge.llm.common import text_slices
 
 #: Letters kept apart; the others share the codes above by their code point.
 CODES = 96
@@ -93,20 +93,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, profile: Profile = Profile(), lang_col: str = "lang", text_col: str = "text") -> tuple[list[str], np.ndarray]:
-    """(languages, unit prototypes): a row for each non-null label of ``docs``.
+def train(docs: DataFrame, profile: Profile = Profile(), lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> tuple[list[str], np.ndarray]:
+    """(languages, unit prototypes): a row for each non-null label of ``docs`` that has a text with a letter.
 
-    About ``train_docs`` documents of each label, picked by a hash of the text, are bundled:
-    each partition sums unit document vectors by label and the sums are added. A label whose
-    picked texts have no letter has no prototype.
+    About ``train_docs`` documents of each label, picked by a hash of id and text, are
+    bundled: each partition sums unit document vectors by label and the sums are added.
+    Repeated rows are picked or passed over together and count each. A label of which no
+    picked text has a letter is learned from its text with letters of the least hash. Labels
+    are languages: one figure and one vector for each come to the driver.
     """
-    labelled = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    labelled = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), key.alias("key"))
     # One figure for each label, as few as the prototypes; as a literal it needs no join, which would deal texts by language.
     shares = {r.lang: min(1.0, profile.train_docs / r.n) for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not shares:
         return [], np.zeros((0, profile.dim))
     share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[F.col("lang")]
-    picked = labelled.where(F.pmod(text_key(F.col("text")), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text")
+    picked = labelled.where(F.pmod("key", F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text")
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -120,14 +123,21 @@ def train(docs: DataFrame, profile: Profile = Profile(), lang_col: str = "lang",
         vectors = [total[x].astype(float).tolist() for x in langs]
         yield pa.record_batch([pa.array(langs, pa.string()), pa.array(vectors, pa.list_(pa.float64()))], ["lang", "v"])
 
-    part = picked.mapInArrow(bundle, "lang string, v array<double>")
-    summed = part.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
-    rows = summed.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v")).select("lang", F.transform("v", lambda s: s["x"]).alias("v")).orderBy("lang").collect()
-    kept = [(r.lang, np.array(r.v)) for r in rows if np.any(r.v)]
+    def bundled(texts: DataFrame) -> dict[str, np.ndarray]:
+        part = texts.mapInArrow(bundle, "lang string, v array<double>")
+        summed = part.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
+        rows = summed.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v")).select("lang", F.transform("v", lambda s: s["x"]).alias("v")).collect()
+        return {r.lang: np.array(r.v) for r in rows if np.any(r.v)}
+
+    kept = bundled(picked)
+    missing = [x for x in shares if x not in kept]
+    if missing:
+        lettered = labelled.where(F.col("lang").isin(missing) & F.col("text").rlike(r"\p{L}"))
+        kept |= bundled(lettered.groupBy("lang").agg(F.min_by("text", "key").alias("text")))
     if not kept:
         return [], np.zeros((0, profile.dim))
-    matrix = np.stack([v / np.linalg.norm(v) for _, v in kept])
-    return [x for x, _ in kept], matrix
+    languages = sorted(kept)
+    return languages, np.stack([kept[x] / np.linalg.norm(kept[x]) for x in languages])
 
 
 def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, profile: Profile = Profile(), text_col: str = "text") -> DataFrame:
@@ -135,9 +145,9 @@ def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, profi
 
     A text that is null or has no letter, and every text where there is no prototype, is
     ``und`` with score 0. Ties go to the first language by name. The prototypes, one vector
-    for each language, travel with the tasks. Columns of these names are replaced.
+    for each language, travel with the tasks. Texts are read whole, a very long one by itself,
+    and repeated rows get the same result. Columns of these names are replaced.
     """
-    small_batches(docs.sparkSession)
     new = ["lang_pred", "score"]
     kept = docs.drop(*new)
     schema = kept.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
@@ -168,5 +178,5 @@ def identify(docs: DataFrame, profile: Profile = Profile(), id_col: str = "doc_i
     Rows with a null id or label are never learned from.
     """
     known = docs.where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    languages, prototypes = train(known, profile, lang_col, text_col)
+    languages, prototypes = train(known, profile, lang_col, text_col, id_col)
     return predict(docs.withColumn("held_out", held_out(F.col(id_col))), languages, prototypes, profile, text_col)
