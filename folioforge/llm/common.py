@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioforge.functions.storage import materialise, new_path  # noqa: F401  taken from here by the operators
+
 #: ASCII white space, as in the word patterns of the contracts.
 SPACE = r"[\x20\x09-\x0D]"
 
-_own_dirs: dict[str, str] = {}
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once per row, also where ``body`` uses it inside lambdas."""
     return F.transform(F.array(value), body)[0]
@@ -40,29 +37,21 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, upper, upper.lower())
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        _own_dirs[app] = tempfile.mkdtemp(prefix="spark-shared-")
-    return _own_dirs[app]
-
+def running(values: Column, zero: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each value of an array the combination (associative) of all values before it.
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    Blocks of 128 are combined, then the blocks, then the values of a block: an accumulator
+    that held the outputs would be copied at each step.
+    """
+    fold = lambda some: F.aggregate(some, zero, combine)
 
+    def places(v: Column) -> Column:
+        blocks = F.when(F.size(v) > 0, F.sequence(F.lit(0), F.shiftright(F.size(v) - 1, 7))).otherwise(F.array().cast("array<int>"))
+        sums = F.transform(blocks, lambda b: fold(F.slice(v, b * 128 + 1, F.lit(128))))
+        firsts = let(sums, lambda s: F.transform(s, lambda _, b: fold(F.slice(s, F.lit(1), b))))
+        return let(firsts, lambda p: F.transform(v, lambda _, i: combine(F.get(p, F.shiftright(i, 7)), fold(F.slice(v, i - i % 128 + 1, i % 128)))))
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write to shared storage and read back: lineage ends there, so a lost executor costs no earlier stage."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return let(values, places)
 
 
 def same(left: DataFrame, right: DataFrame, columns: Iterable[str]) -> Column:
@@ -103,7 +92,10 @@ def pair_cells(members: DataFrame, key: list[str], member: str, largest: int) ->
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Lowers the session's rows of an Arrow batch, which Spark does not bound by bytes: texts and ids of 10,000 documents at once would fill a worker and the JVM's buffers beside it."""
+    """Lowers the session's rows of an Arrow batch: texts and ids of 10,000 documents at once would fill a worker and the JVM's buffers beside it.
+
+    Operators leave the session as it is; the registered queries and the pipeline call this.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(name))
     if not 0 < now <= rows:

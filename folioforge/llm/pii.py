@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import filled, let
+from folioforge.llm.common import filled, let, running
 
 LOCAL, HOST = "A-Za-z0-9._%+-", "A-Za-z0-9-"
 
@@ -46,6 +46,8 @@ KINDS = (
     Kind("secret", "", SECRET, False, 0.3, r"(?i)\b(?:token|key|secret|password)\b"),
 )
 NAMES = [k.name for k in KINDS]
+#: Characters on either side of a match in which context words are sought.
+NEAR = 40
 
 
 def _digits(x: Column) -> Column:
@@ -79,28 +81,28 @@ def _valid(kind: str, text: Column) -> Column:
     return F.lit(True)
 
 
+FOUND = "struct<start:int,end:int,text:string,before:string,after:string>"
+
+
 def _proposed(kind: Kind, text: Column) -> Column:
-    """ARRAY<STRUCT<start, end, text, before>> of the matches; before is what stands between the last match and this one.
+    """ARRAY<FOUND> of the matches; before and after are what stands between a match and its neighbours, 40 characters at most.
 
     The text splits at just the places where the pattern matches, so lengths of the pieces
     and matches, added up, are the offsets in code points.
     """
 
-    def placed(found: Column, gaps: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string,before:string>>").alias("out"))
+    def placed(hits: Column, gaps: Column) -> Column:
+        sizes = F.transform(hits, lambda h, i: F.length(F.get(gaps, i)) + F.length(h))
 
-        def add(acc: Column, x: Column) -> Column:
-            start = acc["at"] + F.length(x["gap"])
-            end = start + F.length(x["hit"])
-            one = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("text"), F.right(x["gap"], F.lit(40)).alias("before"))
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        def one(at: Column, h: Column, gap: Column, after: Column) -> Column:
+            start = at + F.length(gap)
+            return F.struct(start.alias("start"), (start + F.length(h)).alias("end"), h.alias("text"), F.right(gap, F.lit(NEAR)).alias("before"), F.left(after, F.lit(NEAR)).alias("after"))
 
-        both = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
-        return F.aggregate(both, zero, add, lambda acc: acc["out"])
+        return let(running(sizes, F.lit(0), lambda a, n: a + n), lambda at: F.transform(hits, lambda h, i: one(F.get(at, i), h, F.get(gaps, i), F.get(gaps, i + 1))))
 
-    none = F.array().cast("array<struct<start:int,end:int,text:string,before:string>>")
-    found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    made = let(found, lambda m: F.when(F.size(m) > 0, placed(m, F.split(text, kind.pattern))).otherwise(none))
+    none = F.array().cast(f"array<{FOUND}>")
+    hits = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+    made = let(hits, lambda m: F.when(F.size(m) > 0, let(F.split(text, kind.pattern), lambda gaps: placed(m, gaps))).otherwise(none))
     return F.when(F.contains(text, F.lit(kind.sign)), made).otherwise(none) if kind.sign else made
 
 
@@ -108,10 +110,10 @@ def _scored(number: int, kind: Kind, text: Column) -> Column:
     """The confirmed matches of one kind with their scores."""
 
     def scored(x: Column) -> Column:
-        near = F.when(x["before"].rlike(kind.context), 0.3).otherwise(0.0)
+        near = F.when(x["before"].rlike(kind.context) | x["after"].rlike(kind.context), 0.3).otherwise(0.0)
         return F.struct(
             x["start"].alias("start"), F.lit(number).alias("kind_no"), x["end"].alias("end"), F.lit(kind.name).alias("kind"),
-            F.least(F.lit(1.0), F.lit(kind.score) + near).alias("score"), x["text"].alias("text"),
+            F.round(F.least(F.lit(1.0), F.lit(kind.score) + near), 2).alias("score"), x["text"].alias("text"),
         )
 
     return F.transform(F.filter(_proposed(kind, text), lambda x: _valid(kind.name, x["text"])), scored)
@@ -120,9 +122,10 @@ def _scored(number: int, kind: Kind, text: Column) -> Column:
 def spans(text: Column, least_score: float = 0.5) -> Column:
     """ARRAY<STRUCT<start, kind_no, end, kind, score, text>> of one text, by start and kind; row-local, without a shuffle.
 
-    Base kinds keep every match that passes its check, whatever its score. The method's kinds
-    (account numbers that pass mod 97, hexadecimal secrets) need ``least_score``, which a
-    context word in the 40 characters before the match raises by 0.3.
+    A word of the kind's context within 40 characters on either side, up to the neighbouring
+    match of the kind, raises a match's score by 0.3. Base kinds keep every match that passes
+    its check, whatever its score. The method's kinds (account numbers that pass mod 97,
+    hexadecimal secrets) need ``least_score``.
     """
     parts = [_scored(number, kind, text) for number, kind in enumerate(KINDS)]
     kept = [x if kind.base else F.filter(x, lambda s: s["score"] >= least_score) for kind, x in zip(KINDS, parts, strict=True)]
@@ -135,22 +138,29 @@ def find(docs: DataFrame, least_score: float = 0.5, text_col: str = "text") -> D
 
 
 def redact(docs: DataFrame, least_score: float = 0.5, text_col: str = "text") -> DataFrame:
-    """``docs`` with every span of its text replaced by its kind in brackets; of overlapping spans the first wins."""
+    """``docs`` with every span of its text replaced by its kind in brackets; overlapping spans go together, by the first one's kind."""
     text = filled(F.col(text_col))
 
-    def step(acc: Column, s: Column) -> Column:
-        put = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]"))
-        return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), put.alias("out"))).otherwise(acc)
+    def cleaned(upto: Column) -> Column:
+        """``upto`` is where the spans before each span end."""
+        put = lambda s, at: F.when(s["start"] >= at, F.concat(F.substring(text, at + 1, s["start"] - at), F.lit("["), s["kind"], F.lit("]"))).otherwise("")
+        pieces = F.transform(F.col("pii"), lambda s, i: put(s, F.get(upto, i)))
+        return F.concat(F.array_join(pieces, ""), F.substring(text, F.array_max(F.transform("pii", lambda s: s["end"])) + 1, F.length(text)))
 
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate(F.col("pii"), zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return find(docs, least_score, text_col).withColumn(text_col, F.when(F.size("pii") > 0, clean).otherwise(F.col(text_col)))
+    ends = running(F.transform("pii", lambda s: s["end"]), F.lit(0), lambda a, b: F.greatest(a, b))
+    return find(docs, least_score, text_col).withColumn(text_col, F.when(F.size("pii") > 0, let(ends, cleaned)).otherwise(F.col(text_col)))
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts of the base kinds and the spans as text, kind:start:end by start, then kind, comma-joined."""
+    """Counts of the base kinds, the spans as text (kind:start:end by start, then kind, comma-joined), their number and, in the same order, their scores.
+
+    Null and empty texts have none. Repeated rows and null ids are rows like any other.
+    """
     listed = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter(F.col("pii"), lambda s: s["kind_no"] < 4)
     count = lambda k: F.size(F.filter(F.col("pii"), lambda s: s["kind_no"] == k)).cast("long").alias(f"n_{NAMES[k]}")
     found = docs.select(F.col(id_col).alias("doc_id"), spans(filled(F.col(text_col))).alias("pii"))
-    return found.select("doc_id", *[count(k) for k in range(4)], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"))
+    return found.select(
+        "doc_id", *[count(k) for k in range(4)], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"),
+        F.size("pii").cast("long").alias("n_spans"), F.array_join(F.transform("pii", lambda s: s["score"].cast("string")), ",").alias("scores"),
+    )
