@@ -1,4 +1,8 @@
-"""SimHash near-duplicates: fingerprints of word shingles, compared as bit planes."""
+"""SimHash near-duplicates: fingerprints of word shingles, compared as bit planes.
+
+``near_duplicates`` links by the fingerprints alone; ``similar`` takes a wide radius, whose
+buckets are those of the least shingle hashes, and lets the shingles themselves decide.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import connected_components, filled, materialise, pair_cells, small_batches
+from folioforge.llm.common import connected_components, filled, materialise, pair_cells
 
 BITS = 64
 #: Fingerprints of one cell at most; larger buckets are dealt into pairs of chunks.
@@ -21,6 +25,12 @@ CELL = 4096
 BUCKET = 1500
 #: Shingles counted at a time, which bounds memory on very long texts.
 RUN = 1 << 16
+#: Bands of least hashes and hashes in each: a pair of similarity 0.8 meets in a band in all but 5 of 100,000 cases.
+BANDS, ROWS = 25, 5
+#: Texts of one cell of ``similar`` at most.
+SMALL_CELL = 256
+#: Fingerprints of texts of similarity 0.8 differ in 10 bits in the mean (12 with few shingles), in more than this in under one of a million.
+WIDE = 28
 
 
 def fingerprint_bytes(data: bytes | None, shingle: int = 4, seed: int = 42) -> int:
@@ -131,7 +141,6 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col:
     id take part, with null ids ignored when the smallest is sought. Null or blank texts have
     fingerprint 0 and are linked like any other; repeated rows stay, with the same component.
     """
-    small_batches(docs.sparkSession)
     rows = materialise(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), shingle).alias("fp")), "fingerprints")
     prints = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "distinct-fingerprints")
     masks = tables_for(prints.count(), radius)
@@ -164,14 +173,96 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col:
     )
 
 
-def keep_one(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component, one row for each such id.
+def shingles(data: bytes | None, size: int) -> np.ndarray:
+    """The different XXH64 hashes of the text's word shingles, ascending; a text of fewer words is one shingle."""
+    words = (data or b"").lower().split()  # of bytes, as for the fingerprints
+    if not words:
+        return np.zeros(0, np.uint64)
+    parts = [words] if len(words) < size else zip(*(words[k:] for k in range(size)), strict=False)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x) for x in map(b" ".join, parts)), np.uint64))
+
+
+def set_print(hashes: np.ndarray) -> int:
+    """The signed fingerprint of a set of hashes: a bit is 1 if it is set in over half of them."""
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), RUN):
+        counts += np.unpackbits(hashes[at : at + RUN].view(np.uint8).reshape(-1, BITS // 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big", signed=True)
+
+
+def bands(hashes: np.ndarray, seed: int = 42) -> list[int]:
+    """One signed hash for each band of the MinHash signature; none without shingles."""
+    if not len(hashes):
+        return []
+    rng = np.random.default_rng(seed)
+    a, b = rng.integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 4096):
+        np.minimum(least, (hashes[at : at + 4096, None] * (2 * a + 1) + b).min(axis=0), out=least)
+    return [int.from_bytes(xxhash.xxh64_digest(x.tobytes()), "big", signed=True) for x in least.reshape(BANDS, ROWS)]
+
+
+def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component_id) for every row: the smallest id reachable over links of similar texts.
+
+    Texts link where their sets of word shingles have a Jaccard similarity of ``similarity``
+    or more, computed for every link. Tables of masked bits cannot serve a radius as wide as
+    that needs, so texts share a bucket where they share a band of least shingle hashes;
+    within a bucket, fingerprints of the sets are compared as bit planes, and what is within
+    WIDE bits is verified. Texts of equal sets, and all texts without words, are one vertex.
+    Null ids are ignored when the smallest is sought; null, empty and repeated rows keep a
+    row each.
+    """
+
+    @F.pandas_udf("struct<key: long, fp: long, bands: array<long>>")
+    def sketch(data: pd.Series) -> pd.DataFrame:
+        sets = [shingles(x, shingle) for x in data]
+        keys = [int.from_bytes(xxhash.xxh64_digest(x.tobytes()), "big", signed=True) for x in sets]
+        return pd.DataFrame({"key": keys, "fp": [set_print(x) for x in sets], "bands": [bands(x) for x in sets]})
+
+    sketched = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), sketch(F.col(text_col).cast("binary")).alias("s"))
+    rows = materialise(sketched.select("doc_id", "text", "s.*"), "sketches")
+    classes = materialise(rows.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.first("bands").alias("bands")), "classes")
+    entries = classes.select("key", F.posexplode("bands").alias("band", "value"))
+    shared = entries.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    dealt = pair_cells(materialise(entries.join(shared, ["band", "value"]), "buckets"), ["band", "value"], "key", SMALL_CELL)
+    # Most pairs meet in many bands; cells of the same texts are one.
+    cells = dealt.groupBy("band", "value", "cell_a", "cell_b").agg(F.sort_array(F.collect_list("key")).alias("keys")).where(F.size("keys") > 1)
+    members = materialise(cells.select("keys").distinct().select(F.xxhash64("keys").alias("cell"), F.explode("keys").alias("key")), "cells")
+    texts = rows.join(members.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"), F.first("fp").alias("fp"))
+
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys, texts = pdf["key"].to_numpy(), pdf["text"].tolist()
+        label, edges, sets = np.arange(len(keys)), [], {}
+
+        def of(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingles(texts[i].encode(), shingle)
+            return sets[i]
+
+        for i, others in close_pairs(pdf["fp"].to_numpy(np.int64).view(np.uint64), WIDE):
+            for j in others:
+                if label[i] != label[j]:
+                    few, many = sorted((len(of(i)), len(of(j))))
+                    both = len(np.intersect1d(of(i), of(j), assume_unique=True)) if few >= similarity * many else 0
+                    if both and both >= similarity * (few + many - both):
+                        edges.append((keys[i], keys[j]))
+                        label[label == label[j]] = label[i]
+        return pd.DataFrame(np.array(edges, np.int64).reshape(-1, 2), columns=["u", "v"])
+
+    labels = connected_components(members.join(texts, "key").groupBy("cell").applyInPandas(links, "u long, v long").distinct())
+    member = classes.join(labels, classes.key == labels.node, "left").select("key", "first_doc", F.coalesce("component", "key").alias("component"))
+    first = member.groupBy("component").agg(F.min("first_doc").alias("component_id"))
+    return rows.select("doc_id", "key").join(member.join(first, "component").select("key", "component_id"), "key").select(F.col("doc_id").alias(id_col), "component_id")
+
+
+def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of their component in ``found(id, component_id)``, one row for each such id.
 
     Where rows share that id, the one with the smallest text stays. Documents without words
     are linked with each other, so one of them stays. Rows with a null id cannot be named as
     anyone's copy and stay.
     """
-    found = near_duplicates(docs.select(id_col, text_col), radius, id_col=id_col, text_col=text_col)
     kept = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
     chosen = docs.join(kept, id_col, "left_semi").select(F.col(id_col).alias("__id"), F.struct(*docs.columns).alias("__row"))
     best = chosen.groupBy("__id").agg(F.min_by("__row", filled(F.col(f"__row.{text_col}"))).alias("__row"))

@@ -8,13 +8,13 @@ import os
 import random
 
 import duckdb
-import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from folioforge.llm import minhash, simhash
+from folioforge.llm import simhash
 from folioforge.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -44,6 +44,38 @@ def test_all_ten_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
 
 
+def shingle_set(text, size=5):
+    words = "".join(c.lower() if c.isascii() else c for c in text or "").encode().split()
+    return {b" ".join(words[i : i + size]) for i in range(len(words) - size + 1)} or ({b" ".join(words)} if words else set())
+
+
+def naive_representatives(texts, similarity=0.8):
+    """The smallest id of each group of texts whose sets of shingles are linked by their similarity, by comparing all."""
+    ids = sorted(texts)
+    sets = [shingle_set(texts[i]) for i in ids]
+    label = list(range(len(ids)))
+    for j in range(len(ids)):
+        for i in range(j):
+            if label[i] != label[j] and (sets[i] == sets[j] or (sets[i] & sets[j] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]))):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    return sorted({ids[x] for x in label})
+
+
+def test_pipeline_run(spark, sql):
+    """The rows of the whole pipeline against each stage's brute force on what the stage before kept."""
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    lettered = {d for d, r in docs.items() if any(c.isalpha() for c in r.text or "")}
+    clean = corpus_pipeline.line_dedup_stage(spark, spark.read.parquet(f"{SF}/documents.parquet").where(F.col("doc_id").isin(sorted(lettered))), SF)
+    kept = {r.doc_id: r.text for r in clean.collect()}
+    want = naive_representatives(kept)
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert {r.doc_id for r in got} == set(want)
+    for r in got:
+        assert r.source == docs[r.doc_id].source and list(r.ids) == library.encode(kept[r.doc_id], add_special_tokens=False).ids and r.n_tokens == len(r.ids)
+
+
 def test_pipeline(spark, sql):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
@@ -61,15 +93,7 @@ def test_pipeline(spark, sql):
     assert one.columns == columns
     texts = {r.doc_id: r.text for r in docs.collect()}
     ids = sorted(texts)
-    prints = np.array([simhash.fingerprint_bytes((texts[i] or "").encode()) for i in ids], np.int64).view(np.uint64)
-    links = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 4
-    label = np.array(ids)
-    while True:
-        new = np.array([label[x].min() for x in links])
-        if (new == label).all():
-            break
-        label = new
-    assert sorted(r.doc_id for r in one.collect()) == sorted(set(label.tolist()))
+    assert sorted(r.doc_id for r in one.collect()) == naive_representatives({i: texts[i] for i in ids})
 
     mixed = corpus_pipeline.mix_sources(spark, docs, SF)
     assert mixed.columns == columns and {r.doc_id for r in mixed.select("doc_id").collect()} == set(ids)
@@ -84,12 +108,14 @@ def test_pipeline_on_odd_tables(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     text = "Some words of a text that is long enough to be kept by every stage of it."
     odd = spark.createDataFrame([(1, None, "en", "a", 0), (2, "", None, None, 0), (3, "12 34", "en", "a", 5), (4, text, "en", "a", 70), (4, text, "en", "a", 70), (None, text, "en", "b", 70)], schema)
-    for docs in (odd, odd.limit(0)):
+    for docs, want in ((odd, {4, None}), (odd.limit(0), set())):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             docs = corpus_pipeline.materialise(stage(spark, docs, SF), "stage")
             assert docs.columns == odd.columns
         out = corpus_pipeline.encode(spark, docs, SF).collect()
-    assert out == []
+        assert {r.doc_id for r in out} == want
+        assert all(r.n_tokens == len(r.ids) > 10 for r in out)
+        assert {r.doc_id for r in docs.where("text IS NULL").collect()} == set()
 
 
 def test_pipeline_near_dedup_finds_similarity_of_four_fifths(spark):
@@ -102,11 +128,30 @@ def test_pipeline_near_dedup_finds_similarity_of_four_fifths(spark):
             copy[20 + 38 * k] = "X"
         rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id for r in minhash.keep_one(docs).collect()} == {d for d, _ in rows if d % 2 == 0 or d >= 40}
+    assert {r.doc_id for r in simhash.keep_one(docs, simhash.similar(docs)).collect()} == {d for d, _ in rows if d % 2 == 0 or d >= 40}
     kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, SF).collect()}
     assert {d for d in kept if d < 40} == set(range(0, 40, 2))
 
 
+def test_similar_texts_against_all_pairs(spark, monkeypatch):
+    rng = random.Random(22)
+    base = [[f"w{rng.randint(0, 30)}" for _ in range(rng.choice([1, 4, 6, 9, 30, 90]))] for _ in range(40)]
+    texts = [" ".join(w) for w in base]
+    for w in base * 2:
+        copy = list(w)
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            copy[rng.randrange(len(copy))] = "X"
+        texts.append(" ".join(copy))
+    rows = [*enumerate(texts), (900, None), (901, " \t"), (3, texts[3]), (902, "z " * 30_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit(0))
+    for cell in (256, 3):
+        monkeypatch.setattr(simhash, "SMALL_CELL", cell)
+        found = simhash.similar(docs)
+        assert found.count() == len(rows)
+        assert sorted(r.doc_id for r in simhash.keep_one(docs, found).collect()) == naive_representatives(dict(rows))
+    assert simhash.similar(docs.limit(0)).collect() == []
+
+
 def test_language_stage_without_labels(spark):
     rows = [(1, None, None), (2, "12 34", None), (3, "Some words", None), (None, "été", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")

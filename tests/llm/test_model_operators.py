@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -17,8 +19,10 @@ from tokenizers import Tokenizer
 
 from folioforge.llm import bpe, langid, mixing, simhash, sstable, vectors
 from folioforge.llm.common import connected_components
+from folioforge.llm.queries import QUERIES
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
+SF = "/root/testdata/sf0.001"
 POOLS = [
     "abcdefghijklmnopqrstuvwxyz", "aaaaabbbbb", "thethethe inging", "àéîõüßÀÉΣσςİıǅ", "\x1c\x1d\x1e\x1f\x85\xa0   \t\n\x0b\x0c", "0123456789²½Ⅷ", "'s't're've'm'll'd'S",
     "日本語漢字かな한국어", "😀👍🏽é å", "!?.,;:-_/\\@#$%^&*()<|>", "<|endoftext|><|startoftext|>", "İẞﬁ­​﻿\x00\x01",
@@ -66,6 +70,8 @@ def test_encode_and_decode_columns(spark):
     for r in got:
         ids = library.encode(r.text or "", add_special_tokens=False).ids
         assert r.ids == ids and r.decoded == library.decode(ids, skip_special_tokens=False)
+    nulls = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
+    assert [r.decoded for r in bpe.decode(nulls, WORD).collect()] == ["", ""]
     assert len(got) == 4 and bpe.encode(docs.limit(0), WORD).collect() == []
 
 
@@ -196,6 +202,66 @@ def test_language_id(spark):
     assert langid.identify(docs.limit(0)).collect() == []
 
 
+def test_no_label_is_lost(spark):
+    rows = [(1, "aaa bab aba", "twice")] * 60 + [(i, "123 456" if i % 50 else "xyz zyx", "rare") for i in range(100, 160)] + [(i, "ooo uou", "same") for i in range(200, 290)]
+    docs = spark.createDataFrame([*rows, (999, "12", "none")], "doc_id long, text string, lang string")
+    for seed in range(4):
+        languages, prototypes = langid.train(docs.withColumn("doc_id", F.col("doc_id") + 1000 * seed), langid.Profile(train_docs=2))
+        assert languages == ["rare", "same", "twice"] and prototypes.shape == (3, 512)
+
+
+def test_language_query_on_held_out_documents(spark):
+    got = QUERIES["op6_language_id"](spark, SF).collect()
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert sorted(r.doc_id for r in got) == sorted(docs)
+    out = [r for r in got if r.held_out and docs[r.doc_id].lang]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
+    assert len(out) > 40 and sum(r.lang_pred == docs[r.doc_id].lang for r in out) / len(out) > 0.9
+
+
+def test_token_queries_equal_the_library(spark):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    library, sha = Tokenizer.from_file(WORD), lambda t: hashlib.sha256(t.encode()).hexdigest()
+    got = QUERIES["op3_bpe_round_trip"](spark, SF).collect()
+    assert sorted(r.doc_id for r in got) == sorted(docs)
+    for r in got:
+        ids = library.encode(docs[r.doc_id], add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False)))
+    library, start = Tokenizer.from_file(BYTE), 0
+    got = sorted(QUERIES["op10_token_shards"](spark, SF).collect(), key=lambda r: r.doc_id)
+    for r, doc in zip(got, sorted(docs), strict=True):
+        ids = [*library.encode(docs[doc], add_special_tokens=False).ids, 2]
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (doc, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
+def test_simhash_query_against_all_pairs(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    ids = sorted(docs)
+    prints = np.array([naive_print(docs[i]) for i in ids], np.uint64)
+    label = naive_components(np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 4)
+    got = sorted(map(tuple, QUERIES["op8_simhash_near_dedup"](spark, SF).select("doc_id", "fingerprint", "component_id").collect()))
+    assert got == [(d, f"{p:016x}", ids[x]) for d, p, x in zip(ids, prints, label, strict=True)]
+
+
+def test_mixing_query_draws_the_weights(spark):
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = QUERIES["op2_mix_sources"](spark, SF).collect()
+    assert {r.doc_id for r in got} == set(docs) and len({(r.doc_id, r["pass"]) for r in got}) == len(got)
+    words, tokens, drawn = {d: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for d, r in docs.items()}, defaultdict(int), defaultdict(int)
+    for d, r in docs.items():
+        tokens[r.source] += words[d]
+    for r in got:
+        assert r.source == docs[r.doc_id].source and 0 <= r.block < 200
+        drawn[r.source] += words[r.doc_id]
+    weight = {r.source: r.weight for r in got}
+    assert sum(weight.values()) == pytest.approx(1, abs=1e-6)
+    largest = {s: max(words[d] for d, r in docs.items() if r.source == s) for s in tokens}
+    for s, w in weight.items():
+        assert abs(drawn[s] - w * sum(drawn.values())) <= 0.1 * w * sum(drawn.values()) + 4 * largest[s]
+    assert max(drawn[s] / tokens[s] for s in tokens) < 1.5 * 1.2
+
+
 def test_bound_vectors_are_products_of_permuted_letters():
     profile = langid.Profile(dim=64)
     letters = langid._letters(profile)
@@ -243,7 +309,7 @@ def test_simhash(spark, monkeypatch):
         monkeypatch.setattr(simhash, "CELL", cell)
         got = simhash.near_duplicates(docs).collect()
         assert sorted((str(r.doc_id), r.fingerprint, r.component_id) for r in got) == want
-    kept = simhash.keep_one(docs).collect()
+    kept = simhash.keep_one(docs, simhash.near_duplicates(docs)).collect()
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted({x[2] for x in want})
     assert simhash.near_duplicates(docs.limit(0)).collect() == []
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from folioforge.llm import license_scan, line_dedup, line_quality, pii
+from folioforge.llm.queries import QUERIES
 
 BLANKS = " \t\n\x0b\x0c\r"
 SEED_LINES = 14
@@ -161,6 +163,24 @@ def test_license_scan(spark):
     assert license_scan.scan_documents(docs.limit(0)).collect() == []
 
 
+def test_license_templates_of_the_caller(spark, monkeypatch):
+    docs = frame(spark, [(1, "As we said: Share And Enjoy, my friends, for all of your days."), (2, "share and enjoy the days"), (3, "mit license")])
+    own = spark.createDataFrame([("a", "enjoy", "share and enjoy my friends for all of your days", False), ("b", "short", "share and enjoy", None), ("c", "cry", "Share-and enjoy", True)], "name string, label string, text string, phrase boolean")
+    want = {1: ("cry", "cry,enjoy", 2), 2: ("cry", "cry", 1), 3: ("", "", 0)}
+    for few in (2048, 1):  # also with all grams joined
+        monkeypatch.setattr(license_scan, "FEW_GRAMS", few)
+        got = {r.doc_id: r for r in license_scan.scan_documents(docs, templates=own).collect()}
+        assert {d: (r.base_labels, r.labels) for d, r in got.items()} == {d: w[:2] for d, w in want.items()}
+        assert got[1].score == 1.0 and got[1].n_base == 1 and got[1].first_word == 3
+
+
+def test_license_votes_compare_the_words(spark, monkeypatch):
+    """With hashes that all collide, only equal words vote."""
+    monkeypatch.setattr(license_scan, "_grams", lambda words, k: F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(0), F.size(words) - k), lambda i: F.lit(5).cast("long"))).otherwise(F.array().cast("array<bigint>")))
+    got = {r.doc_id: r.labels for r in license_scan.scan_documents(frame(spark, [(1, "the mit license of old"), (2, "some other words of six")])).collect()}
+    assert got == {1: "mit", 2: ""}
+
+
 def luhn(d):
     return sum(int(c) if i % 2 == 0 else (int(c) * 2 - 9 if int(c) > 4 else int(c) * 2) for i, c in enumerate(reversed(d))) % 10 == 0
 
@@ -196,6 +216,34 @@ def test_pii(spark):
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) == naive_pii(text[r.doc_id]), text[r.doc_id]
 
 
+def test_pii_query_against_patterns(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = QUERIES["op7_pii"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.doc_id for r in got) == sorted(docs)
+    for r in got:
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) == naive_pii(docs[r.doc_id])
+        assert r.n_spans == len(list(filter(None, r.spans.split(",")))) == len(list(filter(None, r.scores.split(","))))
+        listed = [s for s in r.spans.split(",") if s.split(":")[0] in ("email", "ip", "card", "phone")]
+        assert hashlib.sha256(",".join(listed).encode()).hexdigest() == r.base_sha256
+    assert pii.digest(frame(spark, [(1, "x")]).limit(0)).collect() == []
+
+
+def test_pii_in_a_text_of_many_matches(spark):
+    text = "".join(f"user{i}@mail.example.com or " for i in range(16_000))
+    began = time.time()
+    r = pii.digest(frame(spark, [(1, text)])).first()
+    assert r.n_email == r.n_spans == 16_000 and r.base_sha256 == naive_pii(text)[-1] and time.time() - began < 30
+    clean = pii.redact(frame(spark, [(1, text[: 27 * 300])])).first().text
+    assert clean == re.sub(NAIVE[0][1], "[email]", text[: 27 * 300])
+
+
+def test_pii_context_on_both_sides(spark):
+    secret = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    rows = [(1, "write to a@b.cd"), (2, "a@b.cd is my mail"), (3, "a@b.cd"), (4, f'"{secret}" is the password'), (5, f'"{secret}" is not'), (6, "a@b.cd, e@f.gh mail")]
+    got = {r.doc_id: (r.n_spans, r.scores) for r in pii.digest(frame(spark, rows)).collect()}
+    assert got == {1: (1, "1.0"), 2: (1, "1.0"), 3: (1, "0.8"), 4: (1, "0.6"), 5: (0, ""), 6: (2, "0.8,1.0")}
+
+
 def test_pii_own_kinds_and_redaction(spark):
     iban = "GB82 WEST 1234 5698 7654 32"
     secret = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
