@@ -12,16 +12,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.functions.ship import ship
-from folioforge.llm import bpe, langid, line_dedup, minhash, mixing, simhash
-from folioforge.llm.common import materialise
+from folioforge.llm import bpe, langid, line_dedup, mixing, simhash
+from folioforge.llm.common import materialise, small_batches
+from folioforge.sources.documents import spread
 
 #: No source is passed over more often than this.
 MOST_PASSES = 1.5
 
 
+def _prepare(spark: SparkSession) -> None:
+    ship(spark)
+    small_batches(spark)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: null texts and those without a letter, also where no language could be learned."""
-    ship(spark)
+    _prepare(spark)
     found = langid.identify(docs).where(F.col("lang_pred") != langid.UNKNOWN)
     if found.isEmpty():
         return docs.where(F.col("text").rlike(r"\p{L}"))
@@ -37,18 +43,13 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group whose fingerprints are within 4 bits."""
-    ship(spark)
-    return simhash.keep_one(docs)
-
+    """Keeps one document of each group whose 5-word shingles are linked by a similarity of 0.8 or more.
 
-def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates, by fingerprints, then by 5-word shingles of similarity 0.8 or more.
-
-    4 bits find few of the pairs of such a similarity; what the first step keeps is
-    therefore compared by shingles.
+    4 differing bits, the radius of the operator's own query, find few pairs of such a
+    similarity; the stage takes a radius that misses none and verifies the shingles.
     """
-    return minhash.keep_one(near_dedup(spark, docs, sf_dir), similarity=0.8, shingle=5)
+    _prepare(spark)
+    return simhash.keep_one(docs, simhash.similar(docs.select("doc_id", "text"), similarity=0.8, shingle=5))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +60,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each row's whole text, and the digest of what they decode to."""
-    ship(spark)
+    _prepare(spark)
     path = public_tokenizers.path("word_bpe_49k.json")
     decoded = bpe.encode(docs.select("doc_id", "source", "text"), path, with_decoded=True)
     return decoded.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -68,7 +69,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language_id", language_id),
     ("line_dedup", line_dedup_stage),
-    ("near_dedup", near_dedup_stage),
+    ("near_dedup", near_dedup),
     ("mix_sources", mix_sources),
     ("encode", encode),
 ]
@@ -78,7 +79,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
