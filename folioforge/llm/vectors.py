@@ -18,15 +18,20 @@ class Graph:
     """Parameters of the graph and its search."""
 
     threshold: float = 0.9
-    #: Vectors the cluster centres are fitted on, at most about, but two for each centre; a hash picks them.
+    #: Vectors the coarse centres are fitted on at most; a hash picks them.
     sample: int = 20_000
     #: Vectors of a shard aimed at, and the centres a vector is dealt to at least.
     shard: int = 1500
     overlap: int = 3
-    #: Share of pairs just at the threshold that must share a shard; more centres are used for a vector until they do.
-    shared: float = 0.99
+    #: Shards of a coarse cell aimed at, and coarse cells at most.
+    fine: int = 256
+    coarse: int = 2048
+    #: Share of pairs just at the threshold that must share a centre, at each of the two levels; more centres are used for a vector until they do.
+    shared: float = 0.995
+    #: Vectors dealt by one task at a time.
+    dealt: int = 20_000
     #: Vectors of one cell at most about, beyond which a shard is cut into pairs of chunks.
-    cell: int = 2000
+    cell: int = 1000
     #: Candidates and neighbours of a vertex when the graph is pruned, and the pruning factor.
     candidates: int = 64
     degree: int = 24
@@ -78,42 +83,88 @@ def share_together(x: np.ndarray, c: np.ndarray, overlap: int, threshold: float,
     return float(np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(mine, its, strict=True)]))
 
 
-def centres(found: DataFrame, graph: Graph) -> dict[int, tuple[np.ndarray, int]]:
-    """(unit cluster centres, how many of them a vector is dealt to) for each dimension.
+def fit_centres(x: np.ndarray, wanted: float, graph: Graph) -> tuple[np.ndarray, int]:
+    """(unit cluster centres, how many of them a vector is dealt to) from a sample; ``wanted`` centres for an overlap of one.
 
-    The number of centres follows the number of vectors. As pairs share one of their nearest
-    centres less often the more centres there are, the overlap is raised, and the number of
-    centres with it, until ``graph.shared`` of the pairs at the threshold share one.
+    As pairs share one of their nearest centres less often the more centres there are, the
+    overlap is raised, and the number of centres with it, until ``graph.shared`` of the pairs
+    at the threshold share one.
     """
+    order = np.random.default_rng(graph.seed).permutation(len(x))
+    held = min(2000, len(x) // 4)  # vectors that centres are fitted on lie nearer to them than others do; the share is measured on some kept apart
+    apart, fitted = x[order[:held]], x[order[held:]]
+    overlap = 1 if wanted < 1 else graph.overlap
+    while True:
+        c = fitted[: max(1, round(wanted * overlap))]
+        for _ in range(8 if len(c) > 1 else 0):
+            own = nearest_centres(fitted, c, 1)[:, 0]
+            total = np.zeros_like(c)
+            np.add.at(total, own, fitted)
+            norms = np.linalg.norm(total, axis=1, keepdims=True)
+            c = np.where(norms > 1e-9, total / np.maximum(norms, 1e-9), c)
+        if overlap >= len(c) or not len(apart) or share_together(apart, c, overlap, graph.threshold, graph.seed) >= graph.shared:
+            return c, min(overlap, len(c))
+        overlap += max(1, overlap // 4)
+
+
+def coarse_centres(found: DataFrame, graph: Graph) -> dict[int, tuple[np.ndarray, int]]:
+    """The coarse centres of each dimension, fitted on the driver; their number and the sample have fixed bounds."""
     out = {}
     for dim, count in found.groupBy("dim").count().collect():
-        overlap, held = graph.overlap, 0
-        while True:
-            k = max(1, round(count * overlap / graph.shard))
-            most = max(graph.sample, 2 * k)
-            if most > held:
-                held = most
-                share = min(1.0, most / count)
-                picked = found.where((F.col("dim") == dim) & (F.pmod(F.xxhash64(F.lit(graph.seed), "rep"), F.lit(1 << 20)) <= share * (1 << 20))).orderBy("rep").limit(2 * most)
-                x = np.array([r.v for r in picked.select("v").collect()]).reshape(-1, dim)
-            rng = np.random.default_rng(graph.seed)
-            order = rng.permutation(len(x))
-            # Vectors that centres are fitted on lie nearer to them than others do; the share is measured on some kept apart.
-            apart, fitted = x[order[: min(2000, len(x) // 4)]], x[order[min(2000, len(x) // 4) :]]
-            c = fitted[: min(k, len(fitted))]
-            for _ in range(8):
-                own = nearest_centres(fitted, c, 1)[:, 0]
-                total = np.zeros_like(c)
-                np.add.at(total, own, fitted)
-                norms = np.linalg.norm(total, axis=1, keepdims=True)
-                c = np.where(norms > 1e-9, total / np.maximum(norms, 1e-9), c)
-            if overlap >= len(c) or not len(apart) or share_together(apart, c, overlap, graph.threshold, graph.seed) >= graph.shared:
-                break
-            overlap += max(1, overlap // 4)
-        out[dim] = c, overlap
+        wanted = min(graph.coarse, count / graph.shard / graph.fine)
+        if wanted <= 1:
+            out[dim] = np.eye(1, dim), 1
+            continue
+        share = min(1.0, graph.sample / count)
+        picked = found.where((F.col("dim") == dim) & (F.pmod(F.xxhash64(F.lit(graph.seed), "rep"), F.lit(1 << 20)) <= share * (1 << 20))).orderBy("rep").limit(2 * graph.sample)
+        out[dim] = fit_centres(np.array([r.v for r in picked.select("v").collect()]).reshape(-1, dim), wanted, graph)
     return out
 
 
+def deal(found: DataFrame, graph: Graph) -> DataFrame:
+    """(rep, shards): the shards of each vector of ``found(rep, dim, v)``, ascending, by two levels of cluster centres.
+
+    Few coarse centres are fitted on the driver. Each coarse cell fits the centres of its own
+    shards in one task, on a sample in proportion to them, and its vectors are dealt to these
+    in portions, so neither the driver nor a task holds more as the vectors grow.
+    """
+    middle = coarse_centres(found, graph)
+
+    @F.pandas_udf("array<int>")
+    def nearest(dim: pd.Series, v: pd.Series) -> pd.Series:
+        return pd.Series([nearest_centres(np.asarray(x)[None, :], *middle[d])[0].astype(np.int32) for d, x in zip(dim, v, strict=True)])
+
+    cell = ["dim", "coarse"]
+    spread = materialise(found.select("rep", "dim", "v", F.explode(nearest("dim", "v")).alias("coarse")), "coarse-cells")
+    sizes = materialise(spread.groupBy(*cell).agg(F.count("*").alias("size")), "cell-sizes")  # a row for each coarse cell
+    sized = spread.join(F.broadcast(sizes), cell)
+    wanted = F.col("size") / graph.shard
+    share = F.greatest(F.lit(graph.sample / 2), 4 * graph.overlap * wanted) / F.col("size")
+    picked = sized.where(F.pmod(F.xxhash64(F.lit(graph.seed + 1), "rep"), F.lit(1 << 20)) <= share * (1 << 20))
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rep")
+        c, overlap = fit_centres(np.stack(pdf["v"]), pdf["size"].iloc[0] / graph.shard, graph)
+        return pd.DataFrame({"dim": pdf["dim"].iloc[:1].to_numpy(), "coarse": pdf["coarse"].iloc[:1].to_numpy(), "size": pdf["size"].iloc[:1].to_numpy(), "overlap": [overlap], "centres": [c.ravel()]})
+
+    fitted = materialise(picked.groupBy(*cell).applyInPandas(fit, "dim int, coarse int, size long, overlap int, centres array<double>"), "centres")
+    portions = F.ceil(F.col("size") / graph.dealt).cast("long")
+    left = sized.withColumn("portion", F.pmod(F.xxhash64(F.lit(19), "rep"), portions))
+    right = fitted.withColumn("portion", F.explode(F.sequence(F.lit(0).cast("long"), portions - 1)))
+
+    def assign(rows: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame({"rep": [], "shards": []})
+        dim, coarse = int(rows["dim"].iloc[0]), int(rows["coarse"].iloc[0])
+        c = np.asarray(centres["centres"].iloc[0]).reshape(-1, dim)
+        shards = nearest_centres(np.stack(rows["v"]), c, int(centres["overlap"].iloc[0])) + (coarse << 32)
+        return pd.DataFrame({"rep": rows["rep"].to_numpy(), "shards": list(shards)})
+
+    key = [*cell, "portion"]
+    dealt = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(assign, "rep long, shards array<long>")
+    return dealt.groupBy("rep").agg(F.array_sort(F.flatten(F.collect_list("shards"))).alias("shards"))
+
+
 def robust_prune(cosines: np.ndarray, candidates: np.ndarray, degree: int, alpha: float) -> list[int]:
     """Neighbours of one vertex among ``candidates``, nearest first, dropping those much nearer to a kept neighbour.
 
@@ -132,7 +183,7 @@ def robust_prune(cosines: np.ndarray, candidates: np.ndarray, degree: int, alpha
 
 
 def shard_graph(x: np.ndarray, graph: Graph) -> list[list[int]]:
-    """Pruned adjacency lists, made symmetric, of the unit vectors of one shard."""
+    """Pruned adjacency lists of the unit vectors of one shard; reverse edges are added, and lists that grow over twice the degree by them pruned again."""
     n = len(x)
     lists: list[set[int]] = [set() for _ in range(n)]
     take = min(graph.candidates, n - 1)
@@ -145,15 +196,20 @@ def shard_graph(x: np.ndarray, graph: Graph) -> list[list[int]]:
             for j in robust_prune(block, some, graph.degree, graph.alpha):
                 lists[at + r].add(j)
                 lists[j].add(at + r)
+    for r, some in enumerate(lists):
+        if len(some) > 2 * graph.degree:
+            near = np.array(sorted(some))
+            lists[r] = set(robust_prune(np.vstack([x[near] @ x[near].T, x[near] @ x[r]]), near, 2 * graph.degree, graph.alpha))
     return [sorted(s) for s in lists]
 
 
 def graph_parts(adjacency: np.ndarray) -> list[np.ndarray]:
-    """The vertices of each connected component of a symmetric graph, as range_search takes it."""
+    """The vertices of each connected component of a graph, edges taken both ways, as range_search takes it."""
     label = np.arange(len(adjacency))
     near = np.where(adjacency >= 0, adjacency, label[:, None])
     while True:
         least = np.minimum(label, label[near].min(axis=1))
+        np.minimum.at(least, near, least[:, None])  # lists that were pruned again are not symmetric
         least = least[least]
         if (least == label).all():
             return [np.flatnonzero(label == g) for g in np.unique(label)]
@@ -164,21 +220,18 @@ def range_search(x: np.ndarray, adjacency: np.ndarray, parts: list[np.ndarray],
     """For each query row the rows of ``x`` within the threshold that the search meets.
 
     Every query meets its own vertex. In each component of the graph, greedy best-first steps
-    from the component's medoid keep a beam for each query, so that a group that is a
-    component of its own is entered too; all vertices of a component no larger than a
-    vertex's candidates are met. Then, as long as vertices within the threshold (less the
-    slack) are met, their neighbours are met too. ``adjacency`` has one row for each vertex,
-    filled with -1.
+    from the component's medoid keep a beam of fixed width for each query, so that a group
+    that is a component of its own is entered too; all vertices of a component no larger than
+    a vertex's candidates are met. Then, as long as vertices within the threshold (less the
+    slack) are met, their neighbours are met too, a round of all queries at a time.
+    ``adjacency`` has one row for each vertex, filled with -1.
     """
     n, m = len(x), len(queries)
     met = np.zeros((m, n), bool)
-    done = np.zeros((m, n), bool)
     cosine = np.full((m, n), -3.0, np.float32)
     q = x[queries]
 
     def meet(rows: np.ndarray, vertices: np.ndarray) -> None:
-        fresh = (vertices >= 0) & ~met[rows, vertices]
-        rows, vertices = rows[fresh], vertices[fresh]
         for a in range(0, len(rows), 1 << 16):
             r, v = rows[a : a + (1 << 16)], vertices[a : a + (1 << 16)]
             cosine[r, v] = np.einsum("ij,ij->i", q[r], x[v])
@@ -188,29 +241,45 @@ def range_search(x: np.ndarray, adjacency: np.ndarray, parts: list[np.ndarray],
     meet(every, queries)
     for part in parts:
         if len(part) <= graph.candidates:
-            meet(np.repeat(every, len(part)), np.tile(part, m))
+            cosine[:, part], met[:, part] = q @ x[part].T, True
             continue
-        meet(every, np.full(m, part[(x[part] @ x[part].mean(axis=0)).argmax()]))
-        active, columns = every, slice(None) if len(part) == n else part
+        start = part[(x[part] @ x[part].mean(axis=0)).argmax()]
+        meet(every, np.full(m, start))
+        beam = np.full((m, graph.beam), -1)
+        beam[:, 0] = start
+        score = np.full((m, graph.beam), -4.0, np.float32)  # of what is in the beam and not stepped from yet
+        score[:, 0] = cosine[:, start]
+        kept = score.copy()
+        active = every
         while len(active):
-            some = cosine[active][:, columns]
-            beam = part[np.argpartition(-some, min(graph.beam, len(part)) - 1, axis=1)[:, : graph.beam]]
-            score = np.where(met[active[:, None], beam] & ~done[active[:, None], beam], cosine[active[:, None], beam], -4)
-            best = score.argmax(axis=1)
-            some = score[np.arange(len(active)), best] > -4
-            active, vertices = active[some], beam[np.arange(len(beam)), best][some]
-            done[active, vertices] = True
-            next_to = adjacency[vertices]
-            meet(np.repeat(active, next_to.shape[1]), next_to.ravel())
-    while True:
-        rows, vertices = np.nonzero((cosine >= graph.threshold - graph.slack) & ~done)
-        if not len(rows):
-            break
-        for a in range(0, len(rows), 1 << 14):
-            r, v = rows[a : a + (1 << 14)], vertices[a : a + (1 << 14)]
-            done[r, v] = True
-            next_to = adjacency[v]
-            meet(np.repeat(r, next_to.shape[1]), next_to.ravel())
+            best = score[active].argmax(axis=1)
+            active, best = active[score[active, best] > -4], best[score[active, best] > -4]
+            vertices = beam[active, best]
+            score[active, best] = -4
+            near = adjacency[vertices]
+            fresh = (near >= 0) & ~met[active[:, None], near]
+            rows, at = np.nonzero(fresh)
+            meet(active[rows], near[rows, at])
+            new = np.where(fresh, cosine[active[:, None], near], -5)
+            all_ids = np.concatenate([beam[active], near], axis=1)
+            all_kept, all_score = np.concatenate([kept[active], new], axis=1), np.concatenate([score[active], new], axis=1)
+            top = np.argpartition(-all_kept, graph.beam - 1, axis=1)[:, : graph.beam]
+            line = np.arange(len(active))[:, None]
+            beam[active], kept[active], score[active] = all_ids[line, top], all_kept[line, top], all_score[line, top]
+    frontier = (cosine >= graph.threshold - graph.slack) & met
+    ends = np.nonzero(adjacency >= 0)[0], adjacency[adjacency >= 0]
+    edges = np.unique(np.stack([np.concatenate(ends), np.concatenate(ends[::-1])], axis=1), axis=0)  # both ways, by the first end
+    targets, starts = np.unique(edges[:, 0], return_index=True)
+    while len(edges) and frontier.any():
+        live = np.flatnonzero(frontier.any(axis=1))
+        bits = np.packbits(frontier[live], axis=0).T  # the queries as bits beside each vertex, so that lists are united by words
+        united = np.bitwise_or.reduceat(bits[edges[:, 1]], starts, axis=0)
+        reached = np.zeros((len(live), n), bool)
+        reached[:, targets] = np.unpackbits(united, axis=1, count=len(live)).T
+        rows, vertices = np.nonzero(reached & ~met[live])
+        meet(live[rows], vertices)
+        frontier = np.zeros((m, n), bool)
+        frontier[live[rows], vertices] = cosine[live[rows], vertices] >= graph.threshold - graph.slack
     return [np.flatnonzero(row) for row in cosine >= graph.threshold - 1e-4]
 
 
@@ -223,25 +292,14 @@ def near_duplicates(vectors: DataFrame, graph: Graph = Graph(), id_col: str = "v
     its shards, and each shard searches the united lists among its vertices for each of
     them. A pair that shares several shards is counted in the first only, so links are
     counted and joined into components without listing pairs; none are capped. Shards that
-    grow beyond a cell are searched as pairs of chunks. Vectors of different lengths never
-    link. How many shards a vector is dealt to is measured on the data (see ``centres``).
+    grow beyond a cell are searched as pairs of chunks. The search of a cell stays in it:
+    neighbours outside are met in the cells that they share. Vectors of different lengths
+    never link. How many shards a vector is dealt to is measured on the data (see ``deal``).
     Unusable vectors and rows without an id (see ``classes``) have no links, a component
     of their own and are kept.
     """
     found = materialise(classes(vectors, id_col, vector_col), "vectors")
-    middle = centres(found, graph)
-
-    @F.pandas_udf("array<int>")
-    def nearest(dim: pd.Series, v: pd.Series) -> pd.Series:
-        out = []
-        for d, x in zip(dim, v, strict=True):
-            c, overlap = middle[d]
-            out.append(np.sort(np.argsort(-(c @ x), kind="stable")[:overlap]).astype(np.int32))
-        return pd.Series(out)
-
-    # Rows of one range of ids would pass the centres in one task; the id's hash spreads them.
-    placed = found.withColumn("shards", nearest("dim", "v"))
-    members = placed.select("rep", "n", "dim", "v", "shards", F.explode("shards").alias("shard"))
+    members = found.join(deal(found, graph), "rep").select("rep", "n", "dim", "v", "shards", F.explode("shards").alias("shard"))
     cells = materialise(pair_cells(members, ["dim", "shard"], "rep", graph.cell), "cells")
     cell = ["dim", "shard", "cell_a", "cell_b"]
 
@@ -258,7 +316,9 @@ def near_duplicates(vectors: DataFrame, graph: Graph = Graph(), id_col: str = "v
         _, shard, a, b = key
         pdf = pdf.sort_values("rep", ignore_index=True)
         x, reps, size = np.stack(pdf["v"]), pdf["rep"].to_numpy(), pdf["n"].to_numpy()
-        chunk, homes = pdf["chunk"].to_numpy(), np.stack(pdf["shards"])
+        chunk, homes = pdf["chunk"].to_numpy(), np.full((len(pdf), pdf["shards"].map(len).max()), -1)
+        for i, shards in enumerate(pdf["shards"]):
+            homes[i, : len(shards)] = shards
         place = [np.searchsorted(reps, near) for near in pdf["near"]]
         local = [p[(p < len(reps)) & (reps[np.minimum(p, len(reps) - 1)] == near)] for p, near in zip(place, pdf["near"], strict=True)]
         adjacency = np.full((len(reps), max([1, *map(len, local)])), -1)
@@ -277,8 +337,8 @@ def near_duplicates(vectors: DataFrame, graph: Graph = Graph(), id_col: str = "v
         for i in np.flatnonzero(linked.any(axis=1)):
             others = np.flatnonzero(linked[i])
             # counted here only if this is the first shard that both are dealt to, and in the cell of their chunks
-            common = (homes[others][:, :, None] == homes[i][None, None, :]).any(axis=2)
-            first = np.where(common, homes[others], np.iinfo(np.int32).max).min(axis=1)
+            common = np.isin(homes[others], homes[i][homes[i] >= 0])
+            first = np.where(common, homes[others], np.iinfo(np.int64).max).min(axis=1)
             ours = (first == shard) & (np.minimum(chunk[others], chunk[i]) == a) & (np.maximum(chunk[others], chunk[i]) == b)
             others = others[ours]
             links[i] = size[others].sum()

@@ -353,7 +353,8 @@ def test_vectors(spark):
     links = m @ m.T >= 0.9
     np.fill_diagonal(links, False)
     label = naive_components(links)
-    for graph in (vectors.Graph(shard=200), vectors.Graph(shard=200, cell=60)):  # also with shards cut into pairs of chunks
+    # also with shards cut into pairs of chunks, and with several coarse cells, dealt in portions
+    for graph in (vectors.Graph(shard=200), vectors.Graph(shard=200, cell=60), vectors.Graph(shard=60, fine=3, dealt=100, sample=400)):
         answer = vectors.near_duplicates(table, graph)
         got = {r.vec_id: r for r in answer.collect()}
         assert len(got) == len(rows)
