@@ -26,12 +26,12 @@ class Graph:
     #: Shards of a coarse cell aimed at, and coarse cells at most.
     fine: int = 256
     coarse: int = 2048
-    #: Share of pairs just at the threshold that must share a centre, at each of the two levels; more centres are used for a vector until they do.
-    shared: float = 0.995
+    #: Share of pairs just at the threshold that must share a centre (at the coarse level only half as many may not); more centres are used for a vector until they do.
+    shared: float = 0.99
     #: Vectors dealt by one task at a time.
     dealt: int = 20_000
-    #: Vectors of one cell at most about, beyond which a shard is cut into pairs of chunks.
-    cell: int = 1000
+    #: Vectors of one cell at most about, beyond which a shard is cut into chunks of half as many, of which each pair is a cell.
+    cell: int = 2000
     #: Candidates and neighbours of a vertex when the graph is pruned, and the pruning factor.
     candidates: int = 64
     degree: int = 24
@@ -83,12 +83,12 @@ def share_together(x: np.ndarray, c: np.ndarray, overlap: int, threshold: float,
     return float(np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(mine, its, strict=True)]))
 
 
-def fit_centres(x: np.ndarray, wanted: float, graph: Graph) -> tuple[np.ndarray, int]:
+def fit_centres(x: np.ndarray, wanted: float, graph: Graph, shared: float) -> tuple[np.ndarray, int]:
     """(unit cluster centres, how many of them a vector is dealt to) from a sample; ``wanted`` centres for an overlap of one.
 
     As pairs share one of their nearest centres less often the more centres there are, the
-    overlap is raised, and the number of centres with it, until ``graph.shared`` of the pairs
-    at the threshold share one.
+    overlap is raised, and the number of centres with it, until ``shared`` of the pairs at
+    the threshold share one.
     """
     order = np.random.default_rng(graph.seed).permutation(len(x))
     held = min(2000, len(x) // 4)  # vectors that centres are fitted on lie nearer to them than others do; the share is measured on some kept apart
@@ -102,7 +102,7 @@ def fit_centres(x: np.ndarray, wanted: float, graph: Graph) -> tuple[np.ndarray,
             np.add.at(total, own, fitted)
             norms = np.linalg.norm(total, axis=1, keepdims=True)
             c = np.where(norms > 1e-9, total / np.maximum(norms, 1e-9), c)
-        if overlap >= len(c) or not len(apart) or share_together(apart, c, overlap, graph.threshold, graph.seed) >= graph.shared:
+        if overlap >= len(c) or not len(apart) or share_together(apart, c, overlap, graph.threshold, graph.seed) >= shared:
             return c, min(overlap, len(c))
         overlap += max(1, overlap // 4)
 
@@ -117,7 +117,7 @@ def coarse_centres(found: DataFrame, graph: Graph) -> dict[int, tuple[np.ndarray
             continue
         share = min(1.0, graph.sample / count)
         picked = found.where((F.col("dim") == dim) & (F.pmod(F.xxhash64(F.lit(graph.seed), "rep"), F.lit(1 << 20)) <= share * (1 << 20))).orderBy("rep").limit(2 * graph.sample)
-        out[dim] = fit_centres(np.array([r.v for r in picked.select("v").collect()]).reshape(-1, dim), wanted, graph)
+        out[dim] = fit_centres(np.array([r.v for r in picked.select("v").collect()]).reshape(-1, dim), wanted, graph, (1 + graph.shared) / 2)
     return out
 
 
@@ -144,7 +144,7 @@ def deal(found: DataFrame, graph: Graph) -> DataFrame:
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep")
-        c, overlap = fit_centres(np.stack(pdf["v"]), pdf["size"].iloc[0] / graph.shard, graph)
+        c, overlap = fit_centres(np.stack(pdf["v"]), pdf["size"].iloc[0] / graph.shard, graph, graph.shared)
         return pd.DataFrame({"dim": pdf["dim"].iloc[:1].to_numpy(), "coarse": pdf["coarse"].iloc[:1].to_numpy(), "size": pdf["size"].iloc[:1].to_numpy(), "overlap": [overlap], "centres": [c.ravel()]})
 
     fitted = materialise(picked.groupBy(*cell).applyInPandas(fit, "dim int, coarse int, size long, overlap int, centres array<double>"), "centres")
@@ -300,7 +300,7 @@ def near_duplicates(vectors: DataFrame, graph: Graph = Graph(), id_col: str = "v
     """
     found = materialise(classes(vectors, id_col, vector_col), "vectors")
     members = found.join(deal(found, graph), "rep").select("rep", "n", "dim", "v", "shards", F.explode("shards").alias("shard"))
-    cells = materialise(pair_cells(members, ["dim", "shard"], "rep", graph.cell), "cells")
+    cells = materialise(pair_cells(members, ["dim", "shard"], "rep", graph.cell, max(1, graph.cell // 2)), "cells")
     cell = ["dim", "shard", "cell_a", "cell_b"]
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
