@@ -154,7 +154,7 @@ def deal(found: DataFrame, graph: Graph) -> DataFrame:
 
     def assign(rows: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
-            return pd.DataFrame({"rep": [], "shards": []})
+            return pd.DataFrame({"rep": [], "shards": pd.Series(dtype=object)})
         dim, coarse = int(rows["dim"].iloc[0]), int(rows["coarse"].iloc[0])
         c = np.asarray(centres["centres"].iloc[0]).reshape(-1, dim)
         shards = nearest_centres(np.stack(rows["v"]), c, int(centres["overlap"].iloc[0])) + (coarse << 32)
@@ -165,42 +165,51 @@ def deal(found: DataFrame, graph: Graph) -> DataFrame:
     return dealt.groupBy("rep").agg(F.array_sort(F.flatten(F.collect_list("shards"))).alias("shards"))
 
 
-def robust_prune(cosines: np.ndarray, candidates: np.ndarray, degree: int, alpha: float) -> list[int]:
-    """Neighbours of one vertex among ``candidates``, nearest first, dropping those much nearer to a kept neighbour.
+def robust_prune(x: np.ndarray, candidates: np.ndarray, own: np.ndarray, degree: int, alpha: float) -> np.ndarray:
+    """Which candidates of each vertex stay neighbours: nearest first, dropping those much nearer to a kept neighbour.
 
-    ``cosines`` has the vertex's cosine with each candidate in its last row and the
-    candidates' cosines with each other above. Distances are squared Euclidean ones.
+    ``candidates`` has rows of ``x`` for each vertex and ``own`` the vertex's cosines with
+    them, falling. Distances are squared Euclidean ones. The nearest is always kept.
     """
-    own, kept = 2 - 2 * cosines[-1], []
-    alive = np.ones(len(candidates), bool)
-    for j in np.argsort(own, kind="stable"):
-        if alive[j]:
-            kept.append(int(candidates[j]))
-            if len(kept) == degree:
-                break
-            alive &= alpha * (2 - 2 * cosines[j]) > own
+    some = x[candidates]
+    between, own = 2 - 2 * (some @ some.transpose(0, 2, 1)), 2 - 2 * own
+    alive, kept, count = np.ones(own.shape, bool), np.zeros(own.shape, bool), np.zeros(len(own), int)
+    for j in range(own.shape[1]):
+        pick = np.flatnonzero(alive[:, j] & (count < degree))
+        kept[pick, j] = True
+        count[pick] += 1
+        if (count == degree).all():
+            break
+        alive[pick] &= alpha * between[pick, j] > own[pick]
     return kept
 
 
-def shard_graph(x: np.ndarray, graph: Graph) -> list[list[int]]:
-    """Pruned adjacency lists of the unit vectors of one shard; reverse edges are added, and lists that grow over twice the degree by them pruned again."""
+def shard_graph(x: np.ndarray, graph: Graph) -> tuple[list[np.ndarray], np.ndarray]:
+    """Pruned adjacency lists of the unit vectors of one shard, and each vertex's cosine with its nearest.
+
+    Reverse edges are added, and lists that grow over twice the degree by them pruned again.
+    """
     n = len(x)
-    lists: list[set[int]] = [set() for _ in range(n)]
-    take = min(graph.candidates, n - 1)
-    for at in range(0, n, 256):
+    take, top, edges = min(graph.candidates, n - 1), np.full(n, -3.0), [np.zeros(0, np.int64)]
+    for at in range(0, n if take else 0, 256):
         cosines = x[at : at + 256] @ x.T
-        cosines[np.arange(len(cosines)), np.arange(at, at + len(cosines))] = -3
-        nearest = np.argpartition(-cosines, max(0, take - 1), axis=1)[:, :take]
-        for r, some in enumerate(nearest):
-            block = np.vstack([x[some] @ x[some].T, cosines[r, some]])
-            for j in robust_prune(block, some, graph.degree, graph.alpha):
-                lists[at + r].add(j)
-                lists[j].add(at + r)
-    for r, some in enumerate(lists):
-        if len(some) > 2 * graph.degree:
-            near = np.array(sorted(some))
-            lists[r] = set(robust_prune(np.vstack([x[near] @ x[near].T, x[near] @ x[r]]), near, 2 * graph.degree, graph.alpha))
-    return [sorted(s) for s in lists]
+        line = np.arange(len(cosines))[:, None]
+        cosines[line[:, 0], line[:, 0] + at] = -3
+        nearest = np.argpartition(-cosines, take - 1, axis=1)[:, :take]
+        nearest = nearest[line, np.argsort(-cosines[line, nearest], axis=1, kind="stable")]
+        own = cosines[line, nearest]
+        top[at : at + 256] = own[:, 0]
+        rows, at_rank = np.nonzero(robust_prune(x, nearest, own, graph.degree, graph.alpha))
+        heads, tails = rows + at, nearest[rows, at_rank]
+        edges += [heads * n + tails, tails * n + heads]
+    heads, tails = np.divmod(np.unique(np.concatenate(edges)), n)
+    lists = np.split(tails, np.searchsorted(heads, np.arange(1, n)))
+    for r, near in enumerate(lists):
+        if len(near) > 2 * graph.degree:
+            own = x[near] @ x[r]
+            order = np.argsort(-own, kind="stable")
+            lists[r] = np.sort(near[order][robust_prune(x, near[order][None], own[order][None], 2 * graph.degree, graph.alpha)[0]])
+    return lists, top
 
 
 def graph_parts(adjacency: np.ndarray) -> list[np.ndarray]:
@@ -239,9 +248,10 @@ def range_search(x: np.ndarray, adjacency: np.ndarray, parts: list[np.ndarray],
 
     every = np.arange(m)
     meet(every, queries)
+    small = np.concatenate([np.zeros(0, int), *[part for part in parts if len(part) <= graph.candidates]])
+    cosine[:, small], met[:, small] = q @ x[small].T, True
     for part in parts:
         if len(part) <= graph.candidates:
-            cosine[:, part], met[:, part] = q @ x[part].T, True
             continue
         start = part[(x[part] @ x[part].mean(axis=0)).argmax()]
         meet(every, np.full(m, start))
@@ -290,7 +300,9 @@ def near_duplicates(vectors: DataFrame, graph: Graph = Graph(), id_col: str = "v
     link. Equal vectors are one vertex. Vertices are dealt to overlapping cluster shards;
     each shard builds a robust-pruned graph, the adjacency lists of a vertex are united over
     its shards, and each shard searches the united lists among its vertices for each of
-    them. A pair that shares several shards is counted in the first only, so links are
+    them. Only vertices whose nearest in some shard is within the threshold (less the slack)
+    go on to the search: both ends of a link are such, and so is all that range expansion
+    steps from, so this loses no link. A pair that shares several shards is counted in the first only, so links are
     counted and joined into components without listing pairs; none are capped. Shards that
     grow beyond a cell are searched as pairs of chunks. The search of a cell stays in it:
     neighbours outside are met in the cells that they share. Vectors of different lengths
@@ -299,18 +311,22 @@ def near_duplicates(vectors: DataFrame, graph: Graph = Graph(), id_col: str = "v
     of their own and are kept.
     """
     found = materialise(classes(vectors, id_col, vector_col), "vectors")
-    members = found.join(deal(found, graph), "rep").select("rep", "n", "dim", "v", "shards", F.explode("shards").alias("shard"))
-    cells = materialise(pair_cells(members, ["dim", "shard"], "rep", graph.cell, max(1, graph.cell // 2)), "cells")
+    homes = materialise(deal(found, graph), "shards")
+    members = homes.join(found.select("rep", "dim"), "rep").select("rep", "dim", F.explode("shards").alias("shard"))
+    cells = materialise(pair_cells(members, ["dim", "shard"], "rep", graph.cell, max(1, graph.cell // 2)), "cells")  # without the vectors, which are fetched where they are needed
     cell = ["dim", "shard", "cell_a", "cell_b"]
+    near_enough = graph.threshold - graph.slack - 1e-4
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        lists = shard_graph(np.stack(pdf["v"]), graph)
-        reps = pdf["rep"].to_numpy()
-        return pd.DataFrame({"rep": reps, "near": [reps[x] for x in lists]})
-
-    built = cells.groupBy(*cell).applyInPandas(build, "rep long, near array<long>")
-    united = built.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    searched = cells.join(materialise(united, "adjacency"), "rep")
+        lists, top = shard_graph(np.stack(pdf["v"]), graph)
+        reps, close = pdf["rep"].to_numpy(), top >= near_enough
+        some = np.flatnonzero(close)
+        return pd.DataFrame({"rep": reps[some], "near": pd.Series([reps[lists[i][close[lists[i]]]] for i in some], dtype=object)})
+
+    single = found.select("rep", F.col("v").cast("array<float>").alias("v"))
+    built = cells.select(*cell, "rep").join(single, "rep").groupBy(*cell).applyInPandas(build, "rep long, near array<long>")
+    united = materialise(built.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "adjacency")
+    searched = cells.join(united.join(homes, "rep").join(found.select("rep", "n", "v"), "rep"), "rep")
 
     def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         _, shard, a, b = key

@@ -368,6 +368,21 @@ def test_vectors(spark):
     assert vectors.near_duplicates(table.limit(0)).collect() == []
 
 
+def test_pruned_lists_keep_the_nearest():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 16)).astype(np.float32)
+    x[100:400] = x[0] + 0.05 * x[100:400]  # one dense group, so that lists outgrow the degree by reverse edges
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = vectors.Graph(candidates=20, degree=4)
+    lists, top = vectors.shard_graph(x, graph)
+    cosines = x @ x.T
+    np.fill_diagonal(cosines, -3)
+    assert np.allclose(top, cosines.max(axis=1), atol=1e-6)
+    assert all(np.isclose(cosines[i, near].max(), top[i], atol=1e-6) and i not in near and len(near) <= 8 for i, near in enumerate(lists))
+    alone, top = vectors.shard_graph(x[:1], graph)
+    assert [len(near) for near in alone] == [0] and top[0] < -1
+
+
 def test_groups_larger_than_the_candidates_of_a_vertex(spark):
     rng = np.random.default_rng(13)
     centers = np.linalg.qr(rng.normal(size=(16, 16)))[0][:6]
