@@ -61,4 +61,35 @@ coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE phrase), '
 FROM w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id, w
 """
 
-ORACLES = {"op1_quality_rules": OP1, "op4_license_scan": OP4, "op5_line_dedup": OP5, "op9_embedding_near_dedup": OP9}
+_HASH = lambda k: f"CAST('0x' || substr(sha256('7:' || doc_id), {8 * k + 1}, 8) AS BIGINT)"
+OP12 = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {", ".join(f"{_HASH(k)} AS h{k + 1}" for k in range(4))} FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS u FROM d),
+c AS (SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a+1:b], '') AS m, array_to_string(u[b+1:], '') AS s FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
+"""
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP13 = rf"""
+WITH b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+k AS (SELECT item_id, w, least(10, len(w)) AS k FROM b WHERE len(w) > 0),
+g AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i+k-1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM k)),
+d AS (SELECT doc_id, text, {_WORDS} AS w FROM documents),
+x AS (SELECT doc_id, k, i, array_to_string(w[i:i+k-1], ' ') AS g FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d JOIN (SELECT DISTINCT k FROM g) ks ON len(w) >= k)),
+h AS (SELECT doc_id, item_id, k, i FROM x JOIN g USING (k, g)),
+q AS (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS pos FROM h),
+n AS (SELECT doc_id, count(*) AS n_hit FROM q GROUP BY doc_id),
+m AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS names FROM h GROUP BY doc_id),
+e AS (SELECT doc_id, string_split(regexp_replace(text, '[0-9A-Za-z\x{{80}}-\x{{10FFFF}}]+', chr(1) || '\0' || chr(1), 'g'), chr(1)) AS e FROM d WHERE doc_id IN (SELECT doc_id FROM n) AND NOT contains(text, chr(1))),
+c AS (SELECT e.doc_id, string_agg(e.e, '' ORDER BY e.j) AS clean FROM (SELECT doc_id, unnest(e) AS e, generate_subscripts(e, 1) AS j FROM e) e
+LEFT JOIN q ON q.doc_id = e.doc_id AND q.pos * 2 = e.j LEFT JOIN q a ON a.doc_id = e.doc_id AND a.pos * 2 = e.j - 1 LEFT JOIN q z ON z.doc_id = e.doc_id AND z.pos * 2 = e.j + 1
+WHERE q.pos IS NULL AND (e.j % 2 = 0 OR a.pos IS NULL OR z.pos IS NULL) GROUP BY e.doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+sha256(CASE WHEN n_hit IS NULL THEN text ELSE coalesce(clean, '') END) AS clean_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+ORACLES = {"op1_quality_rules": OP1, "op4_license_scan": OP4, "op5_line_dedup": OP5, "op9_embedding_near_dedup": OP9, "op12_fill_in_middle": OP12, "op13_decontamination": OP13}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import bpe, langid, license_scan, line_dedup, line_quality, mixing, pii, simhash, sstable, vectors
+from folioforge.llm import bpe, decontaminate, fill_middle, langid, license_scan, line_dedup, line_quality, mixing, pii, simhash, sstable, vectors, whitening
 from folioforge.llm.common import small_batches
 from folioforge.llm.oracles import ORACLES  # noqa: F401  read by the entry module
 from folioforge.sources.documents import spread
@@ -86,3 +86,25 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return sstable.read(sstable.write(table(spark, sf_dir, "documents"), path, end_id=2), spark)
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+@query
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    clean = decontaminate.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), items)
+    return clean.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        F.sha2("clean_text", 256).alias("clean_sha256"),
+    )
