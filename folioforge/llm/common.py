@@ -71,14 +71,14 @@ def join_on(left: DataFrame, right: DataFrame, columns: list[str], how: str = "i
     return left.join(renamed, condition, how).drop(*[f"__{c}" for c in columns])
 
 
-def pair_cells(members: DataFrame, key: list[str], member: str, largest: int, chunk: int | None = None) -> DataFrame:
-    """Deal each group into cells (cell_a, cell_b) of at most about ``2 * largest`` members.
+def pair_cells(members: DataFrame, key: list[str], member: str, largest: int, chunk: int | None = None, weight: Column | None = None) -> DataFrame:
+    """Deal each group into cells (cell_a, cell_b) of at most about ``2 * largest`` members, or of twice as much ``weight``.
 
     A group of up to ``largest`` members is one cell. A larger one is cut into chunks (of
     about ``chunk`` members, else ``largest``) by a hash and every pair of chunks becomes a cell, so that any two members still meet in at
     least one cell and no task holds a whole hot group.
     """
-    big = members.groupBy(*key).agg(F.count("*").alias("__n")).where(F.col("__n") > largest)
+    big = members.groupBy(*key).agg((F.count("*") if weight is None else F.sum(weight)).alias("__n")).where(F.col("__n") > largest)
     big = big.select(*key, F.ceil(F.col("__n") / (chunk or largest)).cast("int").alias("__chunks"))
     dealt = members.join(big, key, "left").withColumn("__chunks", F.coalesce("__chunks", F.lit(1)))
     dealt = dealt.withColumn("__chunk", F.pmod(F.xxhash64(F.lit(17), F.col(member)), F.col("__chunks").cast("long")).cast("int"))

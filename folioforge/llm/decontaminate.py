@@ -297,7 +297,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, limits: Limits = Limits(),
     n_hit = F.aggregate(f["words"], F.lit(0).cast("long"), lambda a, s: a + s["last"] - s["first"])
     text, spans = F.col(text_col), f["chars"]
     gap = lambda s, i: F.substring(text, (s["last"] + 1).cast("int"), (F.coalesce(F.get(spans, i + 1)["first"], F.length(text).cast("long")) - s["last"]).cast("int"))
-    rest = F.concat(F.substring(text, F.lit(1), spans[0]["first"].cast("int")), F.array_join(F.transform(spans, gap), ""))
+    rest = F.concat(F.substring(text, F.lit(1), F.get(spans, F.lit(0))["first"].cast("int")), F.array_join(F.transform(spans, gap), ""))
     names = F.sort_array(F.array_compact(f["items"]))
     return found.select(
         *[F.col(c) for c in docs.columns if c not in new], f["n_words"].alias("n_words"), n_hit.alias("n_hit"), names.alias("items"), spans.alias("spans"),

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import connected_components, filled, materialise, pair_cells
+from folioforge.llm.common import connected_components, filled, materialise, pair_cells, text_key
 
 BITS = 64
 #: Fingerprints of one cell at most; larger buckets are dealt into pairs of chunks.
@@ -27,8 +27,8 @@ BUCKET = 1500
 RUN = 1 << 16
 #: Bands of least hashes and hashes in each: a pair of similarity 0.8 meets in a band in all but 5 of 100,000 cases.
 BANDS, ROWS = 25, 5
-#: Texts of one cell of ``similar`` at most.
-SMALL_CELL = 256
+#: Sketches of one cell of ``similar`` at most, rounds of spanning candidates, and bytes of shingle hashes in one cell where texts are compared whole.
+SMALL_CELL, TURNS, SET_BYTES = 4096, 2, 1 << 24
 #: Fingerprints of texts of similarity 0.8 differ in 10 bits in the mean (12 with few shingles), in more than this in under one of a million.
 WIDE = 28
 
@@ -202,68 +202,158 @@ def bands(hashes: np.ndarray, seed: int = 42) -> list[int]:
     return [int.from_bytes(xxhash.xxh64_digest(x.tobytes()), "big", signed=True) for x in least.reshape(BANDS, ROWS)]
 
 
+def spanning_candidates(keys: np.ndarray, prints: np.ndarray, sizes: np.ndarray, component: np.ndarray, similarity: float, turn: int) -> list[tuple[int, int]]:
+    """Pairs of keys of different components that may be similar, one fewer than the components at most.
+
+    They join the same components as all such pairs would. ``turn`` sets the order in which
+    texts are made centres of their pairs, so that another turn tries other pairs.
+    """
+    if (component == component[0]).all():
+        return []
+    order = np.argsort((keys.view(np.uint64) + np.uint64(turn)) * np.uint64(0x9E3779B97F4A7C15), kind="stable")
+    keys, sizes, label, pairs = keys[order], sizes[order], component[order].copy(), []
+    for i, others in close_pairs(prints.view(np.uint64)[order], WIDE):
+        others = others[(label[others] != label[i]) & may_be(sizes[others], sizes[i], similarity)]
+        if len(others):
+            found, first = np.unique(label[others], return_index=True)
+            pairs += [(int(keys[i]), int(keys[others[j]])) for j in first]
+            label[np.isin(label, found)] = label[i]
+    return pairs
+
+
+def may_be(some: np.ndarray, one: int, similarity: float) -> np.ndarray:
+    """Whether sets of these sizes can have the similarity."""
+    return np.minimum(some, one) >= similarity * np.maximum(some, one)
+
+
+def apart(keys: np.ndarray, prints: np.ndarray, sizes: np.ndarray, component: np.ndarray, similarity: float) -> np.ndarray:
+    """The keys that may be similar to one of another component."""
+    marked = np.zeros(len(keys), bool)
+    if not (component == component[0]).all():
+        for i, others in close_pairs(prints.view(np.uint64), WIDE):
+            others = others[(component[others] != component[i]) & may_be(sizes[others], sizes[i], similarity)]
+            marked[others] = True
+            marked[i] |= len(others) > 0
+    return keys[marked]
+
+
+def verified_links(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """Links (u, v) among the texts (key, fp, n, component, hashes) of one cell, enough to join what is similar; sets are compared only across components."""
+    keys, sizes, label, sets = pdf["key"].to_numpy(), pdf["n"].to_numpy(), pdf["component"].to_numpy().copy(), pdf["hashes"].tolist()
+    edges = []
+    for i, others in close_pairs(pdf["fp"].to_numpy(np.int64).view(np.uint64), WIDE):
+        for j in others[(label[others] != label[i]) & may_be(sizes[others], sizes[i], similarity)]:
+            if label[i] != label[j]:
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if both and both >= similarity * (sizes[i] + sizes[j] - both):
+                    edges.append((keys[i], keys[j]))
+                    label[label == label[j]] = label[i]
+    return pd.DataFrame(np.array(edges, np.int64).reshape(-1, 2), columns=["u", "v"])
+
+
+def cell_members(batch: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(cell, [keys, prints, sizes, components]) of a batch with columns cell and m, an array of these."""
+    lists = batch.column(1)
+    columns = [lists.values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)]
+    offsets = lists.offsets.to_numpy()
+    for cell, a, b in zip(batch.column(0).to_pylist(), offsets, offsets[1:], strict=False):
+        yield cell, [c[a:b] for c in columns]
+
+
 def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component_id) for every row: the smallest id reachable over links of similar texts.
+    """(id, text_key, component_id, first) for every row: the smallest id reachable over links of similar texts.
 
-    Texts link where their sets of word shingles have a Jaccard similarity of ``similarity``
-    or more, computed for every link. Tables of masked bits cannot serve a radius as wide as
-    that needs, so texts share a bucket where they share a band of least shingle hashes;
+    ``first`` is true for the rows with the smallest id and, of those, text key of their
+    component, so rows that share an id with other texts are told apart. Texts link where
+    their sets of word shingles have a Jaccard similarity of ``similarity`` or more, computed
+    for every link. Texts share a bucket where they share a band of least shingle hashes;
     within a bucket, fingerprints of the sets are compared as bit planes, and what is within
-    WIDE bits is verified. Texts of equal sets, and all texts without words, are one vertex.
-    Null ids are ignored when the smallest is sought; null, empty and repeated rows keep a
-    row each.
+    WIDE bits is a candidate. Texts of equal sets, and all texts without words, are one
+    vertex. Null ids are ignored when the smallest is sought; null, empty and repeated rows
+    keep a row each.
+
+    Buckets hold sketches of a few bytes. First only candidates that would span a bucket are
+    verified, so a group of copies costs its size and not its square; where they fail, others
+    are tried (TURNS). Then what may still be similar across components is compared whole,
+    set by set, in cells bounded by SET_BYTES.
     """
 
-    @F.pandas_udf("struct<key: long, fp: long, bands: array<long>>")
+    @F.pandas_udf("struct<key: long, fp: long, n: int, bands: array<long>>")
     def sketch(data: pd.Series) -> pd.DataFrame:
         sets = [shingles(x, shingle) for x in data]
         keys = [int.from_bytes(xxhash.xxh64_digest(x.tobytes()), "big", signed=True) for x in sets]
-        return pd.DataFrame({"key": keys, "fp": [set_print(x) for x in sets], "bands": [bands(x) for x in sets]})
-
-    sketched = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), sketch(F.col(text_col).cast("binary")).alias("s"))
-    rows = materialise(sketched.select("doc_id", "text", "s.*"), "sketches")
-    classes = materialise(rows.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.first("bands").alias("bands")), "classes")
-    entries = classes.select("key", F.posexplode("bands").alias("band", "value"))
-    shared = entries.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+        return pd.DataFrame({"key": keys, "fp": [set_print(x) for x in sets], "n": [len(x) for x in sets], "bands": [bands(x) for x in sets]})
+
+    @F.pandas_udf("array<long>")
+    def hashes(data: pd.Series) -> pd.Series:
+        return pd.Series([shingles(x, shingle).view(np.int64) for x in data])
+
+    text = F.col(text_col)
+    sketched = docs.select(F.col(id_col).alias("doc_id"), text_key(filled(text)).alias("tk"), text.alias("text"), sketch(text.cast("binary")).alias("s"))
+    rows = materialise(sketched.select("doc_id", "tk", "text", "s.*"), "sketches")
+    named = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "tk"))).alias("named")
+    classes = materialise(rows.groupBy("key").agg(named, F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
+    entries = classes.select("key", "fp", "n", F.posexplode("bands").alias("band", "value"))
+    shared = entries.groupBy("band", "value").agg(F.count("*").alias("__n")).where("__n > 1").drop("__n")
     dealt = pair_cells(materialise(entries.join(shared, ["band", "value"]), "buckets"), ["band", "value"], "key", SMALL_CELL)
     # Most pairs meet in many bands; cells of the same texts are one.
-    cells = dealt.groupBy("band", "value", "cell_a", "cell_b").agg(F.sort_array(F.collect_list("key")).alias("keys")).where(F.size("keys") > 1)
-    members = materialise(cells.select("keys").distinct().select(F.xxhash64("keys").alias("cell"), F.explode("keys").alias("key")), "cells")
-    texts = rows.join(members.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"), F.first("fp").alias("fp"))
-
-    def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, texts = pdf["key"].to_numpy(), pdf["text"].tolist()
-        label, edges, sets = np.arange(len(keys)), [], {}
-
-        def of(i: int) -> np.ndarray:
-            if i not in sets:
-                sets[i] = shingles(texts[i].encode(), shingle)
-            return sets[i]
-
-        for i, others in close_pairs(pdf["fp"].to_numpy(np.int64).view(np.uint64), WIDE):
-            for j in others:
-                if label[i] != label[j]:
-                    few, many = sorted((len(of(i)), len(of(j))))
-                    both = len(np.intersect1d(of(i), of(j), assume_unique=True)) if few >= similarity * many else 0
-                    if both and both >= similarity * (few + many - both):
-                        edges.append((keys[i], keys[j]))
-                        label[label == label[j]] = label[i]
-        return pd.DataFrame(np.array(edges, np.int64).reshape(-1, 2), columns=["u", "v"])
-
-    labels = connected_components(members.join(texts, "key").groupBy("cell").applyInPandas(links, "u long, v long").distinct())
-    member = classes.join(labels, classes.key == labels.node, "left").select("key", "first_doc", F.coalesce("component", "key").alias("component"))
-    first = member.groupBy("component").agg(F.min("first_doc").alias("component_id"))
-    return rows.select("doc_id", "key").join(member.join(first, "component").select("key", "component_id"), "key").select(F.col("doc_id").alias(id_col), "component_id")
+    cells = dealt.groupBy("band", "value", "cell_a", "cell_b").agg(F.sort_array(F.collect_list(F.struct("key", "fp", "n"))).alias("m")).where(F.size("m") > 1).select("m").distinct()
+    members = materialise(cells.select(F.xxhash64("m").alias("cell"), F.explode("m").alias("x")).select("cell", "x.*"), "cells")
+    texts = rows.join(members.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    sets = materialise(texts.select("key", hashes(F.col("text").cast("binary")).alias("hashes")), "sets")
+
+    def placed(some: DataFrame, labels: DataFrame) -> DataFrame:
+        """Keys with their component so far."""
+        return some.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+
+    def grouped(labels: DataFrame) -> DataFrame:
+        return placed(members, labels).groupBy("cell").agg(F.collect_list(F.struct("key", "fp", "n", "component")).alias("m"))
+
+    def spanning(turn: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                pairs = [p for _, m in cell_members(batch) for p in spanning_candidates(*m, similarity, turn)]
+                both = np.array(pairs, np.int64).reshape(-1, 2)
+                yield pa.record_batch([pa.array(both.min(axis=1)), pa.array(both.max(axis=1))], ["u", "v"])
+
+        return run
+
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(cell, apart(*m, similarity)) for cell, m in cell_members(batch)]
+            cells_, keys = [np.full(len(k), c) for c, k in found], [k for _, k in found]
+            yield pa.record_batch([pa.array(np.concatenate([np.zeros(0, np.int64), *cells_])), pa.array(np.concatenate([np.zeros(0, np.int64), *keys]))], ["cell", "key"])
+
+    links, labels = members.select(F.col("key").alias("u"), F.col("key").alias("v")).limit(0), members.select(F.col("key").alias("node"), F.col("key").alias("component")).limit(0)
+    for turn in range(TURNS):
+        tried = grouped(labels).mapInArrow(spanning(turn), "u long, v long").distinct()
+        ends = [sets.select(F.col("key").alias(k), F.col("hashes").alias(f"{k}_hashes")) for k in ("u", "v")]
+        both = tried.join(ends[0], "u").join(ends[1], "v").withColumn("both", F.size(F.array_intersect("u_hashes", "v_hashes")))
+        good = (F.col("both") > 0) & (F.col("both") >= similarity * (F.size("u_hashes") + F.size("v_hashes") - F.col("both")))
+        links = links.union(materialise(both.where(good).select("u", "v"), "links"))
+        labels = materialise(connected_components(links), "labels")
+    rest = materialise(grouped(labels).mapInArrow(left, "cell long, key long").join(members, ["cell", "key"]), "apart")
+    if not rest.isEmpty():
+        whole = pair_cells(rest, ["cell"], "key", SET_BYTES, weight=F.col("n").cast("long") * 8)
+        more = placed(whole.join(sets, "key"), labels).groupBy("cell", "cell_a", "cell_b").applyInPandas(lambda pdf: verified_links(pdf, similarity), "u long, v long")
+        labels = materialise(connected_components(links.union(more.distinct())), "labels")
+    member = classes.join(labels, classes.key == labels.node, "left").select("key", "named", F.coalesce("component", "key").alias("component"))
+    firsts = member.groupBy("component").agg(F.min("named").alias("named"))
+    known = member.select("key", "component").join(firsts, "component").select("key", "named")
+    first = F.coalesce((F.col("doc_id") == F.col("named.doc_id")) & (F.col("tk") == F.col("named.tk")), F.lit(False))
+    return rows.select("doc_id", "tk", "key").join(known, "key").select(F.col("doc_id").alias(id_col), F.col("tk").alias("text_key"), F.col("named.doc_id").alias("component_id"), first.alias("first"))
 
 
 def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component in ``found(id, component_id)``, one row for each such id.
+    """The rows of ``docs`` that are the first of their component in ``found`` (as ``similar`` gives it), one row for each.
 
-    Where rows share that id, the one with the smallest text stays. Documents without words
-    are linked with each other, so one of them stays. Rows with a null id cannot be named as
-    anyone's copy and stay.
+    A document is an id and a text: where rows share an id, each text is judged by itself,
+    and of rows equal in both one stays, whatever their other columns are. Documents without
+    words are linked with each other, so one of them stays. Rows with a null id cannot be
+    named as anyone's copy and stay.
     """
-    kept = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    chosen = docs.join(kept, id_col, "left_semi").select(F.col(id_col).alias("__id"), F.struct(*docs.columns).alias("__row"))
-    best = chosen.groupBy("__id").agg(F.min_by("__row", filled(F.col(f"__row.{text_col}"))).alias("__row"))
+    kept = found.where("first").select(F.col(id_col).alias("__id"), F.col("text_key").alias("__tk")).distinct()
+    keyed = docs.select(F.col(id_col).alias("__id"), text_key(filled(F.col(text_col))).alias("__tk"), F.struct(*docs.columns).alias("__row"))
+    plain = [F.col(f"__row.{f.name}") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    best = keyed.join(kept, ["__id", "__tk"], "left_semi").groupBy("__id", "__tk").agg(F.min_by("__row", F.xxhash64(*plain)).alias("__row"))
     return best.select("__row.*").unionByName(docs.where(F.col(id_col).isNull()))

@@ -8,6 +8,7 @@ import os
 import random
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -144,8 +145,10 @@ def test_similar_texts_against_all_pairs(spark, monkeypatch):
         texts.append(" ".join(copy))
     rows = [*enumerate(texts), (900, None), (901, " \t"), (3, texts[3]), (902, "z " * 30_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit(0))
-    for cell in (256, 3):
+    for cell, size, turns in ((256, 1 << 24, 2), (3, 1 << 24, 1), (256, 2000, 1), (5, 100, 0)):
         monkeypatch.setattr(simhash, "SMALL_CELL", cell)
+        monkeypatch.setattr(simhash, "SET_BYTES", size)
+        monkeypatch.setattr(simhash, "TURNS", turns)
         found = simhash.similar(docs)
         assert found.count() == len(rows)
         assert sorted(r.doc_id for r in simhash.keep_one(docs, found).collect()) == naive_representatives(dict(rows))
@@ -156,3 +159,36 @@ def test_language_stage_without_labels(spark):
     rows = [(1, None, None), (2, "12 34", None), (3, "Some words", None), (None, "été", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert {r.doc_id for r in corpus_pipeline.language_id(spark, docs, SF).collect()} == {3, None}
+
+
+def test_texts_that_share_an_id_are_told_apart(spark):
+    rows = [(3, "a text of some words that is found twice"), (5, "a text of some words that is found twice"), (5, "another one of which there is only this copy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"text_key": F.lit("clash"), "first": F.lit(1)})
+    found = simhash.keep_one(docs, simhash.similar(docs))
+    assert found.columns == docs.columns and sorted((r.doc_id, r.text) for r in found.collect()) == [rows[0], rows[2]]
+    again = docs.unionByName(docs)
+    assert sorted((r.doc_id, r.text) for r in simhash.keep_one(again, simhash.similar(again)).collect()) == [rows[0], rows[2]]
+
+
+def test_a_group_of_copies_costs_its_size(spark, monkeypatch):
+    """Whole texts compared for a template's copies: each about once, at any size of the group."""
+    rng = random.Random(5)
+    template = [f"w{k}" for k in range(120)]
+    pairs = []
+    real = simhash.spanning_candidates
+    sizes = {}
+    for n in (150, 300, 600):
+        rows = []
+        for i in range(n):
+            copy = list(template)
+            copy[rng.randrange(120)] = f"x{i}"
+            rows.append((i, " ".join(copy)))
+        keys = {t: simhash.shingles(t.encode(), 5) for _, t in rows}
+        one = [np.array(x, np.int64) for x in ([*range(n)], [simhash.set_print(h) for h in keys.values()], [len(h) for h in keys.values()], [*range(n)])]
+        pairs = real(*one, 0.8, 0)
+        sizes[n] = len(pairs)
+        assert len(simhash.apart(*one[:3], np.zeros(n, np.int64), 0.8)) == 0
+    assert sizes == {150: 149, 300: 299, 600: 599}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(simhash, "SMALL_CELL", 100)
+    assert [r.doc_id for r in simhash.keep_one(docs, simhash.similar(docs)).collect()] == [0]
