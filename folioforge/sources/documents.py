@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import lexicon
 from folioforge.functions.text import strip
+from folioforge.sources.reports import read_reports, write_reports  # noqa: F401  the report sinks belong to these
 
 #: What turns the bytes of a file into its pages: (page number, text), from 1. In place of a
 #: text there may be a function that recognises it, so that one page's fault is that page's.
@@ -90,7 +92,7 @@ def _read_file(extractor: PageTextExtractor, content: bytes) -> Iterator[tuple[i
 
 
 def extract_pages(files: DataFrame, extractor: PageTextExtractor) -> DataFrame:
-    """(path, page_number, text, error): the pages of each file, texts trimmed.
+    """(path, page_number, text, error, seconds): the pages of each file, texts trimmed, and how long each took.
 
     A page that cannot be recognised has its error as text, and the file's other pages are
     read. Where the file itself cannot be read on, a row with page 0 has the error. No fault
@@ -100,10 +102,14 @@ def extract_pages(files: DataFrame, extractor: PageTextExtractor) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                rows = [(path, *page) for page in _read_file(extractor, bytes(content))]
-                yield pd.DataFrame(rows, columns=["path", "page_number", "text", "error"])
+                rows, began = [], time.perf_counter()
+                for page in _read_file(extractor, bytes(content)):
+                    now = time.perf_counter()
+                    rows.append((path, *page, now - began))
+                    began = now
+                yield pd.DataFrame(rows, columns=["path", "page_number", "text", "error", "seconds"])
 
-    return files.select("path", "content").mapInPandas(run, "path string, page_number int, text string, error string")
+    return files.select("path", "content").mapInPandas(run, "path string, page_number int, text string, error string, seconds double")
 
 
 def frame_pages(pages: DataFrame, key: str = "path") -> DataFrame:
@@ -134,26 +140,6 @@ def write_stage(df: DataFrame, folder: str) -> None:
     df.write.mode("overwrite").parquet(folder)
 
 
-def write_reports(reports: DataFrame, folder: str, as_files: bool = False) -> None:
-    """Report texts as a table, which replaces the one there.
-
-    ``as_files`` makes text files instead, a folder for each document, and replaces those of
-    the given documents only; it is for as many documents as a file system takes.
-    """
-    texts = reports.select("doc_id", F.array_join("lines", "\n").alias("value"))
-    if as_files:
-        texts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").text(folder)
-    else:
-        texts.withColumnRenamed("value", "text").write.mode("overwrite").parquet(folder)
-
-
-def read_reports(spark: SparkSession, folder: str, as_files: bool = False) -> DataFrame:
-    """(doc_id, text) of the reports that ``write_reports`` wrote; a document without one has no row."""
-    if as_files:
-        return spark.read.text(folder, wholetext=True).select("doc_id", F.col("value").alias("text"))
-    return spark.read.parquet(folder)
-
-
 def parse_validation_report(text: Column) -> Column:
     """STRUCT of the figures in a written validation report; null where one is missing."""
     return F.struct(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")).try_cast("double" if c == "validation_quality" else "long").alias(c) for c, p in REPORT_FIGURES.items()])

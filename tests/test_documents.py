@@ -13,6 +13,7 @@ from folioforge.functions.text import to_lines
 from folioforge.operators import cleaning, imaging, json_text, report, retrieval, search, structure, topics, validation
 from folioforge.plans import app
 from folioforge.sources import documents as sources
+from folioforge.sources import reports
 
 GOLDEN = "PAGE 1\nOverview of the mining year\nTable 1.1 Output by company\nCompany Target Actual\nNLC 125.50\nNLC 125.50\n17\nSource: X\nPAGE 2\n2. Safety review\nCAPITAL EXPENDITURE\nPAGE 3"
 
@@ -294,15 +295,57 @@ def test_json_chunks(spark):
 
 
 def test_reports_are_written_and_replaced(spark, tmp_path):
-    reports = spark.createDataFrame([(1, ["a", "b"]), (2, ["c"])], "doc_id int, lines array<string>")
-    again = spark.createDataFrame([(2, ["d"])], "doc_id int, lines array<string>")
-    read = lambda files: sorted((r.doc_id, r.text.rstrip("\n")) for r in sources.read_reports(spark, str(tmp_path / f"r{files}"), files).collect())
+    made = lambda *rows: spark.createDataFrame(list(rows), "doc_id int, lines array<string>")
+    read = lambda files=False, **k: sorted((r.doc_id, r.text.rstrip("\n")) for r in reports.read_reports(spark, str(tmp_path / f"r{files}"), files, **k).collect())
     for files in (False, True):
         for _ in range(2):
-            sources.write_reports(reports, str(tmp_path / f"r{files}"), files)
+            sources.write_reports(made((1, ["a", "b"]), (2, ["c"])), str(tmp_path / f"r{files}"), files)
         assert read(files) == [(1, "a\nb"), (2, "c")]
-        sources.write_reports(again, str(tmp_path / f"r{files}"), files)
-    assert read(False) == [(2, "d")] and read(True) == [(1, "a\nb"), (2, "d")]
+        sources.write_reports(made((2, ["d"])), str(tmp_path / f"r{files}"), files)
+        assert read(files) == [(1, "a\nb"), (2, "d")]
+
+
+def test_stage_outcomes(spark):
+    def reader(data):
+        if data.startswith(b"!"):
+            raise ValueError("no such page tree")
+        yield from enumerate(data.decode().split("|"), 1) if data else ()
+
+    files = [("in/good.pdf", b"Table 1 Output\nCompany Target\nNLC 1 2 3|more text of a page"), ("in/bad.pdf", b"!"), ("in/none.pdf", b""), ("in/empty.pdf", b" "), ("in/other.pdf", b"Some prose of one page.")]
+    found = app.process_recorded(spark.createDataFrame(files, "path string, content binary"), reader)
+    rows = {(r.doc_id, r.stage): (r.rows, r.error) for r in found.outcomes.collect()}
+    assert rows["bad.pdf", "ocr"] == (0, "OCR failed: no such page tree") and rows["none.pdf", "ocr"] == (0, "OCR failed: OCR did not create an output file.")
+    assert {s for d, s in rows if d in ("bad.pdf", "none.pdf")} == {"ocr"}
+    assert {s for d, s in rows if d == "good.pdf"} == set(app.STAGES) and rows["good.pdf", "ocr"] == (2, None) and rows["good.pdf", "structure"] == (2, None)
+    assert rows["good.pdf", "cleaning"] == rows["good.pdf", "validation"] and all(e is None for (d, _), (_, e) in rows.items() if d in ("good.pdf", "other.pdf", "empty.pdf"))
+    assert [s for s, _, _ in found.stages] == list(app.STAGES) and all(t > 0 for *_, t in found.stages)
+    assert {s: n for s, n, _ in found.stages}["cleaning"] == found.done.cleaned.count()
+    assert {r.doc_id for r in app.dashboard(found.done).collect()} == {"good.pdf", "other.pdf", "empty.pdf"}
+    with pytest.raises(app.StageFailed, match="OCR failed"):
+        app.process_recorded(spark.createDataFrame(files, "path string, content binary").withColumn("content", F.raise_error(F.lit("disk"))), reader)
+
+
+def test_report_store(spark, tmp_path):
+    folder = str(tmp_path / "store")
+    made = lambda *rows: spark.createDataFrame(list(rows), "doc_id int, lines array<string>")
+    read = lambda **k: sorted((r.doc_id, r.language, r.text) for r in reports.read_reports(spark, folder, **k).collect())
+    assert read() == []
+    reports.write_reports(made(*[(i, [f"first {i}"]) for i in range(200)]), folder, version=1)
+    reports.write_reports(made((7, ["seven"]), (8, [])), folder, language=" Hindi ", version=1)
+    for _ in range(2):  # run twice: the same
+        reports.write_reports(made((7, ["new"])), folder, language="latin", version=2)
+        reports.remove_reports(spark.createDataFrame([(9,), (9,), (999,)], "doc_id int"), folder, version=2)
+    want = sorted([(i, "english", "new" if i == 7 else f"first {i}") for i in range(200) if i != 9] + [(7, "hindi", "seven"), (8, "hindi", "")])
+    assert read() == want and read(language="hindi") == want[8:9] + want[10:11] and read(doc_id=7) == want[7:9] and read(doc_id=9) == []
+    assert reports.read_reports(spark, folder, doc_id=7)._jdf.queryExecution().executedPlan().toString().count("PartitionFilters: [isnotnull(bucket") == 1
+    before = spark.read.parquet(folder).count()
+    assert 0 < reports.compact_reports(spark, folder) <= 3 and spark.read.parquet(folder).count() < before and read() == want
+    assert reports.compact_reports(spark, folder) == 0
+    reports.remove_reports(spark.createDataFrame([(i,) for i in range(200)], "doc_id int"), folder, version=3)
+    reports.compact_reports(spark, folder)
+    assert read() == [x for x in want if x[1] == "hindi"] and spark.read.parquet(folder).count() == 2
+    reports.write_reports(made((9, ["back"])), folder, version=2)
+    assert read(doc_id=9) == [(9, "english", "back")]
 
 
 def test_validation_report_is_read_back(spark):
