@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions import lexicon, text
-from folioforge.functions.storage import materialise
+from folioforge.functions.storage import materialise, new_path
 from folioforge.operators import cleaning, imaging, report, retrieval, search, structure, topics, validation
+from folioforge.plans import app
 from folioforge.sources import documents as sources
+from folioforge.sources import reports
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -97,6 +99,40 @@ said AS (SELECT doc_id, p, concat_ws(chr(10), 'Table ' || p || '.1 Balances of '
 """
 
 
+#: What a scan of the item {q} x {d} of part {n} reads as, by turns: lines of each kind, and the faults of recognition.
+SCAN_BLOCKS = (
+    ("PAGE {n}",), ("  page  12 ",), ("Table {q}.1 Receipts of goods", "{q} {d} 7"), ("see Table 4 of the last  report", "Dispatch 1o.20 3O4 5.o6"), ("Source:  register",), ("note : revised  twice", "Inpt of   goods"),
+    ("", "", "", "after three blank lines"), ("", "", "{q} 12 13"), ("", "{mode}", "", "", "", "", "{mode} 5"), ("Total 12o.5 8O 4o7", "CIL 1O0 2.o5 3"), ("Row V 6 7.5 and A 12 W 3", "x Vv 9 VV 10"), ("Stock 12_34 56 ~ 78 & 9 _^5",),
+    ("Grades [12] {{34 56] |7.8| {{9}",), ("Sum ¥9 £{q} €1 ©2", "{mode}|{q}|{d}"), ("Ash 123456.78 4 5", "Coal 1234.56 78 9 345.678"), ("A1 2b 33 44 55", "B-7 4x4 12kg 3 4 5 6"), ("FY24 10 20 30 FY25 8", "MT 5 6 7 t8"),
+    ("12,34,567 1,00,000 3", "5,5,5 (1,2,3) 7"), ("1.2.3 4 5 6", "v.1.2. 3 4 5 6"), ("{n}",), ("2024-25 {q} 20.5", "in 2023/24 the output was {q}"), ("---", "ab", "x"), ("~~~~~~~ab", "CIL", "mt"), ("1. General remarks", "12. Further {mode} remarks"),
+    ("Company Target Actual", "Month"), ("Coal dispatch",), ("Government of the day {q}", "SCCL"), ("{mode} 50% {q}", "-25.5 and {d}"), ("TABLE II of the year",), ("{mode} {q} {d}",), ("{q} {d} {n}",), ("Grand total of {mode} {d}", "all {mode}"),
+)
+_MARKS = ("{q}", "{d}", "{n}", "{mode}")
+
+
+def scanned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, line_no, raw): for each supplier a scan of its items, in which every kind of line and fault of recognition occurs."""
+    items = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").cast("long").alias("doc_id"), F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("l"), F.pmod(F.col("l_orderkey") * 5 + F.col("l_linenumber") * 3, F.lit(len(SCAN_BLOCKS))).cast("int").alias("kind"),
+        F.col("l_quantity").cast("int").cast("string").alias("q"), F.col("l_extendedprice").cast("decimal(12,2)").cast("string").alias("d"), F.col("l_partkey").cast("string").alias("n"), F.col("l_returnflag").alias("mode"),
+    )
+    lines = items.select("*", F.posexplode(F.get(F.array(*[F.array(*map(F.lit, b)) for b in SCAN_BLOCKS]), F.col("kind"))).alias("piece", "raw"))
+    raw = F.col("raw")
+    for mark in _MARKS:
+        raw = F.replace(raw, F.lit(mark), F.col(mark[1:-1]))
+    return lines.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("o", "l", "n", "q", "d", "mode", "piece")).alias("line_no"), raw.alias("raw"))
+
+
+_SCAN_ROWS = ", ".join(f"({k}, {i}, '{line.replace(chr(39), chr(39) * 2)}')" for k, block in enumerate(SCAN_BLOCKS) for i, line in enumerate(block))
+#: The same lines in SQL, under the names of LINES; what lies beyond ASCII are signs here, no letters.
+SCAN = rf"""
+WITH b(kind, piece, line) AS (VALUES {_SCAN_ROWS}),
+i AS (SELECT CAST(l_suppkey AS BIGINT) AS doc_id, l_orderkey AS o, l_linenumber AS l, (l_orderkey * 5 + l_linenumber * 3) % {len(SCAN_BLOCKS)} AS kind, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS q, CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS VARCHAR) AS d, CAST(l_partkey AS VARCHAR) AS n, l_returnflag AS mode FROM lineitem),
+lines AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY o, l, n, q, d, mode, piece) AS INTEGER) AS line_no, replace(replace(replace(replace(line, '{{q}}', q), '{{d}}', d), '{{n}}', n), '{{mode}}', mode) AS raw FROM i JOIN b USING (kind)),
+marked AS (SELECT *, trim(raw, ' ' || chr(9) || chr(13)) AS s, regexp_replace(trim(raw, ' ' || chr(9) || chr(13)), '[^\x00-\x7F]', '#', 'g') AS a FROM lines)
+"""
+
+
 @query(LINES + "SELECT doc_id, line_no, CAST(length(raw) AS INTEGER) AS n_chars, md5(raw) AS digest FROM lines")
 def line_scan(spark, sf_dir):
     return document_lines(spark, sf_dir).select("doc_id", "line_no", F.length("raw").alias("n_chars"), F.md5("raw").alias("digest"))
@@ -111,8 +147,12 @@ _N = r"len(regexp_extract_all({}, '\d{{1,3}}(?:,\d{{2,3}})+(?:\.\d+)?|\d+(?:\.\d
 CAST(count_if(regexp_matches(a, '\b20\d{{2}}(?:[-/]\d{{2,4}})?\b')) AS BIGINT) AS with_year, CAST(count_if(contains(a, '%')) AS BIGINT) AS with_percent FROM marked GROUP BY doc_id"""
 )
 def numeric_line_profile(spark, sf_dir):
+    return numeric_profile(document_lines(spark, sf_dir))
+
+
+def numeric_profile(lines: DataFrame) -> DataFrame:
     line = F.col("line")
-    return document_lines(spark, sf_dir).select("doc_id", text.strip(F.col("raw")).alias("line")).groupBy("doc_id").agg(
+    return lines.select("doc_id", text.strip(F.col("raw")).alias("line")).groupBy("doc_id").agg(
         F.sum(structure.count_numbers(line)).cast("long").alias("numbers"), F.count_if(validation.looks_like_row(line)).alias("row_like"),
         F.count_if(structure.has_year(line)).alias("with_year"), F.count_if(F.contains(line, F.lit("%"))).alias("with_percent"),
     )
@@ -244,7 +284,11 @@ CAST(count_if(CASE WHEN s = '' OR {_TITLE} OR regexp_matches(s, '(?i)^Source\s*:
 ELSE {_N.format("a")} = 1 AND ({_WORDS} <= 20 OR regexp_matches(a, '\b20\d{{2}}(?:[-/]\d{{2,4}})?\b') OR contains(s, '%')) END) AS BIGINT) AS row_like FROM marked GROUP BY doc_id"""
 )
 def structure_line_profile(spark, sf_dir):
-    judged = document_lines(spark, sf_dir).select("doc_id", structure.judged(text.strip(F.col("raw"))).alias("j"))
+    return structure_profile(document_lines(spark, sf_dir))
+
+
+def structure_profile(lines: DataFrame) -> DataFrame:
+    judged = lines.select("doc_id", structure.judged(text.strip(F.col("raw"))).alias("j"))
     count = lambda c, name: F.count_if(f"j.{c}").alias(name)
     return judged.groupBy("doc_id").agg(count("title", "titles"), count("header", "headers"), count("continuation", "continuations"), count("section", "sections"), count("row", "row_like"))
 
@@ -504,3 +548,82 @@ SELECT label, gray AS threshold, round((t - n0) / t, 6) AS white_ratio FROM j QU
 def otsu_thresholds(spark, sf_dir):
     pixels = table(spark, sf_dir, "embeddings").select("label", F.explode("embedding").alias("x")).select("label", F.floor((F.col("x").cast("double") + 1) * 127).cast("int").alias("gray"))
     return imaging.otsu_threshold(pixels, ["label"]).select("label", "threshold", F.round("white_ratio", 6).alias("white_ratio"))
+
+
+@query(
+    """WITH d AS (SELECT doc_id, n_chars, doc_id % 3 = 0 AS again, doc_id % 7 = 0 AS gone FROM documents),
+r AS (SELECT doc_id, 'english' AS language, CASE WHEN again THEN 'Second report' || chr(10) || source ELSE 'First report' || chr(10) || n_chars END AS text, CASE WHEN again THEN 3 ELSE 1 END AS version FROM d JOIN documents USING (doc_id, n_chars) WHERE NOT gone OR (again AND gone)
+UNION ALL SELECT doc_id, 'hindi', 'First report' || chr(10) || n_chars, 1 FROM d WHERE again)
+SELECT doc_id, language, text, CAST(version AS BIGINT) AS version FROM r"""
+)
+def report_lifecycle(spark, sf_dir):
+    """Reports of all documents; every seventh removed; every third written again, twice, and in another language too."""
+    folder, docs = new_path(spark, "report-store"), table(spark, sf_dir, "documents")
+    third = docs.where("doc_id % 3 = 0")
+    first = F.array(F.lit("First report"), F.col("n_chars").cast("string"))
+    reports.write_reports(docs.select("doc_id", first.alias("lines")), folder, version=1)
+    reports.write_reports(third.select("doc_id", first.alias("lines")), folder, language="hindi", version=1)
+    reports.remove_reports(docs.where("doc_id % 7 = 0"), folder, version=2)
+    for _ in range(2):
+        reports.write_reports(third.select("doc_id", F.array(F.lit("Second report"), F.col("source")).alias("lines")), folder, version=3)
+    reports.compact_reports(spark, folder)
+    return reports.read_reports(spark, folder)
+
+
+def _ocr_text(content: bytes):
+    """The page of a file that is its text; a file that begins with a mark cannot be read."""
+    if content.startswith(b"\x00"):
+        raise ValueError("damaged file")
+    yield 1, content.decode()
+
+
+@query(
+    """WITH d AS (SELECT doc_id, doc_id % 10 = 3 AS bad FROM documents), s AS (SELECT * FROM (VALUES ('ocr', 1), ('cleaning', 2), ('validation', 3), ('structure', 4)) AS v(stage, k))
+SELECT doc_id || '.pdf' AS doc_id, stage, CASE WHEN bad THEN 'OCR failed: damaged file' END AS error, CAST(CASE WHEN bad THEN 0 ELSE 1 END AS BIGINT) AS pages FROM d JOIN s ON k = 1 OR NOT bad"""
+)
+def stage_outcomes(spark, sf_dir):
+    """A file for each document, every tenth damaged: what came of each in every stage that it reached."""
+    marked = F.when(F.col("doc_id") % 10 == 3, F.concat(F.lit("\x00"), F.coalesce("text", F.lit("")))).otherwise(F.coalesce("text", F.lit("")))
+    files = table(spark, sf_dir, "documents").select(F.concat(F.lit("in/"), F.col("doc_id"), F.lit(".pdf")).alias("path"), marked.cast("binary").alias("content"))
+    found = app.process_recorded(files, _ocr_text).outcomes
+    pages = F.when(F.col("stage").isin("ocr", "structure"), F.col("rows")).otherwise((F.col("rows") > 0).cast("long"))
+    return found.select("doc_id", "stage", "error", pages.alias("pages"))
+
+
+def scanned(sql: str, make) -> None:
+    """Registers a query over the scanned items beside the one over the documents, with the same SQL over their lines."""
+    assert LINES in sql
+    make.__name__ = f"scan_{make.__name__}"
+    query(sql.replace(LINES, SCAN))(make)
+
+
+def _scanned() -> None:
+    def line_class(spark, sf_dir):
+        return cleaning.classify(scanned_lines(spark, sf_dir)).select("doc_id", "line_no", "cls", "in_table")
+
+    def cleaned_lines(spark, sf_dir):
+        return cleaning.clean(scanned_lines(spark, sf_dir))[0]
+
+    def cleaning_audit(spark, sf_dir):
+        return cleaning.clean(scanned_lines(spark, sf_dir))[1]
+
+    def page_carry(spark, sf_dir):
+        return validation.check_lines(scanned_lines(spark, sf_dir)).select("doc_id", "line_no", "page", F.col("table").alias("table_title"), "is_row")
+
+    def line_issues(spark, sf_dir):
+        return validation.issues(scanned_lines(spark, sf_dir)).select("doc_id", "line_no", "issue")
+
+    def validation_review(spark, sf_dir):
+        return validation.render_issues(validation.check_lines(scanned_lines(spark, sf_dir)))
+
+    def numeric_line_profile(spark, sf_dir):
+        return numeric_profile(scanned_lines(spark, sf_dir))
+
+    def structure_line_profile(spark, sf_dir):
+        return structure_profile(scanned_lines(spark, sf_dir))
+
+    for make in (line_class, cleaned_lines, cleaning_audit, page_carry, line_issues, validation_review, numeric_line_profile, structure_line_profile):
+        scanned(ORACLES[make.__name__], make)
+
+
+_scanned()
