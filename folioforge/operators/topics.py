@@ -38,15 +38,47 @@ def clean_for_topics(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, "[^a-zA-Z]+", " "))
 
 
-def terms_of(text: Column) -> Column:
-    """All 1- to 3-grams of the words of two letters or more that are no stop words; null where nothing is left of the text."""
+def topic_words(text: Column) -> Column:
+    """The words of two letters or more that are no stop words, in order; null where nothing is left of the text."""
+    return let(clean_for_topics(text), lambda t: F.when(t != "", F.filter(F.split(t, " "), lambda w: (F.length(w) >= 2) & ~w.isin(*lexicon.TOPIC_STOP_WORDS))))
 
-    def grams(w: Column) -> Column:
-        one = lambda n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
-        return F.concat(w, one(2), one(3))
 
-    words = lambda t: F.filter(F.split(t, " "), lambda w: (F.length(w) >= 2) & ~w.isin(*lexicon.TOPIC_STOP_WORDS))
-    return let(clean_for_topics(text), lambda t: F.when(t != "", let(words(t), grams)))
+def grams(words: Column, longest: int = 3) -> Column:
+    """All 1- to ``longest``-grams of an array of words; those with a null word are left out."""
+
+    def of(w: Column, n: int) -> Column:
+        joined = lambda i: F.concat(*[x for k in range(n) for x in (F.lit(" "), F.get(w, i + k))][1:])  # noqa: E731  null with any null
+        return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), joined)).otherwise(F.array().cast("array<string>"))
+
+    return let(words, lambda w: F.array_compact(F.concat(w, *[of(w, n) for n in range(2, longest + 1)])))
+
+
+def counted(terms: Column) -> Column:
+    """ARRAY<STRUCT<term, tf>>: the different terms of an array and how often each is in it."""
+
+    def runs(t: Column) -> Column:
+        starts = F.filter(F.transform(t, lambda x, i: F.when((i == 0) | (x != F.get(t, i - 1)), i)), lambda i: i.isNotNull())
+        return let(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(t, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(t)) - i).cast("long").alias("tf"))))
+
+    return let(F.sort_array(terms), runs)
+
+
+#: Words that are looked up as a set of constants; were more as frequent as the rest, no word would be passed over.
+FREQUENT = 20_000
+
+
+def _frequent_words(words: DataFrame) -> list[str] | None:
+    """The words that can be in one of the MAX_FEATURES most frequent terms, or None for all.
+
+    A term is no more frequent than any word of it. So once MAX_FEATURES words are frequent
+    enough by themselves, no term with a rarer word than these can be among the kept.
+    """
+    each = words.select(F.explode(counted(F.col("words"))).alias("x")).select("x.term", "x.tf")
+    counts = materialise(each.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")), "word-counts")
+    best = counts.where(F.col("df") >= MIN_DF).orderBy(F.desc("cf")).limit(MAX_FEATURES)
+    n, least = best.agg(F.count("*"), F.min("cf")).first()
+    found = counts.where(F.col("cf") >= F.lit(least if n == MAX_FEATURES else 0)).select("term").limit(FREQUENT + 1).collect()
+    return None if n < MAX_FEATURES or len(found) > FREQUENT else [r.term for r in found]
 
 
 def weights(parts: DataFrame, group: str | None = None) -> DataFrame:
@@ -57,32 +89,36 @@ def weights(parts: DataFrame, group: str | None = None) -> DataFrame:
     Groups with fewer than two parts have no topics. Without ``group`` all parts are one, and
     g is 0.
 
-    The parts are read once: the counts of their terms are written to shared storage, with a
-    row without a term for each part, from which the parts are counted.
+    The parts are read for the words, for the terms that can be kept and for the weights of
+    those that are; each time they are counted within the row and added up before anything
+    is shuffled, and only what is kept goes on.
     """
     key = ["g"] if group else []
-    cleaned = parts.select(*([F.col(group).alias("g")] if group else []), F.concat_ws("/", "doc_id", "part").alias("part"), F.explode(_nonempty(terms_of(F.col("text")))).alias("term"))
-    counts = materialise(cleaned.groupBy(*key, "part", "term").agg(F.count("*").alias("tf")), "term-counts")
-    tf = counts.where("term IS NOT NULL")
-    df = tf.groupBy(*key, "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where(F.col("df") >= MIN_DF)
-    n = counts.where("term IS NULL").groupBy(*key).agg(F.sum("tf").alias("n")).where("n >= 2")
+    words = parts.select(*([F.col(group).alias("g")] if group else []), F.concat_ws("/", "doc_id", "part").alias("part"), topic_words(F.col("text")).alias("words"))
+    words = words.where(F.col("words").isNotNull())
+    frequent = None if group else _frequent_words(words)
+    usable = F.col("words") if frequent is None else F.transform("words", lambda w: F.when(w.isin(frequent), w))
+
+    def terms(kept: list[str] | None = None) -> DataFrame:
+        listed = grams(usable) if kept is None else F.filter(grams(usable), lambda t: t.isin(kept))
+        return words.select(*key, "part", F.explode(counted(listed)).alias("x")).select(*key, "part", "x.term", "x.tf")
+
+    df = terms().groupBy(*key, "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where(F.col("df") >= MIN_DF)
+    n = words.groupBy(*key).agg(F.count("*").alias("n")).where("n >= 2")
     if group:
         ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("cf"), "term"))).where(F.col("rank") <= MAX_FEATURES).join(n, "g")
     else:
         total = n.first()  # one figure
         ranked = df.orderBy(F.desc("cf"), "term").limit(MAX_FEATURES).withColumn("n", F.lit(total.n if total else 0)).where("n >= 2")
     vocabulary = materialise(ranked.select(*key, "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"), "n"), "vocabulary")
-    w = tf.join(vocabulary, [*key, "term"]).withColumn("w", (1 + F.log("tf")) * F.col("idf"))
-    unit = w.withColumn("u", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*key, "part"))))
+    kept = None if group else [r.term for r in vocabulary.select("term").collect()]  # MAX_FEATURES at most
+    w = terms(kept).join(vocabulary, [*key, "term"]).withColumn("w", (1 + F.log("tf")) * F.col("idf"))
+    lengths = w.groupBy(*key, "part").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"), F.collect_list(F.struct("term", "w", "n")).alias("all"))
+    unit = lengths.select(*key, "length", F.explode("all").alias("x")).select(*key, "x.term", "x.n", (F.col("x.w") / F.col("length")).alias("u"))
     scored = unit.groupBy(*key, "term", "n").agg(F.sum("u").alias("total"))
     return scored.select(F.col("g") if group else F.lit(0).alias("g"), "term", (F.col("total") / F.col("n")).alias("score"))
 
 
-def _nonempty(found: Column) -> Column:
-    """The terms of a part and one null that stands for the part; nothing for a part without text."""
-    return F.when(found.isNotNull(), F.concat(found, F.array(F.lit(None).cast("string"))))
-
-
 def is_meaningful(term: Column) -> Column:
     words = F.split(term, " ")
     good = F.filter(words, lambda w: ~w.isin(*lexicon.TOPIC_STOP_WORDS))
