@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions import lexicon, text
 from folioforge.functions.storage import materialise, new_path
-from folioforge.operators import cleaning, imaging, report, retrieval, search, structure, topics, validation
+from folioforge.operators import cleaning, imaging, report, retrieval, search, search_index, structure, topics, validation
 from folioforge.plans import app
 from folioforge.sources import documents as sources
 from folioforge.sources import reports
@@ -627,3 +629,19 @@ def _scanned() -> None:
 
 
 _scanned()
+
+
+#: What the index is asked for: two words of licenses, a run of letters and a sign, one that is too short for a gram, one that nothing has.
+INDEXED = ("MIT License", "ion. T", "q.", "no such words at all")
+
+
+@query(
+    LINES
+    + f"""SELECT asked, doc_id, CAST(count(*) AS INTEGER) AS n_rows, md5(string_agg(s, chr(10) ORDER BY line_no)) AS rows_digest FROM marked, (SELECT unnest({list(INDEXED)}) AS asked)
+WHERE s <> '' AND contains(lower(s), lower(asked)) GROUP BY ALL"""
+)
+def search_indexed(spark, sf_dir):
+    """Several searches of all documents by one index."""
+    index = search_index.build_index(document_pages(spark, sf_dir), new_path(spark, "search-index"), block_pages=100)
+    found = [search_index.indexed_search(index, q).select(F.lit(q).alias("asked"), "doc_id", F.size("rows").alias("n_rows"), F.md5(F.array_join("rows", "\n")).alias("rows_digest")) for q in INDEXED]
+    return functools.reduce(DataFrame.unionByName, found)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import lexicon
 from folioforge.functions.text import to_lines
-from folioforge.operators import cleaning, imaging, json_text, report, retrieval, search, structure, topics, validation
+from folioforge.operators import cleaning, imaging, json_text, report, retrieval, search, search_index, structure, topics, validation
 from folioforge.plans import app
 from folioforge.sources import documents as sources
 from folioforge.sources import reports
@@ -374,3 +374,25 @@ def test_small_tables_are_spread(spark):
     cores = spark.sparkContext.defaultParallelism
     assert sources.spread(spark.range(100).coalesce(1)).rdd.getNumPartitions() == cores
     assert sources.spread(spark.range(0, 100, 1, cores)).rdd.getNumPartitions() == cores
+
+
+def test_indexed_search_equals_search(spark, tmp_path):
+    rng = random.Random(9)
+    none = "array<struct<title:string,header:array<string>,rows:array<string>,source:string>>"
+    word = lambda: "".join(rng.choice("abcdeÉ1.") for _ in range(rng.randint(1, 5)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    rows = [(d, p, p, "\n".join(line(6) for _ in range(4)), [(line(2), [], [line(3), "  " + line(2)], None)] if p % 2 else []) for d in range(60) for p in range(3)]
+    rows += [(900, 1, 1, None, None), (901, 1, 1, "", []), (902, 1, None, "needle in\nthe hay", [(None, [], ["NEEDLE\u0130x"], None)]), (902, 1, None, "needle in\nthe hay", [])]
+    pages = spark.createDataFrame(rows, f"doc_id long, page_ord int, page int, text string, tables {none}")
+    index = search_index.build_index(pages, str(tmp_path / "index"), block_pages=10)
+    plain = lambda df: sorted(map(str, df.collect()))
+    queries = ["needle", " NEEDLE in ", "in\nthe", "a", "e.", "", "abc", "zzz", "\u00c9", line(1) + " " + line(1), *[r[3].split("\n")[1][3:12] for r in rows[:30:6]]]
+    for q in queries:
+        assert plain(search_index.indexed_search(index, q)) == plain(search.search(pages, q)), q
+    assert search_index.candidates(index, "needle in").count() == 2 and search_index.candidates(index, "ab") is None
+    share = sum(search_index.candidates(index, q).count() for q in queries[-5:]) / 5 / len(rows)
+    assert share < 0.05  # of the pages, for queries of nine characters
+    plan = search_index.indexed_search(index, "needle")
+    plan.collect()
+    assert "dynamicpruning" in plan._jdf.queryExecution().executedPlan().toString()
+    assert search_index.indexed_search(search_index.build_index(pages.limit(0), str(tmp_path / "none")), "needle").collect() == []
