@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _own_dirs: dict[str, str] = {}
 
@@ -33,3 +35,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def save(df: DataFrame, path: str, partition: str | None = None) -> None:
+    """Write a table with its schema beside it, so that it can be loaded also without rows; replaces the one there."""
+    last = StructType([*[f for f in df.schema if f.name != partition], *[f for f in df.schema if f.name == partition]])
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(partition) if partition else writer).parquet(f"{path}/rows")
+    df.sparkSession.createDataFrame([(last.json(),)], "value string").write.mode("overwrite").text(f"{path}/schema")
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """A table that ``save`` wrote; a partition column is the last one."""
+    schema = StructType.fromJson(json.loads(spark.read.text(f"{path}/schema").first().value))
+    return spark.read.schema(schema).parquet(f"{path}/rows")

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
+from folioforge.functions.storage import load, save
 from folioforge.functions.text import let
 from folioforge.operators.search import search
 
@@ -28,13 +27,12 @@ class SearchIndex:
     @property
     def pages(self) -> DataFrame:
         """The pages, with place in the block and block (a folder each)."""
-        schema = StructType.fromJson(json.loads(self.spark.read.text(f"{self.folder}/schema").first().value))
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/pages")
+        return load(self.spark, f"{self.folder}/pages")
 
     @property
     def grams(self) -> DataFrame:
         """(gram, block, places, bucket): the places, ascending, of a block's pages that have a gram; a folder for each bucket of grams."""
-        return self.spark.read.schema("gram string, block int, places array<int>, bucket int").parquet(f"{self.folder}/grams")
+        return load(self.spark, f"{self.folder}/grams")
 
 
 def searched_text(structured: DataFrame) -> Column:
@@ -65,15 +63,12 @@ def build_index(structured: DataFrame, folder: str, block_pages: int = BLOCK_PAG
     blocks = max(1, -(-structured.count() // block_pages))
     place = F.row_number().over(Window.partitionBy("block").orderBy("doc_id", "page_ord")) - 1
     dealt = structured.withColumn("block", F.pmod(F.xxhash64("doc_id", "page_ord"), F.lit(blocks)).cast("int"))
-    placed = dealt.withColumn("place", place)
-    last = StructType([*[f for f in placed.schema if f.name != "block"], placed.schema["block"]])
-    spark.createDataFrame([(last.json(),)], "value string").write.mode("overwrite").text(f"{folder}/schema")
-    placed.write.mode("overwrite").partitionBy("block").parquet(f"{folder}/pages")
+    save(dealt.withColumn("place", place), f"{folder}/pages", "block")
     made = SearchIndex(spark, folder)
     each = made.pages.repartition("block").select("block", "place", F.explode(grams_of(searched_text(structured))).alias("gram"))
     lists = each.groupBy("block", "gram").agg(F.sort_array(F.collect_list("place")).alias("places"))
     by_bucket = lists.withColumn("bucket", gram_bucket(F.col("gram"))).hint("rebalance", F.col("bucket"))
-    by_bucket.sortWithinPartitions("bucket", "gram").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/grams")
+    save(by_bucket.sortWithinPartitions("bucket", "gram"), f"{folder}/grams", "bucket")
     return made
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import lexicon, text
 from folioforge.functions.storage import materialise, new_path
-from folioforge.operators import cleaning, imaging, report, retrieval, search, search_index, structure, topics, validation
+from folioforge.operators import cleaning, imaging, report, retrieval, retrieval_index, search, search_index, structure, topics, validation
 from folioforge.plans import app
 from folioforge.sources import documents as sources
 from folioforge.sources import reports
@@ -645,3 +645,23 @@ def search_indexed(spark, sf_dir):
     index = search_index.build_index(document_pages(spark, sf_dir), new_path(spark, "search-index"), block_pages=100)
     found = [search_index.indexed_search(index, q).select(F.lit(q).alias("asked"), "doc_id", F.size("rows").alias("n_rows"), F.md5(F.array_join("rows", "\n")).alias("rows_digest")) for q in INDEXED]
     return functools.reduce(DataFrame.unionByName, found)
+
+
+_ASKED = r"list_distinct(regexp_extract_all(lower(regexp_replace(question, '[^\x00-\x7F]', '_', 'g')), '\b[a-zA-Z0-9]+\b'))"
+_TOKENS = r"regexp_extract_all(lower(regexp_replace(question, '[^\x00-\x7F\x{2013}]', '_', 'g')), '\b[a-zA-Z0-9]+(?:[-\x{2013}][a-zA-Z0-9]+)*\b')"
+
+
+@query(
+    rf"""WITH q AS (SELECT item_id AS qid, {_ASKED} AS qw, {_TOKENS} AS qt, embedding::DOUBLE[] AS qv FROM (SELECT item_id, text AS question, embedding FROM benchmark JOIN embeddings ON vec_id = item_id)),
+c AS (SELECT doc_id, lower({_FLAT}) AS t, list_distinct(regexp_extract_all(regexp_replace(lower({_FLAT}), '[^\x00-\x7F]', '_', 'g'), '\b[a-zA-Z0-9]+\b')) AS w, embedding::DOUBLE[] AS v FROM documents JOIN embeddings ON vec_id = doc_id WHERE {_FLAT} <> ''),
+s AS (SELECT qid, doc_id, list_dot_product(v, qv) / sqrt(list_dot_product(v, v)) / sqrt(list_dot_product(qv, qv)) AS semantic, CASE WHEN len(qw) = 0 THEN 0 ELSE len(list_intersect(qw, w)) / len(qw) END AS keyword, CASE WHEN len(qt) = 0 THEN 0 ELSE len(list_filter(qt, lambda x: contains(t, x))) / len(qt) END AS bonus FROM q, c)
+SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY 0.60 * semantic + 0.25 * keyword + 0.15 * bonus DESC, doc_id) AS INTEGER) AS place, doc_id, round(0.60 * semantic + 0.25 * keyword + 0.15 * bonus, 6) AS score FROM s
+QUALIFY row_number() OVER (PARTITION BY qid ORDER BY 0.60 * semantic + 0.25 * keyword + 0.15 * bonus DESC, doc_id) <= 5"""
+)
+def hybrid_topk_many(spark, sf_dir):
+    """Every benchmark item as a question to all documents with a vector."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    chunks = retrieval.page_chunks(document_pages(spark, sf_dir)).join(vectors, "doc_id")
+    index = retrieval_index.build_chunk_index(chunks, new_path(spark, "chunk-index"), list_chunks=50)
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question")).join(vectors.withColumnRenamed("doc_id", "qid"), "qid")
+    return retrieval_index.rank_many(index, asked).select("qid", "place", "doc_id", F.round("score", 6).alias("score"))

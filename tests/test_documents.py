@@ -5,12 +5,13 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from folioforge.functions import lexicon
 from folioforge.functions.text import to_lines
-from folioforge.operators import cleaning, imaging, json_text, report, retrieval, search, search_index, structure, topics, validation
+from folioforge.operators import cleaning, imaging, json_text, report, retrieval, retrieval_index, search, search_index, structure, topics, validation
 from folioforge.plans import app
 from folioforge.sources import documents as sources
 from folioforge.sources import reports
@@ -396,3 +397,32 @@ def test_indexed_search_equals_search(spark, tmp_path):
     plan.collect()
     assert "dynamicpruning" in plan._jdf.queryExecution().executedPlan().toString()
     assert search_index.indexed_search(search_index.build_index(pages.limit(0), str(tmp_path / "none")), "needle").collect() == []
+
+
+def test_many_questions_equal_one_by_one(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(4)
+    pool = ["coal", "steel", "output", "of", "the", "mine", "2024-25", "an"]
+    text = lambda: " ".join(rng.choice(pool, rng.integers(1, 4)))
+    centres = np.linalg.qr(rng.normal(size=(24, 24)))[0]
+    made = [(int(i), 0, f"{text()} w{i}", (centres[i % 24] + 0.01 * rng.normal(size=24)).tolist()) for i in range(480)]
+    made += [(900, 0, "the steel of the mine", [0.0] * 24), (901, 0, "no vector", None), (902, 1, "", made[0][3]), (3, 1, made[3][2], made[3][3])]
+    chunks = spark.createDataFrame(made, "doc_id long, ord int, text string, vector array<double>")
+    asked = [(i, f"what is the {text()} of w{i * 7}", (centres[i] + 0.02 * rng.normal(size=24)).tolist()) for i in range(12)]
+    asked += [(50, "", made[5][3]), (51, "coal", [0.0] * 24), (52, None, made[9][3]), (53, "no vector", None), (None, "coal", made[0][3])]
+    index = retrieval_index.build_chunk_index(chunks, str(tmp_path / "index"), list_chunks=20)
+    sizes = {}
+    real = retrieval_index.materialise
+    monkeypatch.setattr(retrieval_index, "materialise", lambda df, name: sizes.setdefault(name, real(df, name)))
+    got = {}
+    for r in retrieval_index.rank_many(index, spark.createDataFrame(asked, "qid long, question string, vector array<double>")).collect():
+        got.setdefault(r.qid, {})[r.place] = (r.doc_id, r.ord, round(r.score, 9))
+    usable = chunks.where("vector IS NOT NULL")
+    assert set(got) == {q for q, _, v in asked if q is not None and v is not None}
+    for qid in (0, 3, 11, 50, 51, 52):
+        _, question, vector = next(a for a in asked if a[0] == qid)
+        want = [(r.doc_id, r.ord, round(r.score, 9)) for r in retrieval.rank(usable, question or "", vector).collect()]
+        assert [got[qid][k] for k in sorted(got[qid])] == want, qid
+    assert sizes["late-lists"].where(F.col("qid") < 12).count() < 12 * 25 * 0.5  # vectors in tight groups: a question looks into part of the lists
+    empty = retrieval_index.build_chunk_index(chunks.limit(0), str(tmp_path / "none"))
+    sizes.clear()
+    assert retrieval_index.rank_many(empty, spark.createDataFrame(asked, "qid long, question string, vector array<double>")).collect() == []
