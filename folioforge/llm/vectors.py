@@ -12,14 +12,18 @@ from pyspark.sql import functions as F
 
 from folioforge.llm.common import connected_components, let, materialise, pair_cells
 
+#: Bytes of query vectors that an audit sends to each task at a time.
+AUDIT_BYTES = 1 << 26
+
 
 @dataclass(frozen=True)
 class Graph:
     """Parameters of the graph and its search."""
 
     threshold: float = 0.9
-    #: Vectors the coarse centres are fitted on at most; a hash picks them.
+    #: Vectors the coarse centres are fitted on at most, and their bytes on the driver; a hash picks them. Centres of the coarse level have a fourth of these bytes at most.
     sample: int = 20_000
+    sample_bytes: int = 1 << 26
     #: Vectors of a shard aimed at, and the centres a vector is dealt to at least.
     shard: int = 1500
     overlap: int = 3
@@ -83,19 +87,19 @@ def share_together(x: np.ndarray, c: np.ndarray, overlap: int, threshold: float,
     return float(np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(mine, its, strict=True)]))
 
 
-def fit_centres(x: np.ndarray, wanted: float, graph: Graph, shared: float) -> tuple[np.ndarray, int]:
+def fit_centres(x: np.ndarray, wanted: float, graph: Graph, shared: float, most: int | None = None) -> tuple[np.ndarray, int]:
     """(unit cluster centres, how many of them a vector is dealt to) from a sample; ``wanted`` centres for an overlap of one.
 
     As pairs share one of their nearest centres less often the more centres there are, the
-    overlap is raised, and the number of centres with it, until ``shared`` of the pairs at
-    the threshold share one.
+    overlap is raised, and the number of centres with it (up to ``most``), until ``shared``
+    of the pairs at the threshold share one.
     """
     order = np.random.default_rng(graph.seed).permutation(len(x))
     held = min(2000, len(x) // 4)  # vectors that centres are fitted on lie nearer to them than others do; the share is measured on some kept apart
     apart, fitted = x[order[:held]], x[order[held:]]
     overlap = 1 if wanted < 1 else graph.overlap
     while True:
-        c = fitted[: max(1, round(wanted * overlap))]
+        c = fitted[: max(1, min(most or len(fitted), round(wanted * overlap)))]
         for _ in range(8 if len(c) > 1 else 0):
             own = nearest_centres(fitted, c, 1)[:, 0]
             total = np.zeros_like(c)
@@ -108,16 +112,17 @@ def fit_centres(x: np.ndarray, wanted: float, graph: Graph, shared: float) -> tu
 
 
 def coarse_centres(found: DataFrame, graph: Graph) -> dict[int, tuple[np.ndarray, int]]:
-    """The coarse centres of each dimension, fitted on the driver; their number and the sample have fixed bounds."""
+    """The coarse centres of each dimension, fitted on the driver; their bytes and the sample's have fixed bounds."""
     out = {}
     for dim, count in found.groupBy("dim").count().collect():
         wanted = min(graph.coarse, count / graph.shard / graph.fine)
         if wanted <= 1:
             out[dim] = np.eye(1, dim), 1
             continue
-        share = min(1.0, graph.sample / count)
-        picked = found.where((F.col("dim") == dim) & (F.pmod(F.xxhash64(F.lit(graph.seed), "rep"), F.lit(1 << 20)) <= share * (1 << 20))).orderBy("rep").limit(2 * graph.sample)
-        out[dim] = fit_centres(np.array([r.v for r in picked.select("v").collect()]).reshape(-1, dim), wanted, graph, (1 + graph.shared) / 2)
+        rows = max(1, min(graph.sample, graph.sample_bytes // (8 * dim)))
+        picked = found.where((F.col("dim") == dim) & (F.pmod(F.xxhash64(F.lit(graph.seed), "rep"), F.lit(1 << 20)) <= min(1.0, rows / count) * (1 << 20))).orderBy("rep").limit(rows)
+        x = picked.select("v").toArrow().column(0).combine_chunks().values.to_numpy().reshape(-1, dim)
+        out[dim] = fit_centres(x, wanted, graph, (1 + graph.shared) / 2, max(1, min(graph.coarse, graph.sample_bytes // (32 * dim))))
     return out
 
 
@@ -184,8 +189,19 @@ def robust_prune(x: np.ndarray, candidates: np.ndarray, own: np.ndarray, degree:
     return kept
 
 
+def nearest_cosines(x: np.ndarray) -> np.ndarray:
+    """Each unit vector's cosine with the nearest other one; -3 for one alone."""
+    top = np.full(len(x), -3.0)
+    for at in range(0, len(x) if len(x) > 1 else 0, 256):
+        cosines = x[at : at + 256] @ x.T
+        line = np.arange(len(cosines))
+        cosines[line, line + at] = -3
+        top[at : at + 256] = cosines.max(axis=1)
+    return top
+
+
 def shard_graph(x: np.ndarray, graph: Graph) -> tuple[list[np.ndarray], np.ndarray]:
-    """Pruned adjacency lists of the unit vectors of one shard, and each vertex's cosine with its nearest.
+    """Pruned adjacency lists of unit vectors, and each vertex's cosine with its nearest.
 
     Reverse edges are added, and lists that grow over twice the degree by them pruned again.
     """
@@ -300,10 +316,11 @@ def near_duplicates(vectors: DataFrame, graph: Graph = Graph(), id_col: str = "v
     link. Equal vectors are one vertex. Vertices are dealt to overlapping cluster shards;
     each shard builds a robust-pruned graph, the adjacency lists of a vertex are united over
     its shards, and each shard searches the united lists among its vertices for each of
-    them. Only vertices whose nearest in some shard is within the threshold (less the slack)
-    go on to the search: both ends of a link are such, and so is all that range expansion
-    steps from, so this loses no link. A pair that shares several shards is counted in the first only, so links are
-    counted and joined into components without listing pairs; none are capped. Shards that
+    them. Only vertices whose nearest in the shard is within the threshold (less the slack)
+    are in its graph and go on to the search: both ends of a link are such, and so is all
+    that range expansion steps from, so this loses no link. Every link found joins
+    components; a pair that shares several shards is counted in the first only, so links are
+    counted without listing pairs; none are capped. Shards that
     grow beyond a cell are searched as pairs of chunks. The search of a cell stays in it:
     neighbours outside are met in the cells that they share. Vectors of different lengths
     never link. How many shards a vector is dealt to is measured on the data (see ``deal``).
@@ -318,10 +335,10 @@ def near_duplicates(vectors: DataFrame, graph: Graph = Graph(), id_col: str = "v
     near_enough = graph.threshold - graph.slack - 1e-4
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        lists, top = shard_graph(np.stack(pdf["v"]), graph)
-        reps, close = pdf["rep"].to_numpy(), top >= near_enough
-        some = np.flatnonzero(close)
-        return pd.DataFrame({"rep": reps[some], "near": pd.Series([reps[lists[i][close[lists[i]]]] for i in some], dtype=object)})
+        x = np.stack(pdf["v"])
+        some = np.flatnonzero(nearest_cosines(x) >= near_enough)
+        reps = pdf["rep"].to_numpy()[some]
+        return pd.DataFrame({"rep": reps, "near": pd.Series([reps[near] for near in shard_graph(x[some], graph)[0]] if len(some) else [], dtype=object)})
 
     single = found.select("rep", F.col("v").cast("array<float>").alias("v"))
     built = cells.select(*cell, "rep").join(single, "rep").groupBy(*cell).applyInPandas(build, "rep long, near array<long>")
@@ -356,8 +373,7 @@ def near_duplicates(vectors: DataFrame, graph: Graph = Graph(), id_col: str = "v
             common = np.isin(homes[others], homes[i][homes[i] >= 0])
             first = np.where(common, homes[others], np.iinfo(np.int64).max).min(axis=1)
             ours = (first == shard) & (np.minimum(chunk[others], chunk[i]) == a) & (np.maximum(chunk[others], chunk[i]) == b)
-            others = others[ours]
-            links[i] = size[others].sum()
+            links[i] = size[others[ours]].sum()
             groups, where = np.unique(parent[others], return_index=True)
             for g, w in zip(groups, where, strict=True):
                 if g != parent[i]:
@@ -385,24 +401,30 @@ def near_duplicates(vectors: DataFrame, graph: Graph = Graph(), id_col: str = "v
 def audit_recall(vectors: DataFrame, answer: DataFrame, every: int = 50, graph: Graph = Graph(), id_col: str = "vec_id", vector_col: str = "embedding") -> float:
     """Links of every ``every``-th vector (by id) that ``answer`` counts, as a share of those brute force counts.
 
-    The queries, a stated part of the rows, meet all rows in blocks: each task multiplies its
-    batch of rows with the queries' matrix and returns counts.
+    The queries, a stated part of the rows, travel in blocks of AUDIT_BYTES; for each block
+    the rows pass once, where they lie, and tasks return one count a query.
     """
-    found = classes(vectors, id_col, vector_col)
-    queries = vectors.where(F.col(id_col) % every == 0).select(F.col(id_col).alias("vec_id"), vector_col)
-    q = classes(queries, "vec_id", vector_col).select(F.col("first_id").alias("q"), F.col("v").alias("qv"), F.col("dim").alias("qd"))
-    groups = q.withColumn("block", F.pmod(F.hash("q"), F.lit(16)))
-    rows = found.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(15))))
-
-    def count(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(len(left), np.int64)
-        for d in left["qd"].unique():
-            pick, some = left["qd"].to_numpy() == d, right[right["dim"] == d]
-            if len(some):
-                x, n = np.stack(some["v"]), some["n"].to_numpy()
-                total[pick] = [(n[x @ v >= graph.threshold]).sum() - 1 for v in left["qv"][pick]]
-        return pd.DataFrame({"vec_id": left["q"], "true_links": total})
-
-    truth = groups.groupBy("block").cogroup(rows.groupBy("block")).applyInPandas(count, "vec_id long, true_links long")
-    got, want = truth.join(answer.select("vec_id", "n_links"), "vec_id").agg(F.sum("n_links"), F.sum("true_links")).first()
+    spark = vectors.sparkSession
+    found = materialise(classes(vectors, id_col, vector_col), "audited")
+    queries = materialise(classes(vectors.where(F.col(id_col) % every == 0).select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("v0")), "vec_id", "v0"), "queries")
+    blocks = max(1, -(-(queries.agg(F.sum("dim")).first()[0] or 0) * 8 // AUDIT_BYTES))
+    truth = None
+    for block in range(blocks):
+        some = queries.where(F.pmod(F.xxhash64("rep"), F.lit(blocks)) == block).select("first_id", "dim", "v").toPandas()
+        by_dim = {int(d): (g["first_id"].to_numpy(), np.stack(g["v"])) for d, g in some.groupby("dim")}
+        sent = spark.sparkContext.broadcast(by_dim)
+
+        def count(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            totals = {d: np.zeros(len(ids), np.int64) for d, (ids, _) in sent.value.items()}
+            for batch in batches:
+                for d, rows in batch.groupby("dim"):
+                    if d in totals:
+                        totals[d] += (sent.value[d][1] @ np.stack(rows["v"]).T >= graph.threshold) @ rows["n"].to_numpy()
+            for d, total in totals.items():
+                yield pd.DataFrame({"vec_id": sent.value[d][0], "true_links": total})
+
+        part = materialise(found.select("dim", "n", "v").mapInPandas(count, "vec_id long, true_links long").groupBy("vec_id").agg((F.sum("true_links") - 1).alias("true_links")), "truth")
+        truth = part if truth is None else truth.unionByName(part)
+        sent.destroy()
+    got, want = truth.join(answer.select(F.col("vec_id").alias("__id"), "n_links"), F.col("vec_id") == F.col("__id")).agg(F.sum("n_links"), F.sum("true_links")).first()
     return 1.0 if not want else got / want

@@ -406,3 +406,25 @@ def test_pairs_at_the_threshold_share_a_shard_of_many(spark):
     table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(np.concatenate([u, v]))], "vec_id long, embedding array<double>")
     links = sum(r.n_links for r in vectors.near_duplicates(table, vectors.Graph(shard=30, sample=1000)).collect())
     assert 0.97 * 6000 <= links <= 6000
+
+
+def test_links_of_several_coarse_cells_equal_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(15)
+    unit = lambda a: a / np.linalg.norm(a, axis=1, keepdims=True)
+    alone = unit(rng.normal(size=(900, 128)))
+    groups = np.concatenate([c + 0.02 * rng.normal(size=(k, 128)) for c, k in zip(unit(rng.normal(size=(60, 128))), rng.integers(2, 14, 60), strict=True)])
+    x = np.concatenate([alone, groups])[rng.permutation(900 + len(groups))]
+    links = unit(x) @ unit(x).T >= 0.9
+    np.fill_diagonal(links, False)
+    assert links.sum() > 1000
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    graph = vectors.Graph(shard=100, fine=3, sample=600, dealt=200)
+    assert len(vectors.coarse_centres(vectors.classes(table), graph)[128][0]) > 2
+    answer = vectors.near_duplicates(table, graph)
+    got = {r.vec_id: r for r in answer.collect()}
+    assert [got[i].n_links for i in range(len(x))] == links.sum(axis=1).tolist()
+    assert [got[i].component_id for i in range(len(x))] == naive_components(links)
+    monkeypatch.setattr(vectors, "AUDIT_BYTES", 1 << 14)
+    assert vectors.audit_recall(table, answer, every=7) == 1.0
+    tight = vectors.coarse_centres(vectors.classes(table), vectors.Graph(shard=100, fine=3, sample_bytes=1 << 17))[128]
+    assert len(tight[0]) <= (1 << 17) // (32 * 128)
