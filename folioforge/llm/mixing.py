@@ -124,6 +124,7 @@ def mix(docs: DataFrame, target: Target = Target(), id_col: str = "doc_id", text
     narrow = materialise(keyed.select("__source", "__block", "__key", count_words(F.col(text_col)).alias("__tokens")), "token-counts")
     blocks, _ = plan(narrow, target, "__source")
     chosen = blocks.select(F.col("source").alias("__s"), F.col("__block").alias("__b"), F.col("weight").alias("__weight"), F.col("passes").alias("__passes"), F.col("block_order").alias("__order"))
+    chosen = materialise(chosen, "chosen-blocks")  # of a known size: where sources are few, Spark broadcasts it and moves no text
     joined = keyed.join(chosen, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__block") == F.col("__b")))
     taken = joined.where("__passes > 0").withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("__passes"))))
     return taken.select(
