@@ -97,20 +97,16 @@ def numbered_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def frequent_lines(numbered: DataFrame, limits: LineLimits) -> DataFrame:
-    """(host, h, n_docs) of the lines over the limits. Counts are partly aggregated before the shuffle."""
+    """(host, h, n_docs) of the lines over the limits. Counts are partly aggregated before the shuffle.
+
+    As a line must be in a share of a host's documents, a host has no more of them than its
+    documents' mean number of lines over that share, however many documents it has.
+    """
     per_host = numbered.groupBy("host").agg(F.count("*").alias("host_docs"))
     distinct = numbered.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
     counted = distinct.groupBy("host", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > limits.least_docs)
     over = join_on(counted, per_host, ["host"]).where(F.col("n_docs") > limits.doc_share * F.col("host_docs")).drop("host_docs")
-    return materialise(over, "frequent-lines")  # of a known size, so that Spark broadcasts a small one and shuffles no lines
-
-
-def removed_lines(numbered: DataFrame, bad: DataFrame) -> DataFrame:
-    """(doc_id, tk, host, removed, total, bad_lines) of the documents that have frequent lines: words in these, in all lines, and their hashes."""
-    total = F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["words"])
-    lines = numbered.select("doc_id", "tk", "host", total.alias("total"), F.explode("lines").alias("x")).select("doc_id", "tk", "host", "total", "x.h", "x.words")
-    hit = join_on(lines, bad.select("host", "h"), ["host", "h"])
-    return hit.groupBy("doc_id", "tk", "host").agg(F.sum("words").alias("removed"), F.max("total").alias("total"), F.collect_set("h").alias("bad_lines"))
+    return over
 
 
 def apply_rules(docs: DataFrame, limits: LineLimits = LineLimits(), id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -124,19 +120,27 @@ def apply_rules(docs: DataFrame, limits: LineLimits = LineLimits(), id_col: str
     clash with a new column's name is settled for the new column.
     """
     numbered = numbered_lines(docs, id_col, text_col, host_col)
-    gone = removed_lines(numbered, frequent_lines(numbered, limits))
+    by_host = frequent_lines(numbered, limits).groupBy("host").agg(F.collect_set("h").alias("__bad")).withColumnRenamed("host", "__bad_host")
+    by_host = materialise(by_host, "frequent-lines")  # of a known size: where hosts are few, Spark broadcasts it and moves no text
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words", "clean_text"]
     text = F.col(text_col)
-    counted = docs.withColumns({"__doc": F.col(id_col), "__tk": text_key(text), "__host": F.col(host_col), "__n": text_counts(text)})
-    r = gone.select(F.col("doc_id").alias("__rd"), F.col("tk").alias("__rt"), F.col("host").alias("__rh"), F.col("removed").alias("__gone"), F.col("total").alias("__total"), F.col("bad_lines").alias("__bad"))
-    joined = counted.join(r, F.col("__doc").eqNullSafe(F.col("__rd")) & (F.col("__tk") == F.col("__rt")) & F.col("__host").eqNullSafe(F.col("__rh")), "left")
+    counted = docs.withColumns({"__host": F.col(host_col), "__n": text_counts(text)})
+    joined = counted.join(by_host, F.col("__host").eqNullSafe(F.col("__bad_host")), "left")
     failed = base_failed(F.col("__n.w.n_words"), F.col("__n.w.n_repeat_words"))
-    depleted = F.coalesce((F.col("__total") - F.col("__gone")) < limits.least_left * F.col("__total"), F.lit(False))
-    clean = F.array_join(F.filter(F.split(filled(text), "\n"), lambda x: ~F.array_contains(F.col("__bad"), F.xxhash64(normalised(x)))), "\n")
+    words = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + x["words"])
+    bad = lambda h: F.array_contains(F.col("__bad"), h)
+
+    def judged(lines: Column) -> Column:
+        return F.struct(words(lines).alias("total"), words(F.filter(lines, lambda x: bad(x["h"]))).alias("gone"))
+
+    cut = F.when(F.col("__bad").isNotNull(), let(line_hashes(text), judged))
+    joined = joined.withColumn("__cut", cut)
+    gone, total = F.coalesce("__cut.gone", F.lit(0).cast("long")), F.col("__cut.total")
+    depleted = F.coalesce((gone > 0) & (total - gone < limits.least_left * total), F.lit(False))
+    clean = F.array_join(F.filter(F.split(filled(text), "\n"), lambda x: ~bad(F.xxhash64(normalised(x)))), "\n")
     return joined.select(
         *[F.col(c) for c in docs.columns if c not in new],
         F.col("__n.w.n_words").alias("n_words"), F.col("__n.word_chars").alias("word_chars"), F.col("__n.n_symbols").alias("n_symbols"),
         F.col("__n.n_dup_lines").alias("n_dup_lines"), F.col("__n.w.n_repeat_words").alias("n_repeat_words"),
-        failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), F.coalesce("__gone", F.lit(0).cast("long")).alias("removed_words"),
-        F.when(F.col("__bad").isNull(), text).otherwise(clean).alias("clean_text"),
+        failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), gone.alias("removed_words"), F.when(gone > 0, clean).otherwise(text).alias("clean_text"),
     )
