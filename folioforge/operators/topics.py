@@ -153,3 +153,68 @@ def word_frequencies(texts: DataFrame, text_col: str = "text", top: int | None =
     words = F.filter(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit("[a-zA-Z]+"), F.lit(0)), lambda w: (F.length(w) >= 3) & ~w.isin(*lexicon.CLOUD_STOP_WORDS))
     counted = texts.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word")
     return counted.limit(top) if top else counted
+
+
+#: Score above which two neighbours are shown as one term.
+COLLOCATION = 30.0
+
+
+def _cloud_words(text: Column) -> Column:
+    return F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-zA-Z]+"), F.lit(0)), lambda w: (F.length(w) >= 3) & ~w.isin(*lexicon.CLOUD_STOP_WORDS))
+
+
+def _plurals(counts: DataFrame, key: list[str]) -> DataFrame:
+    """(key, term, std) for every term of ``counts(key, term, n)``: std is the term without its last s where that is a term too, else the term."""
+    cut = F.when(F.col("term").endswith("s") & ~F.col("term").endswith("ss"), F.left("term", F.length("term") - 1))
+    known = counts.select(*key, F.col("term").alias("std"))
+    met = counts.select(*key, "term", "n", cut.alias("std")).join(known.withColumn("there", F.lit(True)), [*key, "std"], "left")
+    return met.select(*key, "term", "n", F.when(F.col("there"), F.col("std")).otherwise(F.col("term")).alias("std"))
+
+
+def _log_likelihood(both: Column, first: Column, second: Column, n: Column) -> Column:
+    """Twice the log of how much likelier the counts are if the second word depends on the first; 0 where a word is all there is."""
+
+    def of(k: Column, m: Column, x: Column) -> Column:
+        least = F.lit(1e-10)
+        return F.log(F.greatest(x, least)) * k + F.log(F.greatest(1 - x, least)) * (m - k)
+
+    p, p1, p2 = second / n, both / first, (second - both) / (n - first)
+    apart = of(both, first, p) + of(second - both, n - first, p) - of(both, first, p1) - of(second - both, n - first, p2)
+    return F.when((n <= first) | (n <= second), 0.0).otherwise(-2 * apart)
+
+
+def cloud_terms(pages: DataFrame, group: str | None = None, top: int | None = 100) -> DataFrame:
+    """(g, term, n): what a word cloud shows of ``pages(doc_id, page_ord, text)``, most frequent first, ties by term; g is 0 without ``group``.
+
+    Plurals count with their singular where both occur. Two words that follow each other in
+    a document, over page ends too, are a term of their own where they do so beyond chance
+    (log-likelihood over COLLOCATION), and then count less by themselves; a word of which
+    nothing is left is not shown. The texts are read once for words and once for pairs, both
+    added up before they are shuffled. Null texts have no words.
+    """
+    key = ["g"]
+    words = pages.select((F.col(group) if group else F.lit(0)).alias("g"), "doc_id", "page_ord", _cloud_words(F.col("text")).alias("w"))
+    uni = _plurals(words.select("g", F.explode("w").alias("term")).groupBy("g", "term").agg(F.count("*").alias("n")), key)
+    uni = materialise(uni, "cloud-words")
+    counts = uni.groupBy("g", "std").agg(F.sum("n").alias("n"))
+    total = uni.groupBy("g").agg(F.sum("n").alias("total"))
+    before = F.last(F.element_at(F.nullif("w", F.array().cast("array<string>")), -1), ignorenulls=True).over(Window.partitionBy("g", "doc_id").orderBy("page_ord").rowsBetween(Window.unboundedPreceding, -1))
+    ends = words.select("g", "doc_id", "page_ord", F.when(F.size("w") > 0, F.array(F.col("w")[0], F.element_at("w", -1))).alias("w"))
+    over = ends.select("g", F.concat_ws(" ", before, F.col("w")[0]).alias("term"), before.isNotNull().alias("met"), F.col("w").isNotNull().alias("any")).where("met AND any").select("g", "term")
+    inside = F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat(F.get("w", i), F.lit(" "), F.get("w", i + 1)))
+    pairs = words.where(F.size("w") > 1).select("g", F.explode(inside).alias("term")).unionByName(over)
+    bi = _plurals(pairs.groupBy("g", "term").agg(F.count("*").alias("n")), key)
+    bi = bi.groupBy("g", "std").agg(F.sum("n").alias("both")).select("g", F.col("std").alias("pair"), "both", F.split_part("std", F.lit(" "), F.lit(1)).alias("a"), F.split_part("std", F.lit(" "), F.lit(2)).alias("b"))
+    for side in ("a", "b"):
+        named = uni.select("g", F.col("term").alias(side), F.col("std").alias(f"{side}_std")).join(counts.select("g", F.col("std").alias(f"{side}_std"), F.col("n").alias(f"{side}_n")), ["g", f"{side}_std"])
+        bi = bi.join(named, ["g", side])
+    together = bi.join(total, "g").where(_log_likelihood(F.col("both"), F.col("a_n"), F.col("b_n"), F.col("total")) > COLLOCATION)
+    together = materialise(together.select("g", "pair", "both", "a_std", "b_std"), "collocations")
+    less = together.select("g", F.explode(F.array("a_std", "b_std")).alias("std"), "both").groupBy("g", "std").agg(F.sum("both").alias("less"))
+    left = counts.join(less, ["g", "std"], "left").select("g", F.col("std").alias("term"), (F.col("n") - F.coalesce("less", F.lit(0))).alias("n")).where("n > 0")
+    shown = left.unionByName(together.select("g", F.col("pair").alias("term"), F.col("both").alias("n")))
+    if top is None:
+        return shown
+    if group is None:
+        return shown.orderBy(F.desc("n"), "term").limit(top)
+    return shown.withColumn("__place", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("n"), "term"))).where(F.col("__place") <= top).drop("__place")

@@ -665,3 +665,30 @@ def hybrid_topk_many(spark, sf_dir):
     index = retrieval_index.build_chunk_index(chunks, new_path(spark, "chunk-index"), list_chunks=50)
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question")).join(vectors.withColumnRenamed("doc_id", "qid"), "qid")
     return retrieval_index.rank_many(index, asked).select("qid", "place", "doc_id", F.round("score", 6).alias("score"))
+
+
+_LIKELY = "ln(greatest({x}, 1e-10)) * ({k}) + ln(greatest(1 - ({x}), 1e-10)) * (({m}) - ({k}))"
+_APART = " ".join(
+    sign + "(" + _LIKELY.format(k=k, m=m, x=x) + ")"
+    for sign, k, m, x in (("", "c12", "c1", "c2 / n"), ("+", "c2 - c12", "n - c1", "c2 / n"), ("-", "c12", "c1", "c12 / c1"), ("-", "c2 - c12", "n - c1", "(c2 - c12) / (n - c1)"))
+)
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, lang AS g, list_filter(regexp_extract_all(lower(text), '[a-zA-Z]+'), lambda w: length(w) >= 3 AND w NOT IN {lexicon.CLOUD_STOP_WORDS}) AS w FROM documents WHERE lang IS NOT NULL),
+u AS (SELECT g, t, count(*) AS c FROM (SELECT g, unnest(w) AS t FROM d) GROUP BY ALL),
+us AS (SELECT u.g, u.t, u.c, coalesce(o.t, u.t) AS s FROM (SELECT *, CASE WHEN ends_with(t, 's') AND NOT ends_with(t, 'ss') THEN left(t, length(t) - 1) END AS one FROM u) u LEFT JOIN u o ON o.g = u.g AND o.t = u.one),
+uc AS (SELECT g, s, sum(c) AS c FROM us GROUP BY ALL), n AS (SELECT g, sum(c) AS n FROM u GROUP BY g),
+p AS (SELECT g, t, count(*) AS c FROM (SELECT g, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1])) AS t FROM d) GROUP BY ALL),
+ps AS (SELECT p.g, coalesce(o.t, p.t) AS s, sum(p.c) AS c12 FROM (SELECT *, CASE WHEN ends_with(t, 's') AND NOT ends_with(t, 'ss') THEN left(t, length(t) - 1) END AS one FROM p) p LEFT JOIN p o ON o.g = p.g AND o.t = p.one GROUP BY ALL),
+k AS (SELECT us.g || '/' || us.t AS word, us.s, uc.c FROM us JOIN uc ON us.g || '/' || us.s = uc.g || '/' || uc.s),
+m AS (SELECT ps.g, ps.s, c12, a.s AS a, b.s AS b, a.c AS c1, b.c AS c2, n.n FROM ps JOIN n ON n.g = ps.g JOIN k a ON a.word = ps.g || '/' || split_part(ps.s, ' ', 1) JOIN k b ON b.word = ps.g || '/' || split_part(ps.s, ' ', 2)),
+x AS (SELECT * FROM m WHERE n > c1 AND n > c2 AND -2 * ({_APART}) > 30),
+l AS (SELECT g, s, sum(c12) AS c FROM (SELECT g, a AS s, c12 FROM x UNION ALL SELECT g, b, c12 FROM x) GROUP BY ALL),
+r AS (SELECT uc.g, uc.s AS term, uc.c - coalesce(l.c, 0) AS n FROM uc LEFT JOIN l ON l.g || '/' || l.s = uc.g || '/' || uc.s WHERE uc.c - coalesce(l.c, 0) > 0 UNION ALL SELECT g, s, c12 FROM x)
+SELECT g AS lang, term, CAST(n AS BIGINT) AS n FROM r QUALIFY row_number() OVER (PARTITION BY g ORDER BY n DESC, term) <= 100"""
+)
+def cloud_by_language(spark, sf_dir):
+    """What a cloud of each language's documents shows: words, plurals folded, and pairs of words."""
+    pages = table(spark, sf_dir, "documents").where("lang IS NOT NULL").select("doc_id", F.lit(1).alias("page_ord"), "text", "lang")
+    return topics.cloud_terms(pages, "lang").select(F.col("g").alias("lang"), "term", "n")

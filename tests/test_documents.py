@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 
@@ -426,3 +427,58 @@ def test_many_questions_equal_one_by_one(spark, tmp_path, monkeypatch):
     empty = retrieval_index.build_chunk_index(chunks.limit(0), str(tmp_path / "none"))
     sizes.clear()
     assert retrieval_index.rank_many(empty, spark.createDataFrame(asked, "qid long, question string, vector array<double>")).collect() == []
+
+
+def plain_cloud(texts, threshold=2.0):
+    """Counts of one cloud: words, plurals folded, pairs beyond chance."""
+    words = [[w for t in pages for w in re.findall("[a-zA-Z]+", (t or "").lower()) if len(w) >= 3 and w not in lexicon.CLOUD_STOP_WORDS] for pages in texts]
+
+    def folded(found):
+        std = {w: w[:-1] if w.endswith("s") and not w.endswith("ss") and w[:-1] in found else w for w in found}
+        out = {}
+        for w, n in found.items():
+            out[std[w]] = out.get(std[w], 0) + n
+        return out, std
+
+    def tally(items):
+        found = {}
+        for x in items:
+            found[x] = found.get(x, 0) + 1
+        return found
+
+    counts, std = folded(tally(w for ws in words for w in ws))
+    pairs, _ = folded(tally(f"{a} {b}" for ws in words for a, b in zip(ws, ws[1:], strict=False)))
+    n, left = sum(counts.values()), dict(counts)
+    like = lambda k, m, x: math.log(max(x, 1e-10)) * k + math.log(max(1 - x, 1e-10)) * (m - k)
+    for pair, c in pairs.items():
+        a, b = (std[w] for w in pair.split())
+        c1, c2 = counts[a], counts[b]
+        if n > c1 and n > c2 and -2 * (like(c, c1, c2 / n) + like(c2 - c, n - c1, c2 / n) - like(c, c1, c / c1) - like(c2 - c, n - c1, (c2 - c) / (n - c1))) > threshold:
+            left[a] -= c
+            left[b] -= c
+            left[pair] = c
+    return {t: k for t, k in left.items() if k > 0}
+
+
+def test_cloud_terms_against_a_plain_count(spark, monkeypatch):
+    monkeypatch.setattr(topics, "COLLOCATION", 2.0)
+    rng = random.Random(17)
+    pool = ["coal", "coals", "mine", "mines", "class", "steel", "dispatch", "the", "up", "output", "glass", "bus"]
+    docs_ = []
+    for d in range(12):
+        pages = []
+        for _ in range(rng.randint(1, 4)):
+            ws = [rng.choice(pool) for _ in range(rng.randint(0, 30))]
+            pages.append(rng.choice([None, "", " ".join(ws) + rng.choice(["", " Coal Dispatches coal dispatch 12 coal dispatch"]), "Mine, mines!"]))
+        docs_.append(pages)
+    rows = [(d, p, t, "even" if d % 2 == 0 else "odd") for d, pages in enumerate(docs_) for p, t in enumerate(pages)]
+    table = spark.createDataFrame(rows, "doc_id long, page_ord int, text string, side string")
+    got = {r.term: r.n for r in topics.cloud_terms(table, top=None).collect()}
+    assert got == plain_cloud(docs_) and any(" " in t for t in got)
+    sides = {}
+    for r in topics.cloud_terms(table, "side", top=6).collect():
+        sides.setdefault(r.g, {})[r.term] = r.n
+    for k, side in enumerate(("even", "odd")):
+        want = plain_cloud(docs_[k::2])
+        assert sides[side] == dict(sorted(want.items(), key=lambda x: (-x[1], x[0]))[:6])
+    assert topics.cloud_terms(table.limit(0)).collect() == []
