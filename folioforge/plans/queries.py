@@ -692,3 +692,32 @@ def cloud_by_language(spark, sf_dir):
     """What a cloud of each language's documents shows: words, plurals folded, and pairs of words."""
     pages = table(spark, sf_dir, "documents").where("lang IS NOT NULL").select("doc_id", F.lit(1).alias("page_ord"), "text", "lang")
     return topics.cloud_terms(pages, "lang").select(F.col("g").alias("lang"), "term", "n")
+
+
+def vector_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, image): each vector as a picture of eight rows of eight pixels, every fourth one faint."""
+    faint = F.when(F.col("vec_id") % 4 == 0, 9).otherwise(127)
+    bytes_ = F.transform("embedding", lambda x: F.lpad(F.hex(F.floor((x.cast("double") + 1) * faint).cast("long")), 2, "0"))
+    gray = F.unhex(F.array_join(bytes_, ""))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.struct(F.lit(8).alias("width"), F.lit(8).alias("height"), gray.alias("gray")).cast(imaging.IMAGE).alias("image"))
+
+
+_TAPS = [round(2.718281828459045 ** (-((k - 15) ** 2) / 50.0), 17) for k in range(31)]
+
+
+@query(
+    f"""WITH px AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, CAST(floor((embedding[i + 1]::DOUBLE + 1) * CASE WHEN vec_id % 4 = 0 THEN 9 ELSE 127 END) AS INTEGER) AS gray FROM embeddings, range(64) AS r(i)),
+h AS (SELECT vec_id, gray, count(*) AS n FROM px GROUP BY ALL),
+s AS (SELECT *, sum(n) OVER w AS n0, sum(n * gray) OVER w AS s0, sum(n) OVER (PARTITION BY vec_id) AS t, sum(n * gray) OVER (PARTITION BY vec_id) AS s FROM h WINDOW w AS (PARTITION BY vec_id ORDER BY gray)),
+j AS (SELECT *, coalesce(n0 * (t - n0) * pow(s0 / n0 - (s - s0) / nullif(t - n0, 0), 2), 0) AS spread FROM s),
+o AS (SELECT vec_id, gray AS threshold, (t - n0) / t AS white FROM j QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY spread DESC, gray) = 1),
+k AS (SELECT i - 15 AS d, {_TAPS}[i + 1] / list_sum({_TAPS}) AS w FROM range(31) AS r(i)),
+f AS (SELECT vec_id, c.i AS cx, sum(w * gray) AS g, y FROM px, range(8) AS c(i), k WHERE x = greatest(0, least(7, c.i + d)) GROUP BY ALL),
+m AS (SELECT vec_id, cx AS x, c.i AS y, round_even(sum(w * g), 0) AS mean FROM f, range(8) AS c(i), k WHERE f.y = greatest(0, least(7, c.i + d)) GROUP BY ALL),
+a AS (SELECT vec_id, count_if(gray - mean > -11) / 64 AS white FROM px JOIN m USING (vec_id, x, y) GROUP BY vec_id)
+SELECT vec_id, threshold, CASE WHEN o.white BETWEEN 0.45 AND 0.98 THEN 'otsu' ELSE 'adaptive' END AS method, round(CASE WHEN o.white BETWEEN 0.45 AND 0.98 THEN o.white ELSE a.white END, 6) AS white_ratio FROM o JOIN a USING (vec_id)"""
+)
+def page_binarisation(spark, sf_dir):
+    """Each vector as a small picture, in black and white by one threshold or by each pixel's surroundings."""
+    made = vector_images(spark, sf_dir).select("vec_id", imaging.binarised(F.col("image")).alias("b"))
+    return made.select("vec_id", "b.threshold", "b.method", F.round("b.white_ratio", 6).alias("white_ratio"))

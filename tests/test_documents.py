@@ -482,3 +482,52 @@ def test_cloud_terms_against_a_plain_count(spark, monkeypatch):
         want = plain_cloud(docs_[k::2])
         assert sides[side] == dict(sorted(want.items(), key=lambda x: (-x[1], x[0]))[:6])
     assert topics.cloud_terms(table.limit(0)).collect() == []
+
+
+def test_binarisation_and_gray(spark):
+    rng = np.random.default_rng(6)
+    flat = rng.integers(104, 106, (40, 50)).astype(np.uint8)
+    flat[5:8, 10:20] = 70
+    text = np.full((60, 40), 230, np.uint8)
+    text[::4, 3:30] = 20
+    images = [(0, 50, 40, flat.tobytes()), (1, 40, 60, text.tobytes()), (2, 3, 3, b"\x05" * 9), (3, 2, 2, b"\x05"), (4, 0, 0, b""), (5, 1, 1, None)]
+    table = spark.createDataFrame([(i, (w, h, b)) for i, w, h, b in images], f"i int, image {imaging.IMAGE}")
+    got = {r.i: r.b for r in table.select("i", imaging.binarised(F.col("image")).alias("b")).collect()}
+    assert got[1].method == "otsu" and got[1].threshold == 20 and np.array_equal(np.frombuffer(got[1].binary, np.uint8).reshape(60, 40), np.where(text > 20, 255, 0))
+    sigma, taps = 5.0, range(-15, 16)
+    weight = [math.exp(-k * k / (2 * sigma**2)) for k in taps]
+    at = lambda y, x: float(flat[min(max(y, 0), 39), min(max(x, 0), 49)])
+    for y, x in ((0, 0), (7, 15), (20, 49), (39, 3)):
+        mean = sum(a * b * at(y + dy, x + dx) for a, dy in zip(weight, taps, strict=True) for b, dx in zip(weight, taps, strict=True)) / sum(weight) ** 2
+        assert imaging.local_means(flat)[y, x] == round(mean)
+    assert got[0].method == "adaptive" and set(np.unique(np.frombuffer(got[0].binary, np.uint8).reshape(40, 50)[5:8, 10:20])) == {0}
+    assert (got[2].method, got[2].white_ratio) == ("adaptive", 1.0) and all(got[i].method is None for i in (3, 4, 5))
+    rgb = spark.createDataFrame([(0, bytes([255, 255, 255, 255, 0, 0, 0, 255, 0, 0, 0, 255, 10, 20, 30])), (1, b"ab"), (2, None)], "i int, rgb binary")
+    gray = {r.i: r.g for r in rgb.select("i", imaging.gray_of_rgb(F.col("rgb")).alias("g")).collect()}
+    assert list(gray[0]) == [255, 76, 150, 29, 18] and gray[1] is None and gray[2] is None
+
+
+def test_smallest_rectangle_against_all_edges(spark):
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        points = rng.integers(0, rng.choice([3, 12, 60]), (rng.integers(3, 40), 2))
+        best = []
+        for a in points:
+            for b in points:
+                d = b - a
+                side = (points - a) @ np.array([-d[1], d[0]])
+                if d.any() and ((side >= 0).all() or (side <= 0).all()):
+                    t = math.atan2(d[1], d[0]) % (math.pi / 2)
+                    u, v = points @ [math.cos(t), math.sin(t)], points @ [-math.sin(t), math.cos(t)]
+                    best.append((np.ptp(u) * np.ptp(v), math.degrees(t) or 90.0))
+        if best:
+            least = min(a for a, _ in best)
+            got = imaging.rectangle_angle(points)
+            assert any(abs(got - t) % 90 < 1e-6 or abs(abs(got - t) - 90) < 1e-6 for a, t in best if a <= least * (1 + 1e-9) + 1e-9)
+    page = np.full((80, 120), 255, np.uint8)
+    for y in range(10, 60):
+        x0 = 20 + round((y - 10) * math.tan(math.radians(12)))
+        page[y, x0 : x0 + 60 : 2] = 0
+    table = spark.createDataFrame([(0, (120, 80, page.tobytes())), (1, (120, 80, np.full((80, 120), 255, np.uint8).tobytes())), (2, (5, 5, b"\x00" + b"\xff" * 24)), (3, None)], f"i int, image {imaging.IMAGE}")
+    got = {r.i: (r.t.foreground if r.t else None, r.skew) for r in table.select("i", imaging.text_rectangle(F.col("image")).alias("t"), imaging.page_skew(F.col("image")).alias("skew")).collect()}
+    assert got[0][0] == 50 * 30 and -90 <= got[0][1] < 0 and got[2] == (1, 0.0) and got[3][1] == 0.0
