@@ -80,10 +80,27 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"\p{N}+", "0"), r"[^\p{L}\p{M}0]+", " "))
 
 
+def _hashed(line: Column) -> Column:
+    """STRUCT<h, words> of a normalised line."""
+    return F.struct(F.xxhash64(line).alias("h"), (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1).cast("int").alias("words"))
+
+
 def line_hashes(text: Column) -> Column:
     """ARRAY<STRUCT<h, words>> of the lines with a letter or digit, equal lines of the text summed by the caller."""
-    lines = F.filter(F.transform(F.split(filled(text), "\n"), normalised), lambda x: x != "")
-    return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), (F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + 1).cast("int").alias("words")))
+    return F.transform(F.filter(F.transform(F.split(filled(text), "\n"), normalised), lambda x: x != ""), _hashed)
+
+
+def _marked_lines(text: Column) -> Column:
+    """ARRAY<STRUCT<raw, x>>: every line and its hash and words, null for one without a letter or digit."""
+    return F.transform(F.split(text, "\n"), lambda raw: F.struct(raw.alias("raw"), let(normalised(raw), lambda x: F.when(x != "", _hashed(x))).alias("x")))
+
+
+def _cut(lines: Column, bad: Column) -> Column:
+    """STRUCT<total, gone, clean>: words in all lines and in those among ``bad``, and the text without these."""
+    words = lambda some: F.aggregate(some, F.lit(0).cast("long"), lambda a, s: a + F.coalesce(s["x"]["words"], F.lit(0)))
+    is_bad = lambda s: F.coalesce(F.array_contains(bad, s["x"]["h"]), F.lit(False))
+    left = F.array_join(F.transform(F.filter(lines, lambda s: ~is_bad(s)), lambda s: s["raw"]), "\n")
+    return F.struct(words(lines).alias("total"), words(F.filter(lines, is_bad)).alias("gone"), left.alias("clean"))
 
 
 def numbered_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -127,20 +144,13 @@ def apply_rules(docs: DataFrame, limits: LineLimits = LineLimits(), id_col: str
     counted = docs.withColumns({"__host": F.col(host_col), "__n": text_counts(text)})
     joined = counted.join(by_host, F.col("__host").eqNullSafe(F.col("__bad_host")), "left")
     failed = base_failed(F.col("__n.w.n_words"), F.col("__n.w.n_repeat_words"))
-    words = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + x["words"])
-    bad = lambda h: F.array_contains(F.col("__bad"), h)
-
-    def judged(lines: Column) -> Column:
-        return F.struct(words(lines).alias("total"), words(F.filter(lines, lambda x: bad(x["h"]))).alias("gone"))
-
-    cut = F.when(F.col("__bad").isNotNull(), let(line_hashes(text), judged))
+    cut = F.when(F.col("__bad").isNotNull(), let(_marked_lines(filled(text)), lambda lines: _cut(lines, F.col("__bad"))))
     joined = joined.withColumn("__cut", cut)
     gone, total = F.coalesce("__cut.gone", F.lit(0).cast("long")), F.col("__cut.total")
     depleted = F.coalesce((gone > 0) & (total - gone < limits.least_left * total), F.lit(False))
-    clean = F.array_join(F.filter(F.split(filled(text), "\n"), lambda x: ~bad(F.xxhash64(normalised(x)))), "\n")
     return joined.select(
         *[F.col(c) for c in docs.columns if c not in new],
         F.col("__n.w.n_words").alias("n_words"), F.col("__n.word_chars").alias("word_chars"), F.col("__n.n_symbols").alias("n_symbols"),
         F.col("__n.n_dup_lines").alias("n_dup_lines"), F.col("__n.w.n_repeat_words").alias("n_repeat_words"),
-        failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), gone.alias("removed_words"), F.when(gone > 0, clean).otherwise(text).alias("clean_text"),
+        failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), gone.alias("removed_words"), F.when(gone > 0, F.col("__cut.clean")).otherwise(text).alias("clean_text"),
     )
