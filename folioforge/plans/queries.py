@@ -12,7 +12,7 @@ from folioforge.functions.storage import materialise, new_path
 from folioforge.operators import cleaning, imaging, report, retrieval, retrieval_index, search, search_index, structure, topics, validation
 from folioforge.plans import app
 from folioforge.sources import documents as sources
-from folioforge.sources import reports
+from folioforge.sources import reports, uploads
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -721,3 +721,25 @@ def page_binarisation(spark, sf_dir):
     """Each vector as a small picture, in black and white by one threshold or by each pixel's surroundings."""
     made = vector_images(spark, sf_dir).select("vec_id", imaging.binarised(F.col("image")).alias("b"))
     return made.select("vec_id", "b.threshold", "b.method", F.round("b.white_ratio", 6).alias("white_ratio"))
+
+
+_UPLOADS = """u AS (SELECT 'dir/' || list_last(string_split(url, '/')) || CASE page_id % 5 WHEN 0 THEN '.PDF' WHEN 1 THEN '.xlsx' WHEN 2 THEN '.exe' WHEN 3 THEN '.pdf' ELSE '' END AS name, page_id, html FROM pages)"""
+
+
+@query(
+    f"""WITH {_UPLOADS}, f AS (SELECT list_last(string_split(name, '/')) AS file, page_id, html FROM u),
+j AS (SELECT *, CASE WHEN trim(file) = '' THEN 'No file selected' WHEN NOT (contains(file, '.') AND lower(list_last(string_split(file, '.'))) IN ('pdf','docx','xlsx','xls','csv','png','jpg','jpeg')) THEN 'Unsupported file type' END AS message FROM f),
+t AS (SELECT file, lower(list_last(string_split(file, '.'))) AS type, html, page_id % 2 AS v, octet_length(encode(html)) AS n FROM j WHERE message IS NULL)
+SELECT file AS path, type, CAST(v AS BIGINT) AS version, sha256(html) AS digest, CAST(NULL AS VARCHAR) AS message FROM t QUALIFY row_number() OVER (PARTITION BY file ORDER BY v DESC, n DESC, sha256(html) DESC) = 1
+UNION ALL SELECT 'dir/' || file, NULL, NULL, NULL, message FROM j WHERE message IS NOT NULL"""
+)
+def upload_landing(spark, sf_dir):
+    """The raw pages as uploads in two calls: what has landed, newest of each name, and what was refused."""
+    number = F.col("page_id") % 5
+    ending = F.when(number == 0, ".PDF").when(number == 1, ".xlsx").when(number == 2, ".exe").when(number == 3, ".pdf").otherwise("")
+    sent = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("dir/"), F.element_at(F.split("url", "/"), -1), ending).alias("name"), F.col("html").cast("binary").alias("content"))
+    folder = new_path(spark, "landing")
+    refused = [uploads.land(sent.where(F.col("page_id") % 2 == v).drop("page_id"), folder, v) for v in (0, 1)]
+    have = uploads.landed(spark, folder).select("path", "type", "version", F.sha2("content", 256).alias("digest"), F.lit(None).cast("string").alias("message"))
+    not_taken = refused[0].unionByName(refused[1]).select(F.col("name").alias("path"), F.lit(None).cast("string").alias("type"), F.lit(None).cast("long").alias("version"), F.lit(None).cast("string").alias("digest"), "message")
+    return have.unionByName(not_taken)

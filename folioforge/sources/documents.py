@@ -112,13 +112,43 @@ def extract_pages(files: DataFrame, extractor: PageTextExtractor) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, page_number int, text string, error string, seconds double")
 
 
+#: What stands before and after a page's number where pages are one text.
+FRAME_RULE = "=" * 60
+FRAME = f"\n{FRAME_RULE}\nPAGE "
+FRAME_END = f"\n{FRAME_RULE}\n\n"
+
+
 def frame_pages(pages: DataFrame, key: str = "path") -> DataFrame:
     """(key, text): the pages of each file as one text, each under a page marker."""
-    rule = "=" * 60
-    framed = F.concat(F.lit(f"\n{rule}\nPAGE "), F.col("page_number").cast("string"), F.lit(f"\n{rule}\n\n"), F.col("text"))
+    framed = F.concat(F.lit(FRAME), F.col("page_number").cast("string"), F.lit(FRAME_END), F.col("text"))
     return pages.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_number", framed.alias("f")))), lambda s: s["f"]), "\n").alias("text"))
 
 
+def write_framed(pages: DataFrame, folder: str) -> None:
+    """Framed text of ``pages(doc_id, page_number, text)``, a folder for each document; other documents' stay, a given one's is replaced."""
+    framed = frame_pages(pages, "doc_id").select("doc_id", F.col("text").alias("value"))
+    framed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("lineSep", "\n").partitionBy("doc_id").text(folder)
+
+
+def read_framed(spark: SparkSession, folder: str, stage: str = "") -> DataFrame:
+    """(doc_id, page_number, text): the pages of framed text files, read page by page.
+
+    The reader cuts files at the frames, so a long file is read by many tasks and none holds
+    it whole. doc_id is the folder that ``write_framed`` made, else the file's name; a filter
+    on ``file`` (its name) reads no other file. ``stage`` takes only files whose names begin
+    so, as ``cleaned_`` or ``validated_``. White space at a page's end is not kept; what
+    stands before the first frame is page null, where it is not blank.
+    """
+    raw = spark.read.option("lineSep", FRAME).option("recursiveFileLookup", "true").text(folder).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("path"), "value")
+    raw = raw.where(F.startswith(F.col("file"), F.lit(stage)) & ~F.startswith(F.col("file"), F.lit("_")))
+    own = F.nullif(F.regexp_extract(F.url_decode("path"), r"/doc_id=([^/]+)/[^/]*$", 1), F.lit(""))
+    framed = F.col("value").rlike(rf"\A[0-9]+\n{FRAME_RULE}\n")
+    number = F.when(framed, F.substring_index("value", "\n", 1).cast("int"))
+    text = F.when(framed, F.substring(F.col("value"), F.length(F.substring_index("value", "\n", 1)) + len(FRAME_END) + 1, F.length("value"))).otherwise(F.col("value"))
+    found = raw.select(F.coalesce(own, F.url_decode("file")).alias("doc_id"), "file", number.alias("page_number"), F.regexp_replace(text, r"\s+\z", "").alias("text"))
+    return found.where(F.col("page_number").isNotNull() | (F.col("text") != ""))
+
+
 def read_structured(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
     """(doc_id, document, pages) of structured JSON, a document in each file or, as ``write_structured`` writes, in each line.
 

@@ -15,7 +15,7 @@ from folioforge.functions.text import to_lines
 from folioforge.operators import cleaning, imaging, json_text, report, retrieval, retrieval_index, search, search_index, structure, topics, validation
 from folioforge.plans import app
 from folioforge.sources import documents as sources
-from folioforge.sources import reports
+from folioforge.sources import reports, uploads
 
 GOLDEN = "PAGE 1\nOverview of the mining year\nTable 1.1 Output by company\nCompany Target Actual\nNLC 125.50\nNLC 125.50\n17\nSource: X\nPAGE 2\n2. Safety review\nCAPITAL EXPENDITURE\nPAGE 3"
 
@@ -531,3 +531,43 @@ def test_smallest_rectangle_against_all_edges(spark):
     table = spark.createDataFrame([(0, (120, 80, page.tobytes())), (1, (120, 80, np.full((80, 120), 255, np.uint8).tobytes())), (2, (5, 5, b"\x00" + b"\xff" * 24)), (3, None)], f"i int, image {imaging.IMAGE}")
     got = {r.i: (r.t.foreground if r.t else None, r.skew) for r in table.select("i", imaging.text_rectangle(F.col("image")).alias("t"), imaging.page_skew(F.col("image")).alias("skew")).collect()}
     assert got[0][0] == 50 * 30 and -90 <= got[0][1] < 0 and got[2] == (1, 0.0) and got[3][1] == 0.0
+
+
+def test_framed_text_round_trip(spark, tmp_path):
+    folder = str(tmp_path / "framed")
+    rows = [(f"d{d}.pdf", p, f"text {d} of page {p}\n\nwith lines\n==== and PAGE 9 in it") for d in range(4) for p in (0, 1, 2, 11)] + [("e f.pdf", 1, ""), ("e f.pdf", 2, "last")]
+    pages = spark.createDataFrame(rows, "doc_id string, page_number int, text string")
+    read = lambda df: sorted((r.doc_id, r.page_number, r.text) for r in df.collect())
+    for _ in range(2):
+        sources.write_framed(pages, folder)
+        assert read(sources.read_framed(spark, folder)) == sorted(rows)
+    sources.write_framed(spark.createDataFrame([("d1.pdf", 7, "new")], pages.schema), folder)
+    assert read(sources.read_framed(spark, folder)) == sorted([r for r in rows if r[0] != "d1.pdf"] + [("d1.pdf", 7, "new")])
+    (tmp_path / "plain").mkdir()
+    long = "\n".join(f"{sources.FRAME}{p}{sources.FRAME_END}" + f"line {p}\n" * 2000 for p in range(1, 200))
+    (tmp_path / "plain" / "cleaned_a.txt").write_text("a note before\n" + long)
+    (tmp_path / "plain" / "validated_cleaned_a.txt").write_text(f"{sources.FRAME}1{sources.FRAME_END}checked")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        cleaned = sources.read_framed(spark, str(tmp_path / "plain"), "cleaned_")
+        assert cleaned.rdd.getNumPartitions() > 10  # a long file is cut
+        got = read(cleaned.where("page_number IS NOT NULL"))
+        assert [p for _, p, _ in got] == list(range(1, 200)) and all(t == (f"line {p}\n" * 2000).rstrip() for _, p, t in got)
+        assert [r.text for r in cleaned.where("page_number = 57").collect()] == [("line 57\n" * 2000).rstrip()] and [r.text for r in cleaned.where("page_number IS NULL").collect()] == ["a note before"]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    only = sources.read_framed(spark, str(tmp_path / "plain")).where("file = 'validated_cleaned_a.txt'")
+    assert read(only) == [("validated_cleaned_a.txt", 1, "checked")]
+
+
+def test_uploads_land(spark, tmp_path):
+    folder = str(tmp_path / "landing")
+    send = lambda rows, v: sorted(map(tuple, uploads.land(spark.createDataFrame(rows, "name string, content binary"), folder, v).collect()), key=str)
+    assert uploads.landed(spark, folder).collect() == []
+    first = [("a/report.PDF", b"one"), ("C:\\scans\\x.png", b"two"), ("", b"3"), (None, b"4"), ("notes.txt", b"5"), ("pdf", b"6"), ("b/", b"7")]
+    for _ in range(2):
+        assert send(first, 1) == sorted([("", sources.NO_FILE), (None, sources.NO_FILE), ("b/", sources.NO_FILE), ("notes.txt", sources.UNSUPPORTED), ("pdf", sources.UNSUPPORTED)], key=str)
+    assert send([("other/report.PDF", b"newer"), ("report.PDF", b"longest"), ("y.csv", None)], 2) == []
+    got = {r.path: (r.type, r.content and bytes(r.content), r.version) for r in uploads.landed(spark, folder).collect()}
+    assert got == {"report.PDF": ("pdf", b"longest", 2), "x.png": ("png", b"two", 1), "y.csv": ("csv", None, 2)}
+    assert {r.path: r.version for r in uploads.landed(spark, folder, 1).collect()} == {"report.PDF": 1, "x.png": 1}
