@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions import lexicon
+from folioforge.functions.carry import carried
 from folioforge.functions.text import has_any, let, rewrite_matches, squeeze, strip
 
 #: Patterns in the order in which they rewrite a table line, after the numeric tokens.
@@ -78,21 +79,19 @@ def clean_normal_line(line: Column) -> Column:
     return strip(F.replace(F.regexp_replace(strip(line), r"[ \t]{2,}", " "), F.lit("Inpt"), F.lit("Input")))
 
 
-def classify(lines: DataFrame) -> DataFrame:
+def classify(lines: DataFrame, span: int | None = None) -> DataFrame:
     """Adds stripped, cls (blank, page, heading, source, noise, table, text) and in_table.
 
     Table mode starts after a heading and ends at a page marker or the third blank line in a
-    row; it is the last such event before a line. One shuffle by document serves all windows.
+    row; it is the last such event before a line. Line numbers follow each other. One shuffle
+    by document serves all windows; with ``span`` (see ``carried``) none holds a document.
     """
     stripped = strip(F.col("raw"))
-    doc = Window.partitionBy("doc_id").orderBy("line_no")
     marked = lines.withColumn("stripped", stripped).withColumn("blank", F.col("stripped") == "")
-    marked = marked.withColumn("stretch", F.sum((~F.col("blank")).cast("int")).over(doc))
-    gap = F.sum(F.col("blank").cast("int")).over(Window.partitionBy("doc_id", "stretch").orderBy("line_no"))
-    marked = marked.withColumn("gap", gap)
+    marked = carried(marked, {"solid": F.when(~F.col("blank"), F.col("line_no"))}, span)
+    marked = marked.withColumn("gap", F.col("line_no") - F.coalesce("solid", F.lit(0)))
     event = F.when(F.col("blank") & (F.col("gap") == 3), False).when(~F.col("blank") & is_page_marker(F.col("stripped")), False).when(~F.col("blank") & is_table_heading(F.col("stripped")), True)
-    before = F.last("event", ignorenulls=True).over(doc.rowsBetween(Window.unboundedPreceding, -1))
-    moded = marked.withColumn("event", event).withColumn("in_table", F.coalesce(before, F.lit(False)))
+    moded = carried(marked.withColumn("event", event), {"in_table": F.col("event")}, span, inclusive=False).withColumn("in_table", F.coalesce("in_table", F.lit(False)))
     s = F.col("stripped")
     cls = (
         F.when(F.col("blank"), "blank")
@@ -106,24 +105,36 @@ def classify(lines: DataFrame) -> DataFrame:
     return moded.select("doc_id", "line_no", "raw", "stripped", cls.alias("cls"), "in_table")
 
 
-def clean(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(cleaned lines, audit) of ``lines(doc_id, line_no, raw)``.
+def _single_blanks(kept: DataFrame, span: int | None) -> DataFrame:
+    """Without blank lines at a document's ends and all but the last of a run; line_no anew from 1."""
+    cls = F.col("cls")
+    if span is None:
+        doc = Window.partitionBy("doc_id").orderBy("line_no")
+        follows = F.coalesce(F.lead(cls).over(doc) != "blank", F.lit(False))
+        opened = F.max((cls != "blank").cast("int")).over(doc) == 1
+        left = kept.withColumn("keep", (cls != "blank") | (follows & opened)).where("keep")
+        return left.withColumn("line_no", F.row_number().over(doc).cast("int"))
+    backwards = lambda df: df.withColumn("line_no", -F.col("line_no"))
+    ahead = backwards(carried(backwards(kept), {"next": cls}, span, inclusive=False))
+    both = carried(ahead, {"opened": F.when(cls != "blank", True)}, span)
+    left = both.where((cls != "blank") | (F.col("opened") & (F.col("next") != "blank")))
+    return carried(left, {}, span, counts={"place": F.col("line_no")}).withColumn("line_no", F.col("place").cast("int"))
+
+
+def clean(lines: DataFrame, span: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(cleaned lines, audit) of ``lines(doc_id, line_no, raw)``; ``span`` as in ``classify``.
 
     Cleaned lines are numbered anew from 1; at most one blank line stands between two others.
     The audit has (doc_id, line_no, kind, message): removed, numeric, merged, cleaned.
     """
-    done = classify(lines)
+    done = classify(lines, span)
     s, cls = F.col("stripped"), F.col("cls")
     text = F.when(cls == "page", squeeze(s)).when(cls == "heading", s).when(cls == "table", clean_table_line(s)).when(cls.isin("source", "text"), clean_normal_line(s)).when(cls == "blank", "")
     out = done.withColumn("text", text)
     # A filter would be moved below the rewriting and make it twice; as members of an array, texts are made once.
     one = F.filter(F.array(text), lambda x: (cls != "noise") & ((cls == "blank") | (x != "")))
     kept = done.withColumn("text", F.explode(one))
-    doc = Window.partitionBy("doc_id").orderBy("line_no")
-    follows = F.coalesce(F.lead(cls).over(doc) != "blank", F.lit(False))
-    opened = F.max((cls != "blank").cast("int")).over(doc) == 1
-    kept = kept.withColumn("keep", (cls != "blank") | (follows & opened)).where("keep")
-    cleaned = kept.select("doc_id", F.row_number().over(doc).cast("int").alias("line_no"), "cls", "in_table", "text")
+    cleaned = _single_blanks(kept, span).select("doc_id", "line_no", "cls", "in_table", "text")
     return cleaned, audit(out)
 
 

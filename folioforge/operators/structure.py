@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.functions import lexicon
+from folioforge.functions.carry import carried
 from folioforge.functions.text import count_of, count_tokens, has_any, joined_lines, let, strip
 
 #: The alternatives of a number in their order, and a year or span of years.
@@ -98,22 +99,22 @@ def is_continuation(line: Column) -> Column:
     return has_any(F.lower(line), lexicon.CONTINUATION_WORDS)
 
 
-def paged(lines: DataFrame) -> DataFrame:
+def paged(lines: DataFrame, span: int | None = None) -> DataFrame:
     """(doc_id, page_ord, page, line_no, line): non-blank lines after the first page marker.
 
     page_ord counts the markers of a document, since two pages may bear one number; a marker
     is one line. A page without lines has one row with a null line. Documents without a
-    marker have no pages.
+    marker have no pages. ``span``: see ``carried``.
     """
-    doc = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     stripped = lines.withColumn("line", strip(F.col("raw")))
     number = F.when(F.col("line").rlike(r"(?i)^PAGE\s+\d+$"), F.regexp_extract("line", r"(?i)^PAGE\s+(\d+)$", 1))
     marked = stripped.withColumn("marker", number)
-    carried = marked.select(
-        "doc_id", "line_no", F.count("marker").over(doc).cast("int").alias("page_ord"), F.last("marker", ignorenulls=True).over(doc).try_cast("int").alias("page"),
+    counted = carried(marked.select("doc_id", "line_no", "line", "marker"), {"page": F.col("marker")}, span, counts={"page_ord": F.col("marker")})
+    placed = counted.select(
+        "doc_id", "line_no", F.col("page_ord").cast("int").alias("page_ord"), F.col("page").try_cast("int").alias("page"),
         F.when(F.col("marker").isNull() & (F.col("line") != ""), F.col("line")).alias("line"), F.col("marker").isNotNull().alias("opens"),
     )
-    return carried.where((F.col("page_ord") > 0) & (F.col("line").isNotNull() | F.col("opens"))).drop("opens")
+    return placed.where((F.col("page_ord") > 0) & (F.col("line").isNotNull() | F.col("opens"))).drop("opens")
 
 
 class _Page:

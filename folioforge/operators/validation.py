@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioforge.functions.carry import carried
 from folioforge.functions.text import joined_lines, strip, tokens
 
 #: Patterns of suspicious tokens.
@@ -60,22 +61,20 @@ def line_issues(line: Column) -> Column:
     return F.array_distinct(F.concat(attached(line), malformed(line), merged(line), substituted(line)))
 
 
-def check_lines(lines: DataFrame) -> DataFrame:
+def check_lines(lines: DataFrame, span: int | None = None) -> DataFrame:
     """(doc_id, line_no, page, table, original, is_row, issues) of every line.
 
     page and table are those last named up to the line, "Unknown" before any; neither resets
-    the other. Only table-like lines have issues.
+    the other. Only table-like lines have issues. ``span``: see ``carried``.
     """
-    doc = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     s = F.col("original")
     marked = lines.withColumn("original", strip(F.col("raw")))
     page = F.when(s.rlike(r"(?i)PAGE\s+\d+"), F.regexp_extract(s, r"(?i)PAGE\s+(\d+)", 1))
     table = F.when(s.rlike(r"(?i)\bTABLE\s+\d"), s)
-    carried = marked.select(
-        "doc_id", "line_no", F.coalesce(F.last(page, ignorenulls=True).over(doc), F.lit("Unknown")).alias("page"),
-        F.coalesce(F.last(table, ignorenulls=True).over(doc), F.lit("Unknown")).alias("table"), "original", looks_like_row(s).alias("is_row"),
-    )
-    return carried.withColumn("issues", F.when(F.col("is_row"), line_issues(s)).otherwise(F.array().cast("array<string>")))
+    named = carried(marked.select("doc_id", "line_no", "original"), {"page": page, "table": table}, span)
+    known = lambda c: F.coalesce(c, F.lit("Unknown")).alias(c)
+    judged = named.select("doc_id", "line_no", known("page"), known("table"), "original", looks_like_row(s).alias("is_row"))
+    return judged.withColumn("issues", F.when(F.col("is_row"), line_issues(s)).otherwise(F.array().cast("array<string>")))
 
 
 def issues(lines: DataFrame) -> DataFrame:

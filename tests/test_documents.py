@@ -571,3 +571,18 @@ def test_uploads_land(spark, tmp_path):
     got = {r.path: (r.type, r.content and bytes(r.content), r.version) for r in uploads.landed(spark, folder).collect()}
     assert got == {"report.PDF": ("pdf", b"longest", 2), "x.png": ("png", b"two", 1), "y.csv": ("csv", None, 2)}
     assert {r.path: r.version for r in uploads.landed(spark, folder, 1).collect()} == {"report.PDF": 1, "x.png": 1}
+
+
+def test_lines_in_ranges_give_the_same(spark):
+    rng = random.Random(23)
+    pieces = ["", "", "", "PAGE 3", "page 4", "Table 1.2 Output", "see Table 7", "Source: x", "12 13 14", "A1 2 3 4", "some words", "---", " \t"]
+    texts = ["\n".join(rng.choice(pieces) for _ in range(rng.choice([0, 1, 7, 40, 200]))) for _ in range(25)]
+    lines = to_lines(docs(spark, *texts)).cache()
+    plain = lambda df: sorted(map(str, df.collect()))
+    for stage in (cleaning.classify, validation.check_lines, structure.paged, lambda x, span=None: cleaning.clean(x, span)[0]):
+        want = plain(stage(lines))
+        for span in (1, 3, 50, 1000):
+            assert plain(stage(lines, span)) == want
+    plan = cleaning.clean(lines, 50)[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"\[doc_id#\d+L?\], \[line_no", plan)  # no window over a document's lines
+    lines.unpersist()
