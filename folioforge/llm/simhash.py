@@ -133,16 +133,17 @@ def spanning_edges(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fingerprint as 16 hex digits, component_id) for every row of ``docs``.
+    """(id, fingerprint as 16 hex digits, component_id, text_key, first) for every row of ``docs``.
 
     Two documents are linked if their fingerprints differ in at most ``radius`` bits;
-    component_id is the smallest id reachable. All links count: tables of masked bits give
+    component_id is the smallest id reachable, and ``first`` is true for the rows with the
+    smallest id and, of those, text key of their component. All links count: tables of masked bits give
     candidates that miss no pair, and equal fingerprints are compared once. Rows with a null
     id take part, with null ids ignored when the smallest is sought. Null or blank texts have
     fingerprint 0 and are linked like any other; repeated rows stay, with the same component.
     """
-    rows = materialise(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), shingle).alias("fp")), "fingerprints")
-    prints = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "distinct-fingerprints")
+    rows = materialise(docs.select(F.col(id_col).alias("doc_id"), text_key(filled(F.col(text_col))).alias("tk"), fingerprint(F.col(text_col), shingle).alias("fp")), "fingerprints")
+    prints = materialise(rows.groupBy("fp").agg(smallest_name().alias("named")), "distinct-fingerprints")
     masks = tables_for(prints.count(), radius)
     keys = F.array(*[F.struct(F.lit(t).alias("tbl"), F.col("fp").bitwiseAND(F.lit(m)).alias("bucket")) for t, m in enumerate(masks)])
     entries = prints.select("fp", F.explode(keys).alias("k")).select("fp", "k.tbl", "k.bucket")
@@ -165,14 +166,24 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col:
             yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
     labels = connected_components(cells.mapInArrow(links, "u long, v long").distinct())
-    member = prints.join(labels, prints.fp == labels.node, "left").select("fp", "first_doc", F.coalesce("component", "fp").alias("component"))
-    first = member.groupBy("component").agg(F.min("first_doc").alias("component_id"))
-    member = member.join(first, "component").select("fp", "component_id")
+    member = prints.join(labels, prints.fp == labels.node, "left").select("fp", "named", F.coalesce("component", "fp").alias("component"))
+    firsts = member.groupBy("component").agg(F.min("named").alias("named"))
+    member = member.select("fp", "component").join(firsts, "component").select("fp", "named")
     return rows.join(member, "fp").select(
-        F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("named.doc_id").alias("component_id"), F.col("tk").alias("text_key"), is_named().alias("first")
     )
 
 
+def smallest_name() -> Column:
+    """Aggregate: the smallest (doc_id, tk) whose id is not null."""
+    return F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "tk")))
+
+
+def is_named() -> Column:
+    """Whether a row is what its component is named after."""
+    return F.coalesce((F.col("doc_id") == F.col("named.doc_id")) & (F.col("tk") == F.col("named.tk")), F.lit(False))
+
+
 def shingles(data: bytes | None, size: int) -> np.ndarray:
     """The different XXH64 hashes of the text's word shingles, ascending; a text of fewer words is one shingle."""
     words = (data or b"").lower().split()  # of bytes, as for the fingerprints
@@ -291,8 +302,7 @@ def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col:
     text = F.col(text_col)
     sketched = docs.select(F.col(id_col).alias("doc_id"), text_key(filled(text)).alias("tk"), text.alias("text"), sketch(text.cast("binary")).alias("s"))
     rows = materialise(sketched.select("doc_id", "tk", "text", "s.*"), "sketches")
-    named = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "tk"))).alias("named")
-    classes = materialise(rows.groupBy("key").agg(named, F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
+    classes = materialise(rows.groupBy("key").agg(smallest_name().alias("named"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
     entries = classes.select("key", "fp", "n", F.posexplode("bands").alias("band", "value"))
     shared = entries.groupBy("band", "value").agg(F.count("*").alias("__n")).where("__n > 1").drop("__n")
     dealt = pair_cells(materialise(entries.join(shared, ["band", "value"]), "buckets"), ["band", "value"], "key", SMALL_CELL)
@@ -340,12 +350,11 @@ def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col:
     member = classes.join(labels, classes.key == labels.node, "left").select("key", "named", F.coalesce("component", "key").alias("component"))
     firsts = member.groupBy("component").agg(F.min("named").alias("named"))
     known = member.select("key", "component").join(firsts, "component").select("key", "named")
-    first = F.coalesce((F.col("doc_id") == F.col("named.doc_id")) & (F.col("tk") == F.col("named.tk")), F.lit(False))
-    return rows.select("doc_id", "tk", "key").join(known, "key").select(F.col("doc_id").alias(id_col), F.col("tk").alias("text_key"), F.col("named.doc_id").alias("component_id"), first.alias("first"))
+    return rows.select("doc_id", "tk", "key").join(known, "key").select(F.col("doc_id").alias(id_col), F.col("tk").alias("text_key"), F.col("named.doc_id").alias("component_id"), is_named().alias("first"))
 
 
 def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are the first of their component in ``found`` (as ``similar`` gives it), one row for each.
+    """The rows of ``docs`` that are the first of their component in ``found`` (as ``similar`` and ``near_duplicates`` give it), one row for each.
 
     A document is an id and a text: where rows share an id, each text is judged by itself,
     and of rows equal in both one stays, whatever their other columns are. Documents without
