@@ -28,9 +28,11 @@ def _prepare(spark: SparkSession) -> None:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: null texts and those without a letter, also where no language could be learned."""
     _prepare(spark)
-    found = langid.identify(docs).where(F.col("lang_pred") != langid.UNKNOWN)
-    if found.isEmpty():
+    known = docs.where(F.col("doc_id").isNotNull() & ~langid.held_out(F.col("doc_id")))
+    languages, prototypes = langid.train(known)
+    if not languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = langid.predict(docs, languages, prototypes).where(F.col("lang_pred") != langid.UNKNOWN)
     return found.select(*docs.columns)
 
 
