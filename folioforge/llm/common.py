@@ -71,6 +71,24 @@ def join_on(left: DataFrame, right: DataFrame, columns: list[str], how: str = "i
     return left.join(renamed, condition, how).drop(*[f"__{c}" for c in columns])
 
 
+def among(rows: DataFrame, column: str, keys: DataFrame, most_bits: int = 1 << 27) -> DataFrame:
+    """The rows whose ``column`` may be among ``keys`` (one column, of hashes as longs): all that are, and at most about a sixteenth of the others.
+
+    To be called before a join of wide rows with few keys, whose shuffle then leaves out what
+    would match nothing. The keys' last bits are marked in a bitmap, 16 to 32 bits a key, and
+    the bitmap is broadcast in pieces of 4 KB. Beyond ``most_bits`` in all (16 MB) it grows no
+    more; then more of the others pass, and still none that matches is lost.
+    """
+    name = keys.columns[0]
+    bits = min(most_bits, 1 << max(15, (16 * keys.count()).bit_length()))
+    place = lambda c: F.col(c).bitwiseAND(F.lit(bits - 1))
+    marked = keys.groupBy(F.shiftright(place(name), 15).alias("__piece")).agg(F.bitmap_construct_agg(place(name).bitwiseAND(F.lit(32767))).alias("__bits"))
+    byte = F.substring("__bits", F.shiftright(place(column), 3).bitwiseAND(F.lit(4095)).cast("int") + 1, F.lit(1))
+    bit = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), place(column).bitwiseAND(F.lit(7)).cast("int"))
+    met = rows.withColumn("__piece", F.shiftright(place(column), 15)).join(F.broadcast(marked), "__piece")
+    return met.where(bit == 1).select(*rows.columns)
+
+
 def pair_cells(members: DataFrame, key: list[str], member: str, largest: int, chunk: int | None = None, weight: Column | None = None) -> DataFrame:
     """Deal each group into cells (cell_a, cell_b) of at most about ``2 * largest`` members, or of twice as much ``weight``.
 

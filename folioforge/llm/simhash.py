@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import connected_components, filled, materialise, pair_cells, text_key
+from folioforge.llm.common import among, connected_components, filled, materialise, pair_cells, text_key
 
 BITS = 64
 #: Fingerprints of one cell at most; larger buckets are dealt into pairs of chunks.
@@ -286,7 +286,8 @@ def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col:
     Buckets hold sketches of a few bytes. First only candidates that would span a bucket are
     verified, so a group of copies costs its size and not its square; where they fail, others
     are tried (TURNS). Then what may still be similar across components is compared whole,
-    set by set, in cells bounded by SET_BYTES.
+    set by set, in cells bounded by SET_BYTES. ``docs`` is read again for the texts of
+    candidates, so no text is written before it is known to be one.
     """
 
     @F.pandas_udf("struct<key: long, fp: long, n: int, bands: array<long>>")
@@ -300,16 +301,17 @@ def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col:
         return pd.Series([shingles(x, shingle).view(np.int64) for x in data])
 
     text = F.col(text_col)
-    sketched = docs.select(F.col(id_col).alias("doc_id"), text_key(filled(text)).alias("tk"), text.alias("text"), sketch(text.cast("binary")).alias("s"))
-    rows = materialise(sketched.select("doc_id", "tk", "text", "s.*"), "sketches")
-    classes = materialise(rows.groupBy("key").agg(smallest_name().alias("named"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
+    named = text_key(filled(text)).alias("tk")
+    rows = materialise(docs.select(F.col(id_col).alias("doc_id"), named, sketch(text.cast("binary")).alias("s")).select("doc_id", "tk", "s.*"), "sketches")
+    classes = materialise(rows.groupBy("key").agg(smallest_name().alias("named"), F.min("tk").alias("tk"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
     entries = classes.select("key", "fp", "n", F.posexplode("bands").alias("band", "value"))
     shared = entries.groupBy("band", "value").agg(F.count("*").alias("__n")).where("__n > 1").drop("__n")
     dealt = pair_cells(materialise(entries.join(shared, ["band", "value"]), "buckets"), ["band", "value"], "key", SMALL_CELL)
     # Most pairs meet in many bands; cells of the same texts are one.
     cells = dealt.groupBy("band", "value", "cell_a", "cell_b").agg(F.sort_array(F.collect_list(F.struct("key", "fp", "n"))).alias("m")).where(F.size("m") > 1).select("m").distinct()
     members = materialise(cells.select(F.xxhash64("m").alias("cell"), F.explode("m").alias("x")).select("cell", "x.*"), "cells")
-    texts = rows.join(members.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    wanted = materialise(classes.join(members.select("key").distinct(), "key", "left_semi").select("key", "tk"), "wanted")
+    texts = among(docs.select(named, text.alias("text")), "tk", wanted.select("tk")).groupBy("tk").agg(F.first("text").alias("text")).join(wanted, "tk")
     sets = materialise(texts.select("key", hashes(F.col("text").cast("binary")).alias("hashes")), "sets")
 
     def placed(some: DataFrame, labels: DataFrame) -> DataFrame:

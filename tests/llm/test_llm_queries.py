@@ -192,3 +192,39 @@ def test_a_group_of_copies_costs_its_size(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(simhash, "SMALL_CELL", 100)
     assert [r.doc_id for r in simhash.keep_one(docs, simhash.similar(docs)).collect()] == [0]
+
+
+def test_near_dedup_moves_only_candidates_texts(spark, monkeypatch):
+    """Tables of texts without near copies are neither written again nor shuffled to find a few that have some."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"w{rng.randint(0, 10**9)}" for _ in range(1500))) for i in range(300)]
+    rows += [(1000 + i, rows[i][1] + " and some more words") for i in range(5)]
+    size = sum(len(t) for _, t in rows)
+    written = {}
+
+    def spy(df, name, real=simhash.materialise):
+        out = real(df, name)
+        written[name] = sum(os.path.getsize(f) for path in {os.path.dirname(f.removeprefix("file:")) for f in out.inputFiles()} for f in glob.glob(f"{path}/*.parquet"))
+        if name == "sets":
+            written["rows of sets"] = out.count()
+        return out
+
+    def shuffled():
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    monkeypatch.setattr(simhash, "materialise", spy)
+    docs = simhash.materialise(spark.createDataFrame(rows, "doc_id long, text string"), "docs")
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled()
+        found = simhash.similar(docs)
+        moved = shuffled() - before
+        assert sorted(r.doc_id for r in found.where("first").collect()) == list(range(300))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    assert written.pop("rows of sets") == 10
+    assert written.pop("docs") > 0.4 * size
+    assert sum(written.values()) < 0.2 * size
+    assert moved < 0.3 * size

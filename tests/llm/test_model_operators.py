@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from folioforge.llm import bpe, langid, mixing, simhash, sstable, vectors
-from folioforge.llm.common import connected_components
+from folioforge.llm.common import among, connected_components
 from folioforge.llm.queries import QUERIES
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -332,6 +332,15 @@ def test_bit_planes_equal_popcounts():
         assert {(i, int(j)) for i, js in simhash.close_pairs(x, radius, 64) for j in js} == want
 
 
+def test_among_keeps_all_that_match(spark):
+    rows = spark.range(40_000).select(F.xxhash64("id").alias("h"), F.lit("x").alias("text"), "id")
+    for n, most_bits, others in ((0, 1 << 27, 0), (1, 1 << 27, 100), (5000, 1 << 27, 35_000 // 12), (5000, 1 << 15, 35_000)):
+        kept = among(rows, "h", rows.where(F.col("id") < n).select("h"), most_bits)
+        assert kept.columns == rows.columns
+        ids = {r.id for r in kept.select("id").collect()}
+        assert ids >= set(range(n)) and len(ids) <= n + others
+
+
 def test_components_of_a_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(-5, 100), (7, 7)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
