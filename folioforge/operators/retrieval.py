@@ -106,9 +106,14 @@ def keyword_score(text: Column, query: Column) -> Column:
     return F.when(F.size(q) == 0, 0.0).otherwise(F.size(F.array_intersect(q, words(text))) / F.size(q))
 
 
+def query_tokens(query: Column) -> Column:
+    """The tokens of a question, inner hyphens kept, as often as they occur."""
+    return F.regexp_extract_all(F.lower(query), F.lit("\\b[a-zA-Z0-9]+(?:[-\u2013][a-zA-Z0-9]+)*\\b"), F.lit(0))
+
+
 def token_bonus(text: Column, query: Column) -> Column:
     """Share of the query's tokens (inner hyphens kept) that are substrings of the text."""
-    q = F.regexp_extract_all(F.lower(query), F.lit("\\b[a-zA-Z0-9]+(?:[-\u2013][a-zA-Z0-9]+)*\\b"), F.lit(0))
+    q = query_tokens(query)
     return F.when(F.size(q) == 0, 0.0).otherwise(F.size(F.filter(q, lambda t: F.contains(F.lower(text), t))) / F.size(q))
 
 

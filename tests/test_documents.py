@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -429,6 +430,44 @@ def test_many_questions_equal_one_by_one(spark, tmp_path, monkeypatch):
     assert retrieval_index.rank_many(empty, spark.createDataFrame(asked, "qid long, question string, vector array<double>")).collect() == []
 
 
+def test_many_questions_in_portions_with_ties_and_odd_tokens(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(8)
+    pool = ["coal-fired", "coal", "2024\u201325", "2024", "steel", "\u00c9steel", "a-b-c", "mine's", "\u0130x", "under_score", "x" * 90 + "coal"]
+    text = lambda n: " ".join(rng.choice(pool, n))
+    vectors = rng.normal(size=(30, 8))
+    made = [(f"d{rng.integers(0, 500)}", i, text(6), vectors[i % 30].tolist()) for i in range(300)]
+    made += [(f"same{i}", 0, "Coal-Fired STEEL", vectors[0].tolist()) for i in range(40)] + [("no", 0, "", [0.0] * 8)]
+    chunks = spark.createDataFrame(made, "doc_id string, ord int, text string, vector array<double>").repartition(7)
+    asked = [(f"q{i}", text(3) + rng.choice(["", " coal coal", "-", " a-b"]), (vectors[i % 30] * (i % 9)).tolist()) for i in range(25)]
+    index = retrieval_index.build_chunk_index(chunks, str(tmp_path / "index"), list_chunks=8)
+    assert index.table("lists").count() > 16
+    assert len(list((tmp_path / "index/chunks/rows").glob("*=*"))) <= 16  # not a folder for each list
+    monkeypatch.setattr(retrieval_index, "QUESTIONS", 6, raising=False)
+    got = {}
+    for r in retrieval_index.rank_many(index, spark.createDataFrame(asked, "qid string, question string, vector array<double>")).collect():
+        got.setdefault(r.qid, {})[r.place] = (r.doc_id, r.ord, r.score, r.text)
+    assert len(got) == len(asked)
+    for qid, question, vector in asked:
+        want = [(r.doc_id, r.ord, r.score, r.text) for r in retrieval.rank(chunks, question, vector).collect()]
+        assert [got[qid][k] for k in sorted(got[qid])] == want, qid
+
+
+def test_many_questions_do_not_each_read_every_text(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    pool = ["".join(rng.choice(list("etaoinshr"), rng.integers(2, 9))) for _ in range(3000)]
+    text = lambda n: " ".join(rng.choice(pool, n))
+    chunks = spark.createDataFrame([(i, 0, text(15_000), rng.normal(size=4).tolist()) for i in range(100)], "doc_id long, ord int, text string, vector array<double>")
+    asked = spark.createDataFrame([(i, text(60), rng.normal(size=4).tolist()) for i in range(60)], "qid long, question string, vector array<double>")
+    index = retrieval_index.build_chunk_index(chunks, str(tmp_path / "index"), list_chunks=20)
+    took = []
+    for questions in (asked.limit(1), asked.limit(1), asked):
+        began = time.perf_counter()
+        n = retrieval_index.rank_many(index, questions).count()
+        took.append(time.perf_counter() - began)
+    assert n == 60 * 5
+    assert took[2] < 5 * took[1] + 5, took  # 60 times the questions
+
+
 def plain_cloud(texts, threshold=2.0):
     """Counts of one cloud: words, plurals folded, pairs beyond chance."""
     words = [[w for t in pages for w in re.findall("[a-zA-Z]+", (t or "").lower()) if len(w) >= 3 and w not in lexicon.CLOUD_STOP_WORDS] for pages in texts]
