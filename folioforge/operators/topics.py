@@ -160,15 +160,19 @@ COLLOCATION = 30.0
 
 
 def _cloud_words(text: Column) -> Column:
-    return F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-zA-Z]+"), F.lit(0)), lambda w: (F.length(w) >= 3) & ~w.isin(*lexicon.CLOUD_STOP_WORDS))
+    return F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-zA-Z]{3,}"), F.lit(0)), lambda w: ~w.isin(*lexicon.CLOUD_STOP_WORDS))
 
 
-def _plurals(counts: DataFrame, key: list[str]) -> DataFrame:
-    """(key, term, std) for every term of ``counts(key, term, n)``: std is the term without its last s where that is a term too, else the term."""
-    cut = F.when(F.col("term").endswith("s") & ~F.col("term").endswith("ss"), F.left("term", F.length("term") - 1))
-    known = counts.select(*key, F.col("term").alias("std"))
-    met = counts.select(*key, "term", "n", cut.alias("std")).join(known.withColumn("there", F.lit(True)), [*key, "std"], "left")
-    return met.select(*key, "term", "n", F.when(F.col("there"), F.col("std")).otherwise(F.col("term")).alias("std"))
+def _stem(word: Column) -> Column:
+    """The word without a last s that may make it a plural. A stem is that of itself and of its plural, and of no other word."""
+    return F.when(word.endswith("s") & ~word.endswith("ss"), F.left(word, F.length(word) - 1)).otherwise(word)
+
+
+def _folded(said: DataFrame, key: list[str], word: str) -> DataFrame:
+    """(key, stem, std, n): how often each word of ``said(key, word)`` occurs with its plural; std is the word that stands for both, the plural where it is alone."""
+    plain = F.col(word) == F.col("stem")
+    counted = said.withColumn("stem", _stem(F.col(word))).groupBy(*key, "stem").agg(F.count_if(plain).alias("plain"), F.count("*").alias("n"))
+    return counted.select(*key, "stem", F.when(F.col("plain") > 0, F.col("stem")).otherwise(F.concat("stem", F.lit("s"))).alias("std"), "n")
 
 
 def _log_likelihood(both: Column, first: Column, second: Column, n: Column) -> Column:
@@ -183,38 +187,118 @@ def _log_likelihood(both: Column, first: Column, second: Column, n: Column) -> C
     return F.when((n <= first) | (n <= second), 0.0).otherwise(-2 * apart)
 
 
+def _at_most(both: Column, first: Column, second: Column, n: Column) -> Column:
+    """No less than the log-likelihood of two different words, with one logarithm: of k where e are awaited, the others add k ln(k / e) <= k (k - e) / e each."""
+    of = lambda x, y: F.greatest(x, F.lit(1)).cast("double") * F.greatest(y, F.lit(1)) / n
+    awaited = of(first, second)
+    more = both - awaited
+    return 2 * (both * F.log(both / awaited) - more + more * more * (1 / of(first, n - second) + 1 / of(n - first, second) + 1 / of(n - first, n - second)))
+
+
+#: Most frequent words whose counts travel to the pairs, of all groups together.
+KNOWN = 40_000
+
+
+def _frequent(counts: DataFrame, total: DataFrame) -> DataFrame | None:
+    """(g, stem, std, n, rank): the most frequent words of each group, KNOWN at most in all; None for too many groups."""
+    each = KNOWN // max(1, total.count()) - 1
+    if each < 1:
+        return None
+    place = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("n"), "std"))
+    return materialise(counts.withColumn("rank", place).where(F.col("rank") <= each + 1).withColumn("last", F.col("rank") > each), "cloud-frequent")
+
+
+def _together(said: DataFrame, counts: DataFrame, total: DataFrame, frequent: DataFrame | None, of: list[str] | None) -> DataFrame:
+    """(g, pair, both, a_std, b_std): words that follow each other beyond chance; with ``of`` only pairs of which a word is in it.
+
+    Most pairs are rare, and what is known of the frequent words shows that they cannot be
+    beyond chance: with the first word's count given, the likelihood is least where the
+    second is as frequent as chance wants it, and grows to both sides. The second has the
+    pair's count at least, and if it is not among the frequent, at most that of the next word
+    after them. Only the other pairs meet the table of all words.
+    """
+    before = F.lag("last").over(Window.partitionBy("g", "doc_id").orderBy("page_ord"))
+    ends = said.select("g", "doc_id", "page_ord", F.get("w", F.lit(0)).alias("first"), F.get("w", F.size("w") - 1).alias("last"))
+    over = ends.select("g", before.alias("a"), F.col("first").alias("b")).where("a IS NOT NULL")
+    rest = F.size("w") - 1
+    inside = said.where(F.size("w") > 1).select("g", F.inline(F.arrays_zip(F.slice("w", 1, rest).alias("a"), F.slice("w", 2, rest).alias("b"))).alias("a", "b"))
+    met = inside.unionByName(over)
+    if of is not None:
+        named = ", ".join(f"'{w}'" for w in of) or "NULL"  # a to z only
+        met = met.where(f"a IN ({named}) OR b IN ({named})")
+    bi = _folded(met, ["g", "a"], "b").select("g", _stem(F.col("a")).alias("a_stem"), F.col("stem").alias("b_stem"), F.concat_ws(" ", "a", "std").alias("pair"), F.col("n").alias("both"))
+    if frequent is not None:
+        least = total.join(frequent.where("last").select("g", F.col("n").alias("next")), "g", "left")
+        bi = bi.join(F.broadcast(least), "g")
+        for side in ("a", "b"):
+            bi = bi.join(F.broadcast(frequent.where("NOT last").select("g", F.col("stem").alias(f"{side}_stem"), F.col("n").alias(f"{side}_n"))), ["g", f"{side}_stem"], "left")
+        known, n, both = F.coalesce("a_n", "b_n"), F.col("total"), F.col("both")
+        other = F.when(F.col("a_n").isNotNull(), F.col("b_n"))
+        # in a lambda, as the code generated for the joins with this in them would be too long to be compiled
+        reaches = F.exists(F.array("both", F.greatest("both", "next")), lambda x: _at_most(both, known, F.coalesce(other, x), n) > COLLOCATION - 1)
+        # pairs of two rare words, of a word with itself; beyond 10^10 words the least share bends the figure
+        can = known.isNull() | (F.col("a_stem") == F.col("b_stem")) | (n >= 10**10) | reaches
+        bi = bi.where(can).select("g", "a_stem", "b_stem", "pair", "both")
+    for side in ("a", "b"):
+        bi = bi.join(counts.select("g", F.col("stem").alias(f"{side}_stem"), F.col("std").alias(f"{side}_std"), F.col("n").alias(f"{side}_n")), ["g", f"{side}_stem"])
+    found = bi.join(total, "g").where(_log_likelihood(F.col("both"), F.col("a_n"), F.col("b_n"), F.col("total")) > COLLOCATION)
+    return materialise(found.select("g", "pair", "both", "a_std", "b_std"), "collocations")
+
+
+def _shown(counts: DataFrame, together: DataFrame) -> DataFrame:
+    """(g, term, n): the words less what their pairs take, and the pairs."""
+    less = together.select("g", F.explode(F.array("a_std", "b_std")).alias("std"), "both").groupBy("g", "std").agg(F.sum("both").alias("less"))
+    left = counts.join(less, ["g", "std"], "left").select("g", F.col("std").alias("term"), (F.col("n") - F.coalesce("less", F.lit(0))).alias("n")).where("n > 0")
+    return left.unionByName(together.select("g", F.col("pair").alias("term"), F.col("both").alias("n")))
+
+
+def _first(shown: DataFrame, top: int) -> DataFrame:
+    return shown.withColumn("__place", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("n"), "term"))).where(F.col("__place") <= top).drop("__place")
+
+
 def cloud_terms(pages: DataFrame, group: str | None = None, top: int | None = 100) -> DataFrame:
     """(g, term, n): what a word cloud shows of ``pages(doc_id, page_ord, text)``, most frequent first, ties by term; g is 0 without ``group``.
 
     Plurals count with their singular where both occur. Two words that follow each other in
     a document, over page ends too, are a term of their own where they do so beyond chance
     (log-likelihood over COLLOCATION), and then count less by themselves; a word of which
-    nothing is left is not shown. The texts are read once for words and once for pairs, both
-    added up before they are shuffled. Null texts have no words.
+    nothing is left is not shown. The words of the texts are written once; words are counted
+    from there, and pairs. Null texts have no words.
+
+    With ``top`` pairs are first counted only for the 2 * top most frequent words, whose
+    figures are then final, as are those of their pairs. No other word or pair can be shown
+    with more than the next word's count. Where that does not settle what is shown, pairs are
+    counted once more, for all words that reach the least final count of the ``top`` found so
+    far; then nothing left out can be shown. Were these words too many, all pairs are counted.
     """
-    key = ["g"]
-    words = pages.select((F.col(group) if group else F.lit(0)).alias("g"), "doc_id", "page_ord", _cloud_words(F.col("text")).alias("w"))
-    uni = _plurals(words.select("g", F.explode("w").alias("term")).groupBy("g", "term").agg(F.count("*").alias("n")), key)
-    uni = materialise(uni, "cloud-words")
-    counts = uni.groupBy("g", "std").agg(F.sum("n").alias("n"))
-    total = uni.groupBy("g").agg(F.sum("n").alias("total"))
-    before = F.last(F.element_at(F.nullif("w", F.array().cast("array<string>")), -1), ignorenulls=True).over(Window.partitionBy("g", "doc_id").orderBy("page_ord").rowsBetween(Window.unboundedPreceding, -1))
-    ends = words.select("g", "doc_id", "page_ord", F.when(F.size("w") > 0, F.array(F.col("w")[0], F.element_at("w", -1))).alias("w"))
-    over = ends.select("g", F.concat_ws(" ", before, F.col("w")[0]).alias("term"), before.isNotNull().alias("met"), F.col("w").isNotNull().alias("any")).where("met AND any").select("g", "term")
-    inside = F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat(F.get("w", i), F.lit(" "), F.get("w", i + 1)))
-    pairs = words.where(F.size("w") > 1).select("g", F.explode(inside).alias("term")).unionByName(over)
-    bi = _plurals(pairs.groupBy("g", "term").agg(F.count("*").alias("n")), key)
-    bi = bi.groupBy("g", "std").agg(F.sum("n").alias("both")).select("g", F.col("std").alias("pair"), "both", F.split_part("std", F.lit(" "), F.lit(1)).alias("a"), F.split_part("std", F.lit(" "), F.lit(2)).alias("b"))
-    for side in ("a", "b"):
-        named = uni.select("g", F.col("term").alias(side), F.col("std").alias(f"{side}_std")).join(counts.select("g", F.col("std").alias(f"{side}_std"), F.col("n").alias(f"{side}_n")), ["g", f"{side}_std"])
-        bi = bi.join(named, ["g", side])
-    together = bi.join(total, "g").where(_log_likelihood(F.col("both"), F.col("a_n"), F.col("b_n"), F.col("total")) > COLLOCATION)
-    together = materialise(together.select("g", "pair", "both", "a_std", "b_std"), "collocations")
-    less = together.select("g", F.explode(F.array("a_std", "b_std")).alias("std"), "both").groupBy("g", "std").agg(F.sum("both").alias("less"))
-    left = counts.join(less, ["g", "std"], "left").select("g", F.col("std").alias("term"), (F.col("n") - F.coalesce("less", F.lit(0))).alias("n")).where("n > 0")
-    shown = left.unionByName(together.select("g", F.col("pair").alias("term"), F.col("both").alias("n")))
-    if top is None:
+    said = pages.select((F.col(group) if group else F.lit(0)).alias("g"), "doc_id", "page_ord", _cloud_words(F.col("text")).alias("w"))
+    said = materialise(said, "cloud-pages").where(F.size("w") > 0)  # a filter before would split the texts twice
+    counts = materialise(_folded(said.select("g", F.explode("w").alias("term")), ["g"], "term"), "cloud-words")
+    total = counts.groupBy("g").agg(F.sum("n").alias("total"))
+    frequent = _frequent(counts, total)
+    shown = None if top is None else _settled(said, counts, total, frequent, top)
+    if shown is None:
+        shown = _shown(counts, _together(said, counts, total, frequent, None))
+        if top is None:
+            return shown
+    return shown.orderBy(F.desc("n"), "term").limit(top) if group is None else _first(shown, top)
+
+
+def _settled(said: DataFrame, counts: DataFrame, total: DataFrame, frequent: DataFrame | None, top: int) -> DataFrame | None:
+    """Figures among which the ``top`` terms of each group are, or None where that takes all pairs."""
+    if frequent is None or frequent.where("last").select(F.min("rank")).first()[0] in range(2 * top + 1):
+        return None
+
+    def figures(kept: DataFrame) -> DataFrame:
+        of = [x for r in kept.select("stem").distinct().collect() for x in (r.stem, r.stem + "s")]
+        return _shown(kept.select("g", "std", "n"), _together(said, counts, total, frequent, of))
+
+    kept = frequent.where(F.col("rank") <= 2 * top)
+    shown = materialise(figures(kept), "cloud-shown")
+    least = _first(shown, top).groupBy("g").agg(F.when(F.count("*") == top, F.min("n")).alias("least"))
+    following = frequent.where(F.col("rank") == 2 * top + 1).select("g", F.col("n").alias("next"))
+    least = materialise(kept.select("g").distinct().join(following, "g", "left").join(least, "g", "left"), "cloud-least")
+    if least.where("next >= coalesce(least, 0)").isEmpty():
         return shown
-    if group is None:
-        return shown.orderBy(F.desc("n"), "term").limit(top)
-    return shown.withColumn("__place", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("n"), "term"))).where(F.col("__place") <= top).drop("__place")
+    kept = counts.join(F.broadcast(least), "g").where("n >= coalesce(least, 0)").select("g", "stem", "std", "n")
+    return None if kept.limit(FREQUENT + 1).count() > FREQUENT else figures(kept)

@@ -523,6 +523,41 @@ def test_cloud_terms_against_a_plain_count(spark, monkeypatch):
     assert topics.cloud_terms(table.limit(0)).collect() == []
 
 
+def test_first_cloud_terms_are_those_of_all(spark, monkeypatch):
+    """However few words are counted first, and where pairs have to be counted again, for more words or for all."""
+    monkeypatch.setattr(topics, "COLLOCATION", 2.0)
+    rng = random.Random(5)
+    pool = ["".join(rng.choice("abel") for _ in range(rng.randint(3, 5))) + rng.choice(["", "", "s"]) for _ in range(60)]
+    docs_ = [[" ".join(rng.choices(pool, k=rng.randint(0, 40))) + " alpha betas" * rng.randint(0, 9) for _ in range(rng.randint(1, 3))] for _ in range(20)]
+    table = spark.createDataFrame([(d, p, t, d % 2) for d, pages in enumerate(docs_) for p, t in enumerate(pages)], "doc_id long, page_ord int, text string, side int")
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        reads.add(1)
+        return text
+
+    table = table.cache()
+    table.count()
+    watched = table.withColumn("text", F.udf(seen, "string")("text"))
+    want = [dict(sorted(plain_cloud(docs_[k::2]).items(), key=lambda x: (-x[1], x[0]))) for k in (0, 1)]
+    real, passes = topics.materialise, []
+    monkeypatch.setattr(topics, "materialise", lambda df, name: (passes.append(name), real(df, name))[1])
+    ways = set()
+    for top, known, frequent in ((1, 40_000, 20_000), (8, 40_000, 20_000), (8, 40_000, 4), (30, 40_000, 20_000), (3, 30, 20_000), (20, 20, 20_000)):
+        monkeypatch.setattr(topics, "KNOWN", known, raising=False)
+        monkeypatch.setattr(topics, "FREQUENT", frequent)
+        passes.clear()
+        reads.value = 0
+        got = [{}, {}]
+        for r in topics.cloud_terms(watched, "side", top=top).collect():
+            got[r.g][r.term] = r.n
+        assert got == [dict(list(w.items())[:top]) for w in want], (top, known, frequent)
+        assert reads.value == table.count()  # each text is split into words once
+        ways.add((passes.count("collocations"), "cloud-shown" in passes))
+    assert {(2, True), (1, False)} <= ways
+    table.unpersist()
+
+
 def test_binarisation_and_gray(spark):
     rng = np.random.default_rng(6)
     flat = rng.integers(104, 106, (40, 50)).astype(np.uint8)
